@@ -1,0 +1 @@
+"""docloom: document and table intelligence expressed as Spark DataFrame jobs."""

@@ -1,0 +1,283 @@
+"""Property graph as DataFrames: upserts, mentions, one-hop facts, search.
+
+nodes:    job_id, name, type, confidence, source_files
+edges:    job_id, source, source_type, target, target_type, type, evidence, confidence, source_file, ordinal
+mentions: job_id, chunk_id, name, type
+facts:    long form - entity, type, rel_type, other, direction (null relation columns: none known)
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import pandas as pd
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
+
+# Coarse relation classes.
+KINSHIP = ("MOTHER_OF", "FATHER_OF", "PARENT_OF", "CHILD_OF", "SPOUSE_OF", "SIBLING_OF", "GUARDIAN_OF")
+BUSINESS = ("OWNS", "EMPLOYED_BY", "PAID", "LOCATED_IN", "SUBSIDIARY_OF", "REPORTS_TO", "TRANSACTED_WITH")
+FACT_LIMIT = 30
+DICTIONARY_BOUND = 200_000  # names held in one automaton; above it the gram join takes over
+
+
+def upsert_entities(nodes: DataFrame | None, new: DataFrame) -> DataFrame:
+    """Merge entity rows into nodes: top confidence, every source file once.
+
+    Repeats of (node, file) are collapsed first, so a hot node is spread over its files.
+    """
+    rows = new.select("job_id", "name", "type", "confidence", "source_file")
+    if nodes is not None:
+        old = nodes.select("job_id", "name", "type", "confidence", F.explode_outer("source_files").alias("source_file"))
+        rows = old.unionByName(rows)
+    keys = ["job_id", "name", "type"]
+    per_file = rows.groupBy(*keys, "source_file").agg(F.max("confidence").alias("confidence"))
+    return per_file.groupBy(*keys).agg(
+        F.max("confidence").alias("confidence"), F.sort_array(F.collect_set("source_file")).alias("source_files"))
+
+
+def first_rows(df: DataFrame, keys: list[str], order: str = "ordinal") -> DataFrame:
+    """First row per key by ``order``, as a partial aggregate instead of a sorted window."""
+    rest = [c for c in df.columns if c not in keys and c != order]
+    return df.groupBy(*keys).agg(F.min(F.struct(order, *rest)).alias("_f")).select(*keys, "_f.*")
+
+
+def upsert_relations(edges: DataFrame | None, new: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Edges between existing nodes, matched by name (any type); first properties stay.
+
+    new: job_id, source_entity, target_entity, relation_type, evidence, confidence, source_file, ordinal.
+    Repeats are dropped before the node joins; existing edges always win.
+    """
+    first = first_rows(new, ["job_id", "source_entity", "target_entity", "relation_type"])
+    s = nodes.select("job_id", F.col("name").alias("source_entity"), F.col("type").alias("source_type"))
+    t = nodes.select("job_id", F.col("name").alias("target_entity"), F.col("type").alias("target_type"))
+    fresh = first.join(s, ["job_id", "source_entity"]).join(t, ["job_id", "target_entity"]).select(
+        "job_id", F.col("source_entity").alias("source"), "source_type", F.col("target_entity").alias("target"),
+        "target_type", F.col("relation_type").alias("type"), "evidence", "confidence", "source_file",
+        F.col("ordinal").cast("long").alias("ordinal"))
+    keys = ["job_id", "source", "source_type", "target", "target_type", "type"]
+    if edges is None:
+        return fresh
+    known = edges.select(*keys)
+    return edges.select(fresh.columns).unionByName(fresh.join(known, keys, "left_anti"))
+
+
+def upsert_pii(old: DataFrame | None, new: DataFrame) -> DataFrame:
+    """Finding nodes by id, last write wins. new: finding_id, ordinal and properties."""
+    rows = new if old is None else old.withColumn("ordinal", F.lit(-1).cast("long")).unionByName(new)
+    rest = [c for c in rows.columns if c not in ("finding_id", "ordinal")]
+    return rows.groupBy("finding_id").agg(F.max(F.struct("ordinal", *rest)).alias("_l")).select(
+        "finding_id", *[f"_l.{c}" for c in rest])
+
+
+def has_pii(findings: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Edge from the PERSON of exactly the subject's name to its finding."""
+    people = nodes.filter(F.col("type") == "PERSON").select("job_id", F.col("name").alias("subject_entity"))
+    return findings.join(people, ["job_id", "subject_entity"]).select("job_id", "subject_entity", "finding_id").distinct()
+
+
+def upsert_chunks(old: DataFrame | None, new: DataFrame) -> DataFrame:
+    """Chunks by id, the latest ordinal wins."""
+    rows = new if old is None else old.unionByName(new)
+    rest = [c for c in rows.columns if c not in ("chunk_id", "ordinal")]
+    return rows.groupBy("chunk_id").agg(F.max(F.struct("ordinal", *rest)).alias("_l")).select(
+        "chunk_id", "_l.ordinal", *[f"_l.{c}" for c in rest])
+
+
+def _automaton_matches(texts: DataFrame, names: list[str], key: str) -> DataFrame:
+    shared = texts.sparkSession.sparkContext.broadcast(names)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        import ahocorasick
+
+        automaton = ahocorasick.Automaton()
+        for name in shared.value:
+            automaton.add_word(name, name)
+        automaton.make_automaton()
+        for pdf in batches:
+            pairs = [(k, n) for k, t in zip(pdf[key], pdf["text"]) for n in {m for _, m in automaton.iter(t)}]
+            yield pd.DataFrame(pairs, columns=[key, "name"])
+
+    kind = texts.schema[key].dataType.simpleString()
+    return texts.select(key, "text").mapInPandas(run, f"{key} {kind}, name string")
+
+
+def _grams(col, n: int):
+    starts = F.sequence(F.lit(1), F.length(col) - (n - 1))
+    return F.when(F.length(col) >= n, F.array_distinct(F.transform(starts, lambda i: F.substring(col, i, F.lit(n)))))
+
+
+def gram_matches(texts: DataFrame, names: DataFrame, key: str) -> DataFrame:
+    """Exact substring join as an equi-join on each name's rarest 3-gram, then ``contains``.
+
+    Names of one or two characters are grams themselves and need no second test.
+    """
+    long_names = names.filter(F.length("name") >= 3)
+    used = long_names.select("name", F.explode(_grams(F.col("name"), 3)).alias("gram"))
+    seen = texts.select(key, F.explode(_grams(F.col("text"), 3)).alias("gram"))
+    seen = seen.join(used.select("gram").distinct(), "gram", "left_semi")
+    often = seen.groupBy("gram").agg(F.count("*").alias("n"))
+    anchor = used.join(often, "gram", "left").groupBy("name").agg(
+        F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "gram")).alias("a")).select("name", F.col("a.gram").alias("gram"))
+    candidates = seen.join(anchor, "gram").select(key, "name")
+    hits = candidates.join(texts.select(key, "text"), key).filter(F.col("text").contains(F.col("name"))).select(key, "name")
+    for n in (1, 2):
+        short = names.filter(F.length("name") == n)
+        grams = texts.select(key, F.explode(_grams(F.col("text"), n)).alias("name"))
+        hits = hits.unionByName(grams.join(short, "name", "left_semi").select(key, "name"))
+    return hits
+
+
+def substring_matches(texts: DataFrame, names: DataFrame, key: str, bound: int = DICTIONARY_BOUND) -> DataFrame:
+    """(key, name) for every name contained in a text.
+
+    A dictionary of at most ``bound`` names is shipped to the tasks and each text is scanned once; a
+    larger one goes through the gram join. Both are exact.
+    """
+    distinct = names.select("name").filter(F.length("name") > 0).distinct()
+    head = [r.name for r in distinct.limit(bound + 1).collect()]
+    if not head:
+        return texts.select(key, F.lit("").alias("name")).limit(0)
+    try:
+        import ahocorasick  # noqa: F401
+    except ImportError:
+        return gram_matches(texts, distinct, key)
+    return gram_matches(texts, distinct, key) if len(head) > bound else _automaton_matches(texts, head, key)
+
+
+def mentions(chunks: DataFrame, nodes: DataFrame, bound: int = DICTIONARY_BOUND) -> DataFrame:
+    """MENTIONS edges: the chunk's text contains the entity's name (case-sensitive), per job."""
+    found = substring_matches(chunks, nodes, "chunk_id", bound)
+    jobs = chunks.select("chunk_id", "job_id")
+    return found.join(jobs, "chunk_id").join(nodes.select("job_id", "name", "type"), ["job_id", "name"]).select(
+        "job_id", "chunk_id", "name", "type").distinct()
+
+
+def entities_in_text(questions: DataFrame, nodes: DataFrame, bound: int = DICTIONARY_BOUND) -> DataFrame:
+    """Entities named in each question, case-insensitively. questions: question_id, text."""
+    low = nodes.select(F.lower("name").alias("name"))
+    texts = questions.select("question_id", F.lower("text").alias("text"))
+    found = substring_matches(texts, low, "question_id", bound)
+    names = nodes.select(F.lower("name").alias("_k"), F.col("name").alias("entity"), "type").distinct()
+    return found.join(names, found.name == names._k).select("question_id", "entity", "type").distinct()
+
+
+def facts_for(seeds: DataFrame, edges: DataFrame) -> DataFrame:
+    """Outgoing and incoming relations of each seed (entity, type), one row per relation."""
+    out = edges.select(F.col("source").alias("entity"), F.col("source_type").alias("type"),
+                       F.col("type").alias("rel_type"), F.col("target").alias("other"), F.lit("out").alias("direction"))
+    inn = edges.select(F.col("target").alias("entity"), F.col("target_type").alias("type"),
+                       F.col("type").alias("rel_type"), F.col("source").alias("other"), F.lit("in").alias("direction"))
+    return seeds.join(out.unionByName(inn), ["entity", "type"], "left")
+
+
+def expand_from_chunks(links: DataFrame, edges: DataFrame, chunk_ids: DataFrame, limit: int = FACT_LIMIT) -> DataFrame:
+    """Distinct entities mentioned by the given chunks (first ``limit`` by name) with their relations."""
+    hit = links.join(chunk_ids.select("chunk_id").distinct(), "chunk_id", "left_semi")
+    seeds = hit.select(F.col("name").alias("entity"), "type").distinct().orderBy("entity", "type").limit(limit)
+    return facts_for(seeds, edges)
+
+
+def expand_from_names(nodes: DataFrame, edges: DataFrame, names: DataFrame, limit: int = FACT_LIMIT) -> DataFrame:
+    seeds = nodes.join(names.select("name").distinct(), "name", "left_semi").select(F.col("name").alias("entity"), "type")
+    return facts_for(seeds.distinct().orderBy("entity", "type").limit(limit), edges)
+
+
+def relation_degree(edges: DataFrame) -> DataFrame:
+    """Edges touching each node, a loop counted once."""
+    keys = ["job_id", "source", "source_type", "target", "target_type", "type"]
+    a = edges.select("job_id", F.col("source").alias("name"), F.col("source_type").alias("node_type"), F.struct(*keys).alias("e"))
+    b = edges.select("job_id", F.col("target").alias("name"), F.col("target_type").alias("node_type"), F.struct(*keys).alias("e"))
+    loop = (F.col("e.source") == F.col("e.target")) & (F.col("e.source_type") == F.col("e.target_type"))
+    return a.unionByName(b.filter(~loop)).groupBy("job_id", "name", F.col("node_type").alias("type")).agg(
+        F.count("*").alias("degree"))
+
+
+def dominant_person(nodes: DataFrame, edges: DataFrame, links: DataFrame) -> DataFrame:
+    """The PERSON a question without a name is taken to mean, or no row.
+
+    A lone person wins; else the one with strictly most relations; on a tie the one with at least
+    twice the mentions of the runner-up.
+    """
+    people = nodes.filter(F.col("type") == "PERSON").select("job_id", "name", "type")
+    seen = links.groupBy("job_id", "name", "type").agg(F.count_distinct("chunk_id").alias("mentions"))
+    both = people.join(seen, ["job_id", "name", "type"], "left").join(
+        relation_degree(edges), ["job_id", "name", "type"], "left").na.fill(0, ["mentions", "degree"])
+    w = Window.partitionBy("job_id").orderBy(F.desc("degree"), F.desc("mentions"), "name")
+    two = both.withColumn("rn", F.row_number().over(w)).filter("rn <= 2")
+    pair = two.groupBy("job_id").agg(
+        F.max(F.when(F.col("rn") == 1, F.struct("name", "degree", "mentions"))).alias("a"),
+        F.max(F.when(F.col("rn") == 2, F.struct("name", "degree", "mentions"))).alias("b"))
+    wins = (F.col("b").isNull() | (F.col("a.degree") > F.col("b.degree")) | (F.col("b.mentions") == 0)
+            | (F.col("a.mentions") >= F.col("b.mentions") * 2))
+    return pair.filter(wins).select("job_id", "a.name", "a.degree", "a.mentions")
+
+
+def merge_facts(first: DataFrame, second: DataFrame) -> DataFrame:
+    """Two fact lists as one: relations united per entity, the first list's type kept."""
+    both = first.withColumn("_src", F.lit(0)).unionByName(second.withColumn("_src", F.lit(1)))
+    kind = both.groupBy("entity").agg(F.min(F.struct("_src", "type")).alias("_k"))
+    known = both.filter(F.col("rel_type").isNotNull()).select("entity", "rel_type", "other", "direction").distinct()
+    return kind.select("entity", F.col("_k.type").alias("type")).join(known, "entity", "left")
+
+
+def fact_sentences(facts: DataFrame) -> DataFrame:
+    """'entity (type): s1; s2' with subject and object in the relation's direction."""
+    sentence = F.when(F.col("direction") == "in", F.concat_ws(" ", "other", "rel_type", "entity")).otherwise(
+        F.concat_ws(" ", "entity", "rel_type", "other"))
+    rows = facts.withColumn("s", F.when(F.col("rel_type").isNotNull() & F.col("other").isNotNull(), sentence))
+    joined = F.array_join(F.sort_array(F.collect_set("s")), "; ")
+    return rows.groupBy("entity", "type").agg(joined.alias("j")).select("entity", "type", F.concat(
+        "entity", F.lit(" ("), "type", F.lit("): "), F.when(F.col("j") == "", "no known relations").otherwise(F.col("j")),
+    ).alias("fact"))
+
+
+def full_graph(nodes: DataFrame, edges: DataFrame, job_id: str) -> tuple[DataFrame, DataFrame]:
+    return nodes.filter(F.col("job_id") == job_id), edges.filter(F.col("job_id") == job_id)
+
+
+def search_entities(entities: DataFrame, relations: DataFrame, query: str) -> DataFrame:
+    """Scored contextual search: exact 4, name 3, type 2, alias 2, relation evidence 1; best reason kept.
+
+    entities: name, type, mentions, ordinal; relations: source_entity, target_entity, evidence, ordinal.
+    """
+    q = query.strip().lower()
+    name, kind = F.lower("name"), F.lower("type")
+    alias = F.get(F.filter("mentions", lambda m: F.lower(m).contains(q)), 0)
+    hit = (
+        F.when(name == q, F.struct(F.lit(4).alias("score"), F.lit("exact name match").alias("reason")))
+        .when(name.contains(q), F.struct(F.lit(3), F.lit("name match")))
+        .when(kind.contains(q), F.struct(F.lit(2), F.concat(F.lit("type: "), "type")))
+        .when(alias.isNotNull(), F.struct(F.lit(2), F.concat(F.lit('also referred to as "'), alias, F.lit('"'))))
+    )
+    by_name = entities.select("name", hit.alias("h"), F.lit(0).alias("src"), F.col("ordinal").cast("long").alias("ordinal"))
+    by_name = by_name.filter("h is not null")
+    proof = relations.filter(F.lower("evidence").contains(q))
+    reason = F.struct(F.lit(1).alias("score"), F.concat(F.lit('context: "'), "evidence", F.lit('"')).alias("reason"))
+    for end in ("source_entity", "target_entity"):
+        by_name = by_name.unionByName(proof.select(
+            F.col(end).alias("name"), reason.alias("h"), F.lit(1).alias("src"), F.col("ordinal").cast("long").alias("ordinal")))
+    best = by_name.groupBy("name").agg(F.min(F.struct(
+        (-F.col("h.score")).alias("s"), "src", "ordinal", F.col("h.reason").alias("reason"))).alias("b"))
+    return best.select("name", (-F.col("b.s")).alias("score"), F.col("b.reason").alias("reason")).orderBy(F.desc("score"), "name")
+
+
+def edge_category(col):
+    t = F.upper(col)
+    return F.when(t.isin(*KINSHIP), "kinship").when(t.isin(*BUSINESS), "business").otherwise("other")
+
+
+def node_degree(edges: DataFrame) -> DataFrame:
+    """Endpoint count and drawing radius per name. edges: source, target."""
+    ends = edges.select(F.col("source").alias("name")).unionByName(edges.select(F.col("target").alias("name")))
+    degree = ends.groupBy("name").agg(F.count("*").alias("degree"))
+    top = degree.agg(F.greatest(F.max("degree"), F.lit(1))).scalar()
+    return degree.withColumn("radius", 5 + F.sqrt(F.col("degree") / top) * 15)
+
+
+def neighbours(edges: DataFrame, name: str) -> DataFrame:
+    """Other end, direction and evidence of each relation of one entity."""
+    is_source = F.col("source") == name
+    return edges.filter(is_source | (F.col("target") == name)).select(
+        F.when(is_source, F.col("target")).otherwise(F.col("source")).alias("neighbour"),
+        F.when(is_source, "out").otherwise("in").alias("direction"), "type", "evidence")

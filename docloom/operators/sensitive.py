@@ -1,0 +1,56 @@
+"""Sensitive-data findings: detection over whole texts, attribution, inventory, counts."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from docloom.functions import ids
+
+SEVERITY_RANK = {"critical": 0, "high": 1, "medium": 2, "low": 3}
+METHOD_LABEL = {"rules_checksum": "✓ Verified", "rules_shape": "Pattern match", "llm": "AI-flagged"}
+
+
+def _explode(df: DataFrame, found, text: str) -> DataFrame:
+    keep = [c for c in df.columns if c != text]
+    return df.select(*keep, F.explode(found).alias("f")).select(*keep, "f.*")
+
+
+def detect_family(df: DataFrame, family: str, text: str = "text") -> DataFrame:
+    """One identifier family (key of ids.FAMILIES)."""
+    return _explode(df, ids.FAMILIES[family](F.col(text)), text)
+
+
+def detect_contact(df: DataFrame, text: str = "text") -> DataFrame:
+    return _explode(df, ids.find_contact(F.col(text)), text)
+
+
+def detect_pii(df: DataFrame, text: str = "text") -> DataFrame:
+    """All checksum and shape families in a single pass over the text."""
+    return _explode(df, ids.find_standard_ids(F.col(text)), text)
+
+
+def attribute_subject(pii: DataFrame, entities: DataFrame) -> DataFrame:
+    """A file with exactly one PERSON row lends its name to findings without a subject."""
+    lone = (
+        entities.filter(F.col("type") == "PERSON").groupBy("source_file")
+        .agg(F.count("*").alias("n"), F.min("name").alias("_only")).filter("n = 1").drop("n")
+    )
+    subject = F.when(F.coalesce("subject_entity", F.lit("")) == "", F.coalesce("_only", "subject_entity"))
+    return (
+        pii.join(lone, "source_file", "left")
+        .withColumn("subject_entity", subject.otherwise(F.col("subject_entity"))).drop("_only")
+    )
+
+
+def pii_inventory(pii: DataFrame, severity: str | None = None, order: tuple[str, ...] = ("finding_no",)) -> DataFrame:
+    """Findings by severity rank, input order inside a rank, with the method's display label."""
+    rows = pii if severity is None else pii.filter(F.col("severity") == severity)
+    rank = F.coalesce(*[F.when(F.col("severity") == s, F.lit(r)) for s, r in SEVERITY_RANK.items()], F.lit(4))
+    label = F.coalesce(*[F.when(F.col("detection_method") == m, F.lit(t)) for m, t in METHOD_LABEL.items()],
+                       F.col("detection_method"))
+    return rows.withColumn("severity_rank", rank).withColumn("method_label", label).orderBy("severity_rank", *order)
+
+
+def severity_counts(pii: DataFrame, *by: str) -> DataFrame:
+    return pii.groupBy(*by, "severity").agg(F.count("*").alias("findings"))

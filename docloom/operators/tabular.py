@@ -1,0 +1,106 @@
+"""Table typing: clean names, storage types, coercion, registration names.
+
+User tables travel as long cells (source_file, table_id, row_id, col_idx, column, value) or as wide
+string DataFrames; both forms are accepted where it matters.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
+
+from docloom.functions import cells as C
+from docloom.functions.text import file_stem, sanitize_ident
+
+TYPE_THRESHOLD = 90  # percent of non-null values
+SPARK_TYPE = {"INTEGER": "bigint", "REAL": "double", "TEXT": "string"}
+
+
+def unpivot_cells(df: DataFrame, source_file: str, table_id: str, row_id: str, columns: list[str],
+                  category: str = "csv") -> DataFrame:
+    """Wide string table -> cells, one narrow pass (no shuffle)."""
+    entries = F.array(*[
+        F.struct(F.lit(i).alias("col_idx"), F.lit(c).alias("column"), F.coalesce(F.col(c), F.lit("")).alias("value"))
+        for i, c in enumerate(columns)
+    ])
+    return df.select(
+        F.lit(source_file).alias("source_file"), F.lit(table_id).alias("table_id"), F.lit(category).alias("category"),
+        F.col(row_id).cast("long").alias("row_id"), F.explode(entries).alias("e"),
+    ).select("source_file", "table_id", "category", "row_id", "e.*")
+
+
+def dedupe_names(columns: DataFrame, keys: list[str], name: str = "name", position: str = "position") -> DataFrame:
+    """Second and later occurrences of a name in a table get _1, _2 ..."""
+    n = F.row_number().over(Window.partitionBy(*keys, name).orderBy(position)) - 1
+    return columns.withColumn("unique_name", F.when(n == 0, F.col(name)).otherwise(F.concat_ws("_", name, n)))
+
+
+def column_names(headers: DataFrame, keys: list[str]) -> DataFrame:
+    """Sanitised, deduplicated column names; headers: keys, col_idx, column."""
+    clean = headers.withColumn("name", sanitize_ident(F.col("column"), F.concat(F.lit("col_"), F.col("col_idx"))))
+    return dedupe_names(clean, keys, "name", "col_idx")
+
+
+def infer_types(cells: DataFrame) -> DataFrame:
+    """INTEGER, REAL or TEXT per column when at least 90 % of non-null values parse.
+
+    Values are pre-counted per distinct value, so the patterns run once per distinct value and a hot
+    value costs one row after the map-side combine.
+    """
+    keys = ["source_file", "table_id", "col_idx", "column"]
+    counted = cells.groupBy(*keys, "value").agg(F.count("*").alias("n"))
+    v = F.col("value")
+    live = ~C.is_null_sentinel(v)
+    sums = counted.groupBy(*keys).agg(
+        F.sum(F.when(live, F.col("n")).otherwise(0)).alias("filled"),
+        F.sum(F.when(live & C.looks_integer(v), F.col("n")).otherwise(0)).alias("ints"),
+        F.sum(F.when(live & C.looks_real(v), F.col("n")).otherwise(0)).alias("reals"),
+    )
+    kind = (
+        F.when(F.col("filled") == 0, "TEXT")
+        .when(F.col("ints") * 100 >= F.col("filled") * TYPE_THRESHOLD, "INTEGER")
+        .when(F.col("reals") * 100 >= F.col("filled") * TYPE_THRESHOLD, "REAL")
+        .otherwise("TEXT")
+    )
+    return sums.withColumn("storage_type", kind)
+
+
+def coerce(col, kind: str):
+    """One cell to its storage type; a sentinel or a leftover non-number becomes NULL."""
+    live = F.when(~C.is_null_sentinel(col), col)
+    if kind == "INTEGER":
+        return F.when(C.looks_integer(live), C.clean_numeric(live)).try_cast("bigint")
+    if kind == "REAL":
+        return F.when(C.looks_real(live), C.clean_numeric(live)).try_cast("double")
+    return live
+
+
+def type_table(df: DataFrame, kinds: dict[str, str]) -> DataFrame:
+    """Wide string table -> typed table (one projection)."""
+    return df.select(*[coerce(F.col(c), kinds[c]).alias(c) if c in kinds else F.col(c) for c in df.columns])
+
+
+def rejects(cells: DataFrame, types: DataFrame) -> DataFrame:
+    """Cells whose column is numeric but whose value is not; they are NULL in the typed table."""
+    v = F.col("value")
+    bad = (F.col("storage_type") == "INTEGER") & ~C.looks_integer(v) | (F.col("storage_type") == "REAL") & ~C.looks_real(v)
+    kinds = types.select("source_file", "table_id", "col_idx", "storage_type")
+    return (
+        cells.join(kinds, ["source_file", "table_id", "col_idx"])
+        .filter(~C.is_null_sentinel(v) & bad)
+    )
+
+
+def usable(tables: DataFrame) -> DataFrame:
+    """Tables with a header and at least one row."""
+    return tables.filter((F.col("n_columns") > 0) & (F.col("n_rows") > 0))
+
+
+def table_names(tables: DataFrame, fallback: str = "table") -> DataFrame:
+    """Unique table name from file stem and sheet; clashes get _2, _3 ... after a cut to 55."""
+    stem = F.lower(file_stem(F.col("source_file")))
+    seed = F.when(F.coalesce("sheet", F.lit("")) != "", F.concat_ws("_", stem, "sheet")).otherwise(stem)
+    named = tables.withColumn("base_name", sanitize_ident(seed, F.lit(fallback)))
+    n = F.row_number().over(Window.partitionBy("base_name").orderBy("ordinal"))
+    full = F.when(n == 1, F.col("base_name")).otherwise(F.concat(F.substring("base_name", 1, 55), F.lit("_"), n))
+    return named.withColumn("table_name", full)

@@ -1,0 +1,11 @@
+"""Registered queries: each pairs a Spark job over the given tables with a DuckDB statement."""
+
+from __future__ import annotations
+
+from docloom.plans import (  # noqa: F401
+    catalog_queries, graph_queries, quality_queries, report_queries, retrieval_queries, run_queries,
+    sensitive_queries, source_queries, text_queries,
+)
+from docloom.plans.registry import QUERIES
+
+__all__ = ["QUERIES"]

@@ -1,0 +1,47 @@
+"""Session settings and the shared-folder rule for cutting lineage."""
+
+from __future__ import annotations
+
+import tempfile
+
+from pyspark.sql import DataFrame, SparkSession
+
+SETTINGS = {
+    "spark.sql.session.timeZone": "UTC",
+    "spark.sql.adaptive.enabled": "true",
+    "spark.sql.adaptive.coalescePartitions.enabled": "true",
+    "spark.sql.adaptive.skewJoin.enabled": "true",
+    "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # keep the last value of a repeated JSON object key instead of failing
+    "spark.sql.variant.allowDuplicateKeys": "true",
+}
+
+
+def build_session(master: str | None = None, app: str = "docloom", **conf: str) -> SparkSession:
+    """Session with the settings the operators assume; keyword names use ``__`` for dots."""
+    builder = SparkSession.builder.appName(app)
+    if master:
+        builder = builder.master(master)
+    for key, value in SETTINGS.items():
+        builder = builder.config(key, value)
+    for key, value in conf.items():
+        builder = builder.config(key.replace("__", "."), value)
+    return builder.getOrCreate()
+
+
+def shared_checkpoint(df: DataFrame) -> DataFrame:
+    """Reliable checkpoint in the folder named by ``spark.checkpoint.dir``.
+
+    A temporary folder is taken only in local mode; on a cluster an unset folder is an error,
+    since a machine-local one would be lost with its executor.
+    """
+    spark = df.sparkSession
+    sc = spark.sparkContext
+    if sc.getCheckpointDir() is None:
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder:
+            if not sc.master.startswith("local"):
+                raise RuntimeError("set spark.checkpoint.dir to a shared folder")
+            folder = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+        sc.setCheckpointDir(folder)
+    return df.checkpoint(eager=True)

@@ -1,0 +1,43 @@
+"""Results of layout and OCR engines as tables: words to lines, items to blocks and tables."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+
+def ocr_lines(words: DataFrame, keys: list[str]) -> DataFrame:
+    """Words of a line joined in order with the mean confidence / 100; -1 counts as 0.
+
+    words: keys, word_no, word, conf. A group is one printed line.
+    """
+    live = words.withColumn("word", F.trim("word")).filter("word <> ''")
+    conf = F.when(F.col("conf") == -1, 0).otherwise(F.col("conf"))
+    ordered = F.array_sort(F.collect_list(F.struct("word_no", "word")))
+    return live.groupBy(*keys).agg(
+        F.array_join(F.transform(ordered, lambda w: w["word"]), " ").alias("text"),
+        (F.avg(conf) / 100).alias("confidence"), F.lit("ocr").alias("kind"))
+
+
+def layout_blocks(items: DataFrame) -> DataFrame:
+    """Text items as heading or paragraph. items: source_file, item_no, label, text, page, grid."""
+    kind = F.when(F.col("label").isin("title", "section_header"), "heading").otherwise("paragraph")
+    return items.filter((F.col("label") != "table") & (F.coalesce("text", F.lit("")) != "")).select(
+        "source_file", F.col("item_no").alias("ordinal"), "page", kind.alias("kind"), "text")
+
+
+def layout_tables(items: DataFrame) -> DataFrame:
+    """Table cells (row 0 is the header); a table without a readable grid gives a warning row."""
+    rows = items.filter(F.col("label") == "table").select(
+        "source_file", "item_no", "page", F.posexplode_outer("grid").alias("row_no", "r"))
+    place = F.when(F.col("page").isNotNull(), F.concat(F.lit(" on page "), "page")).otherwise("")
+    warning = F.when(F.col("r").isNull(), F.concat(F.lit("A table"), place, F.lit(" could not be parsed and was skipped.")))
+    return rows.select("source_file", "item_no", "page", "row_no", F.posexplode_outer("r").alias("col_no", "value"),
+                       warning.alias("warning"))
+
+
+def needs_ocr(files: DataFrame, items: DataFrame) -> DataFrame:
+    """Documents with neither text nor a table."""
+    some = layout_blocks(items).filter(F.trim("text") != "").select("source_file").union(
+        items.filter((F.col("label") == "table") & F.col("grid").isNotNull()).select("source_file")).distinct()
+    return files.join(some, "source_file", "left_anti")

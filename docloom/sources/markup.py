@@ -1,0 +1,110 @@
+"""Markup sources: HTML blocks and tables, XML text, GeoJSON features."""
+
+from __future__ import annotations
+
+import xml.etree.ElementTree as ET
+from collections.abc import Iterator
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from docloom.operators.text import strip
+
+ENTITIES = (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&apos;", "'"),
+            ("&copy;", "©"), ("&middot;", "·"), ("&amp;", "&"))
+TITLE = r"(?is)<title[^>]*>(.*?)</title>"
+HEADING = r"(?is)<h[1-3](?:\s[^>]*)?>(.*?)</h[1-3]>"
+PARAGRAPH = r"(?is)<(?:p|li|td)(?:\s[^>]*)?>(.*?)</(?:p|li|td)>"
+HIDDEN = (r"(?is)<script[^>]*>.*?</script>", r"(?is)<style[^>]*>.*?</style>", r"(?is)<noscript[^>]*>.*?</noscript>",
+          r"(?s)<!--.*?-->")
+
+
+def plain(fragment: Column) -> Column:
+    """Text of a fragment: text nodes stripped and joined, entities decoded."""
+    text = strip(F.regexp_replace(fragment, r"\s*<[^>]+>\s*", ""))
+    for entity, char in ENTITIES:
+        text = F.replace(text, F.lit(entity), F.lit(char))
+    return strip(text)
+
+
+def visible(html: Column) -> Column:
+    for pattern in HIDDEN:
+        html = F.regexp_replace(html, pattern, "")
+    return html
+
+
+def html_blocks(pages: DataFrame, html: str = "html") -> DataFrame:
+    """Title, then h1-h3 headings, then p/li/td paragraphs, each in document order."""
+    def blocks(texts: Column, kind: str) -> Column:
+        kept = F.filter(F.transform(texts, plain), lambda t: t != "")
+        return F.transform(kept, lambda t: F.struct(F.lit(kind).alias("kind"), t.alias("text")))
+
+    base = pages.withColumn("_v", visible(F.col(html)))
+    found = F.concat(
+        blocks(F.slice(F.regexp_extract_all(html, F.lit(TITLE), F.lit(1)), 1, 1), "heading"),
+        blocks(F.regexp_extract_all("_v", F.lit(HEADING), F.lit(1)), "heading"),
+        blocks(F.regexp_extract_all("_v", F.lit(PARAGRAPH), F.lit(1)), "paragraph"))
+    keep = [c for c in pages.columns if c != html]
+    return base.select(*keep, F.posexplode(found).alias("ordinal", "b")).select(*keep, "ordinal", "b.kind", "b.text")
+
+
+def html_tables(pages: DataFrame, html: str = "html") -> DataFrame:
+    """Cells of every table: empty rows dropped, row 0 is the header."""
+    every = lambda c, p: F.regexp_extract_all(c, F.lit(p), F.lit(1))
+    rows = lambda t: F.filter(F.transform(
+        every(t, r"(?is)<tr[^>]*>(.*?)</tr>"),
+        lambda r: F.transform(every(r, r"(?is)<t[dh](?:\s[^>]*)?>(.*?)</t[dh]>"), plain)), lambda r: F.size(r) > 0)
+    keep = [c for c in pages.columns if c != html]
+    tables = pages.select(*keep, F.posexplode(every(visible(F.col(html)), r"(?is)<table[^>]*>(.*?)</table>")).alias("table_no", "t"))
+    lines = tables.select(*keep, "table_no", F.posexplode(rows(F.col("t"))).alias("row_no", "r"))
+    return lines.select(*keep, "table_no", "row_no", F.posexplode("r").alias("col_no", "value"))
+
+
+def xml_blocks(df: DataFrame, raw: str = "raw", max_depth: int = 50) -> DataFrame:
+    """'tag: text' of every element with text, in document order; unreadable or too deep gives a warning."""
+    keep = [f for f in df.schema.fields if f.name != raw]
+    names = [f.name for f in keep]
+    schema = T.StructType(keep + [T.StructField("ordinal", T.IntegerType()), T.StructField("text", T.StringType()),
+                                  T.StructField("warning", T.StringType())])
+
+    def walk(text: str) -> Iterator[tuple[int | None, str | None, str | None]]:
+        if "<!ENTITY" in text:
+            yield None, None, "entity declarations are not read"
+            return
+        try:
+            root = ET.fromstring(text)
+        except ET.ParseError as exc:
+            yield None, None, f"XML parse error: {exc}"
+            return
+        stack, n, cut = [(root, 0)], 0, False
+        while stack:
+            node, depth = stack.pop()
+            if depth > max_depth:
+                cut = True
+                continue
+            body = (node.text or "").strip()
+            if body:
+                yield n, f"{node.tag.rsplit('}', 1)[-1]}: {body}", None
+                n += 1
+            stack.extend((child, depth + 1) for child in reversed(node))
+        if cut:
+            yield None, None, f"content past {max_depth} levels of nesting was not extracted"
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            rows = [(*r[:-1], *b) for r in pdf[[*names, raw]].itertuples(index=False, name=None) for b in walk(r[-1])]
+            yield pd.DataFrame(rows, columns=[*names, "ordinal", "text", "warning"]).astype({"ordinal": "Int32"})
+
+    return df.mapInPandas(run, schema)
+
+
+def geojson_features(df: DataFrame, raw: str = "raw", cut: int | None = None) -> DataFrame:
+    """Index, geometry type and properties (JSON text) of each feature."""
+    data = F.from_json(raw, "features array<struct<geometry:struct<type:string>,properties:string>>")
+    keep = [c for c in df.columns if c != raw]
+    rows = df.select(*keep, F.posexplode(data["features"]).alias("feature_index", "f"))
+    props = F.coalesce("f.properties", F.lit("{}"))
+    return rows.select(*keep, "feature_index", F.coalesce("f.geometry.type", F.lit("")).alias("geometry_type"),
+                       (props if cut is None else F.substring(props, 1, cut)).alias("properties"))
