@@ -103,8 +103,8 @@ def _automaton_matches(texts: DataFrame, names: list[str], key: str) -> DataFram
 
 
 def _grams(col, n: int):
-    starts = F.sequence(F.lit(1), F.length(col) - (n - 1))
-    return F.when(F.length(col) >= n, F.array_distinct(F.transform(starts, lambda i: F.substring(col, i, F.lit(n)))))
+    """Distinct n-grams, read off by an overlapping match in one pass over the text."""
+    return F.array_distinct(F.regexp_extract_all(col, F.lit("(?s)(?=(.{%d}))" % n), F.lit(1)))
 
 
 def gram_matches(texts: DataFrame, names: DataFrame, key: str) -> DataFrame:
@@ -244,16 +244,16 @@ def search_entities(entities: DataFrame, relations: DataFrame, query: str) -> Da
     q = query.strip().lower()
     name, kind = F.lower("name"), F.lower("type")
     alias = F.get(F.filter("mentions", lambda m: F.lower(m).contains(q)), 0)
+    scored = lambda n, why: F.struct(F.lit(n).alias("score"), why.alias("reason"))
     hit = (
-        F.when(name == q, F.struct(F.lit(4).alias("score"), F.lit("exact name match").alias("reason")))
-        .when(name.contains(q), F.struct(F.lit(3), F.lit("name match")))
-        .when(kind.contains(q), F.struct(F.lit(2), F.concat(F.lit("type: "), "type")))
-        .when(alias.isNotNull(), F.struct(F.lit(2), F.concat(F.lit('also referred to as "'), alias, F.lit('"'))))
+        F.when(name == q, scored(4, F.lit("exact name match"))).when(name.contains(q), scored(3, F.lit("name match")))
+        .when(kind.contains(q), scored(2, F.concat(F.lit("type: "), "type")))
+        .when(alias.isNotNull(), scored(2, F.concat(F.lit('also referred to as "'), alias, F.lit('"'))))
     )
     by_name = entities.select("name", hit.alias("h"), F.lit(0).alias("src"), F.col("ordinal").cast("long").alias("ordinal"))
     by_name = by_name.filter("h is not null")
     proof = relations.filter(F.lower("evidence").contains(q))
-    reason = F.struct(F.lit(1).alias("score"), F.concat(F.lit('context: "'), "evidence", F.lit('"')).alias("reason"))
+    reason = scored(1, F.concat(F.lit('context: "'), "evidence", F.lit('"')))
     for end in ("source_entity", "target_entity"):
         by_name = by_name.unionByName(proof.select(
             F.col(end).alias("name"), reason.alias("h"), F.lit(1).alias("src"), F.col("ordinal").cast("long").alias("ordinal")))

@@ -1 +1,361 @@
-"""Queries."""
+"""Source queries: files, JSON, markup, containers, layout."""
+
+from __future__ import annotations
+
+import io
+import zipfile
+
+import pandas as pd
+from pyspark.sql import functions as F
+
+from docloom.functions.text import BUSINESS_KEYWORDS
+from docloom.plans import inputs as I
+from docloom.plans.registry import query
+from docloom.sources import containers, files, layout, markup, records
+
+_BASE = "regexp_extract(path, '([^/]*)$', 1)"
+_EXT = f"lower(regexp_extract({_BASE}, '^.+([.][^.]+)$', 1))"
+_CASES = " ".join(f"WHEN '{s}' THEN '{c}'" for s, c in files.category_by_suffix().items())
+DESCRIBED = f"""
+SELECT path, ordinal, coalesce(size_bytes, 0) AS size_bytes, CASE {_EXT} {_CASES} ELSE 'unknown' END AS category,
+  list_sort(list_distinct(regexp_extract_all(lower({_BASE}), '({"|".join(BUSINESS_KEYWORDS)})', 1))) AS hits FROM ({I.LISTING})
+"""
+
+
+@query("S1", f"""SELECT path, category FROM ({DESCRIBED})
+UNION ALL SELECT path, CASE {_EXT} {_CASES} ELSE 'unknown' END FROM (SELECT url AS path FROM {{pages}})""")
+def classify_files(t):
+    paths = t.sql(I.LISTING).select("path").unionByName(t.pages.select(F.col("url").alias("path")))
+    return files.classify_files(paths)
+
+
+@query("S2", f"SELECT path, category, size_bytes, array_to_string(hits, ',') AS keyword_hits, size_bytes <= 524288000 AS accepted FROM ({DESCRIBED})")
+def file_metadata(t):
+    out = files.describe_files(t.sql(I.LISTING))
+    return out.select("path", "category", "size_bytes", F.array_join("keyword_hits", ",").alias("keyword_hits"), "accepted")
+
+
+@query("S25", f"""
+SELECT path, category, CASE WHEN regexp_matches(lower(path), '[.](msg|pst)$') THEN 'Outlook files aren''t supported -- export to .eml/.mbox first.'
+  WHEN ends_with(lower(path), '.ods') THEN 'ODS files aren''t supported -- convert to .xlsx first.'
+  WHEN category IN ('archive', 'unknown') THEN concat('No parser implemented for file type ''', category, '''.') END AS warning
+FROM ({DESCRIBED}) WHERE warning IS NOT NULL
+""")
+def unsupported_files(t):
+    return files.unsupported(files.classify_files(t.sql(I.LISTING))).select("path", "category", "warning")
+
+
+# ---------------------------------------------------------------- JSON
+_EVENTS = """SELECT concat('ev_', event_type, '.jsonl') AS source_file, event_id AS record_no, props AS raw FROM {events}"""
+_LINES = """
+SELECT concat('u', CAST(user_id % 20 AS STRING), '.jsonl') AS source_file, event_id AS line_no,
+  CASE WHEN event_id % 6 = 0 THEN substr(props, 1, 5) WHEN event_id % 13 = 0 THEN '  ' ELSE props END AS value FROM {events}
+"""
+
+
+@query("S5", f"SELECT source_file, record_no, CAST(json_extract(raw, '$.k') AS BIGINT) AS k FROM ({_EVENTS})")
+def event_records(t):
+    return t.sql(_EVENTS).filter(records.is_valid_json(F.col("raw"))).select(
+        "source_file", "record_no", F.try_variant_get(F.parse_json("raw"), "$.k", "bigint").alias("k"))
+
+
+@query("S6", f"""
+WITH b AS (SELECT source_file, line_no, row_number() OVER (PARTITION BY source_file ORDER BY line_no) AS rn, count(*) OVER (PARTITION BY source_file) AS n
+  FROM ({_LINES}) WHERE trim(value) <> '' AND NOT json_valid(value))
+SELECT source_file, rn AS warning_no, concat('JSONL line ', line_no, ' skipped (invalid JSON)') AS warning FROM b WHERE rn <= 10
+UNION ALL SELECT DISTINCT source_file, 11, concat('...and ', n - 10, ' more JSONL line(s) skipped (invalid JSON).') FROM b WHERE n > 10
+""")
+def quarantine_bad_lines(t):
+    return records.quarantine_bad_lines(t.sql(_LINES))[1]
+
+
+# One nested record per order: scalars, an object, a list of its lines.
+def order_records(t):
+    lines = t.lineitem.groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct(
+        F.col("l_linenumber").alias("no"), F.col("l_partkey").alias("part"), F.col("l_returnflag").alias("flag")))).alias("lines"))
+    joined = t.orders.join(lines, F.col("o_orderkey") == F.col("l_orderkey"))
+    record = F.to_json(F.struct(
+        F.col("o_orderkey").alias("id"), F.struct(F.col("o_custkey").alias("key"), F.col("o_orderpriority").alias("note")).alias("customer"),
+        (F.col("o_orderstatus") == "F").alias("closed"), F.when(F.lit(False), F.lit("")).alias("skipped"), F.col("lines")), {"ignoreNullFields": "false"})
+    return joined.select(F.lit("orders.json").alias("source_file"), F.col("o_orderkey").alias("record_no"), record.alias("raw"))
+
+
+_FLAT = """
+WITH l AS (SELECT l_orderkey, l_linenumber, l_partkey, l_returnflag,
+    row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_returnflag) - 1 AS i FROM {lineitem}),
+o AS (SELECT * FROM {orders} JOIN (SELECT l_orderkey, count(*) AS n FROM {lineitem} GROUP BY 1) ON o_orderkey = l_orderkey)
+SELECT o_orderkey AS record_no, 'id' AS path, CAST(o_orderkey AS STRING) AS value FROM o
+UNION ALL SELECT o_orderkey, 'customer.key', CAST(o_custkey AS STRING) FROM o
+UNION ALL SELECT o_orderkey, 'customer.note', o_orderpriority FROM o
+UNION ALL SELECT o_orderkey, 'closed', CASE WHEN o_orderstatus = 'F' THEN 'True' ELSE 'False' END FROM o
+UNION ALL SELECT o_orderkey, 'skipped', 'None' FROM o
+UNION ALL SELECT o_orderkey, 'lines', CASE WHEN n > 20 THEN concat('[', n, ' items, first 20 shown]') ELSE concat('[', n, ' items]') END FROM o
+UNION ALL SELECT l_orderkey, concat('lines[', i, '].no'), CAST(l_linenumber AS STRING) FROM l WHERE i < 20 AND l_orderkey IN (SELECT o_orderkey FROM o)
+UNION ALL SELECT l_orderkey, concat('lines[', i, '].part'), CAST(l_partkey AS STRING) FROM l WHERE i < 20 AND l_orderkey IN (SELECT o_orderkey FROM o)
+UNION ALL SELECT l_orderkey, concat('lines[', i, '].flag'), l_returnflag FROM l WHERE i < 20 AND l_orderkey IN (SELECT o_orderkey FROM o)
+"""
+
+
+@query("S8", _FLAT)
+def flatten_json(t):
+    return records.flatten_json(order_records(t)).select("record_no", "path", "value")
+
+
+@query("S8", f"SELECT record_no, 'k' AS path, CAST(json_extract(raw, '$.k') AS STRING) AS value FROM ({_EVENTS})")
+def flatten_event_props(t):
+    return records.flatten_json(t.sql(_EVENTS), depth=1).select("record_no", "path", "value")
+
+
+@query("S9", f"SELECT path, count(*) AS records FROM ({_FLAT}) GROUP BY path ORDER BY records DESC, path LIMIT 50")
+def key_frequency(t):
+    return records.key_frequency(records.flatten_json(order_records(t)))
+
+
+_TOP = ("id", "customer.key", "customer.note", "closed", "skipped", "lines", "lines[0].no", "lines[0].part", "lines[0].flag")
+
+
+@query("S10", "SELECT record_no, " + ", ".join(f"coalesce(max(value) FILTER (WHERE path = '{p}'), '') AS \"{p}\"" for p in _TOP)
+       + f" FROM ({_FLAT}) GROUP BY record_no")
+def records_to_table(t):
+    return records.records_to_table(records.flatten_json(order_records(t)), ["record_no"], n=9)
+
+
+_WRAPPED = """
+SELECT o_orderkey AS doc_no, CASE o_orderkey % 3
+  WHEN 0 THEN concat('{{"employees": [{{"id": ', CAST(o_orderkey AS STRING), '}}, {{"id": ', CAST(o_custkey AS STRING), '}}], "n": 2}}')
+  WHEN 1 THEN concat('{{"users": [{{"id": ', CAST(o_orderkey AS STRING), '}}], "errors": [{{"id": 1}}]}}')
+  ELSE concat('{{"tags": ["', o_orderstatus, '"], "note": "[{{}}]"}}') END AS raw FROM {orders}
+"""
+
+
+@query("S7", f"""
+SELECT doc_no, 0 AS record_no, concat('{{{{"id":', doc_no, '}}}}') AS raw FROM ({_WRAPPED}) WHERE doc_no % 3 = 0
+UNION ALL SELECT o_orderkey, 1, concat('{{{{"id":', o_custkey, '}}}}') FROM {{orders}} WHERE o_orderkey % 3 = 0
+UNION ALL SELECT doc_no, 0, raw FROM ({_WRAPPED}) WHERE doc_no % 3 <> 0
+""")
+def unwrap_records(t):
+    return records.unwrap_records(t.sql(_WRAPPED))
+
+
+_REPEATED = """
+SELECT concat('f', CAST(o_custkey % 50 AS STRING)) AS source_file, o_orderkey AS record_no,
+  concat('{{"id": ', CAST(o_orderkey AS STRING), ', "id": 7, "a": {{"city": "x", "', CASE WHEN o_orderkey % 2 = 0 THEN 'city' ELSE 'zip' END,
+    '": 1}}, "l": [{{"k": 1, "k": 2, "k": 3}}]}}') AS raw FROM {orders}
+"""
+
+
+@query("S11", f"""
+SELECT record_no, 'id' AS key, 1 AS repeats FROM ({_REPEATED}) UNION ALL SELECT record_no, 'k', 2 FROM ({_REPEATED})
+UNION ALL SELECT record_no, 'city', 1 FROM ({_REPEATED}) WHERE record_no % 2 = 0
+""")
+def duplicate_keys(t):
+    return records.duplicate_keys(t.sql(_REPEATED)).select("record_no", "key", "repeats")
+
+
+@query("S11", f"""
+WITH k AS (SELECT source_file, count(*) * 3 + count(*) FILTER (WHERE record_no % 2 = 0) AS repeats, count(*) FILTER (WHERE record_no % 2 = 0) AS c FROM ({_REPEATED}) GROUP BY 1)
+SELECT source_file, repeats, CASE WHEN c > 0 THEN 'city, id, k' ELSE 'id, k' END AS keys, 0 AS more_names FROM k
+""")
+def duplicate_key_warnings(t):
+    return records.duplicate_key_warning(records.duplicate_keys(t.sql(_REPEATED)))
+
+
+@query("S12", f"""
+SELECT source_file, record_no, raw, rn AS preview_no, n > 200 AS truncated FROM (SELECT *, row_number() OVER (PARTITION BY source_file ORDER BY record_no) AS rn,
+  count(*) OVER (PARTITION BY source_file) AS n FROM ({_EVENTS})) WHERE rn <= 200
+""")
+def preview_records(t):
+    return files.preview(t.sql(_EVENTS), "source_file", "record_no", 200)
+
+
+@query("S12", f"SELECT source_file, record_no AS ordinal, raw AS text FROM ({_EVENTS})")
+def record_text(t):
+    return records.record_text(t.sql(_EVENTS))
+
+
+_STAR = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events")
+
+
+@query("S13", " UNION ALL ".join(
+    f"SELECT '{n}' AS \"table\", (SELECT count(*) FROM {n}) AS rows, (SELECT count(*) FROM (DESCRIBE {n})) AS n_columns, CAST(NULL AS STRING) AS error" for n in _STAR)
+    + " UNION ALL SELECT 'broken', NULL, NULL, 'AnalysisException'")
+def import_tables(t):
+    readers = {n: (lambda n=n: getattr(t, n)) for n in _STAR}
+    readers["broken"] = lambda: t.spark.read.parquet(f"{t.folder}/no_such_table.parquet")
+    _, summary = files.import_tables(readers)
+    return summary.select("table", "rows", "n_columns", F.split("error", ":")[0].alias("error"))
+
+
+# ---------------------------------------------------------------- markup
+def _plain(x: str) -> str:
+    text = rf"regexp_replace(regexp_replace({x}, '\s*<[^>]+>\s*', '', 'g'), '^\s+|\s+$', '', 'g')"
+    for entity, char in markup.ENTITIES:
+        text = f"replace({text}, '{entity}', '{char if char != chr(39) else chr(39) * 2}')"
+    return rf"regexp_replace({text}, '^\s+|\s+$', '', 'g')"
+
+
+_VIS = "html"
+for _p in markup.HIDDEN:
+    _VIS = f"regexp_replace({_VIS}, '{_p}', '', 'g')"
+
+
+@query("S14", f"""
+WITH v AS (SELECT page_id, html, {_VIS} AS v FROM {{pages}}),
+b AS (SELECT page_id, list_concat(
+  list_transform(list_filter(list_transform(regexp_extract_all(html, '{markup.TITLE}', 1)[1:1], lambda x: {_plain('x')}), lambda x: x <> ''), lambda x: {{{{'k': 'heading', 't': x}}}}),
+  list_transform(list_filter(list_transform(regexp_extract_all(v, '{markup.HEADING}', 1), lambda x: {_plain('x')}), lambda x: x <> ''), lambda x: {{{{'k': 'heading', 't': x}}}}),
+  list_transform(list_filter(list_transform(regexp_extract_all(v, '{markup.PARAGRAPH}', 1), lambda x: {_plain('x')}), lambda x: x <> ''), lambda x: {{{{'k': 'paragraph', 't': x}}}})) AS b FROM v)
+SELECT page_id, CAST(i - 1 AS INT) AS ordinal, b[i].k AS kind, b[i].t AS text FROM (SELECT *, unnest(range(1, len(b) + 1)) AS i FROM b)
+""")
+def html_blocks(t):
+    return markup.html_blocks(t.pages.select("page_id", "html"))
+
+
+_TABLE_PAGES = """
+SELECT p_partkey, concat('<html><table class="x"><tr><th>name</th><th>size &amp; unit</th></tr><tr></tr><tr><td><b>', p_name, '</b></td><td> ',
+  CAST(p_size AS STRING), ' </td></tr></table><p>', p_type, '</p><TABLE><tr><td>', p_brand, '</td></tr></TABLE></html>') AS html FROM {part}
+"""
+
+
+@query("S15", """
+SELECT p_partkey, t AS table_no, r AS row_no, c AS col_no, v AS value FROM (
+  SELECT p_partkey, 0 AS t, 0 AS r, 0 AS c, 'name' AS v FROM {part} UNION ALL SELECT p_partkey, 0, 0, 1, 'size & unit' FROM {part}
+  UNION ALL SELECT p_partkey, 0, 1, 0, p_name FROM {part} UNION ALL SELECT p_partkey, 0, 1, 1, CAST(p_size AS STRING) FROM {part}
+  UNION ALL SELECT p_partkey, 1, 0, 0, p_brand FROM {part})
+""")
+def html_tables(t):
+    return markup.html_tables(t.sql(_TABLE_PAGES))
+
+
+_XML = """
+SELECT o_orderkey, CASE WHEN o_orderkey % 50 = 49 THEN '<order><open></order>' ELSE concat('<?xml version="1.0"?><order id="', CAST(o_orderkey AS STRING),
+  '"> <status> ', o_orderstatus, ' </status><buyer><key>', CAST(o_custkey AS STRING), '</key><empty/></buyer>tail</order>') END AS raw FROM {orders}
+"""
+
+
+@query("S16", """
+SELECT o_orderkey, 0 AS ordinal, concat('status: ', o_orderstatus) AS text, false AS warned FROM {orders} WHERE o_orderkey % 50 <> 49
+UNION ALL SELECT o_orderkey, 1, concat('key: ', o_custkey), false FROM {orders} WHERE o_orderkey % 50 <> 49
+UNION ALL SELECT o_orderkey, NULL, NULL, true FROM {orders} WHERE o_orderkey % 50 = 49
+""")
+def xml_blocks(t):
+    return markup.xml_blocks(t.sql(_XML)).select("o_orderkey", "ordinal", "text", F.col("warning").isNotNull().alias("warned"))
+
+
+_GEO = """
+SELECT s_suppkey, concat('{{"type": "FeatureCollection", "features": [{{"type": "Feature", "geometry": {{"type": "Point"}}, "properties": {{"name":"',
+  s_name, '","nation":', CAST(s_nationkey AS STRING), '}}}}, {{"type": "Feature", "geometry": null}}]}}') AS raw FROM {supplier}
+"""
+
+
+@query("S17", """
+SELECT s_suppkey, 0 AS feature_index, 'Point' AS geometry_type, concat('{{"name":"', s_name, '","nation":', s_nationkey, '}}') AS properties FROM {supplier}
+UNION ALL SELECT s_suppkey, 1, '', '{{}}' FROM {supplier}
+""")
+def geojson_features(t):
+    return markup.geojson_features(t.sql(_GEO))
+
+
+# ---------------------------------------------------------------- containers
+_MAIL = """
+SELECT conv_id, turn, concat('From: ', role, '@example.com', chr(10), 'To: team@example.org', chr(10), 'Subject: turn ', CAST(turn AS STRING), chr(10),
+  'Date: Mon, 01 Jan 2024 00:00:00 +0000', chr(10), 'MIME-Version: 1.0', chr(10), 'Content-Type: text/plain; charset=utf-8', chr(10),
+  'Content-Transfer-Encoding: 8bit', chr(10), chr(10), text, chr(10)) AS raw FROM {conversations}
+"""
+
+
+@query("S18", """
+SELECT conv_id, turn, concat(role, '@example.com') AS sender, concat('turn ', turn) AS subject, 0 AS attachments, concat(text, chr(10)) AS body FROM {conversations}
+""")
+def email_messages(t):
+    out = containers.email_messages(t.sql(_MAIL))
+    return out.select("conv_id", "turn", "sender", "subject", "attachments", "body")
+
+
+@query("S18", """
+SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS message_no, concat('turn ', turn) AS subject, role || '@example.com' AS sender FROM {conversations}
+""")
+def mailbox_messages(t):
+    one = F.concat(F.lit("From sender\n"), F.regexp_replace("raw", r"(?m)^From ", ">From "))
+    boxes = t.sql(_MAIL).groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", one.alias("m")))).alias("a"))
+    boxes = boxes.select("conv_id", F.array_join(F.transform("a", lambda x: x["m"]), "").alias("raw"))
+    out = containers.email_messages(containers.split_mailbox(boxes))
+    return out.select("conv_id", "message_no", "subject", "sender")
+
+
+@query("S21", """
+SELECT concat(doc_id, '.zip') AS archive, concat('a/', doc_id, '.txt') AS member, 0 AS depth, octet_length(encode(text)) AS bytes, CAST(NULL AS STRING) AS warning FROM {documents}
+UNION ALL SELECT concat(doc_id, '.zip'), concat('in_', doc_id, '.txt'), 1, octet_length(encode(source)), NULL FROM {documents}
+UNION ALL SELECT concat(doc_id, '.zip'), '../evil.txt', 0, NULL, '../evil.txt: path traversal attempt -- skipped.' FROM {documents}
+UNION ALL SELECT concat(doc_id, '.zip'), NULL, 1, NULL, 'x.rar: .rar archives are not supported -- file skipped.' FROM {documents}
+""")
+def expand_archives(t):
+    def pack(batches):
+        for pdf in batches:
+            out = []
+            for doc_id, source, text in zip(pdf["doc_id"], pdf["source"], pdf["text"]):
+                inner, outer = io.BytesIO(), io.BytesIO()
+                with zipfile.ZipFile(inner, "w") as z:
+                    z.writestr(f"in_{doc_id}.txt", source)
+                with zipfile.ZipFile(outer, "w", zipfile.ZIP_DEFLATED) as z:
+                    z.writestr(f"a/{doc_id}.txt", text)
+                    z.writestr("nested.zip", inner.getvalue())
+                    z.writestr("../evil.txt", "x")
+                    z.writestr("x.rar", "x")
+                out.append((f"{doc_id}.zip", outer.getvalue()))
+            yield pd.DataFrame(out, columns=["path", "content"])
+
+    packed = t.documents.select("doc_id", "source", "text").mapInPandas(pack, "path string, content binary")
+    out = containers.expand_archives(packed)
+    return out.select("archive", "member", "depth", F.octet_length("content").alias("bytes"), "warning")
+
+
+# ---------------------------------------------------------------- layout and OCR
+@query("S22", """
+WITH w AS (SELECT doc_id, i - 1 AS i, trim(s[i]) AS w FROM (SELECT doc_id, string_split(text, ' ') AS s, unnest(range(1, len(string_split(text, ' ')) + 1)) AS i FROM {documents}))
+SELECT doc_id, i // 9 AS line_num, string_agg(w, ' ' ORDER BY i) AS text, round(avg(CASE WHEN i % 10 = 0 THEN 0 ELSE 50 + i % 50 END) / 100, 4) AS confidence, 'ocr' AS kind
+FROM w WHERE w <> '' GROUP BY doc_id, i // 9
+""")
+def ocr_lines(t):
+    words = t.documents.select("doc_id", F.posexplode(F.split("text", " ")).alias("word_no", "word"))
+    conf = F.when(F.col("word_no") % 10 == 0, -1).otherwise(50 + F.col("word_no") % 50)
+    words = words.withColumn("line_num", F.floor(F.col("word_no") / 9)).withColumn("conf", conf)
+    return layout.ocr_lines(words, ["doc_id", "line_num"]).withColumn("confidence", F.round("confidence", 4))
+
+
+def _items(t):
+    """Layout items of every document: a title, its text, and a table for some."""
+    title = F.struct(F.lit("title").alias("label"), F.col("source").alias("text"), F.lit(None).cast("array<array<string>>").alias("grid"))
+    body = F.struct(F.lit("text").alias("label"), F.col("text"), F.lit(None).cast("array<array<string>>").alias("grid"))
+    grid = F.when(F.col("doc_id") % 4 == 0, F.array(F.array(F.lit("h1"), F.lit("h2")), F.array(F.col("lang"), F.col("source"))))
+    table = F.struct(F.lit("table").alias("label"), F.lit(None).cast("string").alias("text"), grid.alias("grid"))
+    kind = F.col("doc_id") % 3
+    some = F.when(kind == 0, F.array(title, body)).when(kind == 1, F.array(table))
+    some = some.otherwise(F.filter(F.array(title), lambda x: F.lit(False)))
+    return t.documents.withColumn("items", some).select(
+        F.col("doc_id").alias("source_file"), F.posexplode("items").alias("item_no", "x")).select(
+        "source_file", "item_no", F.lit(1).alias("page"), "x.label", "x.text", "x.grid")
+
+
+@query("S23", """
+SELECT doc_id AS source_file, 0 AS ordinal, 'heading' AS kind, source AS text FROM {documents} WHERE doc_id % 3 = 0
+UNION ALL SELECT doc_id, 1, 'paragraph', text FROM {documents} WHERE doc_id % 3 = 0
+""")
+def layout_blocks(t):
+    return layout.layout_blocks(_items(t)).select("source_file", "ordinal", "kind", "text")
+
+
+@query("S23", """
+SELECT doc_id AS source_file, r AS row_no, c AS col_no, v AS value, warning FROM (
+  SELECT doc_id, 0 AS r, 0 AS c, 'h1' AS v, CAST(NULL AS STRING) AS warning FROM {documents} WHERE doc_id % 12 = 4
+  UNION ALL SELECT doc_id, 0, 1, 'h2', NULL FROM {documents} WHERE doc_id % 12 = 4 UNION ALL SELECT doc_id, 1, 0, lang, NULL FROM {documents} WHERE doc_id % 12 = 4
+  UNION ALL SELECT doc_id, 1, 1, source, NULL FROM {documents} WHERE doc_id % 12 = 4
+  UNION ALL SELECT doc_id, NULL, NULL, NULL, 'A table on page 1 could not be parsed and was skipped.' FROM {documents} WHERE doc_id % 3 = 1 AND doc_id % 4 <> 0)
+""")
+def layout_tables(t):
+    return layout.layout_tables(_items(t)).select("source_file", "row_no", "col_no", "value", "warning")
+
+
+@query("S23", "SELECT doc_id AS source_file FROM {documents} WHERE doc_id % 3 = 2 OR (doc_id % 3 = 1 AND doc_id % 4 <> 0)")
+def needs_ocr(t):
+    return layout.needs_ocr(t.documents.select(F.col("doc_id").alias("source_file")), _items(t))
