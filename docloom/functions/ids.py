@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from docloom.functions.text import redact
+from docloom.functions.text import let, redact
 
 # Published check-digit tables.
 VERHOEFF_D = (
@@ -80,6 +80,12 @@ def total(arr: Column) -> Column:
     return F.aggregate(arr, F.lit(0), lambda a, x: a + x)
 
 
+def _char_value(c: Column) -> Column:
+    """0-9 as they are, A-Z from 10, anything else 0."""
+    code = F.ascii(c)
+    return F.when(code.between(48, 57), code - 48).when(code.between(65, 90), code - 55).otherwise(0)
+
+
 def luhn_ok(v: Column) -> Column:
     """Mod-10 over a digit string, doubling every second digit from the right."""
     n = F.length(v)
@@ -109,10 +115,8 @@ def issuer_ok(v: Column) -> Column:
 def iban_ok(v: Column) -> Column:
     """Mod-97 of the rearranged IBAN, folded character by character."""
     turned = F.concat(F.substring(v, F.lit(5), F.length(v)), F.substring(v, 1, 4))
-    values = F.transform(
-        F.sequence(F.lit(1), F.length(turned)),
-        lambda i: F.conv(F.substring(turned, i, F.lit(1)), 36, 10).cast("int"),
-    )
+    values = let(turned, lambda t: F.transform(
+        F.sequence(F.lit(1), F.length(t)), lambda i: _char_value(F.substring(t, i, F.lit(1)))))
     rest = F.aggregate(values, F.lit(0), lambda a, x: (a * F.when(x > 9, 100).otherwise(10) + x) % 97)
     return rest == 1
 
@@ -151,8 +155,7 @@ def mrz_digit(v: Column) -> Column:
     weight = F.array(F.lit(7), F.lit(3), F.lit(1))
     values = F.transform(
         F.sequence(F.lit(1), F.length(v)),
-        lambda i: F.coalesce(F.conv(F.replace(F.substring(v, i, F.lit(1)), F.lit("<"), F.lit("0")), 36, 10).cast("int"),
-                             F.lit(0)) * F.get(weight, (i - 1) % 3),
+        lambda i: _char_value(F.substring(v, i, F.lit(1))) * F.get(weight, (i - 1) % 3),
     )
     return total(values) % 10
 
@@ -184,18 +187,16 @@ def _matches(text: Column, pattern: str, strip: str | None, keep: Callable[[Colu
 
 def find_mrz(text: Column) -> Column:
     lines = F.transform(F.split(text, r"\r?\n"), lambda s: F.replace(F.trim(s), F.lit(" "), F.lit("")))
-    pairs = F.transform(lines, lambda s, i: F.struct(s.alias("a"), F.get(lines, i + 1).alias("b")))
-    b = lambda p, pos, n: F.substring(p.b, pos, n)
-    ok = F.filter(
-        pairs,
-        lambda p: p.a.rlike(MRZ_LINE1) & F.coalesce(p.b, F.lit("")).rlike(MRZ_LINE2)
-        & (mrz_digit(b(p, 1, 9)).cast("string") == b(p, 10, 1))
-        & (mrz_digit(b(p, 14, 6)).cast("string") == b(p, 20, 1))
-        & (mrz_digit(b(p, 22, 6)).cast("string") == b(p, 28, 1)),
-    )
-    return F.transform(ok, lambda p: finding(
-        F.replace(b(p, 1, 9), F.lit("<"), F.lit("")), "PASSPORT", "critical", LOCATION["mrz"], "rules_checksum",
-    )).cast(FINDING_TYPE)
+    starts = let(lines, lambda ls: F.transform(
+        F.filter(F.sequence(F.lit(0), F.size(ls) - 1), lambda i: F.get(ls, i).rlike(MRZ_LINE1)
+                 & F.coalesce(F.get(ls, i + 1).rlike(MRZ_LINE2), F.lit(False))), lambda i: F.get(ls, i + 1)))
+    part = lambda b, pos, n: F.substring(b, pos, n)
+    ok = F.filter(starts, lambda b: (mrz_digit(part(b, 1, 9)).cast("string") == part(b, 10, 1))
+                  & (mrz_digit(part(b, 14, 6)).cast("string") == part(b, 20, 1))
+                  & (mrz_digit(part(b, 22, 6)).cast("string") == part(b, 28, 1)))
+    found = F.transform(ok, lambda b: finding(
+        F.replace(part(b, 1, 9), F.lit("<"), F.lit("")), "PASSPORT", "critical", LOCATION["mrz"], "rules_checksum"))
+    return found.cast(FINDING_TYPE)
 
 
 def find_iban(text: Column) -> Column:
@@ -262,7 +263,20 @@ def find_contact(text: Column) -> Column:
     ))
 
 
+# No identifier spans one of these characters and none of them is part of a word, so cutting the
+# text there changes neither the matches nor the word boundaries around them.
+BREAKS = r"""[\n\r\t,;:!?()"'\[\]{}<>/|]+"""
+
+
+def _pieces(text: Column, needed: str) -> Column:
+    """The pieces between breaks that can hold a match at all, one per line."""
+    return F.array_join(F.filter(F.split(text, BREAKS), lambda p: p.rlike(needed)), "\n")
+
+
 def find_standard_ids(text: Column) -> Column:
-    """All checksum and shape families in one array; text without a digit pair is skipped at once."""
-    every = F.flatten(F.array(*[f(text) for f in FAMILIES.values()]))
+    """All checksum and shape families in one array, from one pass that first drops the text
+    without nine near digits (or, for IBANs, without letter-digit-digit)."""
+    numeric = let(_pieces(text, r"\d(?:[ .-]?\d){8}"), lambda t: F.flatten(F.array(*[
+        find(t) for name, find in FAMILIES.items() if name not in ("mrz", "iban")])))
+    every = F.concat(find_mrz(text), find_iban(_pieces(text, r"\p{L}\d{2} ?[\p{L}0-9]{4}")), numeric)
     return F.when(text.rlike(r"\d\d"), every).otherwise(F.array().cast(FINDING_TYPE))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -34,6 +36,11 @@ def literal_map(pairs: dict[str, object]) -> Column:
     return F.create_map(*[F.lit(x) for kv in pairs.items() for x in kv])
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """Evaluate ``value`` once and use it many times, also inside nested lambdas."""
+    return F.get(F.transform(F.array(value), body), 0)
+
+
 def redact(col: Column) -> Column:
     """Keep the first and last character, star the rest; two or fewer are all stars."""
     v = F.trim(col)
@@ -55,8 +62,7 @@ def standardize_column(col: Column) -> Column:
     tokens = F.when(F.size(tokens) == 0, F.array(F.lit("field"))).otherwise(tokens)
     aliases = literal_map(ALIASES)
     mapped = F.transform(tokens, lambda t: F.coalesce(F.try_element_at(aliases, t), t))
-    kept = F.filter(mapped, lambda t, i: (i == 0) | (F.get(mapped, i - 1) != t))
-    return F.array_join(kept, "_")
+    return let(mapped, lambda m: F.array_join(F.filter(m, lambda t, i: (i == 0) | (F.get(m, i - 1) != t)), "_"))
 
 
 def sanitize_ident(col: Column, fallback: Column) -> Column:

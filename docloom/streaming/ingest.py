@@ -1,0 +1,111 @@
+"""Incremental ingest: batches of result files folded into a graph that can be read at any time.
+
+Every micro-batch writes its own folder ``batch_id=n`` of already merged rows; reading merges the
+batches. A batch costs its own rows only, a replayed batch replaces its folder, and the checkpoint
+says where to go on.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from docloom.operators import graph as G
+
+KINDS = ("entities", "relations", "pii", "chunks")
+
+# One line of a result file: its kind and the fields of that kind.
+RESULT_SCHEMA = T.StructType.fromDDL(
+    "kind string, job_id string, source_file string, ordinal long, name string, type string, confidence double, "
+    "source_entity string, target_entity string, relation_type string, evidence string, finding_id string, category string, "
+    "severity string, subject_entity string, chunk_id string, text string")
+FIELDS = {
+    "entities": ("job_id", "name", "type", "confidence", "source_file"),
+    "relations": ("job_id", "source_entity", "target_entity", "relation_type", "evidence", "confidence", "source_file", "ordinal"),
+    "pii": ("finding_id", "ordinal", "job_id", "category", "severity", "subject_entity", "source_file"),
+    "chunks": ("chunk_id", "ordinal", "job_id", "source_file", "text"),
+}
+
+
+class _Pause(Exception):
+    """Raised before a batch is touched, so that it is processed on the next start."""
+
+
+def merge_batch(batch: DataFrame, out: str, batch_id: int) -> None:
+    """Write one batch's rows, merged within the batch, to its folder of each kind."""
+    for kind in KINDS:
+        rows = batch.filter(F.col("kind") == kind).select(*FIELDS[kind])
+        if kind == "entities":
+            rows = G.upsert_entities(None, rows)
+        elif kind == "relations":
+            rows = G.first_rows(rows, ["job_id", "source_entity", "target_entity", "relation_type"])
+        elif kind == "pii":
+            rows = G.upsert_pii(None, rows).withColumn("ordinal", F.lit(batch_id).cast("long"))
+        else:
+            rows = G.upsert_chunks(None, rows)
+        rows.write.mode("overwrite").parquet(f"{out}/{kind}/batch_id={batch_id}")
+
+
+def ingest_stream(spark: SparkSession, source: str, out: str, checkpoint: str, files_per_batch: int = 15,
+                  max_batches: int | None = None) -> int:
+    """Process new result files in batches; returns how many batches ran.
+
+    With ``max_batches`` the run stops before the next batch and the following call goes on there.
+    """
+    stream = (
+        spark.readStream.schema(RESULT_SCHEMA).option("maxFilesPerTrigger", files_per_batch)
+        .option("recursiveFileLookup", "true").json(source)
+    )
+    ran: list[int] = []
+
+    def step(batch: DataFrame, batch_id: int) -> None:
+        if max_batches is not None and len(ran) >= max_batches:
+            raise _Pause
+        # the batch is read once per kind; keep it while its four writes run
+        batch.persist()
+        try:
+            merge_batch(batch, out, batch_id)
+        finally:
+            batch.unpersist()
+        ran.append(batch_id)
+
+    query = stream.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    try:
+        query.awaitTermination()
+    except Exception:
+        if max_batches is None or len(ran) < max_batches:
+            raise
+    return len(ran)
+
+
+def _read(spark: SparkSession, out: str, kind: str) -> DataFrame:
+    return spark.read.option("basePath", f"{out}/{kind}").parquet(f"{out}/{kind}")
+
+
+def _in_order(df: DataFrame) -> DataFrame:
+    """Ordinals comparable over batches: the batch first, then the place inside it."""
+    return df.withColumn("ordinal", F.col("batch_id") * 1_000_000_000_000 + F.col("ordinal")).drop("batch_id")
+
+
+def read_graph(spark: SparkSession, out: str) -> dict[str, DataFrame]:
+    """Current nodes, edges, findings, chunks, mentions and HAS_PII edges over all batches."""
+    ent = _read(spark, out, "entities").withColumn("source_file", F.explode("source_files")).drop("source_files")
+    nodes = G.upsert_entities(None, ent)
+    rel = _read(spark, out, "relations")
+    edges = G.upsert_relations(None, _in_order(rel), nodes)
+    findings = G.upsert_pii(None, _read(spark, out, "pii").drop("batch_id"))
+    chunks = G.upsert_chunks(None, _in_order(_read(spark, out, "chunks")))
+    return {"nodes": nodes, "edges": edges, "findings": findings, "chunks": chunks,
+            "mentions": G.mentions(chunks, nodes), "has_pii": G.has_pii(findings, nodes)}
+
+
+def compact(spark: SparkSession, out: str, to: str) -> None:
+    """Rewrite many small batches as one merged batch 0 under a new root."""
+    ent = _read(spark, out, "entities").withColumn("source_file", F.explode("source_files"))
+    G.upsert_entities(None, ent).write.mode("overwrite").parquet(f"{to}/entities/batch_id=0")
+    G.first_rows(_in_order(_read(spark, out, "relations")), ["job_id", "source_entity", "target_entity", "relation_type"]).write.mode(
+        "overwrite").parquet(f"{to}/relations/batch_id=0")
+    G.upsert_pii(None, _read(spark, out, "pii").drop("batch_id")).withColumn("ordinal", F.lit(0).cast("long")).write.mode(
+        "overwrite").parquet(f"{to}/pii/batch_id=0")
+    G.upsert_chunks(None, _in_order(_read(spark, out, "chunks"))).write.mode("overwrite").parquet(f"{to}/chunks/batch_id=0")
