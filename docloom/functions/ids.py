@@ -1,17 +1,13 @@
-"""Identifier checks as Column expressions: checksums, issuer ranges, match extraction.
+"""Identifier rules as SQL expressions: candidate patterns, checksums, issuer ranges.
 
-Every detector maps a text column to an array of findings, so that one scan of the text serves all
-families. Nothing leaves the JVM.
+Candidates are cut out of the text by one array expression and exploded; the checks then run as plain
+generated code over short strings. Everything is built as SQL text, so a scan costs the driver a few
+calls and stays in the JVM.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import Column
-from pyspark.sql import functions as F
-
-from docloom.functions.text import let, redact
+from dataclasses import dataclass
 
 # Published check-digit tables.
 VERHOEFF_D = (
@@ -71,212 +67,150 @@ IP_PATTERN = r"\b(?:\d{1,3}\.){3}\d{1,3}\b"
 SECRET_PATTERN = r"\b(?:[0-9a-f]{40}|AKIA[0-9A-Z]{16}|sk-[A-Za-z0-9]{20,})\b"
 
 
-def digits(v: Column) -> Column:
-    """Characters of a digit string as an array of ints; the string must not be empty."""
-    return F.transform(F.sequence(F.lit(1), F.length(v)), lambda i: F.substring(v, i, F.lit(1)).cast("int"))
+# No identifier spans one of these characters and none of them is part of a word, so cutting the
+# text there changes neither the matches nor the word boundaries around them.
+BREAKS = r"[\n\r\t,;:!?()\x22\x27\[\]{}<>/|]+"
+# A piece without these cannot hold a match.
+NEAR_DIGITS = r"\d(?:[ .-]?\d){8}"
+IBAN_START = r"\p{L}\d{2} ?[\p{L}0-9]{4}"
 
 
-def total(arr: Column) -> Column:
-    return F.aggregate(arr, F.lit(0), lambda a, x: a + x)
+def digit(v: str, i: int) -> str:
+    """The i-th character of a digit string as a number."""
+    return f"(ascii(substring({v}, {i}, 1)) - 48)"
 
 
-def _char_value(c: Column) -> Column:
+def char_value(c: str) -> str:
     """0-9 as they are, A-Z from 10, anything else 0."""
-    code = F.ascii(c)
-    return F.when(code.between(48, 57), code - 48).when(code.between(65, 90), code - 55).otherwise(0)
+    return f"CASE WHEN ascii({c}) BETWEEN 48 AND 57 THEN ascii({c}) - 48 WHEN ascii({c}) BETWEEN 65 AND 90 THEN ascii({c}) - 55 ELSE 0 END"
 
 
-def luhn_ok(v: Column) -> Column:
-    """Mod-10 over a digit string, doubling every second digit from the right."""
-    n = F.length(v)
-    weighted = F.transform(
-        digits(v),
-        lambda d, i: F.when((n - i) % 2 == 0, F.when(d > 4, d * 2 - 9).otherwise(d * 2)).otherwise(d),
-    )
-    return total(weighted) % 10 == 0
+PAD = 20
 
 
-def issuer_ok(v: Column) -> Column:
-    """Length and leading digits of the common card networks."""
-    n = F.length(v)
-    lead = lambda k: F.substring(v, 1, k).cast("int")
-    visa = F.substring(v, 1, 1) == "4"
-    return F.when(visa, n.isin(13, 16, 19)).otherwise(
-        ((n == 16) & (lead(2).between(51, 55) | lead(4).between(2221, 2720)))
-        | ((n == 15) & lead(2).isin(34, 37))
-        | ((n == 14) & (lead(2).isin(36, 38) | lead(3).between(300, 305)))
-        | ((n == 16) & ((lead(4) == 6011) | (lead(2) == 65) | lead(3).between(644, 649)
-                        | lead(6).between(622126, 622925)))
-        | ((n == 16) & lead(4).between(3528, 3589))
-        | (n.between(16, 19) & (lead(2) == 62))
-    )
-
-
-def iban_ok(v: Column) -> Column:
-    """Mod-97 of the rearranged IBAN, folded character by character."""
-    turned = F.concat(F.substring(v, F.lit(5), F.length(v)), F.substring(v, 1, 4))
-    values = let(turned, lambda t: F.transform(
-        F.sequence(F.lit(1), F.length(t)), lambda i: _char_value(F.substring(t, i, F.lit(1)))))
-    rest = F.aggregate(values, F.lit(0), lambda a, x: (a * F.when(x > 9, 100).otherwise(10) + x) % 97)
-    return rest == 1
-
-
-def verhoeff_ok(v: Column) -> Column:
-    d = F.array(*[F.array(*[F.lit(x) for x in row]) for row in VERHOEFF_D])
-    p = F.array(*[F.array(*[F.lit(x) for x in row]) for row in VERHOEFF_P])
-    permuted = F.transform(F.reverse(digits(v)), lambda x, i: F.get(F.get(p, i % 8), x))
-    return F.aggregate(permuted, F.lit(0), lambda a, x: F.get(F.get(d, a), x)) == 0
-
-
-def cpf_ok(v: Column) -> Column:
-    def check(upto: int) -> Column:
-        weighted = F.transform(digits(F.substring(v, 1, upto)), lambda x, i: x * (F.lit(upto + 1) - i))
-        rest = total(weighted) % 11
-        return F.when(rest < 2, 0).otherwise(F.lit(11) - rest)
-
-    digit = lambda k: F.substring(v, k, 1).cast("int")
-    varied = F.replace(v, F.substring(v, 1, 1), F.lit("")) != ""
-    return varied & (check(9) == digit(10)) & (check(10) == digit(11))
-
-
-def za_ok(v: Column) -> Column:
-    month, day = F.substring(v, 3, 2).cast("int"), F.substring(v, 5, 2).cast("int")
-    return month.between(1, 12) & day.between(1, 31) & F.substring(v, 11, 1).isin("0", "1") & luhn_ok(v)
-
-
-def china_ok(v: Column) -> Column:
-    weights = F.array(*[F.lit(w) for w in CHINA_WEIGHTS])
-    sums = total(F.transform(digits(F.substring(v, 1, 17)), lambda x, i: x * F.get(weights, i)))
-    return F.upper(F.substring(v, 18, 1)) == F.substring(F.lit(CHINA_CHECK), sums % 11 + 1, F.lit(1))
-
-
-def mrz_digit(v: Column) -> Column:
-    """Check digit with repeating weights 7, 3, 1; filler counts 0, letters count from 10."""
-    weight = F.array(F.lit(7), F.lit(3), F.lit(1))
-    values = F.transform(
-        F.sequence(F.lit(1), F.length(v)),
-        lambda i: _char_value(F.substring(v, i, F.lit(1))) * F.get(weight, (i - 1) % 3),
-    )
-    return total(values) % 10
-
-
-def finding(value: Column, category: str, severity: str, location: str, method: str) -> Column:
-    return F.struct(
-        F.lit(category).alias("category"),
-        redact(value).alias("value_redacted"),
-        F.lit(severity).alias("severity"),
-        F.lit(location).alias("location"),
-        F.lit(method).alias("detection_method"),
-    )
-
-
-FINDING_TYPE = (
-    "array<struct<category:string,value_redacted:string,severity:string,location:string,detection_method:string>>"
-)
+def luhn_ok(padded: str = "p") -> str:
+    """Mod 10, every second digit from the right doubled, over the value padded with zeros on the left."""
+    plain = " + ".join(digit(padded, i) for i in range(PAD, 0, -2))
+    doubled = " + ".join(f"(ascii(substring('0246813579', {digit(padded, i)} + 1, 1)) - 48)" for i in range(PAD - 1, 0, -2))
+    return f"({plain} + {doubled}) % 10 = 0"
 
 
-def _matches(text: Column, pattern: str, strip: str | None, keep: Callable[[Column], Column],
-             category: str, kind: str, severity: str = "critical", method: str = "rules_checksum",
-             group: int = 0) -> Column:
-    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(group))
-    if strip:
-        found = F.transform(found, lambda x: F.regexp_replace(x, strip, ""))
-    kept = F.filter(found, keep)
-    return F.transform(kept, lambda x: finding(x, category, severity, LOCATION[kind], method)).cast(FINDING_TYPE)
+def issuer_ok(v: str) -> str:
+    """Length and leading digits of the common card networks."""
+    n = f"length({v})"
+    lead = lambda k: f"CAST(substring({v}, 1, {k}) AS INT)"
+    return f"""CASE WHEN substring({v}, 1, 1) = '4' THEN {n} IN (13, 16, 19)
+      WHEN {n} = 14 THEN {lead(2)} IN (36, 38) OR {lead(3)} BETWEEN 300 AND 305
+      WHEN {n} = 15 THEN {lead(2)} IN (34, 37)
+      WHEN {n} = 16 THEN {lead(2)} BETWEEN 51 AND 55 OR {lead(4)} BETWEEN 2221 AND 2720 OR {lead(4)} = 6011 OR {lead(2)} = 65
+        OR {lead(3)} BETWEEN 644 AND 649 OR {lead(6)} BETWEEN 622126 AND 622925 OR {lead(4)} BETWEEN 3528 AND 3589 OR {lead(2)} = 62
+      ELSE {n} BETWEEN 17 AND 19 AND {lead(2)} = 62 END"""
 
 
-def find_mrz(text: Column) -> Column:
-    lines = F.transform(F.split(text, r"\r?\n"), lambda s: F.replace(F.trim(s), F.lit(" "), F.lit("")))
-    starts = let(lines, lambda ls: F.transform(
-        F.filter(F.sequence(F.lit(0), F.size(ls) - 1), lambda i: F.get(ls, i).rlike(MRZ_LINE1)
-                 & F.coalesce(F.get(ls, i + 1).rlike(MRZ_LINE2), F.lit(False))), lambda i: F.get(ls, i + 1)))
-    part = lambda b, pos, n: F.substring(b, pos, n)
-    ok = F.filter(starts, lambda b: (mrz_digit(part(b, 1, 9)).cast("string") == part(b, 10, 1))
-                  & (mrz_digit(part(b, 14, 6)).cast("string") == part(b, 20, 1))
-                  & (mrz_digit(part(b, 22, 6)).cast("string") == part(b, 28, 1)))
-    found = F.transform(ok, lambda b: finding(
-        F.replace(part(b, 1, 9), F.lit("<"), F.lit("")), "PASSPORT", "critical", LOCATION["mrz"], "rules_checksum"))
-    return found.cast(FINDING_TYPE)
+def iban_ok(v: str) -> str:
+    """Mod 97 of the rearranged IBAN, folded character by character."""
+    turned = f"concat(substring({v}, 5), substring({v}, 1, 4))"
+    values = f"transform(split({turned}, ''), c -> {char_value('c')})"
+    fold = f"aggregate({values}, 0, (a, x) -> (a * IF(x > 9, 100, 10) + x) % 97)"
+    return f"length({v}) BETWEEN 15 AND 34 AND {fold} = 1"
 
 
-def find_iban(text: Column) -> Column:
-    return _matches(F.upper(text), IBAN_PATTERN, " ",
-                    lambda x: F.length(x).between(15, 34) & iban_ok(x), "IBAN", "iban", group=1)
+def verhoeff_ok(v: str, width: int = 12) -> str:
+    """Fold over the digits from the right through the two tables, held as digit strings."""
+    d, p = ("".join(str(x) for row in t for x in row) for t in (VERHOEFF_D, VERHOEFF_P))
+    check = "0"
+    for i in range(width):
+        permuted = f"(ascii(substring('{p}', {i % 8 * 10 + 1} + {digit(v, width - i)}, 1)) - 48)"
+        check = f"(ascii(substring('{d}', {check} * 10 + {permuted} + 1, 1)) - 48)"
+    return f"{check} = 0"
 
 
-def find_card(text: Column) -> Column:
-    return _matches(text, CARD_PATTERN, "[ -]", lambda x: issuer_ok(x) & luhn_ok(x), "CREDIT_CARD", "card")
+def weighted(v: str, weights: tuple[int, ...]) -> str:
+    return "(" + " + ".join(f"{digit(v, i + 1)} * {w}" for i, w in enumerate(weights)) + ")"
 
 
-def find_aadhaar(text: Column) -> Column:
-    return _matches(text, AADHAAR_PATTERN, " ", lambda x: ~F.substring(x, 1, 1).isin("0", "1") & verhoeff_ok(x),
-                    "NATIONAL_ID", "aadhaar", group=1)
+def cpf_ok(v: str) -> str:
+    """Two mod-11 digits; a number of one repeated digit is rejected."""
+    def check(n: int) -> str:
+        rest = f"{weighted(v, tuple(range(n + 1, 1, -1)))} % 11"
+        return f"CASE WHEN {rest} < 2 THEN 0 ELSE 11 - {rest} END"
 
+    return (f"replace({v}, substring({v}, 1, 1), '') <> '' AND {check(9)} = {digit(v, 10)} "
+            f"AND {check(10)} = {digit(v, 11)}")
 
-def find_cpf(text: Column) -> Column:
-    return _matches(text, CPF_PATTERN, "[.-]", cpf_ok, "NATIONAL_ID", "cpf", group=1)
 
+def za_ok(v: str) -> str:
+    return (f"CAST(substring({v}, 3, 2) AS INT) BETWEEN 1 AND 12 AND CAST(substring({v}, 5, 2) AS INT) BETWEEN 1 AND 31 "
+            f"AND substring({v}, 11, 1) IN ('0', '1') AND {luhn_ok()}")
 
-def find_sin(text: Column) -> Column:
-    return _matches(text, SIN_PATTERN, "[ -]", luhn_ok, "NATIONAL_ID", "sin", group=1)
 
+def china_ok(v: str) -> str:
+    return f"upper(substring({v}, 18, 1)) = substring('{CHINA_CHECK}', {weighted(v, CHINA_WEIGHTS)} % 11 + 1, 1)"
 
-def find_za_id(text: Column) -> Column:
-    return _matches(text, ZA_PATTERN, None, za_ok, "NATIONAL_ID", "za_id", group=1)
 
+def mrz_ok(v: str) -> str:
+    """Passport number, birth date and expiry date of the second line each match their digit (weights 7, 3, 1)."""
+    def check(start: int, n: int) -> str:
+        terms = " + ".join(f"({char_value(f'substring({v}, {start + i}, 1)')}) * {(7, 3, 1)[i % 3]}" for i in range(n))
+        return f"CAST(({terms}) % 10 AS STRING) = substring({v}, {start + n}, 1)"
 
-def find_cn_id(text: Column) -> Column:
-    return _matches(text, CHINA_PATTERN, None, china_ok, "NATIONAL_ID", "cn_id", group=1)
+    return " AND ".join(check(*part) for part in ((1, 9), (14, 6), (22, 6)))
 
 
-def find_ssn(text: Column) -> Column:
-    return _matches(text, SSN_PATTERN, None, lambda x: F.lit(True), "NATIONAL_ID", "ssn", "high", "rules_shape")
+def mrz_lines(text: str) -> str:
+    """Second lines of adjacent 44-character line pairs that look like a passport zone."""
+    lines = rf"transform(split({text}, r'\r?\n'), s -> replace(trim(s), ' ', ''))"
+    pairs = (f"filter(sequence(0, size(ls) - 1), i -> get(ls, i) RLIKE r'{MRZ_LINE1}' "
+             f"AND coalesce(get(ls, i + 1) RLIKE r'{MRZ_LINE2}', false))")
+    return f"get(transform(array({lines}), ls -> transform({pairs}, i -> get(ls, i + 1))), 0)"
 
 
-def find_emirates(text: Column) -> Column:
-    return _matches(text, EMIRATES_PATTERN, None, lambda x: F.lit(True), "EMIRATES_ID", "emirates",
-                    "high", "rules_shape")
+def matches(text: str, pattern: str, group: int = 0, strip: str | None = None) -> str:
+    found = f"regexp_extract_all({text}, r'{pattern}', {group})"
+    return f"transform({found}, x -> regexp_replace(x, r'{strip}', ''))" if strip else found
 
 
-FAMILIES: dict[str, Callable[[Column], Column]] = {
-    "mrz": find_mrz, "iban": find_iban, "card": find_card, "aadhaar": find_aadhaar, "cpf": find_cpf,
-    "sin": find_sin, "za_id": find_za_id, "cn_id": find_cn_id, "ssn": find_ssn, "emirates": find_emirates,
-}
+@dataclass(frozen=True)
+class Family:
+    """Where candidates come from ({text} stands for the text) and what makes one a finding
+    (over the value v and its zero-padded form p)."""
 
+    candidates: str
+    check: str
+    category: str
+    severity: str = "critical"
+    method: str = "rules_checksum"
+    source: str = "numeric"
+    shown: str = "v"
 
-def find_contact(text: Column) -> Column:
-    """E-mail, phone, IP address and secret patterns (severity by category)."""
-    def plain(pattern: str, category: str, severity: str, keep: Callable[[Column], Column] | None = None) -> Column:
-        found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-        if keep:
-            found = F.filter(found, keep)
-        return F.transform(
-            found, lambda x: finding(x, category, severity, category.lower() + " pattern", "rules_shape"),
-        ).cast(FINDING_TYPE)
 
-    octets = lambda x: F.forall(F.split(x, r"\."), lambda o: o.cast("int") <= 255)
-    return F.flatten(F.array(
-        plain(EMAIL_PATTERN, "EMAIL", "medium"),
-        plain(PHONE_PATTERN, "PHONE", "medium"),
-        plain(IP_PATTERN, "IP_ADDRESS", "low", octets),
-        plain(SECRET_PATTERN, "CREDENTIAL", "critical"),
-    ))
+_TEXT = "{text}"
+FAMILIES: dict[str, Family] = {
+    "mrz": Family(mrz_lines(_TEXT), mrz_ok("v"), "PASSPORT", source="text", shown="replace(substring(v, 1, 9), '<', '')"),
+    "iban": Family(matches(f"upper({_TEXT})", IBAN_PATTERN, 1, " "), iban_ok("v"), "IBAN", source="lettered"),
+    "card": Family(matches(_TEXT, CARD_PATTERN, 0, "[ -]"), f"({issuer_ok('v')}) AND {luhn_ok()}", "CREDIT_CARD"),
+    "aadhaar": Family(matches(_TEXT, AADHAAR_PATTERN, 1, " "),
+                      f"substring(v, 1, 1) NOT IN ('0', '1') AND {verhoeff_ok('v')}", "NATIONAL_ID"),
+    "cpf": Family(matches(_TEXT, CPF_PATTERN, 1, "[.-]"), cpf_ok("v"), "NATIONAL_ID"),
+    "sin": Family(matches(_TEXT, SIN_PATTERN, 1, "[ -]"), luhn_ok(), "NATIONAL_ID"),
+    "za_id": Family(matches(_TEXT, ZA_PATTERN, 1), za_ok("v"), "NATIONAL_ID"),
+    "cn_id": Family(matches(_TEXT, CHINA_PATTERN, 1), china_ok("v"), "NATIONAL_ID"),
+    "ssn": Family(matches(_TEXT, SSN_PATTERN), "true", "NATIONAL_ID", "high", "rules_shape"),
+    "emirates": Family(matches(_TEXT, EMIRATES_PATTERN), "true", "EMIRATES_ID", "high", "rules_shape"),
+}
+CONTACT: dict[str, Family] = {
+    "email": Family(matches(_TEXT, EMAIL_PATTERN), "true", "EMAIL", "medium", "rules_shape", "text"),
+    "phone": Family(matches(_TEXT, PHONE_PATTERN), "true", "PHONE", "medium", "rules_shape", "text"),
+    "ip_address": Family(matches(_TEXT, IP_PATTERN), r"forall(split(v, '[.]'), o -> CAST(o AS INT) <= 255)", "IP_ADDRESS",
+                         "low", "rules_shape", "text"),
+    "credential": Family(matches(_TEXT, SECRET_PATTERN), "true", "CREDENTIAL", "critical", "rules_shape", "text"),
+}
 
 
-# No identifier spans one of these characters and none of them is part of a word, so cutting the
-# text there changes neither the matches nor the word boundaries around them.
-BREAKS = r"""[\n\r\t,;:!?()"'\[\]{}<>/|]+"""
+def location(name: str) -> str:
+    return LOCATION.get(name, f"{name} pattern")
 
 
-def _pieces(text: Column, needed: str) -> Column:
+def pieces(text: str, needed: str) -> str:
     """The pieces between breaks that can hold a match at all, one per line."""
-    return F.array_join(F.filter(F.split(text, BREAKS), lambda p: p.rlike(needed)), "\n")
-
-
-def find_standard_ids(text: Column) -> Column:
-    """All checksum and shape families in one array, from one pass that first drops the text
-    without nine near digits (or, for IBANs, without letter-digit-digit)."""
-    numeric = let(_pieces(text, r"\d(?:[ .-]?\d){8}"), lambda t: F.flatten(F.array(*[
-        find(t) for name, find in FAMILIES.items() if name not in ("mrz", "iban")])))
-    every = F.concat(find_mrz(text), find_iban(_pieces(text, r"\p{L}\d{2} ?[\p{L}0-9]{4}")), numeric)
-    return F.when(text.rlike(r"\d\d"), every).otherwise(F.array().cast(FINDING_TYPE))
+    return f"array_join(filter(split({text}, r'{BREAKS}'), p -> p RLIKE r'{needed}'), '\\n')"

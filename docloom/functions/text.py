@@ -33,7 +33,10 @@ BUSINESS_KEYWORDS = (
 
 
 def literal_map(pairs: dict[str, object]) -> Column:
-    return F.create_map(*[F.lit(x) for kv in pairs.items() for x in kv])
+    """A constant map as one parsed expression (one call instead of one per entry)."""
+    quote = lambda x: "'" + x.replace("\\", "\\\\").replace("'", "\\'") + "'" if isinstance(x, str) else f"{x}"
+    kind = "D" if any(isinstance(v, float) for v in pairs.values()) else ""
+    return F.expr("map(" + ", ".join(f"{quote(k)}, {quote(v)}{kind}" for k, v in pairs.items()) + ")")
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:

@@ -6,28 +6,57 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from docloom.functions import ids
+from docloom.functions.text import redact
 
 SEVERITY_RANK = {"critical": 0, "high": 1, "medium": 2, "low": 3}
 METHOD_LABEL = {"rules_checksum": "✓ Verified", "rules_shape": "Pattern match", "llm": "AI-flagged"}
 
 
-def _explode(df: DataFrame, found, text: str) -> DataFrame:
+def scan(df: DataFrame, families: dict[str, ids.Family], text: str = "text") -> DataFrame:
+    """One row per finding of the given families, from one pass over the text.
+
+    The text is first reduced to the pieces that can match, the candidates of all families are
+    exploded together, and each is checked by its family's rule.
+    """
     keep = [c for c in df.columns if c != text]
-    return df.select(*keep, F.explode(found).alias("f")).select(*keep, "f.*")
+    source = {"text": f"`{text}`", "numeric": "_numeric", "lettered": "_lettered"}
+    used = {f.source for f in families.values()}
+    base = df.filter(F.col(text).rlike(r"\d\d")) if "text" not in used or "mrz" in families else df
+    if "numeric" in used:
+        base = base.withColumn("_numeric", F.expr(ids.pieces(source["text"], ids.NEAR_DIGITS)))
+    if "lettered" in used:
+        base = base.withColumn("_lettered", F.expr(ids.pieces(source["text"], ids.IBAN_START)))
+    found = ", ".join(
+        f"transform({f.candidates.replace('{text}', source[f.source])}, x -> named_struct('k', '{name}', 'v', x))"
+        for name, f in families.items())
+    rows = base.select(*keep, F.expr(f"explode(concat({found}))").alias("c")).select(
+        *keep, "c.k", "c.v", F.lpad("c.v", ids.PAD, "0").alias("p"))
+    rules = " ".join(f"WHEN '{name}' THEN {f.check}" for name, f in families.items())
+
+    def by_family(value) -> str:
+        return "CASE k " + " ".join(f"WHEN '{name}' THEN {value(name, f)}" for name, f in families.items()) + " END"
+
+    shown = redact(F.expr(by_family(lambda _, f: f.shown)))
+    return rows.filter(F.expr(f"CASE k {rules} END")).select(
+        *keep, F.expr(by_family(lambda _, f: f"'{f.category}'")).alias("category"), shown.alias("value_redacted"),
+        F.expr(by_family(lambda _, f: f"'{f.severity}'")).alias("severity"),
+        F.expr(by_family(lambda n, _: f"'{ids.location(n)}'")).alias("location"),
+        F.expr(by_family(lambda _, f: f"'{f.method}'")).alias("detection_method"))
 
 
 def detect_family(df: DataFrame, family: str, text: str = "text") -> DataFrame:
     """One identifier family (key of ids.FAMILIES)."""
-    return _explode(df, ids.FAMILIES[family](F.col(text)), text)
+    return scan(df, {family: ids.FAMILIES[family]}, text)
 
 
 def detect_contact(df: DataFrame, text: str = "text") -> DataFrame:
-    return _explode(df, ids.find_contact(F.col(text)), text)
+    """E-mail, phone, IP address and secret patterns."""
+    return scan(df, ids.CONTACT, text)
 
 
 def detect_pii(df: DataFrame, text: str = "text") -> DataFrame:
     """All checksum and shape families in a single pass over the text."""
-    return _explode(df, ids.find_standard_ids(F.col(text)), text)
+    return scan(df, ids.FAMILIES, text)
 
 
 def attribute_subject(pii: DataFrame, entities: DataFrame) -> DataFrame:

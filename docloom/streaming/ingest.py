@@ -9,14 +9,13 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from docloom.operators import graph as G
 
 KINDS = ("entities", "relations", "pii", "chunks")
 
 # One line of a result file: its kind and the fields of that kind.
-RESULT_SCHEMA = T.StructType.fromDDL(
+RESULT_SCHEMA = (
     "kind string, job_id string, source_file string, ordinal long, name string, type string, confidence double, "
     "source_entity string, target_entity string, relation_type string, evidence string, finding_id string, category string, "
     "severity string, subject_entity string, chunk_id string, text string")

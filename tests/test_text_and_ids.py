@@ -1,5 +1,7 @@
 from __future__ import annotations
 
+import dataclasses
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -48,18 +50,19 @@ def test_published_examples(spark):
     assert ("NATIONAL_ID", ids.LOCATION["cn_id"]) in found(spark, "11010519491231002X")
     assert ("NATIONAL_ID", ids.LOCATION["za_id"]) in found(spark, "8001015009087")
     assert ("NATIONAL_ID", ids.LOCATION["sin"]) in found(spark, "046 454 286")
-    assert ("NATIONAL_ID", ids.LOCATION["aadhaar"]) in found(spark, "2363 4567 8906") or True
+    assert ("NATIONAL_ID", ids.LOCATION["aadhaar"]) in found(spark, "2341 2341 2346")
     assert found(spark, "123-45-6789") and not found(spark, "000-45-6789 666-45-6789 912-45-6789 123-00-6789 123-45-0000")
 
 
 def test_word_boundaries_survive_the_cut(spark):
-    """The narrowed one-pass scan and the single families agree, letters next to digits included."""
+    """The scan over candidate pieces finds what a scan over the whole text finds, letters next to digits included."""
     texts = ["a4532015112830366", "é4532015112830366", "4532015112830366x", "(4532 0151-1283 0366)", "id=046454286;046454286",
-             "ßAB12 4532015112830366/8001015009087", "\t11010519491231002x, 529.982.247-25.", "1234 4532015112830366 77"]
+             "ßAB12 4532015112830366/8001015009087", "\t11010519491231002x, 529.982.247-25.", "1234 4532015112830366 77",
+             "GB82WEST12345698765432", "äGB82 WEST 1234 5698 7654 32", "x_046454286 046454286_ 046.454.286"]
     df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, text string")
-    one = sorted(map(tuple, S.detect_pii(df).collect()))
-    each = sorted(tuple(r) for f in ids.FAMILIES for r in S.detect_family(df, f).collect())
-    assert one == each and one
+    whole = {n: dataclasses.replace(f, source="text") for n, f in ids.FAMILIES.items()}
+    narrowed, full = (sorted(map(tuple, d.collect())) for d in (S.detect_pii(df), S.scan(df, whole)))
+    assert narrowed == full and narrowed
 
 
 def test_redact(spark):
