@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from docloom.functions import ids
 from docloom.functions.text import redact
+from docloom.session import spread
 
 SEVERITY_RANK = {"critical": 0, "high": 1, "medium": 2, "low": 3}
 METHOD_LABEL = {"rules_checksum": "✓ Verified", "rules_shape": "Pattern match", "llm": "AI-flagged"}
@@ -21,7 +22,9 @@ def scan(df: DataFrame, families: dict[str, ids.Family], text: str = "text") ->
     keep = [c for c in df.columns if c != text]
     source = {"text": f"`{text}`", "numeric": "_numeric", "lettered": "_lettered"}
     used = {f.source for f in families.values()}
-    base = df.filter(F.col(text).rlike(r"\d\d")) if "text" not in used or "mrz" in families else df
+    base = spread(df)
+    if "text" not in used or "mrz" in families:
+        base = base.filter(F.col(text).rlike(r"\d\d"))
     if "numeric" in used:
         base = base.withColumn("_numeric", F.expr(ids.pieces(source["text"], ids.NEAR_DIGITS)))
     if "lettered" in used:

@@ -19,10 +19,9 @@ SPARK_TYPE = {"INTEGER": "bigint", "REAL": "double", "TEXT": "string"}
 def unpivot_cells(df: DataFrame, source_file: str, table_id: str, row_id: str, columns: list[str],
                   category: str = "csv") -> DataFrame:
     """Wide string table -> cells, one narrow pass (no shuffle)."""
-    entries = F.array(*[
-        F.struct(F.lit(i).alias("col_idx"), F.lit(c).alias("column"), F.coalesce(F.col(c), F.lit("")).alias("value"))
-        for i, c in enumerate(columns)
-    ])
+    entries = F.expr("array(" + ", ".join(
+        f"named_struct('col_idx', {i}, 'column', '{c}', 'value', coalesce(CAST(`{c}` AS STRING), ''))"
+        for i, c in enumerate(columns)) + ")")
     return df.select(
         F.lit(source_file).alias("source_file"), F.lit(table_id).alias("table_id"), F.lit(category).alias("category"),
         F.col(row_id).cast("long").alias("row_id"), F.explode(entries).alias("e"),

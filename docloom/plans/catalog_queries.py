@@ -53,7 +53,7 @@ def standardize_columns(t):
 SELECT table_no, {entity_sql('c')} AS entity FROM (SELECT table_no, list(DISTINCT target) AS c FROM ({_HEADERS}) GROUP BY table_no)
 """)
 def classify_tables(t):
-    return M.entity_names(I.cells(t))
+    return M.entity_names(M.headers(I.cells(t)))
 
 
 _SHORT = ("(SELECT string_agg(upper(left(w, 1)) || lower(substr(w, 2)), ' ') FROM (SELECT unnest(string_split("
