@@ -25,6 +25,21 @@ def global_row_number(df: DataFrame, order: list[Column], name: str = "rank", pa
         name, (F.col("_rn") + F.col("_before")).cast("long")).drop("_rn", "_before", "_pid")
 
 
+def row_number_within(df: DataFrame, keys: list[str], position: str, name: str = "n", block: int = 1_000_000) -> DataFrame:
+    """1-based row number per key along an integer position, in two levels.
+
+    Blocks of positions are numbered apart and shifted by the blocks before them, so a key that holds
+    a third of all rows is still spread over its blocks.
+    """
+    blocked = df.withColumn("_block", F.floor(F.col(position) / block))
+    sizes = blocked.groupBy(*keys, "_block").agg(F.count("*").alias("_n"))
+    before = sizes.select(*keys, "_block", (
+        F.sum("_n").over(Window.partitionBy(*keys).orderBy("_block")) - F.col("_n")).alias("_before"))
+    inside = F.row_number().over(Window.partitionBy(*keys, "_block").orderBy(position))
+    return blocked.withColumn("_rn", inside).join(before, [*keys, "_block"]).withColumn(
+        name, F.col("_rn") + F.col("_before")).drop("_rn", "_before", "_block")
+
+
 def running_totals(df: DataFrame, position: str, columns: list[str], block: int = 10_000) -> DataFrame:
     """Running sums along a dense integer position, in two levels.
 

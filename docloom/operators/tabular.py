@@ -6,11 +6,12 @@ string DataFrames; both forms are accepted where it matters.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from docloom.functions import cells as C
 from docloom.functions.text import file_stem, sanitize_ident
+from docloom.operators.ordering import row_number_within
 
 TYPE_THRESHOLD = 90  # percent of non-null values
 SPARK_TYPE = {"INTEGER": "bigint", "REAL": "double", "TEXT": "string"}
@@ -30,8 +31,9 @@ def unpivot_cells(df: DataFrame, source_file: str, table_id: str, row_id: str, c
 
 def dedupe_names(columns: DataFrame, keys: list[str], name: str = "name", position: str = "position") -> DataFrame:
     """Second and later occurrences of a name in a table get _1, _2 ..."""
-    n = F.row_number().over(Window.partitionBy(*keys, name).orderBy(position)) - 1
-    return columns.withColumn("unique_name", F.when(n == 0, F.col(name)).otherwise(F.concat_ws("_", name, n)))
+    numbered = row_number_within(columns, [*keys, name], position, "_k")
+    n = F.col("_k") - 1
+    return numbered.withColumn("unique_name", F.when(n == 0, F.col(name)).otherwise(F.concat_ws("_", name, n))).drop("_k")
 
 
 def column_names(headers: DataFrame, keys: list[str]) -> DataFrame:
@@ -100,6 +102,6 @@ def table_names(tables: DataFrame, fallback: str = "table") -> DataFrame:
     stem = F.lower(file_stem(F.col("source_file")))
     seed = F.when(F.coalesce("sheet", F.lit("")) != "", F.concat_ws("_", stem, "sheet")).otherwise(stem)
     named = tables.withColumn("base_name", sanitize_ident(seed, F.lit(fallback)))
-    n = F.row_number().over(Window.partitionBy("base_name").orderBy("ordinal"))
+    n = F.col("_k")
     full = F.when(n == 1, F.col("base_name")).otherwise(F.concat(F.substring("base_name", 1, 55), F.lit("_"), n))
-    return named.withColumn("table_name", full)
+    return row_number_within(named, ["base_name"], "ordinal", "_k").withColumn("table_name", full).drop("_k")

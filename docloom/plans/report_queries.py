@@ -189,7 +189,7 @@ def table_listing(t):
     return P.table_listing(t.sql(_TABLE_FILES), t.sql(I.FILES))
 
 
-_GIVEN = f"SELECT DISTINCT {_JOB} AS job_id, 'Trade grew.' AS executive_summary, CAST(NULL AS STRING) AS key_entities FROM {{orders}} WHERE year(o_orderdate) % 2 = 0"
+_GIVEN = f"SELECT DISTINCT {_JOB} AS job_id, CASE WHEN year(o_orderdate) % 2 = 0 THEN 'Trade grew.' END AS executive_summary, CAST(NULL AS STRING) AS key_entities FROM {{orders}}"
 _JOB_ENT = f"""SELECT job_id, arg_min(name, (ordinal, name)) AS name, type, min(ordinal) AS ordinal FROM (SELECT *, lower(trim(name)) AS k FROM ({I.ENTITIES})) GROUP BY job_id, k, type"""
 
 

@@ -130,6 +130,16 @@ def test_global_row_number_and_running_totals(spark):
     assert {r.b: r.running_n for r in sums.collect()} == {i: sum(j % 7 for j in range(1, i + 1)) for i in range(1, 101)}
 
 
+def test_numbers_within_a_hot_key(spark):
+    rows = [("hot" if i % 3 else f"k{i % 5}", i) for i in range(200)]
+    got = {r.o: r.n for r in O.row_number_within(spark.createDataFrame(rows, "k string, o long"), ["k"], "o", block=16).collect()}
+    seen, want = {}, {}
+    for k, o in rows:
+        seen[k] = seen.get(k, 0) + 1
+        want[o] = seen[k]
+    assert got == want
+
+
 def test_progress(spark):
     files = spark.createDataFrame([("a", "extracting", "f", "extracting"), ("b", "complete", "f", "complete"), ("c", "synthesizing", "f", "complete")],
                                   "job_id string, job_status string, file string, status string")
