@@ -23,9 +23,9 @@ HEADLINE = (
 
 
 def main() -> None:
-    from docloom.plans import QUERIES
-    from docloom.plans.registry import Tables
-    from docloom.session import build_session
+    from sheafwork.plans import QUERIES
+    from sheafwork.plans.registry import Tables
+    from sheafwork.session import build_session
 
     folder = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus, runs = os.environ.get("BENCH_CPUS", "8"), int(os.environ.get("BENCH_RUNS", "1"))

@@ -10,9 +10,9 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docloom.functions.text import literal_map, standardize_column
-from docloom.operators.mapping import classify_entity
-from docloom.operators.tabular import SPARK_TYPE
+from sheafwork.functions.text import literal_map, standardize_column
+from sheafwork.operators.mapping import classify_entity
+from sheafwork.operators.tabular import SPARK_TYPE
 
 WIDENING = {"INTEGER": 0, "REAL": 1, "TEXT": 2}
 RENDERED = {0: "NUMBER(38)", 1: "NUMBER(18,4)", 2: "VARCHAR2(255)"}

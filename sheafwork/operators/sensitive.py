@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docloom.functions import ids
-from docloom.functions.text import redact
-from docloom.session import spread
+from sheafwork.functions import ids
+from sheafwork.functions.text import redact
+from sheafwork.session import spread
 
 SEVERITY_RANK = {"critical": 0, "high": 1, "medium": 2, "low": 3}
 METHOD_LABEL = {"rules_checksum": "✓ Verified", "rules_shape": "Pattern match", "llm": "AI-flagged"}

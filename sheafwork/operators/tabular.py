@@ -9,9 +9,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docloom.functions import cells as C
-from docloom.functions.text import file_stem, sanitize_ident
-from docloom.operators.ordering import row_number_within
+from sheafwork.functions import cells as C
+from sheafwork.functions.text import file_stem, sanitize_ident
+from sheafwork.operators.ordering import row_number_within
 
 TYPE_THRESHOLD = 90  # percent of non-null values
 SPARK_TYPE = {"INTEGER": "bigint", "REAL": "double", "TEXT": "string"}

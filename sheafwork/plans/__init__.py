@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from docloom.plans import (  # noqa: F401
+from sheafwork.plans import (  # noqa: F401
     catalog_queries, graph_queries, quality_queries, report_queries, retrieval_queries, run_queries,
     sensitive_queries, source_queries, text_queries,
 )
-from docloom.plans.registry import QUERIES
+from sheafwork.plans.registry import QUERIES
 
 __all__ = ["QUERIES"]

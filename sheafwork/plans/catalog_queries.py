@@ -4,14 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from docloom.functions.text import ALIASES, standardize_column
-from docloom.operators import catalog as C
-from docloom.operators import mapping as M
-from docloom.operators import quality as Q
-from docloom.operators import tabular as Y
-from docloom.plans import inputs as I
-from docloom.plans.quality_queries import QUALITY, guess_sql, percent
-from docloom.plans.registry import query
+from sheafwork.functions.text import ALIASES, standardize_column
+from sheafwork.operators import catalog as C
+from sheafwork.operators import mapping as M
+from sheafwork.operators import quality as Q
+from sheafwork.operators import tabular as Y
+from sheafwork.plans import inputs as I
+from sheafwork.plans.quality_queries import QUALITY, guess_sql, percent
+from sheafwork.plans.registry import query
 
 CELLS, TABLES = I.cells_sql(), I.tables_sql()
 _ALIAS = "MAP {{" + ", ".join(f"'{k}': '{v}'" for k, v in ALIASES.items()) + "}}"
@@ -230,7 +230,7 @@ SELECT "column", dtype, rows, nulls, distinct_values, col_idx FROM (
   UNION ALL SELECT 2, 'ordinal', 'bigint', count(*), count(*) - count(ordinal), count(DISTINCT ordinal) FROM (%(l)s))
 """ % {"l": I.LISTING})
 def profile_columns(t):
-    from docloom.sources.files import profile_columns as profile
+    from sheafwork.sources.files import profile_columns as profile
 
     return profile(t.sql(I.LISTING))
 
@@ -243,7 +243,7 @@ SELECT p.name AS proposed_target_table_name, p.target_file, c.source_column, c.s
 FROM ({PROPOSALS}) p JOIN c ON list_contains(string_split(p.source_files, ', '), c.source_file)
 """)
 def mapping_rows(t):
-    from docloom.sinks.exports import mapping_rows as rows
+    from sheafwork.sinks.exports import mapping_rows as rows
 
     cells = I.cells(t)
     cols = M.proposal_columns(cells, Q.column_quality(Q.column_stats(cells)))

@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from docloom.operators import graph as G
-from docloom.operators import responses as R
-from docloom.plans import inputs as I
-from docloom.plans.registry import query
+from sheafwork.operators import graph as G
+from sheafwork.operators import responses as R
+from sheafwork.plans import inputs as I
+from sheafwork.plans.registry import query
 
 # One NER response per order, some fenced, some broken; other agents per customer or order.
 _NER = """
@@ -153,7 +153,7 @@ def missing_responses(t):
 
 @query("X1")
 def run_extractor(t):
-    from docloom.operators.text import segment_text
+    from sheafwork.operators.text import segment_text
 
     segments = segment_text(t.documents.select("doc_id", "text"))
 

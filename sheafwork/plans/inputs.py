@@ -138,7 +138,7 @@ def cells(tables):
 
     from pyspark.sql import functions as F
 
-    from docloom.operators.tabular import unpivot_cells
+    from sheafwork.operators.tabular import unpivot_cells
 
     parts = [
         unpivot_cells(tables.sql(sql), f, t, "row_id", list(cols)).withColumn("table_no", F.lit(no))

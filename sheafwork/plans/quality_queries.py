@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from docloom.functions import cells as C
-from docloom.functions.text import sanitize_ident
-from docloom.operators import quality as Q
-from docloom.operators import tabular as Y
-from docloom.plans import inputs as I
-from docloom.plans.registry import query
+from sheafwork.functions import cells as C
+from sheafwork.functions.text import sanitize_ident
+from sheafwork.operators import quality as Q
+from sheafwork.operators import tabular as Y
+from sheafwork.plans import inputs as I
+from sheafwork.plans.registry import query
 
 CELLS = I.cells_sql()
 KEYS = 'source_file, table_id, col_idx, "column"'

@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from docloom.operators import report as P
-from docloom.operators import responses as R
-from docloom.plans import inputs as I
-from docloom.plans.quality_queries import percent
-from docloom.plans.registry import query
+from sheafwork.operators import report as P
+from sheafwork.operators import responses as R
+from sheafwork.plans import inputs as I
+from sheafwork.plans.quality_queries import percent
+from sheafwork.plans.registry import query
 
 UNIQUE = f"""SELECT arg_min(name, (ordinal, name)) AS name, type, max(confidence) AS confidence, min(ordinal) AS ordinal,
   coalesce(string_agg(DISTINCT mention, ',' ORDER BY mention), '') AS mentions
@@ -209,7 +209,7 @@ def synthesize(t):
 
 @query("K2", f"""SELECT severity, category, value_redacted, source_file, location FROM ({I.PII})""")
 def inventory_rows(t):
-    from docloom.operators.sensitive import pii_inventory as inventory
-    from docloom.sinks.exports import inventory_rows as rows
+    from sheafwork.operators.sensitive import pii_inventory as inventory
+    from sheafwork.sinks.exports import inventory_rows as rows
 
     return rows(inventory(t.sql(I.PII), order=("finding_id",)))

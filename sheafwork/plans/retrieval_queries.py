@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from docloom.functions.text import BUSINESS_KEYWORDS
-from docloom.operators import retrieval as V
-from docloom.plans import graph_queries as GQ
-from docloom.plans import inputs as I
-from docloom.plans.registry import query
+from sheafwork.functions.text import BUSINESS_KEYWORDS
+from sheafwork.operators import retrieval as V
+from sheafwork.plans import graph_queries as GQ
+from sheafwork.plans import inputs as I
+from sheafwork.plans.registry import query
 
 # Questions made from conversations: every turn, with a phrase by turn and conversation.
 ASKED = """

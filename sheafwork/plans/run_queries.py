@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from docloom.operators import runs as J
-from docloom.plans import inputs as I
-from docloom.plans.registry import query
-from docloom.plans.source_queries import DESCRIBED
-from docloom.sources.files import describe_files
+from sheafwork.operators import runs as J
+from sheafwork.plans import inputs as I
+from sheafwork.plans.registry import query
+from sheafwork.plans.source_queries import DESCRIBED
+from sheafwork.sources.files import describe_files
 
 _W = "CASE category " + " ".join(f"WHEN '{c}' THEN {w}" for c, w in J.CATEGORY_WEIGHT.items()) + " ELSE 0.5 END"
 SCORED = f"""
@@ -171,21 +171,21 @@ SELECT job_id, max(written) AS written, CASE WHEN arg_max(status, written) IN ('
 FROM ({_SNAPSHOTS}) WHERE status IS NOT NULL GROUP BY job_id
 """)
 def job_history(t):
-    from docloom.sinks.stores import job_history as history
+    from sheafwork.sinks.stores import job_history as history
 
     return history(t.sql(_SNAPSHOTS))
 
 
 @query("K10", f"SELECT row_id, OrderID, status FROM ({I.ORDERS_TABLE}) ORDER BY row_id LIMIT 50 OFFSET 100")
 def library_page(t):
-    from docloom.sinks.stores import page
+    from sheafwork.sinks.stores import page
 
     return page(t.sql(I.ORDERS_TABLE).select("row_id", "OrderID", "status"), "row_id", 50, 100)
 
 
 @query("K6, K7", f"SELECT 'customer' AS table_name, count(*) AS rows, round(sum(TRY_CAST(acct_value AS DOUBLE)), 2) AS total FROM ({I.CUSTOMER_TABLE})")
 def registered_table_sum(t):
-    from docloom.operators.tabular import type_table
+    from sheafwork.operators.tabular import type_table
 
     typed = type_table(t.sql(I.CUSTOMER_TABLE), {"cust_id": "INTEGER", "acct_value": "REAL"})
     return typed.agg(F.count("*").alias("rows"), F.round(F.sum(F.col("acct_value").cast("decimal(20,2)")), 2).cast("double").alias("total")).select(

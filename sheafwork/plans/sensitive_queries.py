@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from docloom.functions import ids
-from docloom.functions.text import redact
-from docloom.operators import sensitive as S
-from docloom.plans import inputs as I
-from docloom.plans.registry import query
+from sheafwork.functions import ids
+from sheafwork.functions.text import redact
+from sheafwork.operators import sensitive as S
+from sheafwork.plans import inputs as I
+from sheafwork.plans.registry import query
 
 
 def _redact_sql(v: str) -> str:

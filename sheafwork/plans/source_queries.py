@@ -8,10 +8,10 @@ import zipfile
 import pandas as pd
 from pyspark.sql import functions as F
 
-from docloom.functions.text import BUSINESS_KEYWORDS
-from docloom.plans import inputs as I
-from docloom.plans.registry import query
-from docloom.sources import containers, files, layout, markup, records
+from sheafwork.functions.text import BUSINESS_KEYWORDS
+from sheafwork.plans import inputs as I
+from sheafwork.plans.registry import query
+from sheafwork.sources import containers, files, layout, markup, records
 
 _BASE = "regexp_extract(path, '([^/]*)$', 1)"
 _EXT = f"lower(regexp_extract({_BASE}, '^.+([.][^.]+)$', 1))"

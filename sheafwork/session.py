@@ -17,7 +17,7 @@ SETTINGS = {
 }
 
 
-def build_session(master: str | None = None, app: str = "docloom", **conf: str) -> SparkSession:
+def build_session(master: str | None = None, app: str = "sheafwork", **conf: str) -> SparkSession:
     """Session with the settings the operators assume; keyword names use ``__`` for dots."""
     builder = SparkSession.builder.appName(app)
     if master:

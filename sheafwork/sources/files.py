@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from docloom.functions.text import base_name, extension, keyword_hits, literal_map
+from sheafwork.functions.text import base_name, extension, keyword_hits, literal_map
 
 # Suffixes of each category.
 SUFFIXES = {

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from docloom.session import spread
+from sheafwork.session import spread
 
 LIST_ITEMS = 20
 MAX_DEPTH = 50

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docloom.operators import graph as G
+from sheafwork.operators import graph as G
 
 KINDS = ("entities", "relations", "pii", "chunks")
 

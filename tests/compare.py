@@ -34,7 +34,7 @@ def rows_of(columns: list[str], rows: list) -> list:
 
 
 def duck_tables(folder: str) -> duckdb.DuckDBPyConnection:
-    from docloom.plans.registry import TABLES
+    from sheafwork.plans.registry import TABLES
 
     con = duckdb.connect()
     con.execute("SET TimeZone = 'UTC'")
@@ -66,8 +66,8 @@ def compare(spark, con, folder: str, name: str) -> tuple[str, float]:
 
 
 def main() -> None:
-    from docloom.plans import QUERIES
-    from docloom.session import build_session
+    from sheafwork.plans import QUERIES
+    from sheafwork.session import build_session
 
     folder, names = (sys.argv[1] if len(sys.argv) > 1 else "/root/testdata/sf0.001"), sys.argv[2:]
     chosen = [n for n in QUERIES if not names or any(n == p or (p.endswith("*") and n.startswith(p[:-1])) or

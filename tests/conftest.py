@@ -10,7 +10,7 @@ sys.path.insert(0, str(Path(__file__).resolve().parents[1]))
 
 @pytest.fixture(scope="session")
 def spark(tmp_path_factory):
-    from docloom.session import build_session
+    from sheafwork.session import build_session
 
     home = tmp_path_factory.mktemp("warehouse")
     session = build_session(

@@ -6,11 +6,11 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from docloom.operators import graph as G
-from docloom.operators import ordering as O
-from docloom.operators import responses as R
-from docloom.operators import retrieval as V
-from docloom.operators import runs as J
+from sheafwork.operators import graph as G
+from sheafwork.operators import ordering as O
+from sheafwork.operators import responses as R
+from sheafwork.operators import retrieval as V
+from sheafwork.operators import runs as J
 
 NODES = "job_id string, name string, type string, confidence double, source_file string"
 RELS = ("job_id string, source_entity string, target_entity string, relation_type string, evidence string, "

@@ -10,7 +10,7 @@ import pytest
 sys.path.insert(0, str(Path(__file__).resolve().parent))
 
 import compare  # noqa: E402
-from docloom.plans import QUERIES  # noqa: E402
+from sheafwork.plans import QUERIES  # noqa: E402
 
 FOLDER = "/root/testdata/sf0.001"
 

@@ -7,11 +7,11 @@ import zipfile
 
 from pyspark.sql import functions as F
 
-from docloom.operators import graph as G
-from docloom.sinks import exports
-from docloom.sinks.stores import JobTables, Library, page
-from docloom.sources import containers, files, markup, records
-from docloom.streaming import ingest
+from sheafwork.operators import graph as G
+from sheafwork.sinks import exports
+from sheafwork.sinks.stores import JobTables, Library, page
+from sheafwork.sources import containers, files, markup, records
+from sheafwork.streaming import ingest
 
 
 def read(spark, folder):

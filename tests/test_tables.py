@@ -5,10 +5,10 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from docloom.functions.cells import guess_column_type
-from docloom.operators import catalog, mapping
-from docloom.operators import quality as Q
-from docloom.operators import tabular as Y
+from sheafwork.functions.cells import guess_column_type
+from sheafwork.operators import catalog, mapping
+from sheafwork.operators import quality as Q
+from sheafwork.operators import tabular as Y
 
 
 def cells(spark, column, values, table="t"):
@@ -73,7 +73,7 @@ def test_duplicate_rows(spark):
     assert (r.row_count, r.duplicate_rows, r.duplicate_rate) == (5, 1, 0.2)
 
 
-def reference_joins(tables):
+def brute_force_joins(tables):
     """Brute force over python sets: shared values and Jaccard for every column pair."""
     out = set()
     cols = [(t, i, c, {v.strip().lower() for v in vals if v}) for t, cs in tables for i, (c, vals) in enumerate(cs)]
@@ -94,7 +94,7 @@ def test_join_discovery_matches_brute_force(spark, seed):
     meta = spark.createDataFrame([(f"f{no}.csv", f"t{no}", no, "csv", max(len(v) for _, v in cols), None) for no, cols in tables],
                                  "source_file string, table_id string, table_no int, category string, n_rows int, label string")
     want = {}
-    for ta, tb, c, n in sorted(reference_joins(tables), key=lambda j: (j[0], j[1], j[2])):
+    for ta, tb, c, n in sorted(brute_force_joins(tables), key=lambda j: (j[0], j[1], j[2])):
         want.setdefault((ta, tb), (c, n))
     got = {tuple(sorted((r.child_no, r.parent_no))): (r.target, r.shared) for r in mapping.find_joins(long, meta).collect()}
     assert got == want

@@ -5,10 +5,10 @@ import dataclasses
 import pytest
 from pyspark.sql import functions as F
 
-from docloom.functions import ids
-from docloom.functions.text import keyword_hits, redact, sanitize_ident, standardize_column
-from docloom.operators import sensitive as S
-from docloom.operators import text as X
+from sheafwork.functions import ids
+from sheafwork.functions.text import keyword_hits, redact, sanitize_ident, standardize_column
+from sheafwork.operators import sensitive as S
+from sheafwork.operators import text as X
 
 CARDS = ("4532015112830366", "4222222222222", "5425233430109903", "374245455400126", "6011111111111117",
          "30569309025904", "3530111333300000", "6212345678901232")
