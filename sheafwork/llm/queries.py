@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sheafwork.llm import dart_minhash, line_dedup, winnow
+from sheafwork.llm import bpe_automaton, dart_minhash, line_dedup, quality_qda, token_records, winnow
+from sheafwork.llm.common import shared_folder
 
 QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {}
 
@@ -24,6 +26,17 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+#: Tokenizer file of the queries, and the id behind each document.
+TOKENIZER, END_ID = public_tokenizers.path("word_bpe_49k.json"), 2
+
+
+@query()
+def op2_token_records(spark: SparkSession, folder: str) -> DataFrame:
+    home = shared_folder(spark, "token-records")
+    token_records.write_records(table(spark, folder, "documents"), home, TOKENIZER, END_ID)
+    return token_records.read_records(spark, home)
+
+
 LINES_SQL = r"""
 WITH lines AS (
   SELECT doc_id, pos, line, translate(trim(line, E' \t\n\x0b\x0c\r'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key
@@ -43,6 +56,16 @@ def op3_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
         "doc_id", "n_lines", "n_dropped", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
 
 
+@query()
+def op4_bpe_automaton(spark: SparkSession, folder: str) -> DataFrame:
+    return bpe_automaton.encode_digests(table(spark, folder, "documents"), TOKENIZER)
+
+
+@query()
+def op7_quality(spark: SparkSession, folder: str) -> DataFrame:
+    return quality_qda.score_documents(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
 WINDOWS_SQL = r"""
 WITH doc_words AS (
   SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
