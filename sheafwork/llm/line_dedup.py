@@ -160,7 +160,8 @@ def repeated_elsewhere(docs: DataFrame, least: int = LEAST, most_bytes: int = MO
             suspects, "hash", "left_semi")
     lines = written(lines.select("doc_id", "key"), "suspected-lines")
     first = lines.groupBy("key").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last")
-    later = lines.join(first.drop("last"), "key").where(F.col("doc_id") > F.col("first"))
+    # written, so that the join deals both sides itself and can split a key that a third of all documents hold
+    later = lines.join(written(first.drop("last"), "repeated-lines"), "key").where(F.col("doc_id") > F.col("first"))
     short = later.select("doc_id", F.unhex(F.md5("key")).alias("digest"))
     return short.groupBy("doc_id").agg(F.collect_set("digest").alias("drop"))
 

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sheafwork.llm import bpe_automaton, dart_minhash, line_dedup, quality_qda, token_records, winnow
+from sheafwork.llm import bpe_automaton, dart_minhash, line_dedup, lsh_search, quality_qda, secrets, token_records, winnow
 from sheafwork.llm.common import shared_folder
 
 QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {}
@@ -30,6 +30,20 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 TOKENIZER, END_ID = public_tokenizers.path("word_bpe_49k.json"), 2
 
 
+@query()
+def op1_secret_spans(spark: SparkSession, folder: str) -> DataFrame:
+    found = secrets.find_secrets(table(spark, folder, "documents"))
+    named = {k: F.filter("spans", lambda x, k=k: x["kind"] == k) for k in secrets.KINDS}
+    base = F.filter("spans", lambda x: x["kind"].isin(*secrets.KINDS))
+
+    def joined(spans):
+        return F.array_join(F.transform(spans, lambda x: F.concat_ws(":", x["kind"], x["start"], x["end"])), ",")
+
+    return found.select(
+        "doc_id", *[F.size(v).cast("bigint").alias(f"n_{k}") for k, v in named.items()],
+        F.sha2(joined(base).cast("binary"), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"))
+
+
 @query()
 def op2_token_records(spark: SparkSession, folder: str) -> DataFrame:
     home = shared_folder(spark, "token-records")
@@ -61,6 +75,11 @@ def op4_bpe_automaton(spark: SparkSession, folder: str) -> DataFrame:
     return bpe_automaton.encode_digests(table(spark, folder, "documents"), TOKENIZER)
 
 
+@query()
+def op5_multiprobe_lsh(spark: SparkSession, folder: str) -> DataFrame:
+    return lsh_search.search(table(spark, folder, "embeddings"), every=50)
+
+
 @query()
 def op7_quality(spark: SparkSession, folder: str) -> DataFrame:
     return quality_qda.score_documents(table(spark, folder, "documents"), table(spark, folder, "labels"))
