@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sheafwork.llm import bpe_automaton, dart_minhash, line_dedup, lsh_search, quality_qda, secrets, token_records, winnow
+from sheafwork.llm import bpe_automaton, dart_minhash, html_layout, line_dedup, lsh_search, quality_qda, secrets, token_records, warc, winnow
 from sheafwork.llm.common import shared_folder
 
 QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {}
@@ -80,6 +80,11 @@ def op5_multiprobe_lsh(spark: SparkSession, folder: str) -> DataFrame:
     return lsh_search.search(table(spark, folder, "embeddings"), every=50)
 
 
+@query()
+def op6_html_layout(spark: SparkSession, folder: str) -> DataFrame:
+    return html_layout.render_pages(table(spark, folder, "pages"))
+
+
 @query()
 def op7_quality(spark: SparkSession, folder: str) -> DataFrame:
     return quality_qda.score_documents(table(spark, folder, "documents"), table(spark, folder, "labels"))
@@ -117,6 +122,15 @@ def op8_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
         F.sha2(F.array_join("item_ids", ",").cast("binary"), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
 
 
+#: The pages carry no time of their own.
+FETCHED = "2025-01-01T00:00:00Z"
+
+
+@query()
+def op9_warc_derivatives(spark: SparkSession, folder: str) -> DataFrame:
+    return warc.derivatives_of(table(spark, folder, "pages"), FETCHED)
+
+
 @query()
 def op10_near_duplicates(spark: SparkSession, folder: str) -> DataFrame:
     return dart_minhash.near_duplicates(table(spark, folder, "documents"))
