@@ -34,7 +34,7 @@ def written(df: DataFrame, name: str) -> DataFrame:
 
 # Arrow text
 
-def pieces(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+def pieces(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int = 1 << 20) -> Iterator[pa.RecordBatch]:
     """Record batches cut so that their texts hold about ``limit`` bytes (one row at least)."""
     for batch in batches:
         if not batch.num_rows:

@@ -4,7 +4,8 @@ A text's elements are its 5-word shingles, weighted by their counts (a text of f
 an element's weight is a region with a fixed random sequence of darts: ranks grow by hashed exponential gaps and every
 dart falls on a hashed coordinate. Darts of rank below a bound that shrinks with the total weight are thrown, and the
 earliest on each coordinate is kept, so two texts agree on a coordinate with the probability of their weighted Jaccard
-similarity. Bands of coordinates are joined; candidates are compared exactly on all shingle counts.
+similarity. Bands of coordinates are joined; candidates whose signatures are not far too unlike are compared exactly on
+all shingle counts.
 """
 
 from __future__ import annotations
@@ -14,15 +15,18 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sheafwork.llm.common import U64, Words, mix, pieces, text_buffers, written
 
 SHINGLE, SIMILARITY = 5, 0.8
-BANDS, ROWS = 25, 5
-#: Members compared with one centre in one group of a task.
-GROUP = 256
+#: A pair at the least similarity shares no band with probability (1 - 0.8 ** 7) ** 40, under 1 in 10,000.
+BANDS, ROWS = 40, 7
+#: Share of equal coordinates below which a pair is not compared: 7 standard deviations under the least similarity.
+SLACK = 7.0
+#: Members compared with one centre in one group, and members of one block of a bucket.
+GROUP, BLOCK = 64, 1024
 
 
 def shingles(words: Words, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -48,39 +52,43 @@ def signatures(elements: np.ndarray, number: np.ndarray, size: int) -> np.ndarra
     """Earliest dart on each of ``size`` coordinates for every text (texts x size); 0 rows for texts without elements."""
     text = np.repeat(np.arange(len(number)), number)
     # the n-th occurrence of an element in a text is the n-th unit of its weight
-    order = np.lexsort((elements, text))
-    e, t = elements[order], text[order]
+    own = mix(elements + mix(text.astype(np.uint64)))
+    order = np.argsort(own)
+    own, e, t = own[order], elements[order], text[order]
     new = np.ones(len(e), bool)
-    new[1:] = (e[1:] != e[:-1]) | (t[1:] != t[:-1])
+    new[1:] = own[1:] != own[:-1]
     unit = np.arange(len(e)) - np.maximum.accumulate(np.where(new, np.arange(len(e)), 0))
     region = mix(e + unit.astype(np.uint64) * U64(0x9E3779B97F4A7C15))
     best = np.zeros((len(number), size), np.uint64)
     todo = number > 0
     bound = size * (np.log(size) + 2.0)
     while todo.any():
-        own = todo[t]
-        key, doc = region[own], t[own]
+        chosen = todo[t]
+        key, doc = region[chosen], t[chosen]
         limit = bound / number[doc]
         rank, step = np.zeros(len(key)), 0
         docs, spots, ranks, darts = [], [], [], []
         while len(key):
             step += 1
             h = mix(key ^ mix(np.array([step], np.uint64)))
-            rank = rank - np.log(((h >> U64(11)).astype(np.float64) + 1.0) * 2.0 ** -53)
-            near = rank <= limit
-            key, doc, limit, rank, h = key[near], doc[near], limit[near], rank[near], h[near]
+            part = ((h >> U64(11)).astype(np.float64) + 1.0) * 2.0 ** -53
+            near = part >= np.exp(rank - limit)  # rank - log(part) <= limit
+            key, doc, limit, h = key[near], doc[near], limit[near], h[near]
+            rank = rank[near] - np.log(part[near])
             dart = mix(h + U64(0x632BE59BD9B4E019))
             docs.append(doc)
             spots.append((dart % U64(size)).astype(np.int64))
             ranks.append(rank)
             darts.append(dart)
-        docs, spots, ranks, darts = map(np.concatenate, (docs, spots, ranks, darts))
-        order = np.lexsort((darts, ranks, spots, docs))
-        docs, spots, darts = docs[order], spots[order], darts[order]
-        lead = np.ones(len(docs), bool)
-        lead[1:] = (docs[1:] != docs[:-1]) | (spots[1:] != spots[:-1])
-        best[docs[lead], spots[lead]] = darts[lead]
-        covered = np.bincount(docs[lead], minlength=len(number)) == size
+        place = np.concatenate(docs) * size + np.concatenate(spots)
+        ranks, darts = np.concatenate(ranks), np.concatenate(darts)
+        least = np.full(len(number) * size, np.inf)
+        np.minimum.at(least, place, ranks)
+        first = ranks == least[place]
+        flat = best.reshape(-1)
+        flat[place[first]] = 0
+        np.maximum.at(flat, place[first], darts[first])  # equal ranks: the larger dart
+        covered = np.isfinite(least.reshape(len(number), size)).all(axis=1)
         todo &= ~covered  # a coordinate without dart: throw again, further
         bound *= 2
     return best
@@ -99,14 +107,16 @@ def sketch(shingle: int, bands: int, rows: int):
             w = Words(*text_buffers(batch.column("text")))
             counts = w.counts()
             elements, number = shingles(w, shingle)
-            hashes = band_hashes(signatures(elements, number, bands * rows), bands, rows).view(np.int64)
+            best = signatures(elements, number, bands * rows)
+            hashes = band_hashes(best, bands, rows).view(np.int64)
             # texts without words are no copies of each other
             same = [xxhash.xxh3_128_digest(w.hashes[a:b].tobytes() if b > a else f"none {i}".encode())
                     for i, a, b in zip(batch.column("doc_id").to_pylist(), w.first[:-1], w.first[1:])]
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), pa.array(same, pa.binary()), pa.array(counts, pa.int64()),
-                 pa.ListArray.from_arrays(pa.array(np.arange(len(counts) + 1) * bands, pa.int32()), pa.array(hashes.ravel()))],
-                names=["doc_id", "same", "n_words", "bands"])
+                 pa.ListArray.from_arrays(pa.array(np.arange(len(counts) + 1) * bands, pa.int32()), pa.array(hashes.ravel())),
+                 pa.array([x.tobytes() for x in (best >> U64(20)).astype(np.uint8)], pa.binary())],
+                names=["doc_id", "same", "n_words", "bands", "signature"])
 
     return run
 
@@ -124,6 +134,72 @@ def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray
     return least / (int(a[1].sum()) + int(b[1].sum()) - least)
 
 
+def share_needed(least: float, size: int) -> float:
+    """Least share of equal signature bytes; unequal coordinates still agree in one byte of 256."""
+    return least - SLACK * float(np.sqrt(least * (1 - least) / size))
+
+
+def alike(least: float, size: int):
+    """Pairs (a, b, sa, sb) -> those whose signatures agree enough."""
+    needed = share_needed(least, size) * size
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(-1, size) for c in ("sa", "sb"))
+                keep = pa.array((x == y).sum(axis=1) >= needed)
+                yield batch.select(["a", "b"]).filter(keep)
+
+    return run
+
+
+def partners(least: float, size: int, most: int):
+    """Rows (band, hash, i, j, side, doc_id, class_id, signature), sorted by the first four -> for each member of a pair of
+    blocks, its ``most`` likest members of other classes; ``more`` if it has further ones."""
+    needed = share_needed(least, size) * size
+
+    def of(rows: list[pa.RecordBatch]) -> pa.RecordBatch:
+        whole = pa.Table.from_batches(rows)
+        side, ids, classes = (whole.column(c).to_numpy() for c in ("side", "doc_id", "class_id"))
+        x = np.frombuffer(b"".join(whole.column("signature").to_pylist()), np.uint8).reshape(-1, size)
+        left = np.flatnonzero(side == 0)
+        right = np.flatnonzero(side == 1) if (side == 1).any() else left
+        out_a, out_b, more = [], [], False
+        step = max(1, (1 << 22) // max(1, len(right) * size // 8))
+        for k in range(0, len(left), step):
+            rows_ = left[k:k + step]
+            equal = (x[rows_][:, None, :] == x[right][None, :, :]).sum(axis=2)
+            equal[classes[rows_][:, None] == classes[right][None, :]] = 0
+            for r, line in zip(rows_, equal):
+                found = np.flatnonzero(line >= needed)
+                if len(found) > most:
+                    more = True
+                    found = found[np.argsort(-line[found], kind="stable")[:most]]
+                out_a += [min(ids[r], ids[c]) for c in right[found]]
+                out_b += [max(ids[r], ids[c]) for c in right[found]]
+        return pa.RecordBatch.from_pydict({"a": pa.array(out_a, pa.int64()), "b": pa.array(out_b, pa.int64()),
+                                           "more": pa.array([more] * len(out_a), pa.bool_())})
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group, held = None, []
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            keys = np.stack([batch.column(c).to_numpy().astype(np.int64) for c in ("band", "hash", "i", "j")], axis=1)
+            cuts = [0, *(np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1).tolist(), len(keys)]
+            for a, b in zip(cuts[:-1], cuts[1:]):
+                key = tuple(keys[a])
+                if key != group and held:
+                    yield of(held)
+                    held = []
+                group = key
+                held.append(batch.slice(a, b - a))
+        if held:
+            yield of(held)
+
+    return run
+
+
 def compare(shingle: int, least: float):
     """Rows come sorted by (centre, salt) with the centre's own text first; linked pairs go out."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -184,46 +260,65 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, least: float = SIMI
     left out; rows that repeat a doc_id
     are one document, in the smallest class that its texts have. Further columns are not read.
 
-    Copies are collapsed first. In round t the 2^t smallest members of each bucket are its centres and are compared with
-    its later members of other classes, then leave it; rounds go on while a bucket holds members of two classes. So no
-    pair that shares a bucket is lost, and buckets of near copies end after the first round.
+    Copies are collapsed first. In every bucket a centre, drawn by hash, is compared with all members. After that, in
+    buckets that still hold members of two classes, each member is compared with the ``4 ** t`` likest members of other
+    classes, by signature, in round t, until none has further ones whose signatures are alike enough. So no pair that
+    shares a bucket is left out, buckets of near copies end after the first step, and pairs are formed within blocks.
     """
+    size = bands * rows
     docs = docs.select("doc_id", "text").where("doc_id IS NOT NULL")
-    drawn = written(docs.mapInArrow(sketch(shingle, bands, rows),
-                                    "doc_id bigint, same binary, n_words bigint, bands array<bigint>"), "darts")
-    groups = drawn.where("n_words > 0").groupBy("same").agg(
-        F.min(F.struct("doc_id", "n_words", "bands")).alias("rep")).select("same", "rep.*")
+    drawn = written(docs.mapInArrow(sketch(shingle, bands, rows), "doc_id bigint, same binary, n_words bigint, "
+                                    "bands array<bigint>, signature binary"), "darts")
+    groups = drawn.where("n_words > 0").groupBy("same").agg(F.min(F.struct("doc_id", "n_words", "bands", "signature")).alias("rep"))
+    groups = written(groups.select("same", "rep.*"), "texts")
     key = ["band", "hash"]
     members = groups.select("doc_id", "n_words", F.posexplode("bands").alias(*key))
-    edges = labels = None
-    centres_of_bucket = 1
+    centres = members.groupBy(*key).agg(F.min(F.struct(F.xxhash64("doc_id", "band"), "doc_id", "n_words")).alias("c"),
+                                        F.count("*").alias("n")).where("n > 1")
+    centres = centres.select(*key, "n", F.col("c.doc_id").alias("centre"), F.col("c.n_words").alias("n_c"))
+    members = written(members.join(centres, key), "buckets")
+    held_docs = written(docs.join(members.select("doc_id").distinct(), "doc_id", "left_semi"), "candidate-texts")
+    signed = groups.select("doc_id", "signature")
+
+    def checked(pairs: DataFrame) -> DataFrame:
+        """Links among the pairs, those of unlike signatures left out."""
+        both = pairs.join(signed.toDF("a", "sa"), "a").join(signed.toDF("b", "sb"), "b").select("a", "b", "sa", "sb")
+        return verified(written(both.mapInArrow(alike(least, size), "a bigint, b bigint"), "candidates"), held_docs, shingle, least)
+
+    # shingles shared are at most those of the shorter text
+    n_a, n_b = (F.greatest(F.col(c) - (shingle - 1), F.lit(1)) for c in ("n_c", "n_words"))
+    stars = members.where((F.col("doc_id") != F.col("centre")) & (F.least(n_a, n_b) >= least * F.greatest(n_a, n_b))).select(
+        F.least("doc_id", "centre").alias("a"), F.greatest("doc_id", "centre").alias("b")).distinct()
+    edges = written(checked(stars), "links")
+    labels = components(edges)
+    tested = None
+    most = 1
     while True:
-        # buckets that still hold two classes
-        held = members.withColumn("class_id", F.col("doc_id")) if labels is None else members.join(
-            labels.withColumnRenamed("id", "doc_id"), "doc_id", "left").withColumn(
+        held = members.join(labels.withColumnRenamed("id", "doc_id"), "doc_id", "left").withColumn(
             "class_id", F.coalesce("class_id", "doc_id"))
-        open_ones = held.groupBy(*key).agg(F.min("class_id").alias("c1"), F.max("class_id").alias("c2")).where("c1 <> c2")
-        held = written(held.join(open_ones.select(*key), key), "buckets")
-        if held.isEmpty():
+        mixed = held.groupBy(*key).agg(F.min("class_id").alias("c1"), F.max("class_id").alias("c2")).where("c1 <> c2")
+        held = held.where("n > 2").join(mixed.select(*key), key)  # in a bucket of two the star has done all
+        blocks = F.ceil(F.col("n") / BLOCK)
+        held = held.select(*key, "doc_id", "class_id", blocks.alias("blocks"), F.pmod(F.xxhash64("doc_id", "band"), blocks).alias("own"))
+        # a member meets each block of its bucket: in pairs of blocks (i, j) with i <= j
+        held = held.withColumn("other", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1))).select(
+            *key, "doc_id", "class_id", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"),
+            (F.col("own") > F.col("other")).cast("int").alias("side")).join(signed, "doc_id")
+        dealt = held.repartition(*key, "i", "j").sortWithinPartitions(*key, "i", "j")
+        found = written(dealt.mapInArrow(partners(least, size, most), "a bigint, b bigint, more boolean"), "partners")
+        pairs = found.select("a", "b").distinct()
+        if tested is not None:
+            pairs = pairs.join(tested, ["a", "b"], "left_anti")
+        pairs = written(pairs, "new-pairs")
+        if not pairs.isEmpty():
+            edges = written(checked(pairs).unionByName(edges), "links")
+            labels = components(edges)
+            tested = written(pairs if tested is None else pairs.unionByName(tested), "tested")
+        if found.where("more").isEmpty():
             break
-        if centres_of_bucket == 1:
-            centres = held.groupBy(*key).agg(F.min(F.struct("doc_id", "n_words", "class_id")).alias("c")).select(*key, "c.*")
-        else:
-            rank = F.row_number().over(Window.partitionBy(*key).orderBy("doc_id"))
-            centres = held.withColumn("r", rank).where(F.col("r") <= centres_of_bucket).drop("r")
-        centres = centres.select(*key, F.col("doc_id").alias("a"), F.col("n_words").alias("n_a"), F.col("class_id").alias("c_a"))
-        # shingles shared are at most those of the shorter text
-        n_a, n_b = (F.greatest(F.col(c) - (shingle - 1), F.lit(1)) for c in ("n_a", "n_words"))
-        pairs = (held.join(centres, key).where((F.col("doc_id") > F.col("a")) & (F.col("class_id") != F.col("c_a")) &
-                                               (F.least(n_a, n_b) >= least * F.greatest(n_a, n_b)))
-                 .select("a", F.col("doc_id").alias("b")).distinct())
-        found = verified(written(pairs, "candidates"), docs, shingle, least)
-        edges = written(found if edges is None else found.unionByName(edges), "links")
-        labels = components(edges)
-        members = held.join(centres.select(*key, F.col("a").alias("doc_id")), [*key, "doc_id"], "left_anti").drop("class_id")
-        centres_of_bucket *= 2
-    reps = groups.select("same", F.col("doc_id").alias("id"))
-    reps = reps.join(labels, "id", "left") if labels is not None else reps.withColumn("class_id", F.col("id"))
-    found = drawn.join(reps.select("same", F.coalesce("class_id", "id").alias("class_id")), "same", "left")
+        most *= 4
+    reps = groups.select("same", F.col("doc_id").alias("id")).join(labels, "id", "left")
+    found = drawn.select("doc_id", "n_words", "same").join(
+        reps.select("same", F.coalesce("class_id", "id").alias("class_id")), "same", "left")
     return found.groupBy("doc_id").agg(F.max("n_words").alias("n_words"), F.min(
         F.coalesce("class_id", "doc_id")).alias("class_id"))

@@ -27,7 +27,7 @@ NAMES = ["lower", "upper", "digit", "wide", "blank", "line", "stop", "bar", "ban
 
 
 def _classes() -> np.ndarray:
-    table = np.full(256, len(MARKS), np.int64)
+    table = np.full(256, len(MARKS), np.uint8)
     table[128:] = 3
     for i, marks in enumerate(MARKS):
         for c in marks or "":
@@ -50,8 +50,8 @@ def statistics(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     """Texts x FEATURES; a text without bytes gives the vector of an empty text."""
     n, size = len(offsets) - 1, np.diff(offsets)
     kind = CLASS_OF[data]
-    text = np.repeat(np.arange(n), size)
-    counts = np.bincount(text * (len(MARKS) + 1) + kind, minlength=n * (len(MARKS) + 1)).reshape(n, -1)[:, :len(MARKS) + 1]
+    text = np.repeat(np.arange(n) * (len(MARKS) + 1), size)
+    counts = np.bincount(text + kind, minlength=n * (len(MARKS) + 1)).reshape(n, -1)[:, :len(MARKS) + 1]
     w = Words(data, offsets)
     words = w.counts()
     length = (w.ends - w.starts).astype(np.float64)
@@ -94,7 +94,7 @@ def statistics(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 
 
 def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in pieces(batches):
+    for batch in pieces(batches, limit=1 << 19):
         x = statistics(*text_buffers(batch.column("text")))
         d = x.shape[1]
         yield pa.RecordBatch.from_arrays(
