@@ -4,8 +4,7 @@ A text's elements are its 5-word shingles, weighted by their counts (a text of f
 an element's weight is a region with a fixed random sequence of darts: ranks grow by hashed exponential gaps and every
 dart falls on a hashed coordinate. Darts of rank below a bound that shrinks with the total weight are thrown, and the
 earliest on each coordinate is kept, so two texts agree on a coordinate with the probability of their weighted Jaccard
-similarity. Bands of coordinates are joined; candidates whose signatures are not far too unlike are compared exactly on
-all shingle counts.
+similarity. Bands of coordinates are joined; candidates are compared exactly on all shingle counts.
 """
 
 from __future__ import annotations
@@ -23,10 +22,8 @@ from sheafwork.llm.common import U64, Words, mix, pieces, text_buffers, written
 SHINGLE, SIMILARITY = 5, 0.8
 #: A pair at the least similarity shares no band with probability (1 - 0.8 ** 7) ** 40, under 1 in 10,000.
 BANDS, ROWS = 40, 7
-#: Share of equal coordinates below which a pair is not compared: 7 standard deviations under the least similarity.
-SLACK = 7.0
-#: Members compared with one centre in one group, and members of one block of a bucket.
-GROUP, BLOCK = 64, 1024
+#: Members compared with one centre in one group, members of one block of a bucket, elements compared at a time.
+GROUP, BLOCK, WIDE = 64, 512, 4096
 
 
 def shingles(words: Words, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -48,17 +45,21 @@ def shingles(words: Words, size: int) -> tuple[np.ndarray, np.ndarray]:
     return out, number
 
 
-def signatures(elements: np.ndarray, number: np.ndarray, size: int) -> np.ndarray:
-    """Earliest dart on each of ``size`` coordinates for every text (texts x size); 0 rows for texts without elements."""
+def regions(elements: np.ndarray, number: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """One key for each unit of weight (the n-th occurrence of an element in a text), and the texts they are of."""
     text = np.repeat(np.arange(len(number)), number)
-    # the n-th occurrence of an element in a text is the n-th unit of its weight
     own = mix(elements + mix(text.astype(np.uint64)))
     order = np.argsort(own)
     own, e, t = own[order], elements[order], text[order]
     new = np.ones(len(e), bool)
     new[1:] = own[1:] != own[:-1]
     unit = np.arange(len(e)) - np.maximum.accumulate(np.where(new, np.arange(len(e)), 0))
-    region = mix(e + unit.astype(np.uint64) * U64(0x9E3779B97F4A7C15))
+    return mix(e + unit.astype(np.uint64) * U64(0x9E3779B97F4A7C15)), t
+
+
+def signatures(elements: np.ndarray, number: np.ndarray, size: int) -> np.ndarray:
+    """Earliest dart on each of ``size`` coordinates for every text (texts x size); 0 rows for texts without elements."""
+    region, t = regions(elements, number)
     best = np.zeros((len(number), size), np.uint64)
     todo = number > 0
     bound = size * (np.log(size) + 2.0)
@@ -107,16 +108,14 @@ def sketch(shingle: int, bands: int, rows: int):
             w = Words(*text_buffers(batch.column("text")))
             counts = w.counts()
             elements, number = shingles(w, shingle)
-            best = signatures(elements, number, bands * rows)
-            hashes = band_hashes(best, bands, rows).view(np.int64)
+            hashes = band_hashes(signatures(elements, number, bands * rows), bands, rows).view(np.int64)
             # texts without words are no copies of each other
             same = [xxhash.xxh3_128_digest(w.hashes[a:b].tobytes() if b > a else f"none {i}".encode())
                     for i, a, b in zip(batch.column("doc_id").to_pylist(), w.first[:-1], w.first[1:])]
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), pa.array(same, pa.binary()), pa.array(counts, pa.int64()),
-                 pa.ListArray.from_arrays(pa.array(np.arange(len(counts) + 1) * bands, pa.int32()), pa.array(hashes.ravel())),
-                 pa.array([x.tobytes() for x in (best >> U64(20)).astype(np.uint8)], pa.binary())],
-                names=["doc_id", "same", "n_words", "bands", "signature"])
+                 pa.ListArray.from_arrays(pa.array(np.arange(len(counts) + 1) * bands, pa.int32()), pa.array(hashes.ravel()))],
+                names=["doc_id", "same", "n_words", "bands"])
 
     return run
 
@@ -134,54 +133,49 @@ def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray
     return least / (int(a[1].sum()) + int(b[1].sum()) - least)
 
 
-def share_needed(least: float, size: int) -> float:
-    """Least share of equal signature bytes; unequal coordinates still agree in one byte of 256."""
-    return least - SLACK * float(np.sqrt(least * (1 - least) / size))
-
-
-def alike(least: float, size: int):
-    """Pairs (a, b, sa, sb) -> those whose signatures agree enough."""
-    needed = share_needed(least, size) * size
-
+def linked(texts: pa.Array, ids: np.ndarray, classes: np.ndarray, side: np.ndarray, shingle: int, least: float) -> list[tuple]:
+    """Links that join the classes of two blocks (or of one, if there is no side 1): every pair of different classes is
+    compared; of the links between two classes one goes out."""
+    elements, number = shingles(Words(*text_buffers(texts)), shingle)
+    keys, owner = regions(elements, number)
+    _, place, times = np.unique(keys, return_inverse=True, return_counts=True)
+    shared = times[place] > 1  # an element of one text is in no pair
+    _, column = np.unique(place[shared], return_inverse=True)
+    owner = owner[shared]
+    left = np.flatnonzero(side == 0)
+    right = np.flatnonzero(side == 1) if (side == 1).any() else left
+    common = np.zeros((len(left), len(right)), np.float32)
+    order = np.argsort(column)
+    column, owner = column[order], owner[order]
+    for a in range(0, int(column[-1]) + 1 if len(column) else 0, WIDE):
+        part = slice(*np.searchsorted(column, [a, a + WIDE]))
+        held = np.zeros((len(ids), min(WIDE, int(column[-1]) + 1 - a)), np.float32)
+        held[owner[part], column[part] - a] = 1
+        common += held[left] @ held[right].T
+    total = number[left][:, None] + number[right][None, :] - common
+    close = common >= least * total
+    out, classes = [], classes.copy()
+    for i, r in enumerate(left):
+        found = right[close[i] & (classes[right] != classes[r])]
+        new, first = np.unique(classes[found], return_index=True)
+        if len(new):
+            out += [(min(ids[r], ids[c]), max(ids[r], ids[c])) for c in found[first]]
+            classes[np.isin(classes, new)] = classes[r]
+    return out
+
+
+def within_blocks(shingle: int, least: float):
+    """Rows (band, hash, i, j, side, doc_id, class_id, text), sorted by the first four -> links of each pair of blocks."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows:
-                x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(-1, size) for c in ("sa", "sb"))
-                keep = pa.array((x == y).sum(axis=1) >= needed)
-                yield batch.select(["a", "b"]).filter(keep)
-
-    return run
-
+        group, held = None, []
 
-def partners(least: float, size: int, most: int):
-    """Rows (band, hash, i, j, side, doc_id, class_id, signature), sorted by the first four -> for each member of a pair of
-    blocks, its ``most`` likest members of other classes; ``more`` if it has further ones."""
-    needed = share_needed(least, size) * size
-
-    def of(rows: list[pa.RecordBatch]) -> pa.RecordBatch:
-        whole = pa.Table.from_batches(rows)
-        side, ids, classes = (whole.column(c).to_numpy() for c in ("side", "doc_id", "class_id"))
-        x = np.frombuffer(b"".join(whole.column("signature").to_pylist()), np.uint8).reshape(-1, size)
-        left = np.flatnonzero(side == 0)
-        right = np.flatnonzero(side == 1) if (side == 1).any() else left
-        out_a, out_b, more = [], [], False
-        step = max(1, (1 << 22) // max(1, len(right) * size // 8))
-        for k in range(0, len(left), step):
-            rows_ = left[k:k + step]
-            equal = (x[rows_][:, None, :] == x[right][None, :, :]).sum(axis=2)
-            equal[classes[rows_][:, None] == classes[right][None, :]] = 0
-            for r, line in zip(rows_, equal):
-                found = np.flatnonzero(line >= needed)
-                if len(found) > most:
-                    more = True
-                    found = found[np.argsort(-line[found], kind="stable")[:most]]
-                out_a += [min(ids[r], ids[c]) for c in right[found]]
-                out_b += [max(ids[r], ids[c]) for c in right[found]]
-        return pa.RecordBatch.from_pydict({"a": pa.array(out_a, pa.int64()), "b": pa.array(out_b, pa.int64()),
-                                           "more": pa.array([more] * len(out_a), pa.bool_())})
+        def of(rows: list[pa.RecordBatch]) -> pa.RecordBatch:
+            whole = pa.Table.from_batches(rows)
+            out = linked(pa.concat_arrays(whole.column("text").chunks),
+                         *(whole.column(c).to_numpy() for c in ("doc_id", "class_id", "side")), shingle, least)
+            return pa.RecordBatch.from_pydict({"a": pa.array([p[0] for p in out], pa.int64()),
+                                               "b": pa.array([p[1] for p in out], pa.int64())})
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        group, held = None, []
         for batch in batches:
             if not batch.num_rows:
                 continue
@@ -260,17 +254,16 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, least: float = SIMI
     left out; rows that repeat a doc_id
     are one document, in the smallest class that its texts have. Further columns are not read.
 
-    Copies are collapsed first. In every bucket a centre, drawn by hash, is compared with all members. After that, in
-    buckets that still hold members of two classes, each member is compared with the ``4 ** t`` likest members of other
-    classes, by signature, in round t, until none has further ones whose signatures are alike enough. So no pair that
-    shares a bucket is left out, buckets of near copies end after the first step, and pairs are formed within blocks.
+    Copies are collapsed first. In every bucket a centre, drawn by hash, is compared with all members. Buckets that then
+    still hold members of two classes are cut into blocks, and each pair of blocks is compared in one task, all pairs of
+    different classes at once; only links that join classes leave it. So no pair that shares a bucket is left out, and
+    no pairs are emitted. A bucket of n different texts that are not alike costs n * n / 2 comparisons there.
     """
-    size = bands * rows
     docs = docs.select("doc_id", "text").where("doc_id IS NOT NULL")
-    drawn = written(docs.mapInArrow(sketch(shingle, bands, rows), "doc_id bigint, same binary, n_words bigint, "
-                                    "bands array<bigint>, signature binary"), "darts")
-    groups = drawn.where("n_words > 0").groupBy("same").agg(F.min(F.struct("doc_id", "n_words", "bands", "signature")).alias("rep"))
-    groups = written(groups.select("same", "rep.*"), "texts")
+    drawn = written(docs.mapInArrow(sketch(shingle, bands, rows),
+                                    "doc_id bigint, same binary, n_words bigint, bands array<bigint>"), "darts")
+    groups = drawn.where("n_words > 0").groupBy("same").agg(F.min(F.struct("doc_id", "n_words", "bands")).alias("rep"))
+    groups = groups.select("same", "rep.*")
     key = ["band", "hash"]
     members = groups.select("doc_id", "n_words", F.posexplode("bands").alias(*key))
     centres = members.groupBy(*key).agg(F.min(F.struct(F.xxhash64("doc_id", "band"), "doc_id", "n_words")).alias("c"),
@@ -278,45 +271,27 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, least: float = SIMI
     centres = centres.select(*key, "n", F.col("c.doc_id").alias("centre"), F.col("c.n_words").alias("n_c"))
     members = written(members.join(centres, key), "buckets")
     held_docs = written(docs.join(members.select("doc_id").distinct(), "doc_id", "left_semi"), "candidate-texts")
-    signed = groups.select("doc_id", "signature")
-
-    def checked(pairs: DataFrame) -> DataFrame:
-        """Links among the pairs, those of unlike signatures left out."""
-        both = pairs.join(signed.toDF("a", "sa"), "a").join(signed.toDF("b", "sb"), "b").select("a", "b", "sa", "sb")
-        return verified(written(both.mapInArrow(alike(least, size), "a bigint, b bigint"), "candidates"), held_docs, shingle, least)
-
     # shingles shared are at most those of the shorter text
     n_a, n_b = (F.greatest(F.col(c) - (shingle - 1), F.lit(1)) for c in ("n_c", "n_words"))
     stars = members.where((F.col("doc_id") != F.col("centre")) & (F.least(n_a, n_b) >= least * F.greatest(n_a, n_b))).select(
         F.least("doc_id", "centre").alias("a"), F.greatest("doc_id", "centre").alias("b")).distinct()
-    edges = written(checked(stars), "links")
+    edges = written(verified(written(stars, "candidates"), held_docs, shingle, least), "links")
     labels = components(edges)
-    tested = None
-    most = 1
-    while True:
-        held = members.join(labels.withColumnRenamed("id", "doc_id"), "doc_id", "left").withColumn(
-            "class_id", F.coalesce("class_id", "doc_id"))
-        mixed = held.groupBy(*key).agg(F.min("class_id").alias("c1"), F.max("class_id").alias("c2")).where("c1 <> c2")
-        held = held.where("n > 2").join(mixed.select(*key), key)  # in a bucket of two the star has done all
-        blocks = F.ceil(F.col("n") / BLOCK)
-        held = held.select(*key, "doc_id", "class_id", blocks.alias("blocks"), F.pmod(F.xxhash64("doc_id", "band"), blocks).alias("own"))
-        # a member meets each block of its bucket: in pairs of blocks (i, j) with i <= j
-        held = held.withColumn("other", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1))).select(
-            *key, "doc_id", "class_id", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"),
-            (F.col("own") > F.col("other")).cast("int").alias("side")).join(signed, "doc_id")
-        dealt = held.repartition(*key, "i", "j").sortWithinPartitions(*key, "i", "j")
-        found = written(dealt.mapInArrow(partners(least, size, most), "a bigint, b bigint, more boolean"), "partners")
-        pairs = found.select("a", "b").distinct()
-        if tested is not None:
-            pairs = pairs.join(tested, ["a", "b"], "left_anti")
-        pairs = written(pairs, "new-pairs")
-        if not pairs.isEmpty():
-            edges = written(checked(pairs).unionByName(edges), "links")
-            labels = components(edges)
-            tested = written(pairs if tested is None else pairs.unionByName(tested), "tested")
-        if found.where("more").isEmpty():
-            break
-        most *= 4
+
+    held = members.where("n > 2").join(labels.withColumnRenamed("id", "doc_id"), "doc_id", "left").withColumn(
+        "class_id", F.coalesce("class_id", "doc_id"))  # in a bucket of two the star has done all
+    mixed = held.groupBy(*key).agg(F.min("class_id").alias("c1"), F.max("class_id").alias("c2")).where("c1 <> c2")
+    held = held.join(written(mixed.select(*key), "mixed"), key)
+    blocks = F.ceil(F.col("n") / BLOCK)
+    held = held.select(*key, "doc_id", "class_id", blocks.alias("blocks"), F.pmod(F.xxhash64("doc_id", "band"), blocks).alias("own"))
+    # a member meets each block of its bucket: in pairs of blocks (i, j) with i <= j
+    held = held.withColumn("other", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1))).select(
+        *key, "doc_id", "class_id", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"),
+        (F.col("own") > F.col("other")).cast("int").alias("side"))
+    dealt = held.join(held_docs, "doc_id").repartition(*key, "i", "j").sortWithinPartitions(*key, "i", "j")
+    more = written(dealt.mapInArrow(within_blocks(shingle, least), "a bigint, b bigint"), "more-links")
+    labels = components(edges.unionByName(more))
+
     reps = groups.select("same", F.col("doc_id").alias("id")).join(labels, "id", "left")
     found = drawn.select("doc_id", "n_words", "same").join(
         reps.select("same", F.coalesce("class_id", "id").alias("class_id")), "same", "left")
