@@ -5,9 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sheafwork.llm import dart_minhash, line_dedup, winnow
+from sheafwork.llm import bpe_automaton, dart_minhash, line_dedup, quality_qda, winnow
 from sheafwork.llm.common import written
-from sheafwork.llm.queries import table
+from sheafwork.llm.queries import TOKENIZER, table
+
+
+def drop_low_quality(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
+    """Documents that the classifier rejects go; rows without doc_id stay."""
+    found = quality_qda.score_documents(docs, table(spark, folder, "labels"))
+    return docs.join(found.where("predicted = 0").select("doc_id").distinct(), "doc_id", "left_anti").select(*docs.columns)
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
@@ -29,13 +35,20 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, folder: str) -> Data
     return docs.join(found.where("n_hit > 0").select("doc_id"), "doc_id", "left_anti").select(*docs.columns)
 
 
+def encode(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
+    """The kept documents with n_tokens, ids and decoded text."""
+    return bpe_automaton.encode_documents(docs, TOKENIZER)
+
+
 STAGES = [
+    ("quality classifier", drop_low_quality),
     ("line dedup", drop_repeated_lines),
     ("MinHash near-dedup", drop_near_copies),
     ("benchmark decontamination", drop_contaminated),
+    ("BPE encoding and decoding", encode),
 ]
 
-#: The near-duplicate and encoding stages have no SQL counterpart.
+#: The classifier, near-duplicate and encoding stages have no SQL counterpart; tests/llm holds a brute-force version.
 ORACLE_SQL = None
 
 
