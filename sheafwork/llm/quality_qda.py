@@ -125,7 +125,7 @@ def moments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 @dataclass(frozen=True)
 class Discriminant:
-    """Means, Cholesky factors and log prior odds; ``means`` is empty if a class has under two rows, and scores are the prior."""
+    """Means, Cholesky factors and log prior odds; ``means`` is empty if a class has under two rows, and all scores are equal."""
 
     odds: float
     means: tuple[np.ndarray, ...] = ()
@@ -150,7 +150,9 @@ def fit(measured: DataFrame, labels: DataFrame, pooled: float = POOLED, diagonal
         sums[r.good][r.i, r.j] = sums[r.good][r.j, r.i] = r.value
     n0, n1 = sums[False][0, 0], sums[True][0, 0]
     odds = float(np.log((n1 + 1) / (n0 + 1)))
-    if min(n0, n1) < 2:
+    if n0 < 2:
+        return Discriminant(50.0)  # nothing is known to be bad
+    if n1 < 2:
         return Discriminant(odds)
     means = tuple(sums[c][0, 1:] / sums[c][0, 0] for c in (False, True))
     covs = [sums[c][1:, 1:] / sums[c][0, 0] - np.outer(m, m) for c, m in zip((False, True), means)]
@@ -168,7 +170,7 @@ def score_documents(docs: DataFrame, labels: DataFrame, pooled: float = POOLED,
 
     Only labels of documents whose crc32(doc_id as text) mod 4 is not 2 are learned; the others are held out. Nothing but
     the text enters a score. Null and empty texts are scored as empty ones; a row without doc_id is scored and not held
-    out. If a class has fewer than two labelled documents, every score is the prior share. Repeated rows are scored each;
+    out. With fewer than two labelled documents of class 0 every score is 1, with fewer of class 1 the prior share. Repeated rows are scored each;
     further columns are not read.
     """
     measured = written(docs.select("doc_id", "text").mapInArrow(measure, "doc_id bigint, x array<double>"), "statistics")

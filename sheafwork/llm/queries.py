@@ -33,15 +33,15 @@ TOKENIZER, END_ID = public_tokenizers.path("word_bpe_49k.json"), 2
 @query()
 def op1_secret_spans(spark: SparkSession, folder: str) -> DataFrame:
     found = secrets.find_secrets(table(spark, folder, "documents"))
-    named = {k: F.filter("spans", lambda x, k=k: x["kind"] == k) for k in secrets.KINDS}
-    base = F.filter("spans", lambda x: x["kind"].isin(*secrets.KINDS))
+    def of(*kinds: str):
+        return F.filter("spans", lambda x: x["kind"].isin(*kinds))
 
     def joined(spans):
         return F.array_join(F.transform(spans, lambda x: F.concat_ws(":", x["kind"], x["start"], x["end"])), ",")
 
     return found.select(
-        "doc_id", *[F.size(v).cast("bigint").alias(f"n_{k}") for k, v in named.items()],
-        F.sha2(joined(base).cast("binary"), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"))
+        "doc_id", *[F.size(of(k)).cast("bigint").alias(f"n_{k}") for k in secrets.KINDS],
+        F.sha2(joined(of(*secrets.KINDS)).cast("binary"), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"))
 
 
 @query()
