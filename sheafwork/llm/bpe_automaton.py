@@ -34,6 +34,7 @@ END = "\n"
 #: Chunks whose characters all lie below this need no library to split: letters and digits there have been settled long ago.
 PLAIN = "\u0250"
 WORDS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
+MARKS = frozenset(".,;:!?|")
 #: Chunks remembered by each of the two generations of a cache.
 REMEMBERED = 200_000
 
@@ -235,6 +236,14 @@ def model(path: str) -> Model:
     return Model(path)
 
 
+def parted(chunk: str) -> tuple[str, str] | None:
+    """A chunk of letters, lower-cased, and the one mark behind them, if that is all it is and its case is plain."""
+    if not chunk.isascii() and (max(chunk) >= PLAIN or "\u0130" in chunk):
+        return None
+    word, mark = (chunk[:-1], chunk[-1]) if chunk[-1] in MARKS else (chunk, "")
+    return (word.lower(), mark) if word.isalpha() else None
+
+
 def chunks(text: str) -> list[str]:
     """Parts between white space; no token crosses white space."""
     if MORE_BLANKS.search(text):
@@ -250,19 +259,19 @@ class Remembered:
 
     def get(self, keys: list[str]) -> list:
         young = self.young
-        missing = [k for k in dict.fromkeys(keys) if k not in young]
-        if missing:
+        out = list(map(young.get, keys))
+        if None in out:
+            missing = list(dict.fromkeys([k for k, v in zip(keys, out) if v is None]))
             old = self.old
             new = [k for k in missing if k not in old]
             found = dict(zip(new, self.make(new)))
             fresh = {k: found[k] if k in found else old[k] for k in missing}
+            out = [fresh[k] if v is None else v for k, v in zip(keys, out)]
             if len(young) + len(fresh) > self.size:
-                values = young | fresh
-                out = [values[k] for k in keys]
                 self.old, self.young = young, fresh if len(fresh) <= self.size else {}
-                return out
-            young |= fresh
-        return [young[k] for k in keys]
+            else:
+                young |= fresh
+        return out
 
 
 def encoder(path: str):

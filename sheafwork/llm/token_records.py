@@ -9,6 +9,7 @@ or repeated tasks are never read.
 
 from __future__ import annotations
 
+import json
 import struct
 import uuid
 import zlib
@@ -23,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from tokenizers import Tokenizer
 
-from sheafwork.llm.bpe_automaton import chunks, worker_cache
+from sheafwork.llm.bpe_automaton import chunks, parted, worker_cache
 from sheafwork.llm.common import pieces
 
 NO_ID = -(1 << 63)
@@ -31,6 +32,8 @@ HEAD, MASK, BLOCK = 16, 0xA282EAD8, 1024
 INDEX = np.dtype([("doc_id", "<i8"), ("offset", "<i8"), ("size", "<i8"), ("before", "<i8")])
 SHARDS = T.StructType([T.StructField("low", T.LongType()), T.StructField("high", T.LongType()), T.StructField("name", T.StringType()),
                        T.StructField("n_records", T.LongType()), T.StructField("n_tokens", T.LongType())])
+#: Words of letters remembered by a worker.
+WORDS_REMEMBERED = 400_000
 #: Bytes read at a time.
 READ = 8 << 20
 
@@ -115,14 +118,52 @@ def library(path: str) -> Tokenizer:
 
 
 def id_bytes(path: str):
-    """Encodes chunks without white space; their ids as bytes, of the width that the vocabulary needs."""
-    def make(new: list[str]) -> list[bytes]:
+    """Encodes chunks without white space; their ids as bytes, of the width that the vocabulary needs.
+
+    Words of letters alone are remembered without the mark behind them, and new ones are encoded many in one text: each
+    gives one id that ends a word, so the ids can be told apart.
+    """
+    words: dict[str, bytes] = {}
+
+    def encoded(new: list[str]) -> list[bytes]:
         kind = id_type(path)
         return [np.array(e.ids, kind).tobytes() for e in library(path).encode_batch_fast(new, add_special_tokens=False)]
 
+    def learn(new: list[str]) -> None:
+        for a in range(0, len(new), 512):
+            part = new[a:a + 512]
+            ids = np.array(library(path).encode(" ".join(part), add_special_tokens=False).ids, np.int64)
+            stops = np.flatnonzero(word_ends(path)[ids]) + 1
+            if len(stops) == len(part) and stops[-1] == len(ids):
+                held, width = ids.astype(id_type(path)).tobytes(), np.dtype(id_type(path)).itemsize
+                cuts = [0, *(stops * width).tolist()]
+                words.update((w, held[x:y]) for w, x, y in zip(part, cuts, cuts[1:]))
+            else:
+                words.update(zip(part, encoded(part)))
+
+    def make(new: list[str]) -> list[bytes]:
+        parts = [parted(c) for c in new]
+        if len(words) > WORDS_REMEMBERED:
+            words.clear()
+        learn(list(dict.fromkeys([w for p in parts if p for w in p if w and w not in words])))
+        others = iter(encoded([c for c, p in zip(new, parts) if p is None]))
+        return [next(others) if p is None else words[p[0]] + words[p[1]] if p[1] else words[p[0]] for p in parts]
+
     return make
 
 
+@lru_cache(maxsize=2)
+def word_ends(path: str) -> np.ndarray:
+    """Whether an id ends a word."""
+    with open(path, encoding="utf-8") as f:
+        suffix = json.load(f)["model"].get("end_of_word_suffix")
+    vocab = library(path).get_vocab(with_added_tokens=True)
+    out = np.zeros(max(vocab.values()) + 1, bool)
+    out[[i for t, i in vocab.items() if suffix and t.endswith(suffix)]] = True
+    return out
+
+
+@lru_cache(maxsize=2)
 def id_type(path: str) -> str:
     return "<u2" if library(path).get_vocab_size(with_added_tokens=True) <= 65536 else "<u4"
 
