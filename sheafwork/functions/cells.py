@@ -53,13 +53,14 @@ def _any_word(col: Column, words: tuple[str, ...]) -> Column:
     return col.rlike("|".join(words))
 
 
-def guess_column_type(name: Column, samples: Column) -> Column:
-    """Semantic type by name rules, then by at least 80 % of the first 20 non-blank samples."""
+def looks_numeric(col: Column) -> Column:
+    """A number, thousands separators allowed."""
+    return is_number(F.replace(col, F.lit(","), F.lit("")))
+
+
+def guess_column_type(name: Column, n: Column, numeric: Column, boolean: Column) -> Column:
+    """Semantic type by name rules, then by at least 80 % of all ``n`` usable values."""
     norm = F.lower(name)
-    checked = F.slice(F.filter(samples, lambda s: F.trim(s) != ""), 1, 20)
-    n = F.size(checked)
-    numeric = F.size(F.filter(checked, lambda s: is_number(F.replace(s, F.lit(","), F.lit("")))))
-    boolean = F.size(F.filter(checked, lambda s: F.lower(F.trim(s)).isin(*BOOLEAN_WORDS)))
     return (
         F.when(norm.rlike(ID_NAME), "id")
         .when(norm.contains("email"), "email")
@@ -73,6 +74,10 @@ def guess_column_type(name: Column, samples: Column) -> Column:
     )
 
 
+#: Types that matches_type() tests; all values match the others.
+MATCHED = ("number", "email", "date", "phone")
+
+
 def matches_type(col: Column, kind: Column) -> Column:
     """Does one value fit the inferred type? (booleans are judged per column, not here)."""
     v = F.trim(col)

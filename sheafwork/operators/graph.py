@@ -17,8 +17,6 @@ from pyspark.sql import functions as F
 # Coarse relation classes.
 KINSHIP = ("MOTHER_OF", "FATHER_OF", "PARENT_OF", "CHILD_OF", "SPOUSE_OF", "SIBLING_OF", "GUARDIAN_OF")
 BUSINESS = ("OWNS", "EMPLOYED_BY", "PAID", "LOCATED_IN", "SUBSIDIARY_OF", "REPORTS_TO", "TRANSACTED_WITH")
-FACT_LIMIT = 30
-DICTIONARY_BOUND = 200_000  # names held in one automaton; above it the gram join takes over
 
 
 def upsert_entities(nodes: DataFrame | None, new: DataFrame) -> DataFrame:
@@ -84,24 +82,6 @@ def upsert_chunks(old: DataFrame | None, new: DataFrame) -> DataFrame:
         "chunk_id", "_l.ordinal", *[f"_l.{c}" for c in rest])
 
 
-def _automaton_matches(texts: DataFrame, names: list[str], key: str) -> DataFrame:
-    shared = texts.sparkSession.sparkContext.broadcast(names)
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        import ahocorasick
-
-        automaton = ahocorasick.Automaton()
-        for name in shared.value:
-            automaton.add_word(name, name)
-        automaton.make_automaton()
-        for pdf in batches:
-            pairs = [(k, n) for k, t in zip(pdf[key], pdf["text"]) for n in {m for _, m in automaton.iter(t)}]
-            yield pd.DataFrame(pairs, columns=[key, "name"])
-
-    kind = texts.schema[key].dataType.simpleString()
-    return texts.select(key, "text").mapInPandas(run, f"{key} {kind}, name string")
-
-
 def _grams(col, n: int):
     """Distinct n-grams, read off by an overlapping match in one pass over the text."""
     return F.array_distinct(F.regexp_extract_all(col, F.lit("(?s)(?=(.{%d}))" % n), F.lit(1)))
@@ -112,6 +92,8 @@ def gram_matches(texts: DataFrame, names: DataFrame, key: str) -> DataFrame:
 
     Names of one or two characters are grams themselves and need no second test.
     """
+    texts = texts.filter(F.col("text").isNotNull())
+    names = names.select("name").filter(F.length("name") > 0).distinct()
     long_names = names.filter(F.length("name") >= 3)
     used = long_names.select("name", F.explode(_grams(F.col("name"), 3)).alias("gram"))
     seen = texts.select(key, F.explode(_grams(F.col("text"), 3)).alias("gram"))
@@ -128,36 +110,19 @@ def gram_matches(texts: DataFrame, names: DataFrame, key: str) -> DataFrame:
     return hits
 
 
-def substring_matches(texts: DataFrame, names: DataFrame, key: str, bound: int = DICTIONARY_BOUND) -> DataFrame:
-    """(key, name) for every name contained in a text.
-
-    A dictionary of at most ``bound`` names is shipped to the tasks and each text is scanned once; a
-    larger one goes through the gram join. Both are exact.
-    """
-    distinct = names.select("name").filter(F.length("name") > 0).distinct()
-    head = [r.name for r in distinct.limit(bound + 1).collect()]
-    if not head:
-        return texts.select(key, F.lit("").alias("name")).limit(0)
-    try:
-        import ahocorasick  # noqa: F401
-    except ImportError:
-        return gram_matches(texts, distinct, key)
-    return gram_matches(texts, distinct, key) if len(head) > bound else _automaton_matches(texts, head, key)
-
-
-def mentions(chunks: DataFrame, nodes: DataFrame, bound: int = DICTIONARY_BOUND) -> DataFrame:
+def mentions(chunks: DataFrame, nodes: DataFrame) -> DataFrame:
     """MENTIONS edges: the chunk's text contains the entity's name (case-sensitive), per job."""
-    found = substring_matches(chunks, nodes, "chunk_id", bound)
+    found = gram_matches(chunks, nodes, "chunk_id")
     jobs = chunks.select("chunk_id", "job_id")
     return found.join(jobs, "chunk_id").join(nodes.select("job_id", "name", "type"), ["job_id", "name"]).select(
         "job_id", "chunk_id", "name", "type").distinct()
 
 
-def entities_in_text(questions: DataFrame, nodes: DataFrame, bound: int = DICTIONARY_BOUND) -> DataFrame:
+def entities_in_text(questions: DataFrame, nodes: DataFrame) -> DataFrame:
     """Entities named in each question, case-insensitively. questions: question_id, text."""
     low = nodes.select(F.lower("name").alias("name"))
     texts = questions.select("question_id", F.lower("text").alias("text"))
-    found = substring_matches(texts, low, "question_id", bound)
+    found = gram_matches(texts, low, "question_id")
     names = nodes.select(F.lower("name").alias("_k"), F.col("name").alias("entity"), "type").distinct()
     return found.join(names, found.name == names._k).select("question_id", "entity", "type").distinct()
 
@@ -171,16 +136,17 @@ def facts_for(seeds: DataFrame, edges: DataFrame) -> DataFrame:
     return seeds.join(out.unionByName(inn), ["entity", "type"], "left")
 
 
-def expand_from_chunks(links: DataFrame, edges: DataFrame, chunk_ids: DataFrame, limit: int = FACT_LIMIT) -> DataFrame:
-    """Distinct entities mentioned by the given chunks (first ``limit`` by name) with their relations."""
+def expand_from_chunks(links: DataFrame, edges: DataFrame, chunk_ids: DataFrame, limit: int | None = None) -> DataFrame:
+    """Distinct entities mentioned by the given chunks (all, or the first ``limit`` by name) with their relations."""
     hit = links.join(chunk_ids.select("chunk_id").distinct(), "chunk_id", "left_semi")
-    seeds = hit.select(F.col("name").alias("entity"), "type").distinct().orderBy("entity", "type").limit(limit)
-    return facts_for(seeds, edges)
+    seeds = hit.select(F.col("name").alias("entity"), "type").distinct()
+    return facts_for(seeds if limit is None else seeds.orderBy("entity", "type").limit(limit), edges)
 
 
-def expand_from_names(nodes: DataFrame, edges: DataFrame, names: DataFrame, limit: int = FACT_LIMIT) -> DataFrame:
+def expand_from_names(nodes: DataFrame, edges: DataFrame, names: DataFrame, limit: int | None = None) -> DataFrame:
     seeds = nodes.join(names.select("name").distinct(), "name", "left_semi").select(F.col("name").alias("entity"), "type")
-    return facts_for(seeds.distinct().orderBy("entity", "type").limit(limit), edges)
+    seeds = seeds.distinct()
+    return facts_for(seeds if limit is None else seeds.orderBy("entity", "type").limit(limit), edges)
 
 
 def relation_degree(edges: DataFrame) -> DataFrame:

@@ -12,6 +12,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from sheafwork.sources.records import is_valid_json
+
 
 def run_extractor(segments: DataFrame, agent: str, fn: Callable[[str], str]) -> DataFrame:
     """Call a user function once per segment; an exception becomes a failed row."""
@@ -34,27 +36,31 @@ def run_extractor(segments: DataFrame, agent: str, fn: Callable[[str], str]) ->
 
 
 def salvage_json(df: DataFrame, column: str = "response") -> DataFrame:
-    """Adds ``json`` (text that parses as an object, or null) and ``ok``."""
+    """Adds ``json`` (text that is one JSON object and nothing else, or null) and ``ok``."""
     raw = F.trim(column)
     inner = F.regexp_extract(raw, r"(?s)(\{.*\})", 1)
 
     def usable(text):
-        return F.when(text.startswith("{") & F.try_parse_json(text).isNotNull(), text)
+        return F.when(text.startswith("{") & is_valid_json(text), text)
 
     found = F.coalesce(usable(raw), usable(inner))
     return df.withColumn("json", found).withColumn("ok", found.isNotNull())
 
 
 def _items(responses: DataFrame, agent: str, field: str, item: str) -> DataFrame:
+    """Objects of the list ``field``, each parsed by itself: one that is no object loses nothing but itself."""
     parsed = salvage_json(responses.filter(F.col("agent") == agent)).filter("ok")
-    typed = parsed.withColumn("_x", F.from_json("json", f"struct<{field}:array<struct<{item}>>>"))
-    return typed.select("source_file", "segment_no", F.posexplode(f"_x.{field}").alias("item_no", "x"))
+    texts = F.from_json("json", f"{field} array<string>")[field]
+    each = parsed.select("source_file", "segment_no", F.posexplode(texts).alias("item_no", "t")).filter(F.col("t").startswith("{"))
+    return each.select("source_file", "segment_no", "item_no", "t", F.from_json("t", item.replace(":", " ").replace(",", ", ")).alias("x"))
 
 
 def parse_entities(responses: DataFrame) -> DataFrame:
     rows = _items(responses, "NER", "entities", "name:string,type:string,mentions:array<string>,confidence:string")
     confidence = F.when(F.col("x.confidence").isNull(), F.lit(0.7)).otherwise(F.col("x.confidence").try_cast("double"))
-    return rows.filter(F.col("x.name").isNotNull() & confidence.isNotNull()).select(
+    given = F.get_json_object("t", "$.mentions")
+    listed = given.isNull() | given.startswith("[")
+    return rows.filter(F.col("x.name").isNotNull() & confidence.isNotNull() & listed).select(
         "source_file", "segment_no", "item_no", F.col("x.name").alias("name"),
         F.coalesce("x.type", F.lit("OTHER")).alias("type"),
         F.coalesce("x.mentions", F.array().cast("array<string>")).alias("mentions"), confidence.alias("confidence"))

@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from sheafwork.functions import ids
 from sheafwork.functions.text import redact
-from sheafwork.session import spread
 
 SEVERITY_RANK = {"critical": 0, "high": 1, "medium": 2, "low": 3}
 METHOD_LABEL = {"rules_checksum": "✓ Verified", "rules_shape": "Pattern match", "llm": "AI-flagged"}
@@ -22,7 +21,7 @@ def scan(df: DataFrame, families: dict[str, ids.Family], text: str = "text") ->
     keep = [c for c in df.columns if c != text]
     source = {"text": f"`{text}`", "numeric": "_numeric", "lettered": "_lettered"}
     used = {f.source for f in families.values()}
-    base = spread(df)
+    base = df
     if "text" not in used or "mrz" in families:
         base = base.filter(F.col(text).rlike(r"\d\d"))
     if "numeric" in used:

@@ -6,8 +6,10 @@ string DataFrames; both forms are accepted where it matters.
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from sheafwork.functions import cells as C
 from sheafwork.functions.text import file_stem, sanitize_ident
@@ -43,7 +45,7 @@ def column_names(headers: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def infer_types(cells: DataFrame) -> DataFrame:
-    """INTEGER, REAL or TEXT per column when at least 90 % of non-null values parse.
+    """INTEGER, REAL or TEXT per column when at least 90 % of non-null values parse; REAL if an integer is too wide.
 
     Values are pre-counted per distinct value, so the patterns run once per distinct value and a hot
     value costs one row after the map-side combine.
@@ -56,14 +58,15 @@ def infer_types(cells: DataFrame) -> DataFrame:
         F.sum(F.when(live, F.col("n")).otherwise(0)).alias("filled"),
         F.sum(F.when(live & C.looks_integer(v), F.col("n")).otherwise(0)).alias("ints"),
         F.sum(F.when(live & C.looks_real(v), F.col("n")).otherwise(0)).alias("reals"),
+        F.sum(F.when(live & C.looks_integer(v) & C.clean_numeric(v).try_cast("bigint").isNull(), 1).otherwise(0)).alias("wide"),
     )
     kind = (
         F.when(F.col("filled") == 0, "TEXT")
-        .when(F.col("ints") * 100 >= F.col("filled") * TYPE_THRESHOLD, "INTEGER")
+        .when(F.col("ints") * 100 >= F.col("filled") * TYPE_THRESHOLD, F.when(F.col("wide") == 0, "INTEGER").otherwise("REAL"))
         .when(F.col("reals") * 100 >= F.col("filled") * TYPE_THRESHOLD, "REAL")
         .otherwise("TEXT")
     )
-    return sums.withColumn("storage_type", kind)
+    return sums.withColumn("storage_type", kind).drop("wide")
 
 
 def coerce(col, kind: str):
@@ -82,9 +85,10 @@ def type_table(df: DataFrame, kinds: dict[str, str]) -> DataFrame:
 
 
 def rejects(cells: DataFrame, types: DataFrame) -> DataFrame:
-    """Cells whose column is numeric but whose value is not; they are NULL in the typed table."""
+    """Cells with a value whose typed value is NULL: whatever the cast loses is listed."""
     v = F.col("value")
-    bad = (F.col("storage_type") == "INTEGER") & ~C.looks_integer(v) | (F.col("storage_type") == "REAL") & ~C.looks_real(v)
+    bad = ((F.col("storage_type") == "INTEGER") & coerce(v, "INTEGER").isNull() |
+           (F.col("storage_type") == "REAL") & coerce(v, "REAL").isNull())
     kinds = types.select("source_file", "table_id", "col_idx", "storage_type")
     return (
         cells.join(kinds, ["source_file", "table_id", "col_idx"])
@@ -98,10 +102,32 @@ def usable(tables: DataFrame) -> DataFrame:
 
 
 def table_names(tables: DataFrame, fallback: str = "table") -> DataFrame:
-    """Unique table name from file stem and sheet; clashes get _2, _3 ... after a cut to 55."""
+    """Unique table name from file stem and sheet, in order of ``ordinal``; a taken name gets _2, _3 ... after a cut to 55.
+
+    Names that can clash share a root (the name without trailing numbers, cut to 55), so the search for a free name runs
+    within a root only.
+    """
     stem = F.lower(file_stem(F.col("source_file")))
     seed = F.when(F.coalesce("sheet", F.lit("")) != "", F.concat_ws("_", stem, "sheet")).otherwise(stem)
+    numbers = "(_[0-9]+)+$"
+    bare = lambda c: F.regexp_replace(c, numbers, "")
     named = tables.withColumn("base_name", sanitize_ident(seed, F.lit(fallback)))
-    n = F.col("_k")
-    full = F.when(n == 1, F.col("base_name")).otherwise(F.concat(F.substring("base_name", 1, 55), F.lit("_"), n))
-    return row_number_within(named, ["base_name"], "ordinal", "_k").withColumn("table_name", full).drop("_k")
+    named = named.withColumn("_root", bare(F.substring(bare(F.col("base_name")), 1, 55)))
+    schema = T.StructType([f for f in named.schema if f.name != "_root"] + [T.StructField("table_name", T.StringType())])
+
+    def free(group: pd.DataFrame) -> pd.DataFrame:
+        taken: set[str] = set()
+        count: dict[str, int] = {}
+        names = []
+        group = group.sort_values("ordinal", kind="stable")
+        for base in group["base_name"]:
+            k, name = count.get(base, 1), base
+            while name in taken:
+                k += 1
+                name = f"{base[:55]}_{k}"
+            count[base] = k
+            taken.add(name)
+            names.append(name)
+        return group.assign(table_name=names).drop(columns="_root")
+
+    return named.groupBy("_root").applyInPandas(free, schema)

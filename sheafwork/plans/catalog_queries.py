@@ -10,7 +10,8 @@ from sheafwork.operators import mapping as M
 from sheafwork.operators import quality as Q
 from sheafwork.operators import tabular as Y
 from sheafwork.plans import inputs as I
-from sheafwork.plans.quality_queries import QUALITY, guess_sql, percent
+from sheafwork.functions import cells as cells_rules
+from sheafwork.plans.quality_queries import NUMBER, QUALITY, _in, guess_sql, percent
 from sheafwork.plans.registry import query
 
 CELLS, TABLES = I.cells_sql(), I.tables_sql()
@@ -149,9 +150,11 @@ def proposal_split(t):
 
 
 _COLUMNS = f"""
-SELECT h.source_file, h.table_id, h.col_idx, h."column", h.target AS target_column, {guess_sql('h."column"', 's')} AS data_type_guess,
+SELECT h.source_file, h.table_id, h.col_idx, h."column", h.target AS target_column, {guess_sql('h."column"', 'n', 'num', 'word')} AS data_type_guess,
   array_to_string(s[1:5], ' | ') AS sample_values, CASE WHEN len(q.issues) > 0 THEN array_to_string(q.issues, '; ') END AS comments
-FROM ({_HEADERS}) h JOIN (SELECT table_no, col_idx, coalesce(list(value ORDER BY row_id) FILTER (WHERE row_id < 20 AND value <> ''), []) AS s
+FROM ({_HEADERS}) h JOIN (SELECT table_no, col_idx, coalesce(list(value ORDER BY row_id) FILTER (WHERE trim(value) <> ''), []) AS s, count(*) FILTER (WHERE trim(value) <> '') AS n,
+    count(*) FILTER (WHERE trim(value) <> '' AND regexp_matches(replace(trim(value), ',', ''), '{NUMBER}')) AS num,
+    count(*) FILTER (WHERE lower(trim(value)) IN {_in(cells_rules.BOOLEAN_WORDS)}) AS word
   FROM ({CELLS}) GROUP BY ALL) c USING (table_no, col_idx) JOIN ({QUALITY}) q USING (source_file, table_id, col_idx)
 """
 

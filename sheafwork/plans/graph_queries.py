@@ -14,21 +14,21 @@ _NER = """
 SELECT concat('orders/', CAST(o_orderkey % 500 AS STRING), '.txt') AS source_file, 'NER' AS agent, o_orderkey AS segment_no,
   CASE o_orderkey % 7
     WHEN 0 THEN concat('Sure: ```json', chr(10), body, chr(10), '```') WHEN 1 THEN substr(body, 1, 40)
-    WHEN 2 THEN CAST(NULL AS STRING) ELSE body END AS response
+    WHEN 2 THEN CAST(NULL AS STRING) WHEN 3 THEN concat(body, ' and ', body) WHEN 4 THEN concat(body, ' x') ELSE body END AS response
 FROM (SELECT *, concat('{{"entities": [{{"name": "', CASE WHEN o_orderkey % 2 = 0 THEN upper(c_name) ELSE c_name END,
   '", "type": "PERSON", "mentions": ["m', CAST(o_orderkey % 9 AS STRING), '", "buyer"], "confidence": 0.', CAST(o_orderkey % 9 + 1 AS STRING),
-  '}}, {{"name": "', c_mktsegment, '"}}, {{"type": "ORG"}}, {{"name": "x", "confidence": "high"}}]}}') AS body
+  '}}, {{"name": "', c_mktsegment, '"}}, {{"type": "ORG"}}, {{"name": "x", "confidence": "high"}}, 7, "note", null, [1], {{"name": "y", "mentions": "z"}}, {{"name": "w", "mentions": null}}]}}') AS body
   FROM {orders} JOIN {customer} ON o_custkey = c_custkey)
 """
 _OTHERS = """
 SELECT concat('orders/', CAST(o_orderkey % 500 AS STRING), '.txt') AS source_file, 'PII' AS agent, o_orderkey AS segment_no,
   concat('{{"findings": [{{"category": "EMAIL", "value_redacted": "j***", "severity": "medium", "location": "l',
-    CAST(o_orderkey AS STRING), '", "subject_entity": " ', lower(c_name), ' "}}, {{"location": "here", "subject_entity": "Nobody"}}]}}') AS response
+    CAST(o_orderkey AS STRING), '", "subject_entity": " ', lower(c_name), ' "}}, {{"location": "here", "subject_entity": "Nobody"}}, 7, "note"]}}') AS response
 FROM {orders} JOIN {customer} ON o_custkey = c_custkey
 UNION ALL
 SELECT concat('orders/', CAST(o_orderkey % 500 AS STRING), '.txt'), 'Financial', o_orderkey,
   concat('{{"facts": [{{"label": "Total", "amount": ', CAST(o_custkey AS STRING), ', "currency": "USD"}}, {{"amount": "12.5"}}, ',
-    '{{"label": "bad", "amount": "n/a"}}, {{"label": "none", "amount": null, "period": "Q1"}}]}}')
+    '{{"label": "bad", "amount": "n/a"}}, {{"label": "none", "amount": null, "period": "Q1"}}, [2]]}}')
 FROM {orders}
 UNION ALL
 SELECT concat('orders/', CAST(o_orderkey % 600 AS STRING), '.txt'), 'Relation', o_orderkey,
@@ -46,7 +46,7 @@ SELECT *, CASE WHEN json_valid(trim(response)) AND starts_with(trim(response), c
 def _items(agent: str, field: str) -> str:
     return f"""SELECT source_file, segment_no, CAST(i - 1 AS INT) AS item_no, x[i] AS x FROM (
   SELECT *, unnest(range(1, len(x) + 1)) AS i FROM (SELECT source_file, segment_no, CAST(json_extract(json, '$.{field}') AS JSON[]) AS x
-  FROM ({_JSON} FROM ({_ALL})) WHERE agent = '{agent}' AND json IS NOT NULL))"""
+  FROM ({_JSON} FROM ({_ALL})) WHERE agent = '{agent}' AND json IS NOT NULL)) WHERE json_type(x[i]) = 'OBJECT'"""
 
 
 def _str(name: str) -> str:
@@ -54,10 +54,11 @@ def _str(name: str) -> str:
 
 
 _ENT = f"""SELECT source_file, segment_no, item_no, {_str('name')} AS name, coalesce({_str('type')}, 'OTHER') AS type,
-  coalesce(CAST(json_extract(x, '$.mentions') AS STRING[]), []) AS mentions,
+  coalesce(TRY_CAST(json_extract(x, '$.mentions') AS STRING[]), []) AS mentions,
   CASE WHEN {_str('confidence')} IS NULL THEN CAST(0.7 AS DOUBLE) ELSE TRY_CAST({_str('confidence')} AS DOUBLE) END AS confidence
 FROM ({_items('NER', 'entities')}) WHERE {_str('name')} IS NOT NULL
-  AND ({_str('confidence')} IS NULL OR TRY_CAST({_str('confidence')} AS DOUBLE) IS NOT NULL)"""
+  AND ({_str('confidence')} IS NULL OR TRY_CAST({_str('confidence')} AS DOUBLE) IS NOT NULL)
+  AND coalesce(json_type(json_extract(x, '$.mentions')), 'NULL') IN ('ARRAY', 'NULL')"""
 
 
 @query("X2", f"SELECT source_file, segment_no, json IS NOT NULL AS ok FROM ({_JSON} FROM ({_ALL})) WHERE agent = 'NER'")
@@ -279,7 +280,7 @@ def mentions(t):
 
 @query("G5", MENTIONS)
 def mentions_by_grams(t):
-    return G.mentions(doc_chunks(t), text_nodes(t), bound=0)
+    return G.mentions(doc_chunks(t), text_nodes(t))
 
 
 # Relations between words of the same passage, so that mentioned entities have facts.
@@ -312,10 +313,8 @@ def facts_sql(seeds: str) -> str:
   UNION ALL SELECT target, target_type, type, source, 'in' FROM ({WORD_EDGES})) r USING (entity, type)"""
 
 
-_SEEDS = f"""SELECT DISTINCT name AS entity, type FROM ({MENTIONS}) WHERE chunk_id IN (SELECT doc_id FROM {{labels}} WHERE quality = 0)
-ORDER BY entity, type LIMIT 30"""
-_NAMED = f"""SELECT DISTINCT name AS entity, type FROM ({TEXT_NODES}) WHERE name IN (SELECT source FROM ({WORD_EDGES}))
-ORDER BY entity, type LIMIT 30"""
+_SEEDS = f"""SELECT DISTINCT name AS entity, type FROM ({MENTIONS}) WHERE chunk_id IN (SELECT doc_id FROM {{labels}} WHERE quality = 0)"""
+_NAMED = f"""SELECT DISTINCT name AS entity, type FROM ({TEXT_NODES}) WHERE name IN (SELECT source FROM ({WORD_EDGES}))"""
 
 
 @query("G7", facts_sql(_SEEDS))

@@ -33,20 +33,17 @@ def class_sql(v: str) -> str:
     OR (length({v}) >= 4 AND replace(lower({v}), left(lower({v}), 1), '') = '') THEN 'garbage' ELSE 'ok' END"""
 
 
-def guess_sql(name: str, samples: str) -> str:
-    """Semantic type from a name expression and a list of samples."""
+def guess_sql(name: str, n: str, numeric: str, words: str) -> str:
+    """Semantic type from a name expression and counts of usable, numeric and boolean values."""
     def has(words) -> str:
         return "(" + " OR ".join(f"contains(lower({name}), '{w}')" for w in words) + ")"
 
-    kept = f"list_filter({samples}, lambda s: trim(s) <> '')[1:20]"
-    numeric = f"len(list_filter({kept}, lambda s: regexp_matches(replace(s, ',', ''), '{NUMBER}')))"
-    words = f"len(list_filter({kept}, lambda s: lower(trim(s)) IN {_in(C.BOOLEAN_WORDS)}))"
     return f"""CASE WHEN regexp_matches(lower({name}), '{C.ID_NAME}') THEN 'id'
   WHEN {has(('email',))} THEN 'email' WHEN {has(('phone', 'tel'))} THEN 'phone' WHEN {has(C.DATE_NAME_WORDS)} THEN 'date'
   WHEN regexp_matches(lower({name}), '{C.BOOLEAN_NAME}') OR {has(C.BOOLEAN_NAME_WORDS)} THEN 'boolean'
   WHEN {has(C.NUMBER_NAME_WORDS)} THEN 'number'
-  WHEN len({kept}) > 0 AND {numeric} * 10 >= len({kept}) * 8 THEN 'number'
-  WHEN len({kept}) > 0 AND {words} * 10 >= len({kept}) * 8 THEN 'boolean' ELSE 'text' END"""
+  WHEN {n} > 0 AND {numeric} * 10 >= {n} * 8 THEN 'number'
+  WHEN {n} > 0 AND {words} * 10 >= {n} * 8 THEN 'boolean' ELSE 'text' END"""
 
 
 def match_sql(v: str, kind: str) -> str:
@@ -91,10 +88,11 @@ SELECT s.*, CASE WHEN inferred_type = 'boolean' THEN boolean_hits ELSE plain_hit
     count(*) FILTER (WHERE cls = 'ok' AND {match_sql('v', 'inferred_type')}) AS plain_hits,
     arg_min(v, row_id) FILTER (WHERE cls = 'ok') AS first_ok
   FROM (SELECT c.*, k.inferred_type FROM (SELECT *, trim(value) AS v, {class_sql('trim(value)')} AS cls FROM ({CELLS})) c
-    JOIN (SELECT {KEYS}, {guess_sql('"column"', 'samples')} AS inferred_type FROM (
-      SELECT {KEYS}, coalesce(list(v ORDER BY row_id) FILTER (WHERE cls = 'ok' AND rn <= 20), []) AS samples FROM (
-        SELECT *, row_number() OVER (PARTITION BY {KEYS}, cls ORDER BY row_id) AS rn FROM (
-          SELECT *, trim(value) AS v, {class_sql('trim(value)')} AS cls FROM ({CELLS}))) GROUP BY ALL)) k
+    JOIN (SELECT {KEYS}, {guess_sql('"column"', 'ok_n', 'num_n', 'word_n')} AS inferred_type FROM (
+      SELECT {KEYS}, count(*) FILTER (WHERE cls = 'ok') AS ok_n,
+        count(*) FILTER (WHERE cls = 'ok' AND regexp_matches(replace(v, ',', ''), '{NUMBER}')) AS num_n,
+        count(*) FILTER (WHERE cls = 'ok' AND lower(v) IN {_in(C.BOOLEAN_WORDS)}) AS word_n FROM (
+          SELECT *, trim(value) AS v, {class_sql('trim(value)')} AS cls FROM ({CELLS})) GROUP BY ALL)) k
     USING ({KEYS})) GROUP BY ALL) s
 """
 ISSUES = f"""list_filter([
@@ -253,7 +251,7 @@ def _findings(t):
 @query("Q8", f"""
 WITH f AS (SELECT *, row_number() OVER (PARTITION BY source_file ORDER BY severity DESC, table_id, col_idx, issue_no) AS rn FROM ({FINDINGS}))
 SELECT source_file, least(CAST(sum(severity) AS DOUBLE), 40.0) AS penalty, count(*) AS findings,
-  string_agg(message, ' | ' ORDER BY rn) FILTER (WHERE rn <= 8) || CASE WHEN count(*) > 8 THEN
+  string_agg(message, ' | ' ORDER BY rn) || CASE WHEN false THEN
     concat(' | ...and ', count(*) - 8, ' more column-level issue(s) -- see the table breakdown') ELSE '' END AS messages
 FROM f GROUP BY source_file
 """)

@@ -69,7 +69,7 @@ def guard_statements(t):
 
 
 @query("V9", f"""
-WITH c AS (SELECT *, {_EXTRACT} AS sql FROM ({_REPLIES}) WHERE attempt <= 2), l AS (SELECT * FROM c WHERE attempt = 2)
+WITH c AS (SELECT *, {_EXTRACT} AS sql FROM ({_REPLIES})), l AS (SELECT c.* FROM c JOIN (SELECT question_id, max(attempt) AS attempt FROM c GROUP BY 1) USING (question_id, attempt))
 SELECT question_id, attempt, sql, CASE WHEN contains(upper(sql), 'NOT_ANSWERABLE') THEN 'not answerable' WHEN {_SAFE} THEN 'accepted' ELSE 'rejected' END AS verdict,
   CASE WHEN contains(upper(sql), 'NOT_ANSWERABLE') THEN 'schema cannot answer' WHEN {_SAFE} THEN NULL
     WHEN regexp_matches(sql, '{V.FORBIDDEN}') THEN 'forbidden word' ELSE 'not a single read-only select' END AS reason FROM l
@@ -101,8 +101,7 @@ SELECT row_number() OVER (ORDER BY c_custkey) AS ordinal, concat('t_', CAST(c_cu
 @query("V8", f"""
 WITH m AS (SELECT c_custkey AS ordinal, concat('t_', c_custkey) AS table_name, concat(lower(c_mktsegment), '.csv') AS source_file, c_nationkey AS row_count FROM {{customer}})
 SELECT concat((SELECT string_agg(concat('Table "', table_name, '" (from ', source_file, ', ', row_count, ' rows): id (INTEGER), name (TEXT)'), chr(10) ORDER BY ordinal)
-  FROM (SELECT * FROM m ORDER BY ordinal LIMIT 40)), chr(10), '... and ', (SELECT count(*) FROM m) - 40,
-  ' more table(s) not shown here -- ask a more specific question naming the file if it''s one of those.') AS schema_text
+  FROM m)) AS schema_text
 """)
 def schema_prompt(t):
     pair = lambda n, k: F.struct(F.lit(n).alias("name"), F.lit(k).alias("type"))
@@ -174,7 +173,7 @@ SELECT conv_id AS question_id, CAST(turn + 1 AS INT) AS rank, concat('chat/', CA
 @query("V10", f"""
 SELECT question_id, concat('--- Retrieved passages ---', chr(10), chr(10), string_agg(concat('[', source_file, CASE WHEN page IS NULL THEN '' ELSE concat(' p.', page) END,
     '] (score=', format('{{{{:.2f}}}}', score), ')', chr(10), text), chr(10) || chr(10) ORDER BY rank)) AS context,
-  string_agg(concat(source_file, ': ', substr(text, 1, 300)), chr(10) ORDER BY rank) FILTER (WHERE rank <= 5) AS citations
+  string_agg(concat(source_file, ': ', text), chr(10) ORDER BY rank) AS citations
 FROM ({_HITS}) GROUP BY question_id
 """)
 def build_context(t):

@@ -18,7 +18,7 @@ SELECT path, ordinal, category, CAST({_W} AS DOUBLE) + least(len(hits), 3) * 1.5
 FROM ({DESCRIBED})
 """
 RANKED = f"SELECT *, row_number() OVER (ORDER BY round(score, 9) DESC, ordinal) AS rank FROM ({SCORED})"
-BATCHED = f"SELECT *, CASE WHEN (SELECT count(*) FROM ({DESCRIBED})) > 30 THEN (rank + 14) // 15 ELSE 1 END AS batch_no FROM ({RANKED})"
+BATCHED = f"SELECT *, (rank + 14) // 15 AS batch_no FROM ({RANKED})"
 
 
 def scored(t):

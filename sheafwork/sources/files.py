@@ -26,7 +26,6 @@ SUFFIXES = {
     "web": (".html", ".htm", ".xml", ".geojson"),
 }
 SUPPORTED = ("pdf", "image", "csv", "json", "excel", "office", "email", "database", "code", "media", "web")
-MAX_FILE_BYTES = 500 * 1024 * 1024
 
 
 def category_by_suffix() -> dict[str, str]:
@@ -46,11 +45,14 @@ def classify_files(df: DataFrame, path_col: str = "path") -> DataFrame:
     return df.withColumn("category", F.coalesce(found, F.lit("unknown")))
 
 
-def describe_files(df: DataFrame, path_col: str = "path") -> DataFrame:
-    """Category, keyword hits and acceptance for a listing with size_bytes (null: missing file)."""
+def describe_files(df: DataFrame, path_col: str = "path", most_bytes: int | None = None) -> DataFrame:
+    """Category, keyword hits and acceptance for a listing with size_bytes (null: missing file).
+
+    Every file is accepted unless the caller sets ``most_bytes``.
+    """
     return classify_files(df, path_col).withColumn("size_bytes", F.coalesce("size_bytes", F.lit(0))).withColumn(
         "keyword_hits", keyword_hits(base_name(F.col(path_col)))).withColumn(
-        "accepted", F.col("size_bytes") <= MAX_FILE_BYTES)
+        "accepted", F.lit(True) if most_bytes is None else F.col("size_bytes") <= most_bytes)
 
 
 def file_metadata(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
@@ -142,7 +144,7 @@ def import_tables(readers: dict[str, Callable[[], DataFrame]]) -> tuple[dict[str
     return tables, out
 
 
-def preview(df: DataFrame, source: str, order: str, n: int = 500) -> DataFrame:
+def preview(df: DataFrame, source: str, order: str, n: int) -> DataFrame:
     """First n rows per source with a flag telling whether more exist."""
     w = Window.partitionBy(source).orderBy(order)
     sizes = df.groupBy(source).agg((F.count("*") > n).alias("truncated"))

@@ -11,10 +11,6 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sheafwork.session import spread
-
-LIST_ITEMS = 20
-MAX_DEPTH = 50
 BOM = "﻿"
 
 
@@ -33,23 +29,33 @@ def number_lines(lines: DataFrame, file_col: str = "source_file", name: str = "l
 
 
 def is_valid_json(col: Column) -> Column:
-    """Parses as JSON; repeated object keys are allowed."""
-    return F.coalesce(F.try_parse_json(col).isNotNull() | F.json_object_keys(col).isNotNull(), F.lit(False))
+    """One JSON value and nothing behind it; repeated object keys are allowed.
+
+    The parsers stop at the end of the first value, so the text is also tested as a member of an object and as the only
+    item of a list: text behind the value breaks one of the two.
+    """
+    parses = F.try_parse_json(col).isNotNull() | F.json_object_keys(col).isNotNull()
+    member = F.get_json_object(F.concat(F.lit('{"v":'), col, F.lit(',"end":0}')), "$.end") == "0"
+    item = F.json_array_length(F.concat(F.lit("["), col, F.lit("]"))) == 1
+    return F.coalesce(parses & member & item, F.lit(False))
 
 
 def quarantine_bad_lines(lines: DataFrame, value: str = "value", file_col: str = "source_file",
-                         line: str = "line_no", shown: int = 10) -> tuple[DataFrame, DataFrame]:
-    """(valid records, warnings). The first ten bad lines per file are named, the rest counted."""
+                         line: str = "line_no", shown: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """(valid records, warnings): every bad line with its text, or the first ``shown`` per file and a count of the rest."""
     live = lines.filter(F.trim(value) != "")
     good = live.filter(is_valid_json(F.col(value)))
     bad = live.filter(~is_valid_json(F.col(value)))
+    if shown is None:
+        return good, bad.select(file_col, F.col(line).cast("long").alias("warning_no"), F.concat(
+            F.lit("line "), F.col(line), F.lit(" is no JSON value")).alias("warning"), F.col(value).alias("bad_text"))
     w = Window.partitionBy(file_col).orderBy(line)
     named = bad.select(file_col, line).withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") <= shown).select(
         file_col, F.col("_rn").alias("warning_no"),
-        F.concat(F.lit("JSONL line "), F.col(line), F.lit(" skipped (invalid JSON)")).alias("warning"))
+        F.concat(F.lit("line "), F.col(line), F.lit(" is no JSON value")).alias("warning"))
     rest = bad.groupBy(file_col).agg(F.count("*").alias("n")).filter(F.col("n") > shown).select(
         file_col, F.lit(shown + 1).alias("warning_no"),
-        F.concat(F.lit("...and "), F.col("n") - shown, F.lit(" more JSONL line(s) skipped (invalid JSON).")).alias("warning"))
+        F.concat(F.col("n") - shown, F.lit(" further lines are no JSON values")).alias("warning"))
     return good, named.unionByName(rest)
 
 
@@ -87,18 +93,22 @@ def read_records(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     is_list = F.col("raw").startswith("[")
     items = whole.filter(valid & is_list).select("source_file", F.posexplode(F.from_json("raw", "array<string>")).alias("record_no", "raw"))
     objects = unwrap_records(whole.filter(valid & ~is_list))
-    broken = whole.filter(~valid).select("source_file", F.lit(1).alias("warning_no"), F.lit("JSON parse error").alias("warning"))
+    broken = whole.filter(~valid).select("source_file", F.lit(1).cast("long").alias("warning_no"), F.lit("file is no JSON value").alias("warning"),
+                                         F.col("raw").alias("bad_text"))
     numbered = items.unionByName(objects).select("source_file", (F.col("record_no") + 1).cast("long").alias("record_no"), "raw")
     return jsonl.unionByName(numbered), warnings.unionByName(broken)
 
 
 def json_depth(raw: Column) -> Column:
-    """Nesting depth of a JSON text: how often innermost bracket pairs can be taken away."""
+    """Nesting depth of a JSON text: the most brackets open at once, in one pass over its brackets."""
     brackets = F.regexp_replace(F.regexp_replace(raw, r'"(?:[^"\\]|\\.)*+"', ""), r"[^{}\[\]]+", "")
-    start = F.struct(brackets.alias("left"), F.lit(0).alias("n"))
-    taken = F.aggregate(F.sequence(F.lit(1), F.lit(MAX_DEPTH + 1)), start, lambda a, _: F.when(a.left == "", a).otherwise(
-        F.struct(F.regexp_replace(a.left, r"\{\}|\[\]", "").alias("left"), (a.n + 1).alias("n"))))
-    return taken.n
+    start = F.struct(F.lit(0).alias("open"), F.lit(0).alias("most"))
+
+    def step(a, c):
+        now = a.open + F.when(c.isin("{", "["), 1).when(c.isin("}", "]"), -1).otherwise(0)
+        return F.struct(now.alias("open"), F.greatest(a.most, now).alias("most"))
+
+    return F.aggregate(F.split(brackets, ""), start, step).most
 
 
 NODE = "array<struct<path:string,text:string,kind:string,ord:array<int>>>"
@@ -131,12 +141,14 @@ def _shown(kind: Column, text: Column) -> Column:
     return F.when(kind == "void", "None").when(kind == "boolean", F.initcap(text)).otherwise(text)
 
 
-def flatten_json(df: DataFrame, raw: str = "raw", depth: int | None = None) -> DataFrame:
+def flatten_json(df: DataFrame, raw: str = "raw", depth: int | None = None, list_items: int | None = None) -> DataFrame:
     """Dotted paths of every record: other columns, path, value, ord (position for first-seen order).
 
     One narrow pass per nesting level, no shuffle. Without ``depth`` the deepest level is measured
-    first with one aggregate; branches below 50 levels stay JSON text cut at 500 characters.
+    first with one aggregate; with it, deeper branches stay JSON text. ``list_items`` keeps the first items of each list
+    only. A null record has no paths.
     """
+    df = df.filter(F.col(raw).isNotNull())
     if depth is None:
         depth = df.agg(F.max(json_depth(F.col(raw)))).first()[0] or 0
     keep = [c for c in df.columns if c != raw]
@@ -144,9 +156,9 @@ def flatten_json(df: DataFrame, raw: str = "raw", depth: int | None = None) -> D
     root = (F.when(text.startswith("{"), "object").when(text.startswith("["), "list").when(text.startswith('"'), "string")
             .when(text == "null", "void").when(text.isin("true", "false"), "boolean").otherwise("number"))
     plain = F.when(root == "string", F.from_json(F.concat(F.lit('{"v":'), text, F.lit("}")), "v string")["v"]).otherwise(text)
-    rows = spread(df).select(*keep, _node(F.when(root == "object", "").otherwise("value"), plain, root,
+    rows = df.select(*keep, _node(F.when(root == "object", "").otherwise("value"), plain, root,
                                   F.array().cast("array<int>")).alias("n"))
-    for _ in range(min(depth, MAX_DEPTH)):
+    for _ in range(depth):
         path, order, body = F.col("n.path"), F.col("n.ord"), F.col("n.text")
         is_object, is_list = F.col("n.kind") == "object", F.col("n.kind") == "list"
         unsure = body.rlike(AMBIGUOUS)
@@ -161,31 +173,33 @@ def flatten_json(df: DataFrame, raw: str = "raw", depth: int | None = None) -> D
         fields = F.transform(named, lambda e, i: _node(
             F.when(path == "", e["key"]).otherwise(F.concat(path, F.lit("."), e["key"])), e["text"],
             _kind(e["schema"], e["text"]), F.array_append(order, i)))
-        listed = F.transform(F.slice("_a", 1, LIST_ITEMS), lambda x, i: F.struct(
+        listed = F.transform("_a" if list_items is None else F.slice("_a", 1, list_items), lambda x, i: F.struct(
             x.alias("text"), _schema(F.get("_av", i)).alias("schema")))
         items = F.transform(listed, lambda e, i: _node(
             F.concat(path, F.lit("["), i, F.lit("]")), e["text"], _kind(e["schema"], e["text"]), F.array_append(order, i)))
         n = F.size("_a")
-        label = F.concat(F.lit("["), n, F.lit(" items"), F.when(
-            n > LIST_ITEMS, F.lit(f", first {LIST_ITEMS} shown")).otherwise(""), F.lit("]"))
+        label = F.concat(F.lit("["), n, F.lit(" items]"))
+        if list_items is not None:
+            label = F.when(n > list_items, F.concat(F.lit("["), n, F.lit(f" items, first {list_items} kept]"))).otherwise(label)
         marker = F.array(_node(path, label, F.lit("marker"), order)).cast(NODE)
         nodes = (F.when(is_object, fields.cast(NODE)).when(is_list, F.concat(marker, items.cast(NODE)))
                  .otherwise(F.array("n").cast(NODE)))
         rows = rows.select(*keep, F.explode(nodes).alias("n"))
     kind = F.col("n.kind")
-    value = F.when(kind.isin("object", "list"), F.substring("n.text", 1, 500)).otherwise(_shown(kind, F.col("n.text")))
-    left = kind.isin("object", "list") & F.col("n.text").isin("{}") if depth < MAX_DEPTH else F.lit(False)
+    value = F.when(kind.isin("object", "list"), F.col("n.text")).otherwise(_shown(kind, F.col("n.text")))
+    left = kind.isin("object", "list") & F.col("n.text").isin("{}")
     return rows.filter(~left).select(*keep, F.col("n.path").alias("path"), value.alias("value"), F.col("n.ord").alias("ord"))
 
 
-def key_frequency(flat: DataFrame, n: int = 50, order: str = "record_no") -> DataFrame:
-    """Records per path, most frequent first, first seen first among equals."""
+def key_frequency(flat: DataFrame, n: int | None = None, order: str = "record_no") -> DataFrame:
+    """Records per path, most frequent first, first seen first among equals; all paths, or the first ``n``."""
     per = flat.groupBy("path").agg(F.count("*").alias("records"), F.min(F.struct(order, "ord")).alias("seen"))
-    return per.orderBy(F.desc("records"), "seen").limit(n).select("path", "records")
+    ranked = per.orderBy(F.desc("records"), "seen")
+    return (ranked if n is None else ranked.limit(n)).select("path", "records")
 
 
-def records_to_table(flat: DataFrame, keys: list[str], n: int = 20, order: str = "record_no") -> DataFrame:
-    """The n most frequent paths as columns, missing values as empty text."""
+def records_to_table(flat: DataFrame, keys: list[str], n: int | None = None, order: str = "record_no") -> DataFrame:
+    """Paths as columns (all, or the ``n`` most frequent), missing values as empty text."""
     headers = [r.path for r in key_frequency(flat, n, order).collect()]
     value = lambda h: F.coalesce(F.max(F.when(F.col("path") == h, F.col("value"))), F.lit(""))
     return flat.groupBy(*keys).agg(*[value(h).alias(h) for h in headers])
@@ -216,17 +230,18 @@ def duplicate_keys(df: DataFrame, raw: str = "raw") -> DataFrame:
                      for k, n in repeats(row[-1]).items()]
             yield pd.DataFrame(found, columns=[*names, "key", "repeats"])
 
-    return df.mapInPandas(run, schema)
+    return df.filter(F.col(raw).isNotNull()).mapInPandas(run, schema)
 
 
-def duplicate_key_warning(dups: DataFrame, file_col: str = "source_file", shown: int = 10) -> DataFrame:
-    """One warning per file: total repeats, up to ten key names, how many more names."""
+def duplicate_key_warning(dups: DataFrame, file_col: str = "source_file", shown: int | None = None) -> DataFrame:
+    """One warning per file: total repeats, key names (all, or the first ``shown``), how many more names."""
     per = dups.groupBy(file_col, "key").agg(F.sum("repeats").alias("repeats"))
     w = Window.partitionBy(file_col).orderBy("key")
-    first = per.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") <= shown).groupBy(file_col).agg(
+    few = per if shown is None else per.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") <= shown)
+    first = few.groupBy(file_col).agg(
         F.array_join(F.sort_array(F.collect_list("key")), ", ").alias("keys"))
     total = per.groupBy(file_col).agg(F.sum("repeats").alias("repeats"), F.count("*").alias("names"))
-    return total.join(first, file_col).withColumn("more_names", F.greatest(F.col("names") - shown, F.lit(0))).drop("names")
+    return total.join(first, file_col).withColumn("more_names", F.greatest(F.col("names") - shown, F.lit(0)) if shown is not None else F.lit(0).cast("long")).drop("names")
 
 
 def record_text(records: DataFrame, source: str = "source_file", order: str = "record_no", raw: str = "raw",

@@ -28,7 +28,7 @@ def test_json_shapes(spark, tmp_path):
     rows, warnings = read(spark, tmp_path)
     per = {r.f: r.n for r in rows.groupBy(F.regexp_extract("source_file", r"([^/]*)$", 1).alias("f")).agg(F.count("*").alias("n")).collect()}
     assert per == {"people.json": 2, "one.json": 1, "wrapped.json": 3, "lines.jsonl": 2}
-    assert sorted(r.warning for r in warnings.collect()) == ["JSON parse error", "JSONL line 2 skipped (invalid JSON)"]
+    assert sorted(r.warning for r in warnings.collect()) == ["file is no JSON value", "line 2 is no JSON value"]
 
 
 def test_big_jsonl_keeps_every_row_and_its_line_number(spark, tmp_path):
@@ -57,21 +57,39 @@ def test_flatten(spark):
     assert got[0] == {"value": "active"}
     assert got[1] == {"value": "[2 items]", "value[0]": "1", "value[1]": "[1 items]", "value[1][0]": "2"}
     assert got[2] == {"a.b": "None", "a.c": "True", "a.d": "true", "a.e": "{}", "l": "[0 items]"}
-    assert got[3]["transactions"] == "[50 items, first 20 shown]" and sum(k.startswith("transactions[") for k in got[3]) == 20
+    assert got[3]["transactions"] == "[50 items]" and sum(k.startswith("transactions[") for k in got[3]) == 50
     assert got[4] == {}
 
 
-def test_flatten_stops_at_fifty_levels(spark):
+def test_flatten_has_no_deepest_level(spark):
     (got,) = flat(spark, '{"a":' * 60 + "1" + "}" * 60)
-    ((path, value),) = got.items()
-    assert path.count("a") == 50 and value.startswith('{"a":')
+    assert got == {".".join("a" * 60): "1"}
+
+
+def test_flatten_bounds_on_request(spark):
+    df = spark.createDataFrame([(0, '{"l": [1, 2, 3], "d": {"e": {"f": 1}}}'), (1, None)], "record_no int, raw string")
+    got = {r.path: r.value for r in records.flatten_json(df, depth=2, list_items=2).collect()}
+    assert got == {"l": "[3 items, first 2 kept]", "l[0]": "1", "l[1]": "2", "d.e": '{"f":1}'}
+
+
+def test_json_values_end_where_the_text_ends(spark):
+    texts = ['{"a":1}', ' {"a":1} ', '{"a":1} x', '{"a":1}{"b":2}', '{"a":1} and {"b":2}', '[1,2]', '1,2', '[1]] , [1', '{"a":1,"a":2}', 'null', '"x"', '']
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    got = {r.t: r.ok for r in df.select("t", records.is_valid_json(F.col("t")).alias("ok")).collect()}
+    assert got == {t: t in (texts[0], texts[1], "[1,2]", '{"a":1,"a":2}', "null", '"x"') for t in texts}
+
+
+def test_every_bad_line_is_returned(spark):
+    lines = spark.createDataFrame([("f", i, "{" if i % 2 else "{}") for i in range(60)], "source_file string, line_no long, value string")
+    good, bad = records.quarantine_bad_lines(lines)
+    assert good.count() == 30 and {(r.warning_no, r.bad_text) for r in bad.collect()} == {(i, "{") for i in range(1, 60, 2)}
 
 
 def test_headers_by_frequency(spark):
     raws = [json.dumps({f"junk_{i}": 1}) for i in range(20)] + ['{"amount": 1}'] * 20
     df = spark.createDataFrame(list(enumerate(raws)), "record_no int, raw string")
     table = records.records_to_table(records.flatten_json(df), ["record_no"])
-    assert "amount" in table.columns and len(table.columns) == 21 and table.count() == 40
+    assert "amount" in table.columns and len(table.columns) == 22 and table.count() == 40
 
 
 def test_duplicate_keys_last_wins(spark):

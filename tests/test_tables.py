@@ -47,7 +47,7 @@ def test_mixed_and_clean_booleans(spark):
 def test_traps_of_name_rules(spark):
     names = {"country": "number", "hotel": "phone", "width": "date", "CustomerID": "text", "customer_id": "id"}
     df = spark.createDataFrame([(n,) for n in names], "n string")
-    got = df.select("n", guess_column_type(F.col("n"), F.array(F.lit("x"))).alias("k")).collect()
+    got = df.select("n", guess_column_type(F.col("n"), F.lit(1), F.lit(0), F.lit(0)).alias("k")).collect()
     assert {r.n: r.k for r in got} == names
 
 
@@ -57,6 +57,25 @@ def test_constant_null_and_garbage(spark):
     assert quality(spark, "note", ["数据"] * 3).garbage_rate == 1.0
 
 
+def test_type_is_guessed_from_all_values(spark):
+    assert quality(spark, "note", ["x"] * 20 + [str(i) for i in range(200)]).inferred_type == "number"
+
+
+def test_wide_integers_are_not_lost(spark):
+    rows = cells(spark, "n", ["1", "2", "99999999999999999999", "4"])
+    kinds = Y.infer_types(rows)
+    assert kinds.first().storage_type == "REAL" and Y.rejects(rows, kinds).count() == 0
+    forced = kinds.withColumn("storage_type", F.lit("INTEGER"))
+    assert [r.value for r in Y.rejects(rows, forced).collect()] == ["99999999999999999999"]
+
+
+def test_table_names_never_repeat(spark):
+    files = ["a.csv", "x/a.csv", "a_2.csv", "y/a.csv", "b.csv", "a_2_2.csv", "z/a_2.csv"]
+    df = spark.createDataFrame([(f, None, i) for i, f in enumerate(files)], "source_file string, sheet string, ordinal int")
+    got = [r.table_name for r in Y.table_names(df).orderBy("ordinal").collect()]
+    assert len(set(got)) == len(files) and got[:4] == ["a", "a_2", "a_2_2", "a_3"]
+
+
 def test_typing(spark):
     rows = cells(spark, "amt", ["$1,234.50", "(250)", "N/A", "12", "1", "2", "3", "4", "5", "oops", "6"])
     kind = Y.infer_types(rows).first()
