@@ -6,7 +6,7 @@ query visits the cells around its own in the order of their estimated success (t
 distance lies in that cell) until the chances add up to ``success`` in each table. The typical distance is taken from a
 bounded sample of queries. Candidates of all tables are merged and ranked by the exact cosine.
 
-Cells are dealt over regions, large cells in several blocks, so no task holds more than about ``REGION`` vectors at once
+Cells are dealt over regions, those of over ``BLOCK`` vectors in several blocks, so no task holds more than about ``REGION`` vectors at once
 and no cell is capped. A query's vector goes once to each region that it visits, with the cells it visits there.
 """
 
@@ -18,14 +18,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from sheafwork.llm.common import written
+from sheafwork.llm.common import mix, written
 
 TABLES, WIDTH, SUCCESS, SEED = 2, 1.0, 0.9, 20_011
-#: Queries of the sample that gives the typical distance, vectors of a region, vectors of a block of a large cell.
-SAMPLE, REGION, BLOCK = 64, 8192, 4096
+#: Queries of the sample that gives the typical distance, vectors of a region, vectors of a block of a large cell; most
+#: large cells listed to all tasks (blocks grow until no more cells are large).
+SAMPLE, REGION, BLOCK, LISTED = 64, 8192, 4096, 1 << 20
 #: Slots considered on either side of a query's own in one projection.
 REACH = 6
 
@@ -136,18 +138,58 @@ def index_rows(k: int, width: float, tables: int, seed: int):
     return run
 
 
-def probe_rows(k: int, width: float, tables: int, seed: int, spread: float, success: float):
+def regions_of(cells: np.ndarray, blocks: np.ndarray, regions: int) -> np.ndarray:
+    return (mix(cells.view(np.uint64) ^ mix(blocks.astype(np.uint64))) % np.uint64(regions)).astype(np.int64)
+
+
+def block_counts(cells: np.ndarray, large: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """Blocks of each cell: 1 but for the large ones (sorted cells, their blocks)."""
+    out = np.ones(len(cells), np.int64)
+    if len(large[0]):
+        at = np.minimum(np.searchsorted(large[0], cells), len(large[0]) - 1)
+        found = large[0][at] == cells
+        out[found] = large[1][at[found]]
+    return out
+
+
+DEALT = ("region", "kind", "cls", "v", "cells")
+
+
+def dealt_vectors(large: Broadcast, regions: int):
+    """Rows of the index with their region; a vector of a large cell is in one of its blocks."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n = batch.num_rows
+            cells, ids = batch.column("cell").to_numpy(), batch.column("cls").to_numpy()
+            blocks = mix(ids.view(np.uint64)) % block_counts(cells, large.value).astype(np.uint64)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(regions_of(cells, blocks, regions)), pa.array(np.zeros(n, np.int32)), batch.column("cls"), batch.column("v"),
+                 pa.ListArray.from_arrays(pa.array(np.arange(n + 1), pa.int32()), batch.column("cell"))], names=DEALT)
+
+    return run
+
+
+def dealt_queries(large: Broadcast, regions: int, k: int, width: float, tables: int, seed: int, spread: float, success: float):
+    """A row for each query and region that holds a block of a cell it visits, with these cells."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not batch.num_rows:
                 continue
             x = unit(vectors_of(batch.column("v")))
-            ids = batch.column("cls").to_pylist()
-            for t in range(tables):
-                a, b = projections(t, x.shape[1], k, width, seed)
-                for i, place in zip(ids, (x @ a + b) / width):
-                    cells = cell_of(t, visited(place, spread, success))
-                    yield pa.RecordBatch.from_pydict({"cell": pa.array(cells), "cls": pa.array([i] * len(cells), pa.int64())})
+            tables_ = [projections(t, x.shape[1], k, width, seed) for t in range(tables)]
+            for i, v in enumerate(x):
+                cells = np.concatenate([cell_of(t, visited((v @ a + b) / width, spread, success)) for t, (a, b) in enumerate(tables_)])
+                counts = block_counts(cells, large.value)
+                cells = np.repeat(cells, counts)
+                blocks = np.arange(len(cells)) - np.repeat(np.cumsum(counts) - counts, counts)
+                own = regions_of(cells, blocks, regions)
+                order = np.argsort(own, kind="stable")
+                names, first = np.unique(own[order], return_index=True)
+                n = len(names)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(names), pa.array(np.ones(n, np.int32)), pa.array(np.full(n, batch.column("cls")[i].as_py(), np.int64)),
+                     batch.column("v").take(pa.array(np.full(n, i))),
+                     pa.ListArray.from_arrays(pa.array([*first, len(cells)], pa.int32()), pa.array(cells[order]))], names=DEALT)
 
     return run
 
@@ -233,21 +275,18 @@ def search(table: DataFrame, every: int, nearest: int = 5, id_column: str = "vec
     k = max(2, round(0.3 * math.log2(n)))
     spread = typical_distance(reps, queries, nearest, SAMPLE) / width
     regions = max(1, -(-n * tables // REGION))
-    index = written(reps.select("cls", "v").mapInArrow(index_rows(k, width, tables, seed), "cell bigint, cls bigint, v array<float>"
-                                                      if dict(reps.dtypes)["v"] == "array<float>" else "cell bigint, cls bigint, v array<double>"),
-                    "index")
-    # blocks of large cells
-    sizes = written(index.groupBy("cell").count().select("cell", F.ceil(F.col("count") / BLOCK).alias("blocks")), "cells")
-    large = sizes.where("blocks > 1")
-    block = F.pmod(F.xxhash64("cls"), F.coalesce("blocks", F.lit(1)))
-    region = F.pmod(F.xxhash64("cell", "block"), F.lit(regions)).alias("region")
-    kept = index.join(large, "cell", "left").withColumn("block", block).select(
-        region, F.lit(0).alias("kind"), "cls", "v", F.array("cell").alias("cells"))
-    probes = queries.select("cls", "v").repartition("cls").mapInArrow(
-        probe_rows(k, width, tables, seed, spread, success), "cell bigint, cls bigint")
-    visits = probes.join(sizes, "cell").select("cell", "cls", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1)).alias("block"))
-    visits = visits.select(region, "cls", "cell").groupBy("region", "cls").agg(F.collect_set("cell").alias("cells"))
-    asking = visits.join(queries.select("cls", "v"), "cls").select("region", F.lit(1).alias("kind"), "cls", "v", "cells")
+    index = written(reps.select("cls", "v").mapInArrow(
+        index_rows(k, width, tables, seed), f"cell bigint, cls bigint, v {dict(reps.dtypes)['v']}"), "index")
+    block = BLOCK
+    sizes = written(index.groupBy("cell").count(), "cells")
+    while sizes.where(F.col("count") > block).count() > LISTED:
+        block *= 2
+    found = sorted((r.cell, -(-r["count"] // block)) for r in sizes.where(F.col("count") > block).collect())  # LISTED at most
+    large = table.sparkSession.sparkContext.broadcast((np.array([c for c, _ in found], np.int64), np.array([n for _, n in found], np.int64)))
+    schema = f"region bigint, kind int, cls bigint, v {dict(reps.dtypes)['v']}, cells array<bigint>"
+    kept = index.mapInArrow(dealt_vectors(large, regions), schema)
+    asking = queries.select("cls", "v").repartition("cls").mapInArrow(
+        dealt_queries(large, regions, k, width, tables, seed, spread, success), schema)
     dealt = kept.unionByName(asking).repartition("region").sortWithinPartitions("region", "kind")
     keep = nearest + 3
     # a region may hold a vector once for each table
