@@ -18,9 +18,11 @@ def drop_low_quality(spark: SparkSession, docs: DataFrame, folder: str) -> DataF
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
     """Texts keep a repeated line in the smallest doc_id only; n_chars follows the text."""
+    names = docs.columns
+    docs = docs.toDF(*[f"own_{c}" if c in line_dedup.ADDED else c for c in names])  # columns of documents stay, whatever their names
     kept = line_dedup.dedup_lines(docs)
     return kept.withColumn("text", F.col("kept")).withColumn(
-        "n_chars", F.length("kept").cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
+        "n_chars", F.length("kept").cast(docs.schema["n_chars"].dataType)).select(*docs.columns).toDF(*names)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:

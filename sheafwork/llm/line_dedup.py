@@ -23,6 +23,8 @@ LEAST = 10
 SPACE = bytes([32, *range(9, 14)])
 #: Bits a hash, probes, and hashes of one layer of a once-seen filter (further layers follow as it fills).
 BITS, PROBES, LAYER = 12, 6, 1 << 20
+#: Columns that dedup_lines() adds or uses.
+ADDED = ("kept", "n_lines", "n_dropped", "drop")
 #: The second filters are broadcast up to so many bytes in all; beyond, suspects are found by a join on the hash.
 MOST_BYTES = 64 << 20
 
@@ -174,7 +176,7 @@ def dedup_lines(docs: DataFrame, least: int = LEAST, most_bytes: int = MOST_BYTE
     document stay. A null or empty text is one empty line. Rows without doc_id keep all lines and take no part; rows that
     repeat a doc_id are one document. Columns named kept, n_lines, n_dropped or drop are replaced.
     """
-    docs = docs.drop("kept", "n_lines", "n_dropped", "drop")
+    docs = docs.drop(*ADDED)
     drop = repeated_elsewhere(docs, least, most_bytes)
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
     return docs.join(drop, "doc_id", "left").select(*docs.columns, "drop").mapInArrow(

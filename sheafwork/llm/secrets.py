@@ -28,8 +28,9 @@ ACCESS = re.compile(rb"AKIA[A-Z0-9]+")
 HINTS = (b"passw", b"secret", b"token", b"api")
 LEAST = {"assign": 12, "access": 18, "hex": 16}
 SYMBOLS = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_.=-"
-#: Shortest candidate; values of each label in the sample; longest value learned from; Hoeffding level; smoothing; log odds to add.
-RUN, SAMPLE, LONGEST, LEVEL, SMOOTH, ODDS = 12, 400, 96, 0.05, 0.05, 12.0
+#: Shortest candidate; values of each label in the sample; longest value learned from; Hoeffding level; smoothing; log odds to add;
+#: how far below the least likely sample value a character may lie.
+RUN, SAMPLE, LONGEST, LEVEL, SMOOTH, ODDS, MARGIN = 12, 400, 96, 0.05, 0.05, 12.0, 0.5
 
 SYMBOL_OF = np.full(256, -1, np.int64)
 SYMBOL_OF[[ord(c) for c in SYMBOLS]] = np.arange(len(SYMBOLS))
@@ -133,12 +134,12 @@ class Grammar:
 
     labels: tuple[str, ...]
     tables: tuple[tuple[np.ndarray, np.ndarray, np.ndarray], ...]
-    #: Least log likelihood a character that a value of the label's sample has.
+    #: Least log likelihood a character of each label: that of its sample less MARGIN.
     floors: tuple[float, ...]
 
     def score(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Best log odds of each run and the label that has it; a run less likely than every value of a label's sample
-        (by character) is not of that label."""
+        """Best log odds of each run and the label that has it; a run far less likely, by character, than every value of
+        a label's sample is not of that label."""
         total = self.likelihoods(data, starts, ends)
         unlike = total[:-1] < np.array(self.floors)[:, None] * (ends - starts + 1)[None, :]
         odds = np.where(unlike, -np.inf, total[:-1] - total[-1])
@@ -252,7 +253,7 @@ def learn(docs: DataFrame, sample: int = SAMPLE) -> Grammar:
         size = np.array([len(v) for v in values[k]])
         stops = np.cumsum(size)
         each = Grammar((), (tables[i],), ()).likelihoods(np.frombuffer("".join(values[k]).encode(), np.uint8), stops - size, stops)
-        floors.append(float((each[0] / (size + 1)).min()))
+        floors.append(float((each[0] / (size + 1)).min()) - MARGIN)
     return Grammar(labels, tables, tuple(floors))
 
 
