@@ -25,7 +25,7 @@ def with_signature(registry: DataFrame) -> DataFrame:
 
 
 def schema_groups(registry: DataFrame) -> DataFrame:
-    """One row per shape: name, member count, files, rows, combined flag. Members stay a table of
+    """A row for each shape: name, member count, files, rows, combined flag. Members stay a table of
     their own (schema_members), so a shape shared by very many tables is never collected."""
     signed = with_signature(registry)
     grouped = signed.groupBy("signature").agg(

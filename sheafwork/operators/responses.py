@@ -89,7 +89,7 @@ def parse_financial(responses: DataFrame) -> DataFrame:
                   "label:string,amount:string,currency:string,period:string,context:string")
     amount = F.col("x.amount").try_cast("double")
     return rows.filter(F.col("x").isNotNull() & (F.col("x.amount").isNull() | amount.isNotNull())).select(
-        "source_file", "segment_no", "item_no", F.coalesce("x.label", F.lit("Unlabeled fact")).alias("label"),
+        "source_file", "segment_no", "item_no", F.coalesce("x.label", F.lit("fact without label")).alias("label"),
         amount.alias("amount"), F.col("x.currency").alias("currency"), F.col("x.period").alias("period"),
         F.col("x.context").alias("context"))
 
@@ -130,7 +130,7 @@ def segment_failures(responses: DataFrame) -> DataFrame:
     counts = salvage_json(responses).groupBy("source_file", "agent").agg(
         F.count_if(~F.col("ok")).alias("failed"), F.count("*").alias("total"))
     text = F.concat("agent", F.lit(": "), "failed", F.lit(" of "), "total", F.lit(
-        " text segment(s) failed to process (LLM error or unparseable response) -- results may be incomplete."))
+        " segments gave no usable response"))
     return counts.filter("failed > 0").withColumn("warning", text)
 
 

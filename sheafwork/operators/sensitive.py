@@ -13,7 +13,7 @@ METHOD_LABEL = {"rules_checksum": "✓ Verified", "rules_shape": "Pattern match"
 
 
 def scan(df: DataFrame, families: dict[str, ids.Family], text: str = "text") -> DataFrame:
-    """One row per finding of the given families, from one pass over the text.
+    """A row for each finding of the given families, from one pass over the text.
 
     The text is first reduced to the pieces that can match, the candidates of all families are
     exploded together, and each is checked by its family's rule.

@@ -89,9 +89,9 @@ def find_joins(t):
 _CHILD, _PARENT = _SHORT.format("child_file"), _SHORT.format("parent_file")
 _QUALITY_TEXT = f"""concat(shared, ' of ', child_distinct, ' matched (', {percent('shared', 'child_distinct')}, '%)',
   CASE WHEN (child_distinct - shared) * 20 >= child_distinct THEN
-    concat('; ', child_distinct - shared, ' ', {_CHILD}, ' row(s) reference an unknown ', {_PARENT}, ' key') ELSE '' END,
+    concat('; ', child_distinct - shared, ' ', {_CHILD}, ' rows point to no ', {_PARENT}, ' key') ELSE '' END,
   CASE WHEN parent_distinct > shared THEN
-    concat('; ', parent_distinct - shared, ' ', {_PARENT}, ' row(s) have no matching ', {_CHILD}) ELSE '' END)"""
+    concat('; ', parent_distinct - shared, ' ', {_PARENT}, ' rows without any ', {_CHILD}) ELSE '' END)"""
 _BASE = "regexp_extract({0}, '([^/]*)$', 1)"
 _LOGIC = (f"concat('FROM ', {_BASE.format('child_file')}, ' LEFT JOIN ', {_BASE.format('parent_file')}, ' ON ', {_BASE.format('child_file')}, "
           f"'.', child_column, ' = ', {_BASE.format('parent_file')}, '.', parent_column)")
@@ -122,14 +122,14 @@ def _slug(name: str) -> str:
 _ENTITY = f"SELECT table_no, {entity_sql('c')} AS entity FROM (SELECT table_no, list(DISTINCT target) AS c FROM ({_HEADERS}) GROUP BY table_no)"
 PROPOSALS = f"""
 WITH j AS ({JOINS}), e AS ({_ENTITY}),
-l AS (SELECT coalesce(entity, concat({_CHILD}, ' enriched with ', {_PARENT})) AS name,
-  concat('Links every ', {_CHILD}, ' record to its ', {_PARENT}, ' attributes via ', target, ', so ', lower({_CHILD}),
-    ' can be analyzed by ', lower({_PARENT}), ' dimensions without a manual join.') AS purpose,
-  concat('One row per ', {_CHILD}, ' record.') AS grain, concat(least(child_file, parent_file), ', ', greatest(child_file, parent_file)) AS source_files,
+l AS (SELECT coalesce(entity, concat({_CHILD}, ' with ', {_PARENT})) AS name,
+  concat('Adds to each ', {_CHILD}, ' row the columns of ', {_PARENT}, ' through ', target, ', so ', lower({_CHILD}),
+    ' by ', lower({_PARENT}), ' needs no join by hand') AS purpose,
+  concat('A row for each ', {_CHILD}, ' record.') AS grain, concat(least(child_file, parent_file), ', ', greatest(child_file, parent_file)) AS source_files,
   {_LOGIC} AS join_logic, {_QUALITY_TEXT} AS join_quality FROM j LEFT JOIN e ON child_no = e.table_no),
 s AS (SELECT coalesce(entity, {_SHORT.format('source_file')}) AS name,
-  'Standardized single-source table -- no matching key found in another uploaded file.' AS purpose,
-  concat('One row per record in ', source_file, '::', table_id, '.') AS grain, source_file AS source_files,
+  'A table by itself: no other file shares a key with it' AS purpose,
+  concat('A row for each row of ', source_file, '::', table_id, '.') AS grain, source_file AS source_files,
   CAST(NULL AS STRING) AS join_logic, CAST(NULL AS STRING) AS join_quality
   FROM ({TABLES}) x LEFT JOIN e USING (table_no) WHERE table_no NOT IN (SELECT child_no FROM j UNION SELECT parent_no FROM j))
 SELECT *, {_slug('name')} AS target_file FROM (SELECT * FROM l UNION ALL SELECT * FROM s)
@@ -242,7 +242,7 @@ def profile_columns(t):
 WITH c AS (SELECT source_file, "column" AS source_column, target_column, split_part(sample_values, ' | ', 1) AS sample_value, comments FROM ({_COLUMNS}))
 SELECT p.name AS proposed_target_table_name, p.target_file, c.source_column, c.source_file, c.target_column,
   coalesce(c.comments, '') AS comments, coalesce(c.sample_value, '') AS sample_value,
-  coalesce(p.join_logic, concat('Direct load from ', {_BASE.format('c.source_file')}, ' -- standardized column names, no join.')) AS rule
+  coalesce(p.join_logic, concat('Taken from ', {_BASE.format('c.source_file')}, ', columns renamed')) AS rule
 FROM ({PROPOSALS}) p JOIN c ON list_contains(string_split(p.source_files, ', '), c.source_file)
 """)
 def mapping_rows(t):

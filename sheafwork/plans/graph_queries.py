@@ -86,7 +86,7 @@ def parse_pii(t):
 
 
 @query("X5", f"""
-SELECT source_file, segment_no, item_no, coalesce({_str('label')}, 'Unlabeled fact') AS label, TRY_CAST({_str('amount')} AS DOUBLE) AS amount,
+SELECT source_file, segment_no, item_no, coalesce({_str('label')}, 'fact without label') AS label, TRY_CAST({_str('amount')} AS DOUBLE) AS amount,
   {_str('currency')} AS currency, {_str('period')} AS period, {_str('context')} AS context FROM ({_items('Financial', 'facts')})
 WHERE {_str('amount')} IS NULL OR TRY_CAST({_str('amount')} AS DOUBLE) IS NOT NULL
 """)
@@ -117,7 +117,7 @@ def dedup_file_entities(t):
 
 @query("X8", f"""
 SELECT source_file, agent, failed, total, concat(agent, ': ', failed, ' of ', total,
-  ' text segment(s) failed to process (LLM error or unparseable response) -- results may be incomplete.') AS warning
+  ' segments gave no usable response') AS warning
 FROM (SELECT source_file, agent, count(*) FILTER (WHERE json IS NULL) AS failed, count(*) AS total FROM ({_JSON} FROM ({_ALL})) GROUP BY ALL)
 WHERE failed > 0
 """)

@@ -96,13 +96,13 @@ SELECT s.*, CASE WHEN inferred_type = 'boolean' THEN boolean_hits ELSE plain_hit
     USING ({KEYS})) GROUP BY ALL) s
 """
 ISSUES = f"""list_filter([
-  CASE WHEN null_n * 100 >= n_rows * 30 THEN concat({percent('null_n', 'n_rows')}, '% NULL/blank')
-       WHEN null_n * 100 >= n_rows * 10 THEN concat({percent('null_n', 'n_rows')}, '% NULL/blank (minor)') END,
-  CASE WHEN garbage_n * 100 >= n_rows * 5 THEN concat({percent('garbage_n', 'n_rows')}, '% garbage/placeholder values') END,
-  CASE WHEN ok_n >= 5 AND distinct_n = 1 THEN concat('constant column (every value is ''', first_ok, ''')')
-       WHEN ok_n >= 50 AND distinct_n * 50 <= ok_n THEN 'low-cardinality column (near-constant)' END,
+  CASE WHEN null_n * 100 >= n_rows * 30 THEN concat({percent('null_n', 'n_rows')}, '% empty')
+       WHEN null_n * 100 >= n_rows * 10 THEN concat({percent('null_n', 'n_rows')}, '% empty (few)') END,
+  CASE WHEN garbage_n * 100 >= n_rows * 5 THEN concat({percent('garbage_n', 'n_rows')}, '% unusable values') END,
+  CASE WHEN ok_n >= 5 AND distinct_n = 1 THEN concat('one value only (''', first_ok, ''')')
+       WHEN ok_n >= 50 AND distinct_n * 50 <= ok_n THEN 'hardly any different values' END,
   CASE WHEN ok_n >= 3 AND type_hits * 100 < ok_n * 85 THEN
-    concat({percent('(ok_n - type_hits)', 'ok_n')}, '% of values don''t match inferred type ''', inferred_type, '''') END],
+    concat({percent('(ok_n - type_hits)', 'ok_n')}, '% of values are not of type ''', inferred_type, '''') END],
   lambda i: i IS NOT NULL)"""
 QUALITY = f"""
 SELECT {KEYS}, inferred_type, n_rows, {rate('null_n', 'n_rows')} AS null_rate, {rate('garbage_n', 'n_rows')} AS garbage_rate,
@@ -229,13 +229,13 @@ def duplicate_rows(t):
 FINDINGS = f"""
 WITH q AS ({QUALITY}), i AS (SELECT *, unnest(range(1, len(issues) + 1)) AS k FROM q), c AS (
   SELECT source_file, table_id, col_idx, k - 1 AS issue_no, concat(table_id, '.', "column", ': ', issues[k]) AS message,
-    CASE WHEN contains(issues[k], 'NULL/blank (minor)') THEN 1.5 WHEN contains(issues[k], 'NULL/blank') THEN 4 + null_rate * 8
-      WHEN contains(issues[k], 'garbage/placeholder') THEN 5 + garbage_rate * 15
-      WHEN contains(issues[k], 'constant column') OR contains(issues[k], 'low-cardinality') THEN 3.0
+    CASE WHEN contains(issues[k], 'empty (few)') THEN 1.5 WHEN contains(issues[k], 'empty') THEN 4 + null_rate * 8
+      WHEN contains(issues[k], 'unusable values') THEN 5 + garbage_rate * 15
+      WHEN contains(issues[k], 'one value only') OR contains(issues[k], 'hardly any different') THEN 3.0
       ELSE 4 + (1 - type_consistency) * 8 END AS severity FROM i)
 SELECT source_file, table_id, col_idx, issue_no, message, CAST(severity AS DOUBLE) AS severity FROM c
 UNION ALL
-SELECT 'erp/parts.csv', 'parts', -1, 0, concat('parts: ', duplicate_rows, ' duplicate row(s) (',
+SELECT 'erp/parts.csv', 'parts', -1, 0, concat('parts: ', duplicate_rows, ' repeated rows (',
   CAST(round_even(duplicate_rate * 100, 0) AS INT), '%)'), 8 + least(duplicate_rate, 1.0) * 12
 FROM ({_dup_sql(I.PART_TABLE, ('product_name', 'brand', 'category'))}) WHERE duplicate_rate >= 0.05
 """

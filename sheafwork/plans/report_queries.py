@@ -197,8 +197,8 @@ _JOB_ENT = f"""SELECT job_id, arg_min(name, (ordinal, name)) AS name, type, min(
 WITH e AS (SELECT *, row_number() OVER (PARTITION BY job_id ORDER BY ordinal, name) AS rn FROM ({_JOB_ENT})),
 c AS (SELECT job_id, count(*) AS entities, string_agg(name, ', ' ORDER BY rn) FILTER (WHERE rn <= 15) AS first FROM e GROUP BY 1),
 r AS (SELECT job_id, count(*) AS relations FROM ({I.RELATIONS}) GROUP BY 1), p AS (SELECT job_id, count(*) AS pii_findings FROM ({I.PII}) GROUP BY 1)
-SELECT job_id, coalesce(g.executive_summary, concat('Synthesis model unreachable — showing per-file findings only. ', entities, ' entities and ', pii_findings,
-  ' PII findings were still extracted where the extraction model was reachable.')) AS executive_summary,
+SELECT job_id, coalesce(g.executive_summary, concat('No summary was given; ', entities, ' entities and ', pii_findings,
+  ' personal data findings are listed by file')) AS executive_summary,
   coalesce(g.key_entities, first) AS key_entities, entities, relations, pii_findings
 FROM ({_JOBS}) JOIN c USING (job_id) JOIN r USING (job_id) JOIN p USING (job_id) LEFT JOIN ({_GIVEN}) g USING (job_id)
 """)

@@ -14,7 +14,7 @@ _W = "CASE category " + " ".join(f"WHEN '{c}' THEN {w}" for c, w in J.CATEGORY_W
 SCORED = f"""
 SELECT path, ordinal, category, CAST({_W} AS DOUBLE) + least(len(hits), 3) * 1.5
     + least(least(log2(greatest(size_bytes, 1024) / 1024.0), 8.0) * CAST(0.1 AS DOUBLE), 0.8) AS score,
-  concat(upper(category), CASE WHEN len(hits) > 0 THEN concat(' · filename suggests: ', array_to_string(hits, ', ')) ELSE '' END) AS reason
+  concat(upper(category), CASE WHEN len(hits) > 0 THEN concat('; name hints: ', array_to_string(hits, ', ')) ELSE '' END) AS reason
 FROM ({DESCRIBED})
 """
 RANKED = f"SELECT *, row_number() OVER (ORDER BY round(score, 9) DESC, ordinal) AS rank FROM ({SCORED})"
@@ -167,7 +167,7 @@ SELECT CAST(o_custkey AS STRING) AS job_id, o_orderkey AS written, CASE WHEN o_o
 
 @query("K13", f"""
 SELECT job_id, max(written) AS written, CASE WHEN arg_max(status, written) IN ('complete', 'failed') THEN arg_max(status, written) ELSE 'failed' END AS status,
-  CASE WHEN arg_max(status, written) NOT IN ('complete', 'failed') THEN 'Processing was interrupted by a restart before this job finished.' END AS error
+  CASE WHEN arg_max(status, written) NOT IN ('complete', 'failed') THEN 'The job stopped before its end' END AS error
 FROM ({_SNAPSHOTS}) WHERE status IS NOT NULL GROUP BY job_id
 """)
 def job_history(t):

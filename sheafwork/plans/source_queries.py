@@ -36,9 +36,9 @@ def file_metadata(t):
 
 
 @query("S25", f"""
-SELECT path, category, CASE WHEN regexp_matches(lower(path), '[.](msg|pst)$') THEN 'Outlook files aren''t supported -- export to .eml/.mbox first.'
-  WHEN ends_with(lower(path), '.ods') THEN 'ODS files aren''t supported -- convert to .xlsx first.'
-  WHEN category IN ('archive', 'unknown') THEN concat('No parser implemented for file type ''', category, '''.') END AS warning
+SELECT path, category, CASE WHEN regexp_matches(lower(path), '[.](msg|pst)$') THEN 'Outlook files have no reader, .eml and .mbox files do'
+  WHEN ends_with(lower(path), '.ods') THEN 'ODS files have no reader, .xlsx files do'
+  WHEN category IN ('archive', 'unknown') THEN concat('No reader for files of type ''', category, '''.') END AS warning
 FROM ({DESCRIBED}) WHERE warning IS NOT NULL
 """)
 def unsupported_files(t):
@@ -285,8 +285,8 @@ def mailbox_messages(t):
 @query("S21", """
 SELECT concat(doc_id, '.zip') AS archive, concat('a/', doc_id, '.txt') AS member, 0 AS depth, octet_length(encode(text)) AS bytes, CAST(NULL AS STRING) AS warning FROM {documents}
 UNION ALL SELECT concat(doc_id, '.zip'), concat('in_', doc_id, '.txt'), 1, octet_length(encode(source)), NULL FROM {documents}
-UNION ALL SELECT concat(doc_id, '.zip'), '../evil.txt', 0, NULL, '../evil.txt: path traversal attempt -- skipped.' FROM {documents}
-UNION ALL SELECT concat(doc_id, '.zip'), NULL, 1, NULL, 'x.rar: .rar archives are not supported -- file skipped.' FROM {documents}
+UNION ALL SELECT concat(doc_id, '.zip'), '../evil.txt', 0, NULL, '../evil.txt: name leads out of the archive' FROM {documents}
+UNION ALL SELECT concat(doc_id, '.zip'), NULL, 1, NULL, 'x.rar: .rar archives cannot be read' FROM {documents}
 """)
 def expand_archives(t):
     def pack(batches):

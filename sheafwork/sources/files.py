@@ -64,10 +64,10 @@ def file_metadata(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
 
 def unsupported(files: DataFrame) -> DataFrame:
     """Files no reader handles stay in the result with a warning."""
-    note = F.when(F.lower("path").rlike(r"\.(msg|pst)$"), "Outlook files aren't supported -- export to .eml/.mbox first.")
-    note = note.when(F.lower("path").endswith(".ods"), "ODS files aren't supported -- convert to .xlsx first.")
+    note = F.when(F.lower("path").rlike(r"\.(msg|pst)$"), "Outlook files have no reader, .eml and .mbox files do")
+    note = note.when(F.lower("path").endswith(".ods"), "ODS files have no reader, .xlsx files do")
     other = ~F.col("category").isin(*SUPPORTED)
-    note = note.when(other, F.concat(F.lit("No parser implemented for file type '"), "category", F.lit("'.")))
+    note = note.when(other, F.concat(F.lit("No reader for files of type '"), "category", F.lit("'.")))
     return files.withColumn("warning", note).filter(F.col("warning").isNotNull())
 
 

@@ -23,7 +23,7 @@ def quality(spark, column, values):
 def test_quantity_with_a_word(spark):
     q = quality(spark, "quantity", ["3", "five", "2", "1"])
     assert (q.inferred_type, q.type_consistency) == ("number", 0.75)
-    assert q.issues == ["25% of values don't match inferred type 'number'"]
+    assert q.issues == ["25% of values are not of type 'number'"]
 
 
 def test_two_values_are_not_flagged(spark):
@@ -53,7 +53,7 @@ def test_traps_of_name_rules(spark):
 
 def test_constant_null_and_garbage(spark):
     q = quality(spark, "note", ["x"] * 6 + ["N/A"] * 3 + ["####"])
-    assert q.issues == ["30% NULL/blank", "10% garbage/placeholder values", "constant column (every value is 'x')"]
+    assert q.issues == ["30% empty", "10% unusable values", "one value only ('x')"]
     assert quality(spark, "note", ["数据"] * 3).garbage_rate == 1.0
 
 

@@ -93,7 +93,7 @@ def test_greedy_batches(spark):
 
 
 def test_batch_reply_must_keep_its_parts(spark):
-    data = [(1, ["a", "b"], " A \n<<<BLOCK>>>\nB"), (2, ["a", "b"], "AB"), (3, ["a"], None)]
+    data = [(1, ["a", "b"], " A \n~~~~~~~~\nB"), (2, ["a", "b"], "AB"), (3, ["a"], None)]
     rows = X.apply_batches(spark.createDataFrame(data, "id int, parts array<string>, reply string")).orderBy("id", "part_no").collect()
     assert [(r.id, r.text, r.translated) for r in rows] == [
         (1, "A", True), (1, "B", True), (2, "a", False), (2, "b", False), (3, "a", False)]
