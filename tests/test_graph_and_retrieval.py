@@ -172,7 +172,7 @@ def test_extractor_failures_are_rows(spark):
     out = R.run_extractor(seg, "NER", fn)
     assert [r.name for r in R.parse_entities(out).collect()] == ["A"]
     warn = R.segment_failures(out).first()
-    assert (warn.failed, warn.total) == (1, 2) and warn.warning.startswith("NER: 1 of 2 text segment(s)")
+    assert (warn.failed, warn.total) == (1, 2) and warn.warning.startswith("NER: 1 of 2 segments")
 
 
 def test_dedupe_is_independent_of_partitions(spark):
