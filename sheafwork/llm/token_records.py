@@ -286,7 +286,8 @@ def read_records(spark: SparkSession, folder: str) -> DataFrame:
     shards = spark.read.schema(SHARDS).parquet(f"{folder}/manifest")
     order = Window.orderBy("low", "high", "name").rowsBetween(Window.unboundedPreceding, -1)  # one row a shard
     based = shards.select("name", F.coalesce(F.sum("n_tokens").over(order), F.lit(0)).alias("base"))
-    return based.repartition("name").mapInArrow(shard_reader(f"{folder}/shards"), RECORD_ROWS)
+    # as many tasks as shards: rows of names are too small for Spark to judge by
+    return based.repartition(max(1, shards.count()), "name").mapInArrow(shard_reader(f"{folder}/shards"), RECORD_ROWS)
 
 
 def read_shuffled(spark: SparkSession, folder: str, seed: int, block: int = 64) -> DataFrame:
@@ -319,7 +320,7 @@ def read_shuffled(spark: SparkSession, folder: str, seed: int, block: int = 64)
                     "ids": pa.array([got[i][1].astype(np.int64) for i in turn], pa.list_(pa.int64()))})
 
     shards = spark.read.schema(SHARDS).parquet(f"{folder}/manifest")
-    dealt = shards.select("name").repartition("name").mapInArrow(entries, "name string, at bigint")
+    dealt = shards.select("name").repartition(max(1, shards.count()), "name").mapInArrow(entries, "name string, at bigint")
     turn = F.xxhash64("name", "at", F.lit(seed))
     return dealt.withColumn("turn", turn).repartitionByRange("turn").sortWithinPartitions("turn").select("name", "at").mapInArrow(
         fetch, "doc_id bigint, ids array<bigint>")

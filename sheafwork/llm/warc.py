@@ -128,9 +128,8 @@ def plain(page: str) -> str:
     """Text of a page: a line for each block, blanks joined, empty lines left out."""
     page = UNSEEN.sub("\n", page)
     page = BREAKS.sub("\n", CELLS.sub("\t", page.replace("\n", " ")))
-    page = html.unescape(TAGS.sub("", page))
-    lines = (BLANKS.sub(" ", x).strip() for x in page.split("\n"))
-    return "\n".join(x for x in lines if x)
+    page = BLANKS.sub(" ", html.unescape(TAGS.sub("", page)))
+    return "\n".join([x for line in page.split("\n") if (x := line.strip())])
 
 
 def derived(record: bytes | None) -> tuple[str, bytes, bytes] | None:
@@ -166,9 +165,10 @@ def derived(record: bytes | None) -> tuple[str, bytes, bytes] | None:
 def response_of(key: str, url: str, page: bytes, date: str) -> bytes:
     """A response record of a fetched page."""
     block = (f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(page)}\r\n\r\n").encode() + page
-    return build([("WARC-Type", "response"), ("WARC-Record-ID", record_id(key, url, digest(page))), ("WARC-Target-URI", url),
+    own = digest(page)
+    return build([("WARC-Type", "response"), ("WARC-Record-ID", record_id(key, url, own)), ("WARC-Target-URI", url),
                   ("WARC-Date", date), ("Content-Type", "application/http; msgtype=response"),
-                  ("WARC-Payload-Digest", digest(page)), ("WARC-Block-Digest", digest(block)), ("X-Page-ID", key)], block)
+                  ("WARC-Payload-Digest", own), ("WARC-Block-Digest", digest(block)), ("X-Page-ID", key)], block)
 
 
 def responses(pages: DataFrame, date: str) -> DataFrame:
@@ -260,7 +260,8 @@ def read_files(manifest: DataFrame, folder: str, end: str) -> DataFrame:
                             "digest_ok": pa.array([digest(b) == h.get("warc-block-digest") for h, b in got]),
                             "block": pa.array([b for _, b in got], pa.binary())})
 
-    return manifest.select("name").repartition("name").mapInArrow(
+    # as many tasks as files: rows of names are too small for Spark to judge by
+    return manifest.select("name").repartition(max(1, manifest.count()), "name").mapInArrow(
         run, ", ".join(f"{n} string" for n in names) + ", digest_ok boolean, block binary")
 
 
@@ -288,6 +289,6 @@ def derivatives_of(pages: DataFrame, date: str, folder: str | None = None) -> Da
         F.length(info).cast("bigint").alias("n_chars"), F.sha2(F.col("block"), 256).alias("text_sha256")).distinct()
     agree = (F.col("ok") & F.col("ok2") & (F.col("r") == F.col("response_id")) & (F.col("m") == F.col("metadata_id")) &
              (F.col("t") == F.col("target")) & (F.col("s") == F.col("payload_digest")) & (F.col("b") == F.col("text_digest")))
-    return meta.join(text, "conversion_id").select(
+    return meta.join(text.hint("merge"), "conversion_id").select(  # neither side is bounded
         "page_id", "response_id", "metadata_id", "conversion_id", "target", "payload_digest", "title", "n_links", "n_chars", "text_sha256",
         F.coalesce(agree, F.lit(False)).alias("linked"))
