@@ -6,14 +6,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sheafwork.llm import bpe_automaton, dart_minhash, line_dedup, quality_qda, winnow
-from sheafwork.llm.common import written
+from sheafwork.llm.common import unbounded, written
 from sheafwork.llm.queries import TOKENIZER, table
 
 
 def drop_low_quality(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
     """Documents that the classifier rejects go; rows without doc_id stay."""
     found = quality_qda.score_documents(docs, table(spark, folder, "labels"))
-    return docs.join(found.where("predicted = 0").select("doc_id").distinct(), "doc_id", "left_anti").select(*docs.columns)
+    return docs.join(unbounded(found.where("predicted = 0").select("doc_id").distinct()), "doc_id", "left_anti").select(*docs.columns)
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
@@ -28,13 +28,13 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, folder: str) -> Da
 def drop_near_copies(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
     """The smallest doc_id of each class of near copies stays; so do rows without doc_id."""
     found = dart_minhash.near_duplicates(docs)
-    return docs.join(found.where("doc_id <> class_id").select("doc_id"), "doc_id", "left_anti").select(*docs.columns)
+    return docs.join(unbounded(found.where("doc_id <> class_id").select("doc_id")), "doc_id", "left_anti").select(*docs.columns)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
     """Documents that hold a window of a benchmark item go."""
     found = winnow.decontaminate(docs, table(spark, folder, "benchmark"))
-    return docs.join(found.where("n_hit > 0").select("doc_id"), "doc_id", "left_anti").select(*docs.columns)
+    return docs.join(unbounded(found.where("n_hit > 0").select("doc_id")), "doc_id", "left_anti").select(*docs.columns)
 
 
 def encode(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:

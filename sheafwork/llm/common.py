@@ -32,6 +32,11 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def unbounded(df: DataFrame) -> DataFrame:
+    """One side of a join whose size follows the corpus: never broadcast, so a join is planned alike at every size."""
+    return df.hint("merge")
+
+
 # Arrow text
 
 def pieces(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int = 1 << 20) -> Iterator[pa.RecordBatch]:

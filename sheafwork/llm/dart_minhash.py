@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sheafwork.llm.common import U64, Words, mix, pieces, text_buffers, written
+from sheafwork.llm.common import U64, Words, mix, pieces, text_buffers, unbounded, written
 
 SHINGLE, SIMILARITY = 5, 0.8
 #: A pair at the least similarity shares no band with probability (1 - 0.8 ** 7) ** 40, under 1 in 10,000.
@@ -220,7 +220,7 @@ def verified(pairs: DataFrame, docs: DataFrame, shingle: int, least: float) -> D
     blocks = pairs.groupBy("a").agg(F.ceil(F.count("*") / GROUP).alias("blocks"))
     dealt = written(pairs.join(blocks, "a").select("a", "b", F.expr("pmod(xxhash64(b), blocks)").alias("salt")), "pairs")
     centres = dealt.select("a", F.col("a").alias("b"), "salt").distinct()
-    rows = dealt.unionByName(centres).join(docs.withColumnRenamed("doc_id", "b"), "b")
+    rows = unbounded(dealt.unionByName(centres)).join(docs.withColumnRenamed("doc_id", "b"), "b")
     rows = rows.repartition("a", "salt").sortWithinPartitions("a", "salt", F.col("a") != F.col("b"))
     return rows.select("a", "salt", "b", "text").mapInArrow(compare(shingle, least), "a bigint, b bigint")
 
@@ -270,7 +270,7 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, least: float = SIMI
                                         F.count("*").alias("n")).where("n > 1")
     centres = centres.select(*key, "n", F.col("c.doc_id").alias("centre"), F.col("c.n_words").alias("n_c"))
     members = written(members.join(centres, key), "buckets")
-    held_docs = written(docs.join(members.select("doc_id").distinct(), "doc_id", "left_semi"), "candidate-texts")
+    held_docs = written(docs.join(unbounded(members.select("doc_id").distinct()), "doc_id", "left_semi"), "candidate-texts")
     # shingles shared are at most those of the shorter text
     n_a, n_b = (F.greatest(F.col(c) - (shingle - 1), F.lit(1)) for c in ("n_c", "n_words"))
     stars = members.where((F.col("doc_id") != F.col("centre")) & (F.least(n_a, n_b) >= least * F.greatest(n_a, n_b))).select(
@@ -288,7 +288,7 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, least: float = SIMI
     held = held.withColumn("other", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1))).select(
         *key, "doc_id", "class_id", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"),
         (F.col("own") > F.col("other")).cast("int").alias("side"))
-    dealt = held.join(held_docs, "doc_id").repartition(*key, "i", "j").sortWithinPartitions(*key, "i", "j")
+    dealt = unbounded(held).join(held_docs, "doc_id").repartition(*key, "i", "j").sortWithinPartitions(*key, "i", "j")
     more = written(dealt.mapInArrow(within_blocks(shingle, least), "a bigint, b bigint"), "more-links")
     labels = components(edges.unionByName(more))
 

@@ -17,7 +17,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sheafwork.llm.common import U64, bloom_add, bloom_test, pieces, power_of_two, text_buffers, written
+from sheafwork.llm.common import U64, bloom_add, bloom_test, pieces, power_of_two, text_buffers, unbounded, written
 
 LEAST = 10
 SPACE = bytes([32, *range(9, 14)])
@@ -179,5 +179,5 @@ def dedup_lines(docs: DataFrame, least: int = LEAST, most_bytes: int = MOST_BYTE
     docs = docs.drop(*ADDED)
     drop = repeated_elsewhere(docs, least, most_bytes)
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    return docs.join(drop, "doc_id", "left").select(*docs.columns, "drop").mapInArrow(
+    return docs.join(unbounded(drop), "doc_id", "left").select(*docs.columns, "drop").mapInArrow(
         drop_lines(least), f"{schema}, kept string, n_lines bigint, n_dropped bigint")

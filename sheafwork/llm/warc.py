@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sheafwork.llm.common import pieces, shared_folder
+from sheafwork.llm.common import pieces, shared_folder, unbounded
 from sheafwork.llm.token_records import file_system
 
 VERSION = "WARC/1.1"
@@ -289,6 +289,6 @@ def derivatives_of(pages: DataFrame, date: str, folder: str | None = None) -> Da
         F.length(info).cast("bigint").alias("n_chars"), F.sha2(F.col("block"), 256).alias("text_sha256")).distinct()
     agree = (F.col("ok") & F.col("ok2") & (F.col("r") == F.col("response_id")) & (F.col("m") == F.col("metadata_id")) &
              (F.col("t") == F.col("target")) & (F.col("s") == F.col("payload_digest")) & (F.col("b") == F.col("text_digest")))
-    return meta.join(text.hint("merge"), "conversion_id").select(  # neither side is bounded
+    return meta.join(unbounded(text), "conversion_id").select(
         "page_id", "response_id", "metadata_id", "conversion_id", "target", "payload_digest", "title", "n_links", "n_chars", "text_sha256",
         F.coalesce(agree, F.lit(False)).alias("linked"))
