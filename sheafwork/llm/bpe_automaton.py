@@ -260,13 +260,15 @@ class Remembered:
     def get(self, keys: list[str]) -> list:
         young = self.young
         out = list(map(young.get, keys))
-        if None in out:
-            missing = list(dict.fromkeys([k for k, v in zip(keys, out) if v is None]))
+        gaps = [i for i, v in enumerate(out) if v is None]
+        if gaps:
+            missing = list(dict.fromkeys([keys[i] for i in gaps]))
             old = self.old
             new = [k for k in missing if k not in old]
             found = dict(zip(new, self.make(new)))
             fresh = {k: found[k] if k in found else old[k] for k in missing}
-            out = [fresh[k] if v is None else v for k, v in zip(keys, out)]
+            for i in gaps:
+                out[i] = fresh[keys[i]]
             if len(young) + len(fresh) > self.size:
                 self.old, self.young = young, fresh if len(fresh) <= self.size else {}
             else:

@@ -191,8 +191,11 @@ def shard_writer(folder: str, path: str, end: int):
                 fs.create_dir(root, recursive=True)
                 records = fs.open_output_stream(f"{root}/{name}.rec")
             ids = [NO_ID if i is None else i for i in batch.column("doc_id").to_pylist()]
-            data = [b"".join([struct.pack("<qB", i, width), *cache.get(chunks(t or "")), tail])
-                    for i, t in zip(ids, batch.column("text").to_pylist())]
+            parts = [chunks(t or "") for t in batch.column("text").to_pylist()]
+            held, at, data = cache.get([c for p in parts for c in p]), 0, []
+            for i, p in zip(ids, parts):
+                data.append(b"".join([struct.pack("<qB", i, width), *held[at:at + len(p)], tail]))
+                at += len(p)
             for i, d, frame in zip(ids, data, framed(data)):
                 records.write(frame)
                 entries.append((i, offset, len(frame), before))
