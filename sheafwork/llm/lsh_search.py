@@ -6,6 +6,10 @@ query visits the cells around its own in the order of their estimated success (t
 distance lies in that cell) until the chances add up to ``success`` in each table. The typical distance is taken from a
 bounded sample of queries. Candidates of all tables are merged and ranked by the exact cosine.
 
+No query ends on the typical distance alone. One whose last wanted neighbour was found farther away visits the cells that this
+distance, a bound of the true one, adds to its first ones. One that found too few, or only rows beyond a right angle, is compared with
+all vectors.
+
 Cells are dealt over regions, those of over ``BLOCK`` vectors in several blocks, so no task holds more than about ``REGION`` vectors at once
 and no cell is capped. A query's vector goes once to each region that it visits, with the cells it visits there.
 """
@@ -15,6 +19,7 @@ from __future__ import annotations
 import heapq
 import math
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -28,6 +33,8 @@ TABLES, WIDTH, SUCCESS, SEED = 2, 1.0, 0.9, 20_011
 #: Queries of the sample that gives the typical distance, vectors of a region, vectors of a block of a large cell; most
 #: large cells listed to all tasks (blocks grow until no more cells are large).
 SAMPLE, REGION, BLOCK, LISTED = 64, 8192, 4096, 1 << 20
+#: Distance of vectors at a right angle; distances that differ by less count as equal.
+RIGHT, MARGIN = math.sqrt(2), 1e-9
 #: Slots considered on either side of a query's own in one projection.
 REACH = 6
 
@@ -169,16 +176,24 @@ def dealt_vectors(large: Broadcast, regions: int):
     return run
 
 
-def dealt_queries(large: Broadcast, regions: int, k: int, width: float, tables: int, seed: int, spread: float, success: float):
-    """A row for each query and region that holds a block of a cell it visits, with these cells."""
+def dealt_queries(large: Broadcast, regions: int, k: int, width: float, tables: int, seed: int, success: float):
+    """A row for each query and region that holds a block of a cell it visits, with these cells.
+
+    A query visits the cells of its distance ``far`` but for those of ``near``, which it has visited before (0: none).
+    """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not batch.num_rows:
                 continue
             x = unit(vectors_of(batch.column("v")))
             tables_ = [projections(t, x.shape[1], k, width, seed) for t in range(tables)]
-            for i, v in enumerate(x):
-                cells = np.concatenate([cell_of(t, visited((v @ a + b) / width, spread, success)) for t, (a, b) in enumerate(tables_)])
+            spreads = zip(batch.column("near").to_pylist(), batch.column("far").to_pylist())
+            for i, (v, (near, far)) in enumerate(zip(x, spreads)):
+                places = [(v @ a + b) / width for a, b in tables_]
+                cells = np.concatenate([cell_of(t, visited(p, far / width, success)) for t, p in enumerate(places)])
+                if near:
+                    before = np.concatenate([cell_of(t, visited(p, near / width, success)) for t, p in enumerate(places)])
+                    cells = np.setdiff1d(cells, before)
                 counts = block_counts(cells, large.value)
                 cells = np.repeat(cells, counts)
                 blocks = np.arange(len(cells)) - np.repeat(np.cumsum(counts) - counts, counts)
@@ -245,6 +260,44 @@ def best_of(part: pa.RecordBatch, ids: np.ndarray, cells: np.ndarray, x: np.ndar
                                        "s": pa.array(out_s, pa.float64())})
 
 
+def to_all(blocks: int):
+    """A row for each query and block of vectors."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.arange(blocks)), pa.array(np.ones(blocks, np.int32)), *[batch.column(c).take(pa.array(np.full(blocks, i)))
+                     for c in ("cls", "v")], pa.array([[0]] * blocks, pa.list_(pa.int64()))], names=DEALT)
+
+    return run
+
+
+def against_all(reps: DataFrame, queries: DataFrame, n: int, keep: int, schema: str) -> DataFrame:
+    """(q, c, s): the best of all vectors, in blocks of about ``REGION``, for each of the queries."""
+    blocks = max(1, -(-n // REGION))
+    kept = reps.select(F.pmod(F.xxhash64("cls", "v"), F.lit(blocks)).alias("region"), F.lit(0).alias("kind"), "cls", "v",
+                       F.array(F.lit(0).cast("bigint")).alias("cells"))
+    asking = queries.select("cls", "v").mapInArrow(to_all(blocks), schema)
+    dealt = kept.unionByName(asking).repartition("region").sortWithinPartitions("region", "kind")
+    return dealt.mapInArrow(rank(keep), "q bigint, c bigint, s double")
+
+
+def best(found: DataFrame, keep: int) -> DataFrame:
+    """(q, c, s): the ``keep`` best candidates of each query, each once."""
+    order = F.row_number().over(Window.partitionBy("q").orderBy(F.desc("s"), "c"))
+    return found.groupBy("q", "c").agg(F.max("s").alias("s")).withColumn("r", order).where(F.col("r") <= keep).select("q", "c", "s")
+
+
+def distances(named: DataFrame, top: DataFrame, reps: DataFrame, nearest: int) -> DataFrame:
+    """(cls, n, d): rows found for each query, ``nearest`` at most, and the distance of the last; of ids with one vector the worst."""
+    ids = top.join(reps.select(F.col("cls").alias("c"), "ids"), "c").select(F.col("q").alias("cls"), "s", F.explode("ids").alias("id"))
+    rows = named.join(ids, "cls").where("id <> vec_id")
+    place = F.row_number().over(Window.partitionBy("cls", "vec_id").orderBy(F.desc("s")))
+    last = rows.withColumn("r", place).where(F.col("r") <= nearest).groupBy("cls", "vec_id").agg(F.count("*").alias("n"), F.min("s").alias("s"))
+    return named.join(last, ["cls", "vec_id"], "left").groupBy("cls").agg(
+        F.min(F.coalesce("n", F.lit(0))).alias("n"), F.sqrt(F.greatest(2 - 2 * F.min("s"), F.lit(0.0))).alias("d"))
+
+
 def exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Cosines of pairs in double precision."""
     for batch in batches:
@@ -273,7 +326,7 @@ def search(table: DataFrame, every: int, nearest: int = 5, id_column: str = "vec
     named = written(asked.join(reps.select("cls", "v"), "v").select("cls", "vec_id"), "queries")
     queries = reps.join(named.select("cls").distinct(), "cls", "left_semi")
     k = max(2, round(0.3 * math.log2(n)))
-    spread = typical_distance(reps, queries, nearest, SAMPLE) / width
+    spread = typical_distance(reps, queries, nearest, SAMPLE)
     regions = max(1, -(-n * tables // REGION))
     index = written(reps.select("cls", "v").mapInArrow(
         index_rows(k, width, tables, seed), f"cell bigint, cls bigint, v {dict(reps.dtypes)['v']}"), "index")
@@ -285,14 +338,28 @@ def search(table: DataFrame, every: int, nearest: int = 5, id_column: str = "vec
     large = table.sparkSession.sparkContext.broadcast((np.array([c for c, _ in found], np.int64), np.array([n for _, n in found], np.int64)))
     schema = f"region bigint, kind int, cls bigint, v {dict(reps.dtypes)['v']}, cells array<bigint>"
     kept = index.mapInArrow(dealt_vectors(large, regions), schema)
-    asking = queries.select("cls", "v").repartition("cls").mapInArrow(
-        dealt_queries(large, regions, k, width, tables, seed, spread, success), schema)
-    dealt = kept.unionByName(asking).repartition("region").sortWithinPartitions("region", "kind")
     keep = nearest + 3
-    # a region may hold a vector once for each table
-    found = dealt.mapInArrow(rank(keep * tables), "q bigint, c bigint, s double").groupBy("q", "c").agg(F.max("s").alias("s"))
-    order = F.row_number().over(Window.partitionBy("q").orderBy(F.desc("s"), "c"))
-    top = written(found.withColumn("r", order).where(F.col("r") <= keep).select("q", "c"), "top")
+
+    def probed(asking: DataFrame) -> DataFrame:
+        asking = asking.select("cls", "v", "near", "far").repartition("cls").mapInArrow(
+            dealt_queries(large, regions, k, width, tables, seed, success), schema)
+        dealt = kept.unionByName(asking).repartition("region").sortWithinPartitions("region", "kind")
+        # a region may hold a vector once for each table
+        return dealt.mapInArrow(rank(keep * tables), "q bigint, c bigint, s double")
+
+    top = written(best(probed(queries.withColumns({"near": F.lit(0.0), "far": F.lit(spread)})), keep), "top")
+    reached = written(distances(named, top, reps, nearest), "distances")
+    short = (F.col("n") < nearest) | (F.col("d") > RIGHT)
+    wide = ~short & (F.col("d") > spread + MARGIN)
+    n_short, n_wide = reached.agg(F.count_if(short), F.count_if(wide)).first()
+    again = []
+    if n_wide:
+        again.append(probed(queries.join(reached.where(wide), "cls").withColumns({"near": F.lit(spread), "far": F.col("d")})))
+    if n_short:
+        again.append(against_all(reps, queries.join(reached.where(short).select("cls"), "cls"), n, keep, schema))
+    if again:
+        top = written(best(reduce(DataFrame.unionByName, again, top), keep), "top")
+    top = top.select("q", "c")
     pairs = top.join(reps.select(F.col("cls").alias("c"), F.col("v").alias("w"), "ids"), "c").join(
         reps.select(F.col("cls").alias("q"), "v"), "q")
     scored = written(pairs.select("q", "ids", "v", "w").mapInArrow(exact, "q bigint, ids array<bigint>, score double"), "scores")

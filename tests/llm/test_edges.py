@@ -180,6 +180,26 @@ def test_search_few_or_no_rows(spark):
     assert (one.query_id, one["rank"], one.vec_id) == (50, 1, 3) and abs(one.score - 0.5 ** 0.5) < 1e-12
 
 
+def test_search_tight_groups_and_scattered_vectors(spark):
+    rng = np.random.default_rng(5)
+    rows, free = [], (i for i in range(10_000) if i % 50)
+    for q in range(0, 4000, 50):  # tight groups hold 80 of 100 queries
+        v = rng.normal(size=64)
+        rows += [(q, v), *[(next(free), v + rng.normal(size=64) * 1e-3) for _ in range(6)]]
+    rows += [(q, rng.normal(size=64)) for q in range(4000, 5000, 50)] + [(next(free), rng.normal(size=64)) for _ in range(1500)]
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in rows], "vec_id long, embedding array<double>")
+    got = {}
+    for r in lsh_search.search(df, 50).collect():
+        got.setdefault(r.query_id, []).append(r.vec_id)
+    ids, x = np.array([i for i, _ in rows]), lsh_search.unit(np.array([v for _, v in rows]))
+    hits = {True: 0, False: 0}
+    for q in range(0, 5000, 50):
+        score = np.where(ids == q, -2, x @ x[ids == q][0])
+        assert len(got[q]) == 5
+        hits[q < 4000] += len(set(got[q]) & set(ids[np.argsort(-score)[:5]].tolist()))
+    assert hits[True] == 400 and hits[False] >= 90
+
+
 # op6
 
 def test_rendering():
