@@ -33,8 +33,10 @@ TABLES, WIDTH, SUCCESS, SEED = 2, 1.0, 0.9, 20_011
 #: Queries of the sample that gives the typical distance, vectors of a region, vectors of a block of a large cell; most
 #: large cells listed to all tasks (blocks grow until no more cells are large).
 SAMPLE, REGION, BLOCK, LISTED = 64, 8192, 4096, 1 << 20
-#: Distance of vectors at a right angle; distances that differ by less count as equal.
+#: Distance of vectors at a right angle; distances or scores that differ by less may be equal.
 RIGHT, MARGIN = math.sqrt(2), 1e-9
+#: Pairs scored at a time.
+PAIRS = 1 << 14
 #: Slots considered on either side of a query's own in one projection.
 REACH = 6
 
@@ -49,6 +51,11 @@ def unit(x: np.ndarray) -> np.ndarray:
     return x / np.sqrt(np.einsum("ij,ij->i", x, x))[:, None]
 
 
+def cosines(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Of pairs of unit vectors. ``unit`` divides by the largest component first, so exact multiples of a vector give the same bits."""
+    return np.einsum("ij,ij->i", a, b)
+
+
 def projections(table: int, dims: int, k: int, width: float, seed: int) -> tuple[np.ndarray, np.ndarray]:
     rng = np.random.default_rng([seed, table])
     return rng.normal(size=(dims, k)), rng.uniform(0, width, k)
@@ -239,7 +246,7 @@ def rank(keep: int):
 
 
 def best_of(part: pa.RecordBatch, ids: np.ndarray, cells: np.ndarray, x: np.ndarray, keep: int) -> pa.RecordBatch:
-    out_q, out_c, out_s = [], [], []
+    out = []
     names, place = np.unique(cells, return_inverse=True)
     step = max(1, (1 << 21) // max(len(x), 1))
     for a in range(0, part.num_rows, step):
@@ -249,15 +256,19 @@ def best_of(part: pa.RecordBatch, ids: np.ndarray, cells: np.ndarray, x: np.ndar
             at = np.searchsorted(names, own)
             at = at[at < len(names)]
             allowed[i, at[np.isin(names[at], own)]] = True
-        scores = np.where(allowed[:, place], unit(vectors_of(piece.column("v"))) @ x.T, -np.inf)
-        for q, row in zip(piece.column("cls").to_pylist(), scores):
-            top = np.argpartition(-row, keep)[:keep] if len(row) > keep else np.arange(len(row))
-            for j in top[np.isfinite(row[top])]:
-                out_q.append(q)
-                out_c.append(ids[j])
-                out_s.append(row[j])
-    return pa.RecordBatch.from_pydict({"q": pa.array(out_q, pa.int64()), "c": pa.array(out_c, pa.int64()),
-                                       "s": pa.array(out_s, pa.float64())})
+        asked = unit(vectors_of(piece.column("v")))
+        scores = np.where(allowed[:, place], asked @ x.T, -np.inf)
+        # the product differs in its last bits with its shape: what lies near the last place is scored pair by pair before the cut
+        if len(x) > keep:
+            least = np.partition(scores, len(x) - keep, axis=1)[:, len(x) - keep, None]
+            scores[scores < least - MARGIN] = -np.inf
+        i, j = np.nonzero(np.isfinite(scores))
+        s = np.concatenate([np.zeros(0), *[cosines(asked[i[k:k + PAIRS]], x[j[k:k + PAIRS]]) for k in range(0, len(i), PAIRS)]])
+        order = np.lexsort((ids[j], -s, i))
+        order = order[np.arange(len(i)) - np.searchsorted(i, i) < keep]  # i is sorted before and after
+        out.append((piece.column("cls").to_numpy()[i[order]], ids[j[order]], s[order]))
+    q, c, s = (np.concatenate(x) for x in zip(*out))
+    return pa.RecordBatch.from_pydict({"q": pa.array(q, pa.int64()), "c": pa.array(c, pa.int64()), "s": pa.array(s, pa.float64())})
 
 
 def to_all(blocks: int):
@@ -301,12 +312,10 @@ def distances(named: DataFrame, top: DataFrame, reps: DataFrame, nearest: int) -
 def exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Cosines of pairs in double precision."""
     for batch in batches:
-        a, b = vectors_of(batch.column("v")), vectors_of(batch.column("w"))
-        if not len(a):
+        if not batch.num_rows:
             continue
-        length = np.sqrt(np.einsum("ij,ij->i", a, a)) * np.sqrt(np.einsum("ij,ij->i", b, b))
-        yield pa.RecordBatch.from_arrays([batch.column("q"), batch.column("ids"), pa.array(np.einsum("ij,ij->i", a, b) / length)],
-                                         names=["q", "ids", "score"])
+        score = cosines(unit(vectors_of(batch.column("v"))), unit(vectors_of(batch.column("w"))))
+        yield pa.RecordBatch.from_arrays([batch.column("q"), batch.column("ids"), pa.array(score)], names=["q", "ids", "score"])
 
 
 def search(table: DataFrame, every: int, nearest: int = 5, id_column: str = "vec_id", vector_column: str = "embedding",

@@ -200,6 +200,19 @@ def test_search_tight_groups_and_scattered_vectors(spark):
     assert hits[True] == 400 and hits[False] >= 90
 
 
+def test_search_scaled_copies_tie_by_id(spark):
+    rng = np.random.default_rng(6)
+    base = rng.integers(-9, 10, 64).astype(float)
+    rows = [(i, (base * f).tolist()) for i, f in zip(range(400), rng.permutation(400) + 1)]
+    rows += [(i, rng.normal(size=64).tolist()) for i in range(400, 1000)]
+    got = {}
+    for r in lsh_search.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), 50).collect():
+        got.setdefault(r.query_id, []).append((r["rank"], r.vec_id, r.score))
+    for q in range(0, 400, 50):
+        assert [i for _, i, _ in sorted(got[q])] == [i for i in range(6) if i != q][:5]
+        assert len({s for _, _, s in got[q]}) == 1
+
+
 # op6
 
 def test_rendering():
