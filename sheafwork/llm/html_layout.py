@@ -16,8 +16,12 @@ from pyspark.sql import DataFrame
 from sheafwork.llm.common import pieces
 
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
-UNSEEN = frozenset("head script style template noscript title meta link base svg math iframe object audio video canvas datalist "
-                   "select textarea".split())
+UNSEEN = frozenset("head script style template noscript title meta link base iframe object audio video canvas datalist".split())
+#: In svg and math: what is not drawn; where HTML may stand inside; the start tags that end them elsewhere.
+UNDRAWN = frozenset("defs symbol clippath mask pattern marker metadata desc annotation annotation-xml".split())
+POINTS = frozenset("foreignobject desc title mi mo mn ms mtext annotation-xml".split())
+BREAKOUT = frozenset("b big blockquote body br center code dd div dl dt em embed h1 h2 h3 h4 h5 h6 head hr i img li listing menu meta nobr "
+                     "ol p pre ruby s small span strong strike sub sup table tt u ul var".split())
 HEAD_TAGS = frozenset("title style script meta link base noscript template".split())
 MARGIN = frozenset("p h1 h2 h3 h4 h5 h6 ul ol dl table blockquote pre figure".split())
 BLOCK = MARGIN | frozenset("address article aside body caption center dd details dialog dir div dt fieldset figcaption footer form "
@@ -27,7 +31,7 @@ TABLE_PARTS = frozenset("thead tbody tfoot colgroup".split())
 IMPLIED = {
     "li": ({"li"}, {"ul", "ol", "menu", "table"}), "dt": ({"dt", "dd"}, {"dl", "table"}), "dd": ({"dt", "dd"}, {"dl", "table"}),
     "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "tr": ({"tr", "caption"}, {"table"}),
-    "option": ({"option"}, {"select"}), "a": ({"a"}, {"table", "td"}),
+    "option": ({"option"}, {"select"}), "optgroup": ({"option", "optgroup"}, {"select"}), "a": ({"a"}, {"table", "td"}),
     **{t: ({"tr", "caption", *TABLE_PARTS}, {"table"}) for t in TABLE_PARTS},
 }
 #: An end tag does not reach beyond these, unless it names one.
@@ -59,12 +63,13 @@ class Row:
 
 
 class Element:
-    __slots__ = ("tag", "attrs", "items", "hidden", "pre", "count")
+    __slots__ = ("tag", "attrs", "items", "hidden", "pre", "count", "foreign", "mute")
 
     def __init__(self, tag: str, attrs: dict, hidden: bool, pre: bool):
         self.tag, self.attrs, self.hidden, self.pre = tag, attrs, hidden, pre
         self.items: list = []
         self.count = 0
+        self.foreign = self.mute = False  # of svg or math; an svg element outside its text
 
 
 def layout(items: list) -> list[str]:
@@ -161,9 +166,17 @@ class Renderer(HTMLParser):
         top = self.stack[-1]
         hidden = (top.hidden or tag in UNSEEN or "hidden" in attrs or bool(HIDING.search(attrs.get("style") or "")) or
                   (top.tag == "details" and "open" not in top.attrs and tag != "summary"))
-        self.stack.append(Element(tag, attrs, hidden, top.pre or tag == "pre"))
+        el = Element(tag, attrs, hidden, top.pre or tag in ("pre", "textarea"))
+        inside = self.in_foreign()
+        el.foreign = inside or tag in ("svg", "math")
+        el.hidden |= inside and tag in UNDRAWN
+        el.mute = tag == "svg" or (top.mute and not (inside and tag in ("text", "foreignobject")))
+        self.stack.append(el)
         self.open[tag] = self.open.get(tag, 0) + 1
 
+    def in_foreign(self) -> bool:
+        return self.stack[-1].foreign and self.stack[-1].tag not in POINTS
+
     def close_within(self, tags: set[str] | frozenset[str], bounds: set[str] | frozenset[str]) -> None:
         """Closes the outermost of ``tags`` that no bound separates from the top, with all in it."""
         if not any(self.open.get(t) for t in tags):
@@ -180,6 +193,14 @@ class Renderer(HTMLParser):
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
         own = {k: v for k, v in reversed(attrs)}
+        if self.in_foreign():
+            if tag not in BREAKOUT and not (tag == "font" and own.keys() & {"color", "face", "size"}):
+                if tag == "text":
+                    self.stack[-1].items.append(" ")
+                self.push(tag, own)
+                return
+            while self.in_foreign():
+                self.pop()
         if tag in ("html", "body") and self.open.get(tag):
             return
         if self.open.get("head") and tag not in HEAD_TAGS and tag != "head":
@@ -199,9 +220,13 @@ class Renderer(HTMLParser):
             self.add(Box(["-" * 20], 0))
         elif tag not in VOID:
             self.push(tag, own)
+            if tag == "optgroup" and own.get("label"):
+                self.add(Box([own["label"]], 0))
 
     def handle_startendtag(self, tag: str, attrs: list) -> None:
-        self.handle_starttag(tag, attrs)  # HTML knows no self-closing but the void elements
+        self.handle_starttag(tag, attrs)  # HTML knows no self-closing but the void elements; svg and math do
+        if self.stack[-1].foreign and self.stack[-1].tag == tag:
+            self.pop()
 
     def handle_endtag(self, tag: str) -> None:
         if tag == "br":
@@ -220,7 +245,7 @@ class Renderer(HTMLParser):
         if self.open.get("head") and self.stack[-1].tag == "head" and data.strip():
             self.close_within({"head"}, frozenset())
         top = self.stack[-1]
-        if not top.hidden and data:
+        if not top.hidden and not top.mute and data:
             data = data.replace("\v", " ").replace("\0", "")
             if top.tag in ("table", "tr", *TABLE_PARTS, "ul", "ol") and not data.strip():
                 return
@@ -236,6 +261,8 @@ class Renderer(HTMLParser):
         if el.hidden:
             return
         parent, tag = self.stack[-1], el.tag
+        if tag == "text" and el.foreign:
+            el.items.append(" ")
         if tag in ("td", "th"):
             cell = Cell(layout(el.items), 0)
             cell.columns, cell.rows = (min(max(int(v), 1), MOST_SPAN) if (v := (el.attrs.get(k) or "").strip()).isascii() and v.isdigit()

@@ -226,6 +226,18 @@ def test_rendering():
     assert html_layout.render(nested) == "l  in  ner\n\ntail"
 
 
+@pytest.mark.parametrize("page, text", [
+    ("<p>a <math><mi>x</mi><mo>=</mo><mn>1</mn><annotation>no</annotation></math> b", "a x=1 b"),
+    ("<p>a<svg><title>no</title><path d=x /><g>no<text>one</text><text>two</text></g></svg> b", "a one two b"),
+    ("<svg><defs><text>no</text></defs><foreignObject><p>in</p></foreignObject></svg>out", "in\n\nout"),
+    ("<svg><g><p>rest<p>more", "rest\n\nmore"), ("<math><mrow><div>rest</div>more", "rest\nmore"),
+    ("<a href=x><svg><a><text>t</text></a></svg>u</a>", "t u"),
+    ("<select><optgroup label=g><option>a<option>b<optgroup label=h><option>c</select>d", "g\na\nb\nh\nc\nd"),
+    ("<textarea>x\n  y</textarea>", "x\n  y"), ("<datalist><option>no</datalist>z", "z")])
+def test_rendering_foreign_and_form_text(page, text):
+    assert html_layout.render(page) == text
+
+
 @pytest.mark.parametrize("page", [
     "<div>" * 20_000 + "x", "<b>" * 20_000 + "x", "<table>" * 2000 + "x", "<table><tr>" + "<td>x" * 5000, "<ul><li>x" * 2000,
     "<td>x</tr></table></p></li>", "x" * 300_000, "<p" + " a=b" * 1000 + ">x", "a < b & c &bogus; <3 x"])
