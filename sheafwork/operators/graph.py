@@ -8,12 +8,11 @@ facts:    long form - entity, type, rel_type, other, direction (null relation co
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from sheafwork.operators.dictionary import names_in
+
 # Coarse relation classes.
 KINSHIP = ("MOTHER_OF", "FATHER_OF", "PARENT_OF", "CHILD_OF", "SPOUSE_OF", "SIBLING_OF", "GUARDIAN_OF")
 BUSINESS = ("OWNS", "EMPLOYED_BY", "PAID", "LOCATED_IN", "SUBSIDIARY_OF", "REPORTS_TO", "TRANSACTED_WITH")
@@ -34,10 +33,11 @@ def upsert_entities(nodes: DataFrame | None, new: DataFrame) -> DataFrame:
         F.max("confidence").alias("confidence"), F.sort_array(F.collect_set("source_file")).alias("source_files"))
 
 
-def first_rows(df: DataFrame, keys: list[str], order: str = "ordinal") -> DataFrame:
-    """First row per key by ``order``, as a partial aggregate instead of a sorted window."""
-    rest = [c for c in df.columns if c not in keys and c != order]
-    return df.groupBy(*keys).agg(F.min(F.struct(order, *rest)).alias("_f")).select(*keys, "_f.*")
+def first_rows(df: DataFrame, keys: list[str], order: list[str] | None = None) -> DataFrame:
+    """First row per key by ``order`` (ordinal), as a partial aggregate instead of a sorted window."""
+    order = order or ["ordinal"]
+    rest = [c for c in df.columns if c not in keys and c not in order]
+    return df.groupBy(*keys).agg(F.min(F.struct(*order, *rest)).alias("_f")).select(*keys, "_f.*")
 
 
 def upsert_relations(edges: DataFrame | None, new: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -52,7 +52,7 @@ def upsert_relations(edges: DataFrame | None, new: DataFrame, nodes: DataFrame)
     fresh = first.join(s, ["job_id", "source_entity"]).join(t, ["job_id", "target_entity"]).select(
         "job_id", F.col("source_entity").alias("source"), "source_type", F.col("target_entity").alias("target"),
         "target_type", F.col("relation_type").alias("type"), "evidence", "confidence", "source_file",
-        F.col("ordinal").cast("long").alias("ordinal"))
+        "ordinal")
     keys = ["job_id", "source", "source_type", "target", "target_type", "type"]
     if edges is None:
         return fresh
@@ -82,58 +82,30 @@ def upsert_chunks(old: DataFrame | None, new: DataFrame) -> DataFrame:
         "chunk_id", "_l.ordinal", *[f"_l.{c}" for c in rest])
 
 
-def _grams(col, n: int):
-    """Distinct n-grams, read off by an overlapping match in one pass over the text."""
-    return F.array_distinct(F.regexp_extract_all(col, F.lit("(?s)(?=(.{%d}))" % n), F.lit(1)))
-
-
-def gram_matches(texts: DataFrame, names: DataFrame, key: str) -> DataFrame:
-    """Exact substring join as an equi-join on each name's rarest 3-gram, then ``contains``.
-
-    Names of one or two characters are grams themselves and need no second test.
-    """
-    texts = texts.filter(F.col("text").isNotNull())
-    names = names.select("name").filter(F.length("name") > 0).distinct()
-    long_names = names.filter(F.length("name") >= 3)
-    used = long_names.select("name", F.explode(_grams(F.col("name"), 3)).alias("gram"))
-    seen = texts.select(key, F.explode(_grams(F.col("text"), 3)).alias("gram"))
-    seen = seen.join(used.select("gram").distinct(), "gram", "left_semi")
-    often = seen.groupBy("gram").agg(F.count("*").alias("n"))
-    anchor = used.join(often, "gram", "left").groupBy("name").agg(
-        F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "gram")).alias("a")).select("name", F.col("a.gram").alias("gram"))
-    candidates = seen.join(anchor, "gram").select(key, "name")
-    hits = candidates.join(texts.select(key, "text"), key).filter(F.col("text").contains(F.col("name"))).select(key, "name")
-    for n in (1, 2):
-        short = names.filter(F.length("name") == n)
-        grams = texts.select(key, F.explode(_grams(F.col("text"), n)).alias("name"))
-        hits = hits.unionByName(grams.join(short, "name", "left_semi").select(key, "name"))
-    return hits
-
-
 def mentions(chunks: DataFrame, nodes: DataFrame) -> DataFrame:
-    """MENTIONS edges: the chunk's text contains the entity's name (case-sensitive), per job."""
-    found = gram_matches(chunks, nodes, "chunk_id")
-    jobs = chunks.select("chunk_id", "job_id")
-    return found.join(jobs, "chunk_id").join(nodes.select("job_id", "name", "type"), ["job_id", "name"]).select(
-        "job_id", "chunk_id", "name", "type").distinct()
+    """MENTIONS edges: the chunk's text contains the name of an entity of its job (case-sensitive)."""
+    found = names_in(chunks, nodes, ["job_id", "chunk_id"], ["job_id"])
+    known = nodes.select("job_id", "name", "type").distinct()
+    return found.join(known, ["job_id", "name"]).select("job_id", "chunk_id", "name", "type").distinct()
 
 
 def entities_in_text(questions: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Entities named in each question, case-insensitively. questions: question_id, text."""
-    low = nodes.select(F.lower("name").alias("name"))
-    texts = questions.select("question_id", F.lower("text").alias("text"))
-    found = gram_matches(texts, low, "question_id")
-    names = nodes.select(F.lower("name").alias("_k"), F.col("name").alias("entity"), "type").distinct()
-    return found.join(names, found.name == names._k).select("question_id", "entity", "type").distinct()
+    """Entities named in each question, case-insensitively. questions: question_id, text; with job_id in both, of its job."""
+    scope = ["job_id"] if "job_id" in questions.columns else []
+    names = nodes.select(*scope, F.lower("name").alias("_low"), F.col("name").alias("entity"), "type").distinct()
+    texts = questions.select(*scope, "question_id", F.lower("text").alias("text"))
+    found = names_in(texts, names.withColumnRenamed("_low", "name"), [*scope, "question_id"], scope or None)
+    return found.withColumnRenamed("name", "_low").join(names, [*scope, "_low"]).select(*scope, "question_id", "entity", "type").distinct()
 
 
 def facts_for(seeds: DataFrame, edges: DataFrame) -> DataFrame:
-    """Outgoing and incoming relations of each seed (entity, type), one row per relation."""
-    out = edges.select(F.col("source").alias("entity"), F.col("source_type").alias("type"),
+    """Outgoing and incoming relations of each seed (entity, type; with job_id, of its job), one row per relation."""
+    job = ["job_id"] if "job_id" in seeds.columns else []
+    out = edges.select(*job, F.col("source").alias("entity"), F.col("source_type").alias("type"),
                        F.col("type").alias("rel_type"), F.col("target").alias("other"), F.lit("out").alias("direction"))
-    inn = edges.select(F.col("target").alias("entity"), F.col("target_type").alias("type"),
+    inn = edges.select(*job, F.col("target").alias("entity"), F.col("target_type").alias("type"),
                        F.col("type").alias("rel_type"), F.col("source").alias("other"), F.lit("in").alias("direction"))
-    return seeds.join(out.unionByName(inn), ["entity", "type"], "left")
+    return seeds.join(out.unionByName(inn), [*job, "entity", "type"], "left")
 
 
 def expand_from_chunks(links: DataFrame, edges: DataFrame, chunk_ids: DataFrame, limit: int | None = None) -> DataFrame:
@@ -187,15 +159,23 @@ def merge_facts(first: DataFrame, second: DataFrame) -> DataFrame:
     return kind.select("entity", F.col("_k.type").alias("type")).join(known, "entity", "left")
 
 
-def fact_sentences(facts: DataFrame) -> DataFrame:
-    """'entity (type): s1; s2' with subject and object in the relation's direction."""
-    sentence = F.when(F.col("direction") == "in", F.concat_ws(" ", "other", "rel_type", "entity")).otherwise(
+def sentence() -> Column:
+    """A relation in its own direction; null where none is known."""
+    told = F.when(F.col("direction") == "in", F.concat_ws(" ", "other", "rel_type", "entity")).otherwise(
         F.concat_ws(" ", "entity", "rel_type", "other"))
-    rows = facts.withColumn("s", F.when(F.col("rel_type").isNotNull() & F.col("other").isNotNull(), sentence))
-    joined = F.array_join(F.sort_array(F.collect_set("s")), "; ")
-    return rows.groupBy("entity", "type").agg(joined.alias("j")).select("entity", "type", F.concat(
-        "entity", F.lit(" ("), "type", F.lit("): "), F.when(F.col("j") == "", "no known relations").otherwise(F.col("j")),
-    ).alias("fact"))
+    return F.when(F.col("rel_type").isNotNull() & F.col("other").isNotNull(), told)
+
+
+def fact_text(told: Column) -> Column:
+    """'entity (type): s1; s2' of a list of sentences."""
+    joined = F.when(F.size(told) == 0, "nothing recorded").otherwise(F.array_join(told, "; "))
+    return F.concat("entity", F.lit(" ("), "type", F.lit("): "), joined)
+
+
+def fact_sentences(facts: DataFrame) -> DataFrame:
+    """One text for each entity and type, its sentences in order."""
+    told = facts.groupBy("entity", "type").agg(F.array_sort(F.collect_set(sentence())).alias("told"))
+    return told.select("entity", "type", fact_text(F.col("told")).alias("fact"))
 
 
 def full_graph(nodes: DataFrame, edges: DataFrame, job_id: str) -> tuple[DataFrame, DataFrame]:

@@ -138,15 +138,15 @@ SELECT *, {_slug('name')} AS target_file FROM (SELECT * FROM l UNION ALL SELECT
 
 @query("M8, M9", PROPOSALS)
 def bi_proposals(t):
-    return M.bi_proposals(I.cells(t), I.user_tables(t))
+    return M.bi_proposals(I.cells(t), I.user_tables(t)).withColumn("source_files", F.array_join("source_files", ", "))
 
 
-@query("M11", f"SELECT join_logic IS NOT NULL AS linked, count(*) AS proposals FROM ({PROPOSALS}) GROUP BY ALL")
+@query("M11", f"SELECT join_logic IS NOT NULL AS linked, name, source_files, target_file FROM ({PROPOSALS})")
 def proposal_split(t):
     found = M.bi_proposals(I.cells(t), I.user_tables(t))
     both = M.linked(found).withColumn("linked", F.lit(True)).unionByName(
         M.standalone(found).withColumn("linked", F.lit(False)))
-    return both.groupBy("linked").agg(F.count("*").alias("proposals"))
+    return both.select("linked", "name", F.array_join("source_files", ", ").alias("source_files"), "target_file")
 
 
 _COLUMNS = f"""

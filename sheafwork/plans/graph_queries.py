@@ -285,15 +285,10 @@ def mentions(t):
     return text_mentions(t)
 
 
-@query("G5", MENTIONS)
-def mentions_by_grams(t):
-    return G.mentions(doc_chunks(t), text_nodes(t))
-
-
-# Relations between words of the same passage, so that mentioned entities have facts.
+# Relations between neighbouring words of a passage, so that mentioned entities have facts.
 _WORD_EDGES = r"""
-SELECT 'corpus' AS job_id, w[1] AS source, w[2] AS target, CASE WHEN item_id % 2 = 0 THEN 'OWNS' ELSE 'MOTHER_OF' END AS type,
-  concat('passage ', item_id) AS evidence FROM (SELECT item_id, regexp_extract_all(text, '[A-Za-z]{{6,}}') AS w FROM {benchmark}) WHERE len(w) > 1
+SELECT 'corpus' AS job_id, w[i] AS source, w[i + 1] AS target, CASE WHEN (item_id + i) % 2 = 0 THEN 'OWNS' ELSE 'MOTHER_OF' END AS type
+FROM (SELECT item_id, w, unnest(range(1, len(w))) AS i FROM (SELECT item_id, regexp_extract_all(text, '[A-Za-z]{{6,}}') AS w FROM {benchmark}))
 """
 WORD_EDGES = f"""
 SELECT DISTINCT e.job_id, source, CASE WHEN length(source) % 2 = 0 THEN 'PERSON' ELSE 'ORG' END AS source_type, target,
@@ -302,12 +297,14 @@ SELECT DISTINCT e.job_id, source, CASE WHEN length(source) % 2 = 0 THEN 'PERSON'
 
 
 def word_relations(t):
-    w = t.benchmark.select("item_id", F.regexp_extract_all("text", F.lit("[A-Za-z]{6,}"), F.lit(0)).alias("w"))
-    return w.filter(F.size("w") > 1).select(
-        F.lit("corpus").alias("job_id"), F.get("w", 0).alias("source_entity"), F.get("w", 1).alias("target_entity"),
-        F.when(F.col("item_id") % 2 == 0, "OWNS").otherwise("MOTHER_OF").alias("relation_type"),
+    words = t.benchmark.select("item_id", F.regexp_extract_all("text", F.lit("[A-Za-z]{6,}"), F.lit(0)).alias("w"))
+    pairs = F.transform(F.slice("w", 1, F.greatest(F.size("w") - 1, F.lit(0))), lambda x, i: F.struct(
+        x.alias("a"), F.get("w", i + 1).alias("b"), (i + 1).alias("i")))
+    return words.select("item_id", F.inline(pairs)).select(
+        F.lit("corpus").alias("job_id"), F.col("a").alias("source_entity"), F.col("b").alias("target_entity"),
+        F.when((F.col("item_id") + F.col("i")) % 2 == 0, "OWNS").otherwise("MOTHER_OF").alias("relation_type"),
         F.concat(F.lit("passage "), "item_id").alias("evidence"), F.lit(0.7).alias("confidence"),
-        F.lit("benchmark").alias("source_file"), F.col("item_id").alias("ordinal"))
+        F.lit("benchmark").alias("source_file"), (F.col("item_id") * 1_000_000 + F.col("i")).alias("ordinal"))
 
 
 def word_edges(t):
@@ -338,12 +335,12 @@ def expand_from_names(t):
 
 IN_TEXT = f"""
 SELECT DISTINCT c.conv_id * 1000 + c.turn AS question_id, n.name AS entity, n.type FROM {{conversations}} c
-JOIN ({TEXT_NODES}) n ON contains(lower(c.text), lower(n.name)) WHERE c.role = 'user'
+JOIN ({TEXT_NODES}) n ON contains(lower(c.text), lower(n.name))
 """
 
 
 def questions(t):
-    return t.conversations.filter("role = 'user'").select((F.col("conv_id") * 1000 + F.col("turn")).alias("question_id"), "text")
+    return t.conversations.select((F.col("conv_id") * 1000 + F.col("turn")).alias("question_id"), "text")
 
 
 @query("G9", IN_TEXT)
@@ -396,7 +393,7 @@ def merge_facts(t):
 
 
 @query("G12", f"""
-SELECT entity, type, concat(entity, ' (', type, '): ', coalesce(string_agg(DISTINCT s, '; ' ORDER BY s), 'no known relations')) AS fact FROM (
+SELECT entity, type, concat(entity, ' (', type, '): ', coalesce(string_agg(DISTINCT s, '; ' ORDER BY s), 'nothing recorded')) AS fact FROM (
   SELECT *, CASE WHEN direction = 'in' THEN concat(other, ' ', rel_type, ' ', entity)
     WHEN direction = 'out' THEN concat(entity, ' ', rel_type, ' ', other) END AS s FROM ({_MERGED})) GROUP BY entity, type
 """)

@@ -171,7 +171,7 @@ SELECT conv_id AS question_id, CAST(turn + 1 AS INT) AS rank, concat('chat/', CA
 
 
 @query("V10", f"""
-SELECT question_id, concat('--- Retrieved passages ---', chr(10), chr(10), string_agg(concat('[', source_file, CASE WHEN page IS NULL THEN '' ELSE concat(' p.', page) END,
+SELECT question_id, concat('Passages found:', chr(10), chr(10), string_agg(concat('[', source_file, CASE WHEN page IS NULL THEN '' ELSE concat(' p.', page) END,
     '] (score=', format('{{{{:.2f}}}}', score), ')', chr(10), text), chr(10) || chr(10) ORDER BY rank)) AS context,
   string_agg(concat(source_file, ': ', text), chr(10) ORDER BY rank) AS citations
 FROM ({_HITS}) GROUP BY question_id
@@ -196,24 +196,46 @@ JOIN {{embeddings}} e ON e.vec_id = a.question_id % (SELECT count(*) FROM {{embe
 """
 
 
-@query("V11", f"""
+_CHUNK_INFO = """
+SELECT 'corpus' AS job_id, vec_id AS chunk_id, concat('doc_', CAST(vec_id AS STRING), '.txt') AS source_file,
+  CASE WHEN vec_id % 3 = 0 THEN CAST(vec_id % 7 AS INT) END AS page, coalesce(text, '') AS text FROM {embeddings} LEFT JOIN {documents} ON doc_id = vec_id
+"""
+
+
+@query("V10, V11", f"""
 WITH q AS (SELECT *, {categories_sql()} AS categories, CASE WHEN regexp_matches(text, '{_QUANT}') THEN 'structured' ELSE 'retrieval' END AS route FROM ({_ASKED_VEC})),
 c AS (SELECT *, list_filter(coalesce(string_split(categories, ','), []), lambda x: list_contains(['csv', 'json', 'pdf', 'web'], x)) AS eff FROM q WHERE route = 'retrieval'),
-s AS (SELECT question_id, vec_id, row_number() OVER (PARTITION BY question_id ORDER BY list_cosine_similarity(CAST(embedding AS DOUBLE[]), v) DESC, vec_id) AS rank
-  FROM c, {{embeddings}} WHERE len(eff) = 0 OR list_contains(eff, {_CATS})),
-h AS (SELECT question_id, count(*) AS hits, max(vec_id) FILTER (WHERE rank = 1) AS best_chunk FROM s WHERE rank <= 8 GROUP BY 1),
-dom AS ({GQ.dominant_sql(GQ.TEXT_NODES, GQ.WORD_EDGES, GQ.MENTIONS)}),
+s AS (SELECT question_id, vec_id AS chunk_id, list_cosine_similarity(CAST(embedding AS DOUBLE[]), v) AS score FROM c, {{embeddings}}
+  WHERE len(eff) = 0 OR list_contains(eff, {_CATS})),
+h AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY round(score, 12) DESC, chunk_id) AS rank FROM s) WHERE rank <= 8),
+mentions AS ({GQ.MENTIONS}), edges AS ({GQ.WORD_EDGES}),
+dom AS ({GQ.dominant_sql(GQ.TEXT_NODES, "SELECT * FROM edges", "SELECT * FROM mentions")}),
 n AS (SELECT DISTINCT c.question_id, t.name AS entity, t.type FROM c JOIN ({GQ.TEXT_NODES}) t ON contains(lower(c.text), lower(t.name))),
-seeds AS (SELECT * FROM n UNION ALL SELECT question_id, (SELECT min(name) FROM dom), 'PERSON' FROM c
-  WHERE question_id NOT IN (SELECT question_id FROM n) AND (SELECT count(*) FROM dom) > 0),
-r AS (SELECT source AS entity, source_type AS type, type AS rel_type FROM ({GQ.WORD_EDGES}) UNION ALL SELECT target, target_type, type FROM ({GQ.WORD_EDGES})),
-f AS (SELECT question_id, count(DISTINCT entity) AS entities, count(rel_type) AS facts FROM seeds LEFT JOIN r USING (entity, type) GROUP BY 1)
+seeds AS (SELECT DISTINCT question_id, name AS entity, type, 0 AS src FROM h JOIN mentions USING (chunk_id) UNION ALL SELECT *, 1 FROM n
+  UNION ALL SELECT question_id, name, 'PERSON', 1 FROM c, dom WHERE question_id NOT IN (SELECT question_id FROM n)),
+r AS (SELECT source AS entity, source_type AS type, concat_ws(' ', source, type, target) AS told FROM edges
+  UNION SELECT target, target_type, concat_ws(' ', source, type, target) FROM edges),
+e AS (SELECT question_id, entity, arg_min(seeds.type, concat(src, seeds.type)) AS type, count(DISTINCT told) AS n,
+  coalesce(string_agg(DISTINCT told, '; ' ORDER BY told), 'nothing recorded') AS told FROM seeds LEFT JOIN r USING (entity, type) GROUP BY ALL),
+f AS (SELECT question_id, count(*) AS entities, sum(n) AS facts, string_agg(concat(entity, ' (', type, '): ', told), chr(10) || chr(10)
+  ORDER BY concat(entity, ' (', type, '): ', told)) AS told FROM e GROUP BY 1),
+p AS (SELECT question_id, count(*) AS hits, max(chunk_id) FILTER (WHERE rank = 1) AS best_chunk,
+  string_agg(concat('[', source_file, CASE WHEN page IS NULL THEN '' ELSE concat(' p.', page) END, '] (score=', format('{{{{:.2f}}}}', round(score, 12)), ')', chr(10), text),
+    chr(10) || chr(10) ORDER BY rank) AS passages, string_agg(concat(source_file, ': ', text), chr(10) ORDER BY rank) AS citations
+  FROM h JOIN ({_CHUNK_INFO}) USING (chunk_id) GROUP BY 1)
 SELECT question_id, route, categories, coalesce(hits, 0) AS hits, best_chunk, coalesce(entities, 0) AS entities, coalesce(facts, 0) AS facts,
-  CASE WHEN route = 'structured' THEN 'sql' WHEN coalesce(hits, 0) = 0 AND coalesce(entities, 0) = 0 THEN 'nothing indexed' ELSE 'context' END AS status
-FROM q LEFT JOIN h USING (question_id) LEFT JOIN f USING (question_id)
+  CASE WHEN route = 'structured' THEN 'sql' WHEN coalesce(hits, 0) = 0 AND coalesce(entities, 0) = 0 THEN 'nothing indexed' ELSE 'context' END AS status,
+  CASE WHEN passages IS NOT NULL OR told IS NOT NULL THEN sha256(concat_ws(chr(10) || chr(10), 'Passages found:' || chr(10) || chr(10) || passages,
+    chr(10) || 'What the graph says:' || chr(10) || chr(10) || told)) END AS context_sha256,
+  length(citations) AS citation_chars
+FROM q LEFT JOIN p USING (question_id) LEFT JOIN f USING (question_id)
 """)
 def retrieve(t):
     n = t.embeddings.agg(F.count("*")).scalar()
+    job = F.lit("corpus").alias("job_id")
     asked = t.sql(ASKED).withColumn("vec_id", F.col("question_id") % n)
-    asked = asked.join(t.embeddings.select("vec_id", F.col("embedding").alias("vector")), "vec_id").drop("vec_id")
-    return V.retrieve(asked, vectors(t), GQ.text_nodes(t), GQ.word_edges(t), GQ.text_mentions(t), has_tables=True)
+    asked = asked.join(t.embeddings.select("vec_id", F.col("embedding").alias("vector")), "vec_id").drop("vec_id").select("*", job)
+    chunks = vectors(t).drop("label").join(t.sql(_CHUNK_INFO), "chunk_id")
+    found = V.retrieve(asked, chunks, GQ.text_nodes(t), GQ.word_edges(t), GQ.text_mentions(t), has_tables=True)
+    return found.select(*[c for c in found.columns if c not in ("context", "citations")],
+                        F.sha2(F.col("context").cast("binary"), 256).alias("context_sha256"), F.length("citations").alias("citation_chars"))

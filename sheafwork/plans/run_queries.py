@@ -181,12 +181,3 @@ def library_page(t):
     from sheafwork.sinks.stores import page
 
     return page(t.sql(I.ORDERS_TABLE).select("row_id", "OrderID", "status"), "row_id", 50, 100)
-
-
-@query("K6, K7", f"SELECT 'customer' AS table_name, count(*) AS rows, round(sum(TRY_CAST(acct_value AS DOUBLE)), 2) AS total FROM ({I.CUSTOMER_TABLE})")
-def registered_table_sum(t):
-    from sheafwork.operators.tabular import type_table
-
-    typed = type_table(t.sql(I.CUSTOMER_TABLE), {"cust_id": "INTEGER", "acct_value": "REAL"})
-    return typed.agg(F.count("*").alias("rows"), F.round(F.sum(F.col("acct_value").cast("decimal(20,2)")), 2).cast("double").alias("total")).select(
-        F.lit("customer").alias("table_name"), "rows", "total")

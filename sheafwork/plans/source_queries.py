@@ -105,6 +105,24 @@ def flatten_event_props(t):
     return records.flatten_json(t.sql(_EVENTS), depth=1).select("record_no", "path", "value")
 
 
+# One record per nation, up to 2,000 levels deep: lists of lists, and objects within lists.
+_DEEP = """
+SELECT n_nationkey AS record_no, concat(repeat('[', (n_nationkey + 1) * 40), '{{"name": "', n_name, '", "in": ', repeat('[', (n_nationkey + 1) * 40), '7',
+  repeat(']', (n_nationkey + 1) * 40), '}}', repeat(']', (n_nationkey + 1) * 40)) AS raw FROM {nation}
+"""
+
+
+@query("S8", """
+WITH d AS (SELECT n_nationkey AS record_no, n_name, (n_nationkey + 1) * 40 AS n FROM {nation})
+SELECT record_no, concat('value', repeat('[0]', i)) AS path, '[1 items]' AS value FROM (SELECT record_no, unnest(range(n)) AS i FROM d)
+UNION ALL SELECT record_no, concat('value', repeat('[0]', n), '.in', repeat('[0]', i)), '[1 items]' FROM (SELECT record_no, n, unnest(range(n)) AS i FROM d)
+UNION ALL SELECT record_no, concat('value', repeat('[0]', n), '.name'), n_name FROM d
+UNION ALL SELECT record_no, concat('value', repeat('[0]', n), '.in', repeat('[0]', n)), '7' FROM d
+""")
+def flatten_deep_json(t):
+    return records.flatten_json(t.sql(_DEEP)).select("record_no", "path", "value")
+
+
 @query("S9", f"SELECT path, count(*) AS records FROM ({_FLAT}) GROUP BY path ORDER BY records DESC, path")
 def key_frequency(t):
     return records.key_frequency(records.flatten_json(order_records(t)))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -29,19 +30,28 @@ def build_session(master: str | None = None, app: str = "sheafwork", **conf: str
     return builder.getOrCreate()
 
 
+def is_local(spark: SparkSession) -> bool:
+    """Whether driver and executors are one process: not so for local-cluster."""
+    return spark.sparkContext.master.split("[")[0] == "local"
+
+
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A new folder name below ``spark.checkpoint.dir``, which driver and executors share; a temporary one in local mode only."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not is_local(spark):
+            raise RuntimeError("set spark.checkpoint.dir to a shared folder")
+        root = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
 def shared_checkpoint(df: DataFrame) -> DataFrame:
     """Reliable checkpoint in the folder named by ``spark.checkpoint.dir``.
 
     A temporary folder is taken only in local mode; on a cluster an unset folder is an error,
     since a machine-local one would be lost with its executor.
     """
-    spark = df.sparkSession
-    sc = spark.sparkContext
+    sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        if not folder:
-            if not sc.master.startswith("local"):
-                raise RuntimeError("set spark.checkpoint.dir to a shared folder")
-            folder = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-        sc.setCheckpointDir(folder)
+        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or shared_folder(df.sparkSession, "checkpoints"))
     return df.checkpoint(eager=True)

@@ -2,13 +2,19 @@
 
 from __future__ import annotations
 
+import csv
+import itertools
 import mimetypes
-from collections.abc import Callable
+import re
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from sheafwork.functions.text import base_name, extension, keyword_hits, literal_map
+from sheafwork.sources.splits import SEPARATORS, quoted_records
 
 # Suffixes of each category.
 SUFFIXES = {
@@ -71,36 +77,84 @@ def unsupported(files: DataFrame) -> DataFrame:
     return files.withColumn("warning", note).filter(F.col("warning").isNotNull())
 
 
-def guess_separator(spark: SparkSession, path: str, sample: int = 50) -> str:
-    """Tab for .tsv, else the candidate seen most evenly in the first lines."""
-    if path.lower().endswith(".tsv"):
-        return "\t"
-    lines = [r.value for r in spark.read.text(path).limit(sample).collect()]
-    counts = {sep: [line.count(sep) for line in lines if line] for sep in (",", ";", "\t", "|")}
-    fit = {sep: (min(c), sum(c)) for sep, c in counts.items() if c}
-    return max(fit, key=fit.get) if fit and max(fit.values()) > (0, 0) else ","
+def parse_fields(rows: DataFrame, sep: str | None) -> DataFrame:
+    """source_file, record_no, record, header and fields of each record. rows: source_file, record_no, record, head.
 
-
-def read_delimited(spark: SparkSession, path: str, sep: str | None = None) -> tuple[DataFrame, DataFrame]:
-    """(rows as strings with their line order, malformed lines with a warning).
-
-    A line with too few fields is filled up, as data frame readers do; one with too many is malformed.
+    Without ``sep`` each file's separator is the candidate that its header holds most often outside of quotes (tab for .tsv).
+    Repeated names get a number, empty ones their place. Blank records give no row.
+    """
+    schema = T.StructType([rows.schema["source_file"], rows.schema["record_no"], rows.schema["record"],
+                           T.StructField("header", T.ArrayType(T.StringType())), T.StructField("fields", T.ArrayType(T.StringType()))])
+
+    def separator(file: str, head: str) -> str:
+        if sep or file.lower().endswith(".tsv"):
+            return sep or "\t"
+        bare = re.sub(r'"(?:[^"]|"")*+"', "", head)
+        return max(SEPARATORS, key=bare.count)
+
+    def cells(record: str, by: str) -> list[str]:
+        return next(csv.reader([record], delimiter=by), [])
+
+    def names(head: str, by: str) -> list[str]:
+        out: list[str] = []
+        for i, name in enumerate(cells(head.lstrip("﻿").rstrip("\r"), by)):
+            name = name.strip() or f"column_{i + 1}"
+            out.append(name if name not in out else next(n for k in itertools.count(1) if (n := f"{name}.{k}") not in out))
+        return out
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        csv.field_size_limit(1 << 31)
+        known: dict[tuple[str, str], tuple[str, list[str]]] = {}
+        for batch in batches:
+            header, fields = [], []
+            for file, record, head in zip(*(batch.column(c).to_pylist() for c in ("source_file", "record", "head"))):
+                if head is None:
+                    header.append(None)
+                    fields.append([record])
+                    continue
+                if (file, head) not in known:
+                    by = separator(file, head)
+                    known[file, head] = by, names(head, by)
+                by, own = known[file, head]
+                header.append(own)
+                fields.append(cells(record, by))
+            of = pa.list_(pa.string())
+            yield pa.RecordBatch.from_arrays(
+                [*[batch.column(c) for c in ("source_file", "record_no", "record")], pa.array(header, of), pa.array(fields, of)], names=schema.names)
+
+    return rows.mapInArrow(run, schema)
+
+
+def delimited_records(spark: SparkSession, path: str, sep: str | None = None, glob: str = "*") -> tuple[DataFrame, DataFrame]:
+    """(source_file, record_no, header, fields of good rows; source_file, record_no, raw and warning of bad ones).
+
+    Files are read in splits, quoted line ends and all. The first record of each file is its header; later ones are rows,
+    whatever they hold. A row with too few fields is filled up with nulls, as data frame readers do; one with too many, and
+    every row of a file whose header does not end, is bad.
+    """
+    records, heads = quoted_records(spark, path, glob, sep or SEPARATORS)
+    live = records.withColumn("record", F.regexp_replace("record", r"\r\z", "")).where(F.col("record") != "")
+    body = parse_fields(live.join(heads, "source_file").where("head IS NULL OR record_no <> head_no"), sep)
+    size, wide = F.size("fields"), F.size("header")
+    bad = F.coalesce(size > wide, F.lit(True))
+    filled = F.when(size == wide, F.col("fields")).otherwise(F.transform(F.sequence(F.lit(0), wide - 1), lambda i: F.get("fields", i)))
+    why = F.when(F.col("header").isNull(), "the header of this file does not end").otherwise(
+        F.concat(F.lit("row of "), size.cast("string"), F.lit(" fields under a header of "), wide.cast("string")))
+    return (body.where(~bad).select("source_file", "record_no", "header", filled.alias("fields")),
+            body.where(bad).select("source_file", "record_no", F.col("record").alias("raw"), why.alias("warning")))
+
+
+def read_delimited(spark: SparkSession, path: str, sep: str | None = None, glob: str = "*") -> tuple[DataFrame, DataFrame]:
+    """(source_file, record_no and the columns of all headers as strings; bad rows with a warning).
+
+    A column that a file does not have is null there, and columns stand in the order in which they first come.
     """
-    sep = sep or guess_separator(spark, path)
-    header = spark.read.option("header", True).option("sep", sep).csv(path).columns
-    lines = spark.read.text(path).select(
-        F.col("_metadata.file_path").alias("source_file"), F.monotonically_increasing_id().alias("row_id"),
-        F.regexp_replace("value", "^\ufeff", "").alias("raw"))
-    schema = ", ".join(f"`{c}` string" for c in header)
-    fields = F.size(F.split(F.regexp_replace("raw", r'"(?:[^"]|"")*"', ""), "\t" if sep == "\t" else f"[{sep}]"))
-    parsed = lines.withColumn("_row", F.from_csv("raw", schema, {"sep": sep})).withColumn("_n", fields)
-    # the header line of every file reads as its own column names
-    is_header = F.concat_ws("\n", *[F.col("_row")[c] for c in header]) == "\n".join(header)
-    body = parsed.filter((F.col("raw") != "") & ~is_header)
-    good = body.filter(F.col("_n") <= len(header)).select("source_file", "row_id", *[F.col("_row")[c].alias(c) for c in header])
-    bad = body.filter(F.col("_n") > len(header)).select("source_file", "row_id", "raw", F.concat(
-        F.lit(f"Malformed row skipped: expected {len(header)} fields, saw "), "_n").alias("warning"))
-    return good, bad
+    rows, bad = delimited_records(spark, path, sep, glob)
+    headers = rows.select("source_file", "header").distinct().orderBy("source_file").collect()  # names of the columns to be made
+    columns = list(dict.fromkeys(name for r in headers for name in r.header))
+    value = lambda c: F.get("fields", F.array_position("header", F.lit(c)).cast("int") - 1)
+    return rows.select("source_file", "record_no", *[
+        F.when(F.array_contains("header", F.lit(c)), value(c)).alias(c) for c in columns]), bad
 
 
 def profile_columns(df: DataFrame, exact: bool = True) -> DataFrame:

@@ -7,10 +7,13 @@ from collections import Counter
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from sheafwork.sources.splits import json_values
+
 BOM = "﻿"
 
 
@@ -80,115 +83,89 @@ def unwrap_records(df: DataFrame, raw: str = "raw") -> DataFrame:
 def read_records(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """(source_file, record_no, raw) of .jsonl files, top-level arrays and single objects; warnings.
 
-    JSONL is read by line and splits; an array or object file is one value.
+    JSONL is read by line and arrays by item, both in splits; only a file with one object is one value.
     """
     lines = spark.read.option("pathGlobFilter", "*.jsonl").option("recursiveFileLookup", "true").text(path).select(
         F.col("_metadata.file_path").alias("source_file"), F.regexp_replace("value", f"^{BOM}", "").alias("value"))
     good, warnings = quarantine_bad_lines(number_lines(lines))
     jsonl = good.select("source_file", F.col("line_no").alias("record_no"), F.col("value").alias("raw"))
-    whole = spark.read.option("wholetext", True).option("pathGlobFilter", "*.json").option(
-        "recursiveFileLookup", "true").text(path).select(
-        F.col("_metadata.file_path").alias("source_file"), F.trim(F.regexp_replace("value", f"^{BOM}", "")).alias("raw"))
+    values = json_values(spark, path).withColumn("raw", F.trim(F.regexp_replace("record", f"^{BOM}|[\\r\\n\\t]+\\z|^[\\r\\n\\t]+", ""))).where(
+        "NOT (is_array AND record_no = 0 AND raw = '')")  # an empty array
     valid = is_valid_json(F.col("raw"))
-    is_list = F.col("raw").startswith("[")
-    items = whole.filter(valid & is_list).select("source_file", F.posexplode(F.from_json("raw", "array<string>")).alias("record_no", "raw"))
-    objects = unwrap_records(whole.filter(valid & ~is_list))
-    broken = whole.filter(~valid).select("source_file", F.lit(1).cast("long").alias("warning_no"), F.lit("file is no JSON value").alias("warning"),
-                                         F.col("raw").alias("bad_text"))
-    numbered = items.unionByName(objects).select("source_file", (F.col("record_no") + 1).cast("long").alias("record_no"), "raw")
-    return jsonl.unionByName(numbered), warnings.unionByName(broken)
-
-
-def json_depth(raw: Column) -> Column:
-    """Nesting depth of a JSON text: the most brackets open at once, in one pass over its brackets."""
-    brackets = F.regexp_replace(F.regexp_replace(raw, r'"(?:[^"\\]|\\.)*+"', ""), r"[^{}\[\]]+", "")
-    start = F.struct(F.lit(0).alias("open"), F.lit(0).alias("most"))
-
-    def step(a, c):
-        now = a.open + F.when(c.isin("{", "["), 1).when(c.isin("}", "]"), -1).otherwise(0)
-        return F.struct(now.alias("open"), F.greatest(a.most, now).alias("most"))
-
-    return F.aggregate(F.split(brackets, ""), start, step).most
-
-
-NODE = "array<struct<path:string,text:string,kind:string,ord:array<int>>>"
-
-
-def _node(path: Column, text: Column, kind: Column, order: Column) -> Column:
-    return F.struct(path.alias("path"), text.alias("text"), kind.alias("kind"), order.alias("ord"))
+    items = values.where(valid & F.col("is_array")).select("source_file", (F.col("record_no") + 1).alias("record_no"), "raw")
+    objects = unwrap_records(values.where(valid & ~F.col("is_array")).select("source_file", "raw")).select(
+        "source_file", (F.col("record_no") + 1).cast("long").alias("record_no"), "raw")
+    broken = values.where(~valid).select(
+        "source_file", (F.col("record_no") + 1).alias("warning_no"),
+        F.when(F.col("is_array"), F.concat(F.lit("item "), F.col("record_no") + 1, F.lit(" is no JSON value"))).otherwise("file is no JSON value").alias("warning"),
+        F.col("raw").alias("bad_text"))
+    return jsonl.unionByName(items).unionByName(objects), warnings.unionByName(broken)
 
 
-# A string value could be taken for a container or a boolean only where one of these occurs.
-AMBIGUOUS = r'"\s*(?:[{\[]|true"|false"|\\u00)'
+def json_leaves(text: str, depth: int | None = None, list_items: int | None = None) -> list[tuple[str, str, list[int]]]:
+    """(path, value, positions) of each leaf of a JSON text, in order; a list also has a line with its length.
 
-
-def _kind(schema: Column, text: Column) -> Column:
-    """object, list or scalar type of a child: its variant schema, or its text where none was needed."""
-    return (
-        F.when(schema.isNull(), F.when(text.isNull(), "void").when(text.startswith("{"), "object")
-               .when(text.startswith("["), "list").when(text.isin("true", "false"), "boolean").otherwise("string"))
-        .when(schema.startswith("OBJECT"), "object").when(schema.startswith("ARRAY"), "list")
-        .when(schema.isin("VOID", "BOOLEAN", "STRING"), F.lower(schema)).otherwise("number")
-    )
-
-
-def _schema(variant: Column) -> Column:
-    return F.when(variant.isNotNull(), F.schema_of_variant(variant))
-
-
-def _shown(kind: Column, text: Column) -> Column:
-    """Scalar as text: JSON null is None, true is True."""
-    return F.when(kind == "void", "None").when(kind == "boolean", F.initcap(text)).otherwise(text)
+    Open values stand on a stack of their own, so depth costs no call. A text that is no JSON value, or nests deeper than the
+    parser goes (some thousand levels), is one leaf ``value`` with the whole text.
+    """
+    try:
+        value = json.loads(text)
+    except (ValueError, RecursionError):
+        return [("value", text, [])]
+    out: list[tuple[str, str, list[int]]] = []
+    waiting = [("" if isinstance(value, dict) else "value", value, [])]
+    while waiting:
+        path, value, place = waiting.pop()
+        if depth is not None and len(place) >= depth and isinstance(value, (dict, list)):
+            if value != {}:
+                out.append((path, json.dumps(value, ensure_ascii=False, separators=(",", ":")), place))
+        elif isinstance(value, dict):
+            inner = [(f"{path}.{k}" if path else k, v, [*place, i]) for i, (k, v) in enumerate(value.items())]
+            waiting += reversed(inner)
+        elif isinstance(value, list):
+            kept = value if list_items is None else value[:list_items]
+            more = "" if len(kept) == len(value) else f", first {len(kept)} kept"
+            out.append((path, f"[{len(value)} items{more}]", place))
+            waiting += reversed([(f"{path}[{i}]", v, [*place, i]) for i, v in enumerate(kept)])
+        else:
+            out.append((path, str(value), place))
+    return out
 
 
 def flatten_json(df: DataFrame, raw: str = "raw", depth: int | None = None, list_items: int | None = None) -> DataFrame:
     """Dotted paths of every record: other columns, path, value, ord (position for first-seen order).
 
-    One narrow pass per nesting level, no shuffle. Without ``depth`` the deepest level is measured
-    first with one aggregate; with it, deeper branches stay JSON text. ``list_items`` keeps the first items of each list
-    only. A null record has no paths.
+    Records are walked in place, one by one, whatever their depth: the plan is one narrow stage. With ``depth`` deeper
+    branches stay JSON text; ``list_items`` keeps the first items of each list only. Empty objects and null records have no
+    paths; of a repeated key the last value counts. Values show as they print: None, True, 1.5.
     """
-    df = df.filter(F.col(raw).isNotNull())
-    if depth is None:
-        depth = df.agg(F.max(json_depth(F.col(raw)))).first()[0] or 0
-    keep = [c for c in df.columns if c != raw]
-    text = F.trim(raw)
-    root = (F.when(text.startswith("{"), "object").when(text.startswith("["), "list").when(text.startswith('"'), "string")
-            .when(text == "null", "void").when(text.isin("true", "false"), "boolean").otherwise("number"))
-    plain = F.when(root == "string", F.from_json(F.concat(F.lit('{"v":'), text, F.lit("}")), "v string")["v"]).otherwise(text)
-    rows = df.select(*keep, _node(F.when(root == "object", "").otherwise("value"), plain, root,
-                                  F.array().cast("array<int>")).alias("n"))
-    for _ in range(depth):
-        path, order, body = F.col("n.path"), F.col("n.ord"), F.col("n.text")
-        is_object, is_list = F.col("n.kind") == "object", F.col("n.kind") == "list"
-        unsure = body.rlike(AMBIGUOUS)
-        rows = rows.withColumns({
-            "_m": F.when(is_object, F.from_json(body, "map<string,string>")),
-            "_mv": F.when(is_object & unsure, F.from_json(body, "map<string,variant>")),
-            "_a": F.when(is_list, F.from_json(body, "array<string>")),
-            "_av": F.when(is_list & unsure, F.from_json(body, "array<variant>")),
-        })
-        named = F.transform(F.map_entries("_m"), lambda e: F.struct(
-            e["key"].alias("key"), e["value"].alias("text"), _schema(F.try_element_at(F.col("_mv"), e["key"])).alias("schema")))
-        fields = F.transform(named, lambda e, i: _node(
-            F.when(path == "", e["key"]).otherwise(F.concat(path, F.lit("."), e["key"])), e["text"],
-            _kind(e["schema"], e["text"]), F.array_append(order, i)))
-        listed = F.transform("_a" if list_items is None else F.slice("_a", 1, list_items), lambda x, i: F.struct(
-            x.alias("text"), _schema(F.get("_av", i)).alias("schema")))
-        items = F.transform(listed, lambda e, i: _node(
-            F.concat(path, F.lit("["), i, F.lit("]")), e["text"], _kind(e["schema"], e["text"]), F.array_append(order, i)))
-        n = F.size("_a")
-        label = F.concat(F.lit("["), n, F.lit(" items]"))
-        if list_items is not None:
-            label = F.when(n > list_items, F.concat(F.lit("["), n, F.lit(f" items, first {list_items} kept]"))).otherwise(label)
-        marker = F.array(_node(path, label, F.lit("marker"), order)).cast(NODE)
-        nodes = (F.when(is_object, fields.cast(NODE)).when(is_list, F.concat(marker, items.cast(NODE)))
-                 .otherwise(F.array("n").cast(NODE)))
-        rows = rows.select(*keep, F.explode(nodes).alias("n"))
-    kind = F.col("n.kind")
-    value = F.when(kind.isin("object", "list"), F.col("n.text")).otherwise(_shown(kind, F.col("n.text")))
-    left = kind.isin("object", "list") & F.col("n.text").isin("{}")
-    return rows.filter(~left).select(*keep, F.col("n.path").alias("path"), value.alias("value"), F.col("n.ord").alias("ord"))
+    keep = [f for f in df.schema.fields if f.name != raw]
+    names = [f.name for f in keep]
+    schema = T.StructType([*keep, T.StructField("path", T.StringType()), T.StructField("value", T.StringType()),
+                           T.StructField("ord", T.ArrayType(T.IntegerType()))])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            row, path, value, place = [], [], [], []
+
+            def out() -> pa.RecordBatch:
+                at = pa.array(row, pa.int64())
+                return pa.RecordBatch.from_arrays(
+                    [*[batch.column(n).take(at) for n in names], pa.array(path, pa.string()), pa.array(value, pa.string()),
+                     pa.array(place, pa.list_(pa.int32()))], names=schema.names)
+
+            for i, text in enumerate(batch.column(raw).to_pylist()):
+                for p, v, o in json_leaves(text, depth, list_items):
+                    row.append(i)
+                    path.append(p)
+                    value.append(v)
+                    place.append(o)
+                if len(row) >= 1 << 16 or (place and len(place[-1]) > 256):  # deep paths are long
+                    yield out()
+                    row, path, value, place = [], [], [], []
+            yield out()
+
+    return df.where(F.col(raw).isNotNull()).select(*names, raw).mapInArrow(run, schema)
 
 
 def key_frequency(flat: DataFrame, n: int | None = None, order: str = "record_no") -> DataFrame:

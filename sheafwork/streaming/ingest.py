@@ -1,12 +1,16 @@
 """Incremental ingest: batches of result files folded into a graph that can be read at any time.
 
-Every micro-batch writes its own folder ``batch_id=n`` of already merged rows; reading merges the
-batches. A batch costs its own rows only, a replayed batch replaces its folder, and the checkpoint
-says where to go on.
+Every micro-batch writes its own folder of merged rows, ``level=0/part=n``. Each ``FAN`` neighbouring parts of a level are
+merged into one part of the next level, as a log-structured store does it: a row is rewritten once a level, a read touches a
+few parts a level, and numbers alone say which parts a folder stands for, so a replayed batch rewrites the same folders. The
+checkpoint says where to go on.
 """
 
 from __future__ import annotations
 
+import uuid
+
+from pyspark.errors import StreamingQueryException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -27,40 +31,86 @@ FIELDS = {
 }
 
 
-class _Pause(Exception):
+#: Parts of a level that make one part of the next.
+FAN = 4
+
+
+class _Stop(Exception):
     """Raised before a batch is touched, so that it is processed on the next start."""
 
 
+def merged(kind: str, rows: DataFrame) -> DataFrame:
+    """Rows of a kind with their batch number, merged: what a later merge needs of them."""
+    if kind == "entities":
+        return G.upsert_entities(None, rows)
+    if kind == "relations":
+        return G.first_rows(rows, ["job_id", "source_entity", "target_entity", "relation_type"], ["batch_id", "ordinal"])
+    key = "finding_id" if kind == "pii" else "chunk_id"
+    rest = [c for c in rows.columns if c not in (key, "batch_id", "ordinal")]
+    last = rows.groupBy(key).agg(F.max(F.struct("batch_id", "ordinal", *rest)).alias("_l"))
+    return last.select(key, *[f"_l.{c}" for c in ("batch_id", "ordinal", *rest)])
+
+
+def part_path(out: str, kind: str, level: int, part: int) -> str:
+    return f"{out}/{kind}/level={level}/part={part}"
+
+
 def merge_batch(batch: DataFrame, out: str, batch_id: int) -> None:
-    """Write one batch's rows, merged within the batch, to its folder of each kind."""
+    """Write one batch's rows, merged within the batch, and every higher part that it completes."""
+    spark = batch.sparkSession
     for kind in KINDS:
-        rows = batch.filter(F.col("kind") == kind).select(*FIELDS[kind])
-        if kind == "entities":
-            rows = G.upsert_entities(None, rows)
-        elif kind == "relations":
-            rows = G.first_rows(rows, ["job_id", "source_entity", "target_entity", "relation_type"])
-        elif kind == "pii":
-            rows = G.upsert_pii(None, rows).withColumn("ordinal", F.lit(batch_id).cast("long"))
-        else:
-            rows = G.upsert_chunks(None, rows)
-        rows.write.mode("overwrite").parquet(f"{out}/{kind}/batch_id={batch_id}")
+        rows = batch.filter(F.col("kind") == kind).select(*FIELDS[kind]).withColumn("batch_id", F.lit(batch_id).cast("long"))
+        merged(kind, rows).write.mode("overwrite").parquet(part_path(out, kind, 0, batch_id))
+        level, part = 0, batch_id
+        while part % FAN == FAN - 1:
+            below = [part_path(out, kind, level, p) for p in range(part - FAN + 1, part + 1)]
+            level, part = level + 1, part // FAN
+            merged(kind, _rows(spark, kind, below)).write.mode("overwrite").parquet(part_path(out, kind, level, part))
+
+
+def _rows(spark: SparkSession, kind: str, paths: list[str]) -> DataFrame:
+    found = spark.read.parquet(*paths)
+    return found.withColumn("source_file", F.explode("source_files")).drop("source_files") if kind == "entities" else found
+
+
+def complete_parts(spark: SparkSession, out: str, kind: str) -> list[str]:
+    """The fewest finished parts that stand for all batches so far: the highest level first, then what comes behind it."""
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()  # noqa: SLF001
+    hadoop = jvm.org.apache.hadoop.fs
+    root = hadoop.Path(f"{out}/{kind}")
+    fs = root.getFileSystem(conf)
+    levels: dict[int, set[int]] = {}
+    for status in fs.listStatus(root) if fs.exists(root) else []:
+        level = int(status.getPath().getName().split("=")[1])
+        levels[level] = {int(p.getPath().getName().split("=")[1]) for p in fs.listStatus(status.getPath())
+                         if fs.exists(hadoop.Path(p.getPath(), "_SUCCESS"))}
+    chosen, batch = [], 0
+    while True:
+        fits = [(n, batch // FAN ** n) for n, parts in levels.items() if batch % FAN ** n == 0 and batch // FAN ** n in parts]
+        if not fits:
+            return chosen
+        level, part = max(fits)
+        chosen.append(part_path(out, kind, level, part))
+        batch += FAN ** level
 
 
 def ingest_stream(spark: SparkSession, source: str, out: str, checkpoint: str, files_per_batch: int = 15,
                   max_batches: int | None = None) -> int:
     """Process new result files in batches; returns how many batches ran.
 
-    With ``max_batches`` the run stops before the next batch and the following call goes on there.
+    With ``max_batches`` the run stops before the next batch and the following call goes on there. Any failure of a batch
+    comes through, whenever it happens.
     """
     stream = (
         spark.readStream.schema(RESULT_SCHEMA).option("maxFilesPerTrigger", files_per_batch)
         .option("recursiveFileLookup", "true").json(source)
     )
     ran: list[int] = []
+    stop = f"stopped after {max_batches} batches, {uuid.uuid4().hex}"
 
     def step(batch: DataFrame, batch_id: int) -> None:
         if max_batches is not None and len(ran) >= max_batches:
-            raise _Pause
+            raise _Stop(stop)
         # the batch is read once per kind; keep it while its four writes run
         batch.persist()
         try:
@@ -72,39 +122,24 @@ def ingest_stream(spark: SparkSession, source: str, out: str, checkpoint: str, f
     query = stream.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     try:
         query.awaitTermination()
-    except Exception:
-        if max_batches is None or len(ran) < max_batches:
+    except StreamingQueryException as failed:
+        if stop not in str(failed):
             raise
     return len(ran)
 
 
-def _read(spark: SparkSession, out: str, kind: str) -> DataFrame:
-    return spark.read.option("basePath", f"{out}/{kind}").parquet(f"{out}/{kind}")
-
-
-def _in_order(df: DataFrame) -> DataFrame:
-    """Ordinals comparable over batches: the batch first, then the place inside it."""
-    return df.withColumn("ordinal", F.col("batch_id") * 1_000_000_000_000 + F.col("ordinal")).drop("batch_id")
-
-
 def read_graph(spark: SparkSession, out: str) -> dict[str, DataFrame]:
     """Current nodes, edges, findings, chunks, mentions and HAS_PII edges over all batches."""
-    ent = _read(spark, out, "entities").withColumn("source_file", F.explode("source_files")).drop("source_files")
-    nodes = G.upsert_entities(None, ent)
-    rel = _read(spark, out, "relations")
-    edges = G.upsert_relations(None, _in_order(rel), nodes)
-    findings = G.upsert_pii(None, _read(spark, out, "pii").drop("batch_id"))
-    chunks = G.upsert_chunks(None, _in_order(_read(spark, out, "chunks")))
+    rows = {}
+    for kind in KINDS:
+        paths = complete_parts(spark, out, kind)
+        if not paths:
+            raise FileNotFoundError(f"no batch of {kind} below {out}")
+        rows[kind] = _rows(spark, kind, paths)
+    nodes = merged("entities", rows["entities"])
+    first = merged("relations", rows["relations"]).withColumn("ordinal", F.struct("batch_id", "ordinal")).drop("batch_id")
+    edges = G.upsert_relations(None, first, nodes)
+    findings = merged("pii", rows["pii"]).drop("batch_id", "ordinal")
+    chunks = merged("chunks", rows["chunks"]).withColumn("ordinal", F.struct("batch_id", "ordinal")).drop("batch_id")
     return {"nodes": nodes, "edges": edges, "findings": findings, "chunks": chunks,
             "mentions": G.mentions(chunks, nodes), "has_pii": G.has_pii(findings, nodes)}
-
-
-def compact(spark: SparkSession, out: str, to: str) -> None:
-    """Rewrite many small batches as one merged batch 0 under a new root."""
-    ent = _read(spark, out, "entities").withColumn("source_file", F.explode("source_files"))
-    G.upsert_entities(None, ent).write.mode("overwrite").parquet(f"{to}/entities/batch_id=0")
-    G.first_rows(_in_order(_read(spark, out, "relations")), ["job_id", "source_entity", "target_entity", "relation_type"]).write.mode(
-        "overwrite").parquet(f"{to}/relations/batch_id=0")
-    G.upsert_pii(None, _read(spark, out, "pii").drop("batch_id")).withColumn("ordinal", F.lit(0).cast("long")).write.mode(
-        "overwrite").parquet(f"{to}/pii/batch_id=0")
-    G.upsert_chunks(None, _in_order(_read(spark, out, "chunks"))).write.mode("overwrite").parquet(f"{to}/chunks/batch_id=0")

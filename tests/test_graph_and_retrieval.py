@@ -65,7 +65,7 @@ def test_fact_sentence_direction(spark):
     seeds = spark.createDataFrame([("Jo", "PERSON"), ("Al", "PERSON")], "entity string, type string")
     facts = G.facts_for(seeds, edges_df(spark, [("Jane", "MOTHER_OF", "Jo")]))
     assert {r.fact for r in G.fact_sentences(facts).collect()} == {
-        "Jo (PERSON): Jane MOTHER_OF Jo", "Al (PERSON): no known relations"}
+        "Jo (PERSON): Jane MOTHER_OF Jo", "Al (PERSON): nothing recorded"}
 
 
 def test_vector_search_is_exact(spark):

@@ -1,10 +1,14 @@
 from __future__ import annotations
 
+import contextlib
+import csv
 import io
 import json
+import random
 import tarfile
 import zipfile
 
+import pytest
 from pyspark.sql import functions as F
 
 from sheafwork.operators import graph as G
@@ -111,10 +115,83 @@ def test_unwrap_only_one_list(spark):
 def test_delimited_with_a_bad_row(spark, tmp_path):
     p = tmp_path / "a.csv"
     p.write_text('a;b\n1;"x;y"\n2;3;4\n5\n')
-    assert files.guess_separator(spark, str(p)) == ";"
     good, bad = files.read_delimited(spark, str(p))
-    assert [(r.a, r.b) for r in good.orderBy("row_id").collect()] == [("1", "x;y"), ("5", None)]
-    assert [r.raw for r in bad.collect()] == ["2;3;4"] and "saw 3" in bad.first().warning
+    assert [(r.a, r.b) for r in good.orderBy("record_no").collect()] == [("1", "x;y"), ("5", None)]
+    assert [(r.record_no, r.raw) for r in bad.collect()] == [(3, "2;3;4")] and "4" not in bad.first().warning
+
+
+def test_delimited_keeps_quoted_lines_and_repeated_headers(spark, tmp_path):
+    (tmp_path / "a.csv").write_bytes('﻿a,b\r\n\r\n1,"x\r\ny"\r\na,b\r\n2,"say ""hi"""\r\n3,5" pipe\r\n'.encode())
+    (tmp_path / "b.tsv").write_text("b\tb\t\n1\t2\t3\n")
+    (tmp_path / "c.csv").write_text('a|"open\n1|2\n')
+    (tmp_path / "d.csv").write_text("")
+    good, bad = files.read_delimited(spark, str(tmp_path))
+    rows = {(r.source_file.rsplit("/", 1)[1], r.record_no): (r.a, r.b, r["b.1"], r.column_3) for r in good.collect()}
+    assert rows == {("a.csv", 3): ("1", "x\r\ny", None, None), ("a.csv", 4): ("a", "b", None, None), ("a.csv", 5): ("2", 'say "hi"', None, None),
+                    ("a.csv", 6): ("3", '5" pipe', None, None), ("b.tsv", 2): (None, "1", "2", "3")}
+    assert [(r.source_file.rsplit("/", 1)[1], r.raw) for r in bad.collect()] == [("c.csv", 'a|"open\n1|2')]
+
+
+@pytest.mark.parametrize("size", [150, 400])
+def test_delimited_in_many_splits(spark, tmp_path, size):
+    """Splits of a few bytes start anywhere: in quotes, between doubled quotes, inside of an empty line."""
+    rnd = random.Random(size)
+    rows = [[str(i), "".join(rnd.choice(['"', "\n", ",", "a", "é"]) for _ in range(rnd.randint(0, 90)))] for i in range(60)]
+    with open(tmp_path / "a.csv", "w", newline="") as f:
+        csv.writer(f, lineterminator="\n").writerows([["n", "text"], *rows])
+    with small_splits(spark, size):
+        good, bad = files.read_delimited(spark, str(tmp_path))
+        assert [[r.n, r.text] for r in good.orderBy("record_no").collect()] == rows
+        assert [r.record_no for r in good.orderBy("record_no").collect()] == list(range(2, 62)) and bad.isEmpty()
+
+
+@contextlib.contextmanager
+def small_splits(spark, size):
+    names = {"spark.sql.files.maxPartitionBytes": str(size), "spark.sql.files.openCostInBytes": "1"}
+    old = {k: spark.conf.get(k) for k in names}
+    for k, v in names.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+
+
+@pytest.mark.parametrize("size", [23, 100_000])
+def test_json_arrays_in_many_splits(spark, tmp_path, size):
+    rnd = random.Random(size)
+
+    def value(depth: int):
+        kind = rnd.randint(0, 5)
+        if kind == 0 and depth < 3:
+            return [value(depth + 1) for _ in range(rnd.randint(0, 3))]
+        if kind == 1 and depth < 3:
+            return {f'k{i}"': value(depth + 1) for i in range(rnd.randint(0, 3))}
+        return rnd.choice([1, None, True, 'a,b "q" \\', "[", "]}", "é,", "", 2.5])
+
+    items = [value(0) for _ in range(25)]
+    (tmp_path / "a.json").write_text(" " + json.dumps(items, ensure_ascii=False))
+    (tmp_path / "b.json").write_text("﻿" + json.dumps(items[:5], indent=1) + "\n")
+    (tmp_path / "c.json").write_text('{"one": "a, b", "l": [1, 2]}\n')
+    (tmp_path / "d.json").write_text("[]")
+    (tmp_path / "e.json").write_text("[1, {2, 3]")
+    (tmp_path / "f.jsonl").write_text('{"a": 1}\n\nx\n{"a": 2}\n')
+    with small_splits(spark, size):
+        found, warnings = records.read_records(spark, str(tmp_path))
+        got = {}
+        for r in sorted(found.collect(), key=lambda r: r.record_no):
+            got.setdefault(r.source_file.rsplit("/", 1)[1], []).append(json.loads(r.raw))
+        assert got["a.json"] == items and got["b.json"] == items[:5]
+        assert got["c.json"] == [{"one": "a, b", "l": [1, 2]}] and "d.json" not in got and got["f.jsonl"] == [{"a": 1}, {"a": 2}]
+        assert {r.source_file.rsplit("/", 1)[1] for r in warnings.collect()} == {"e.json", "f.jsonl"}
+
+
+def test_flatten_two_thousand_levels(spark):
+    deep, far = "[" * 2000 + "1" + "]" * 2000, "[" * 60_000 + "1" + "]" * 60_000
+    got = flat(spark, deep, far, "{nothing")
+    assert len(got[0]) == 2001 and got[0]["value" + "[0]" * 2000] == "1"
+    assert got[1] == {"value": far} and got[2] == {"value": "{nothing"}
 
 
 def test_file_listing(spark, tmp_path):
@@ -187,6 +264,26 @@ def test_job_tables_and_sum(spark):
     assert store.register("empty.csv", df.limit(0)) is None
     assert spark.table("job_t1.orders_2024").agg(F.sum("total_amt")).first()[0] == 3.5
     assert {r.table_name: r.row_count for r in store.manifest().collect()} == {"orders_2024": 3, "orders_2024_2": 3}
+    assert JobTables(spark, "t1").register("x/manifest.csv", df) == "manifest_2"  # the store's own table
+
+
+def test_stored_values_that_do_not_fit(spark):
+    df = spark.createDataFrame([("12345678901234567890123", "1"), ("5", "2")] + [("7", "3")] * 8 + [("7", "x")], "big string, n string")
+    store = JobTables(spark, "t2")
+    name = store.register("wide.csv", df)
+    row = store.manifest().first()
+    assert [(c.name, c.type) for c in row.columns] == [("big", "REAL"), ("n", "INTEGER")] and row.rejected == 1
+    assert store.table(name).agg(F.max("big")).first()[0] == 12345678901234567890123.0
+
+
+def test_names_are_claimed_by_one_writer(spark):
+    from concurrent.futures import ThreadPoolExecutor
+
+    df = spark.createDataFrame([("1",)], "a string")
+    lib = Library(spark, "lib_claims")
+    with ThreadPoolExecutor(4) as pool:
+        ids = list(pool.map(lambda i: lib.save("j", "same.csv", df), range(4)))
+    assert len(set(ids)) == 4 and {r.table_name for r in lib.list().collect()} == {"same", "same_2", "same_3", "same_4"}
 
 
 def test_library_round_trip(spark, tmp_path):
@@ -210,8 +307,9 @@ def test_result_files_and_delete(spark, tmp_path):
     assert [r.job_id for r in spark.read.json(str(tmp_path / "res" / "pii")).collect()] == ["j2"]
     exports.write_pii(pii, str(tmp_path / "pii.csv"))
     assert spark.read.option("header", True).csv(str(tmp_path / "pii.csv")).columns[:2] == ["severity", "category"]
-    exports.write_graph(pii, pii, str(tmp_path / "g"))
-    assert spark.read.json(str(tmp_path / "g" / "edges")).count() == 1
+    exports.write_graph(pii, pii, str(tmp_path / "res"), "j2")
+    assert spark.read.json(str(tmp_path / "res" / "edges")).count() == 1
+    assert exports.delete_job(spark, str(tmp_path / "res"), "j2") == ["edges", "nodes", "pii"]
     assert exports.write_tables({"t1": ("My table/1", pii), "t2": (None, pii)}, str(tmp_path))[0].endswith("My_table_1_t1.csv")
 
 
@@ -249,6 +347,40 @@ def test_incremental_ingest_equals_one_batch(spark, tmp_path):
     chunks = G.upsert_chunks(None, rows["chunks"])
     assert {r.name for r in got["mentions"].collect()} == {r.name for r in G.mentions(chunks, nodes).collect()}
     assert got["has_pii"].count() > 0
-    ingest.compact(spark, out, str(tmp_path / "small"))
-    again = ingest.read_graph(spark, str(tmp_path / "small"))
-    assert same(got["nodes"], again["nodes"]) and same(got["edges"].drop("ordinal"), again["edges"].drop("ordinal"))
+
+
+def test_levels_of_parts_and_replay(spark, tmp_path):
+    rows = [json.loads(x) for lines in result_lines() for x in map(json.dumps, lines)]
+    every = spark.createDataFrame([tuple(r.get(f.name) for f in spark.createDataFrame([], ingest.RESULT_SCHEMA).schema) for r in rows],
+                                  ingest.RESULT_SCHEMA)
+    out = str(tmp_path / "out")
+    parts = [every.filter(F.col("ordinal") % 18 == b) for b in range(18)]
+    for b in range(18):
+        ingest.merge_batch(parts[b], out, b)
+    names = [p.split("relations/")[1] for p in ingest.complete_parts(spark, out, "relations")]
+    assert names == ["level=2/part=0", "level=0/part=16", "level=0/part=17"]
+    before = {k: sorted(map(str, v.collect())) for k, v in ingest.read_graph(spark, out).items()}
+    ingest.merge_batch(parts[15], out, 15)  # a replayed batch rewrites its own parts
+    assert before == {k: sorted(map(str, v.collect())) for k, v in ingest.read_graph(spark, out).items()}
+    ingest.merge_batch(every, str(tmp_path / "one"), 0)
+    one = ingest.read_graph(spark, str(tmp_path / "one"))
+    assert before["nodes"] == sorted(map(str, one["nodes"].collect()))
+    assert len(before["edges"]) == one["edges"].count() and len(before["chunks"]) == one["chunks"].count()
+
+
+def test_ingest_failures_come_through(spark, tmp_path, monkeypatch):
+    src = tmp_path / "in"
+    src.mkdir()
+    for i, lines in enumerate(result_lines()[:6]):
+        (src / f"r{i}.json").write_text("\n".join(json.dumps(x) for x in lines))
+    real, seen = ingest.merge_batch, []
+
+    def fails_late(batch, out, batch_id):
+        seen.append(batch_id)
+        if len(seen) == 2:
+            raise RuntimeError("disk full")
+        real(batch, out, batch_id)
+
+    monkeypatch.setattr(ingest, "merge_batch", fails_late)
+    with pytest.raises(Exception, match="disk full"):
+        ingest.ingest_stream(spark, str(src), str(tmp_path / "out"), str(tmp_path / "check"), files_per_batch=2, max_batches=2)
