@@ -68,28 +68,33 @@ def without(text: Column, symbols: str) -> Column:
 def repeat_words(words: Column, width: int = 5) -> Column:
     """Words inside windows of ``width`` words that stand at two places or more.
 
-    Windows are sorted by a 96-bit hash, so a window comes again if a neighbour has its hash; their starts, in order, each
-    add the words up to the next start, ``width`` at most.
+    A text whose windows all have hashes of their own has none. Of others the windows are sorted by a second hash behind the
+    first, 96 bits together, so a window comes again if a neighbour has its hashes; their starts, in order, each add the
+    words up to the next start, ``width`` at most.
     """
-    def starts(w: Column) -> Column:
-        def keyed(word: Column, i: Column) -> Column:
-            window = [word, *[F.get(w, i + j) for j in range(1, width)]]
-            return F.struct(F.xxhash64(*window).alias("a"), F.hash(*window).alias("b"), i.alias("at"))
+    def window(w: Column, word: Column, i: Column) -> list[Column]:
+        return [word, *[F.get(w, i + j) for j in range(1, width)]]
 
+    def starts(w: Column, hashes: Column) -> Column:
         def again(hashed: Column) -> Column:
             def same(x: Column, other: Column) -> Column:
                 return F.coalesce((x["a"] == other["a"]) & (x["b"] == other["b"]), F.lit(False))
 
             return F.filter(hashed, lambda x, i: same(x, F.get(hashed, i + 1)) | ((i > 0) & same(x, F.get(hashed, i - 1))))
 
-        windows = F.slice(F.transform(w, keyed), 1, F.greatest(F.size(w) - (width - 1), F.lit(0)))
-        return F.sort_array(F.transform(let(F.sort_array(windows), again), lambda x: x["at"]))
+        keyed = F.transform(hashes, lambda h, i: F.struct(h.alias("a"), F.hash(*window(w, F.get(w, i), i)).alias("b"), i.alias("at")))
+        return F.sort_array(F.transform(let(F.sort_array(keyed), again), lambda x: x["at"]))
 
     def covered(at: Column) -> Column:
         each = F.transform(at, lambda x, i: F.least(F.lit(width), F.coalesce(F.get(at, i + 1) - x, F.lit(width))))
         return F.aggregate(each, F.lit(0).cast("bigint"), lambda a, x: a + x)
 
-    return let(words, lambda w: let(starts(w), covered))
+    def counted(w: Column) -> Column:
+        hashes = F.slice(F.transform(w, lambda word, i: F.xxhash64(*window(w, word, i))), 1, F.greatest(F.size(w) - (width - 1), F.lit(0)))
+        return let(hashes, lambda h: F.when(F.size(F.array_distinct(h)) == F.size(h), F.lit(0).cast("bigint")).otherwise(
+            let(starts(w, h), covered)))
+
+    return let(words, counted)
 
 
 def measures(text: Column) -> dict[str, Column]:
