@@ -10,6 +10,7 @@ or repeated tasks are never read.
 from __future__ import annotations
 
 import json
+import re
 import struct
 import uuid
 import zlib
@@ -18,14 +19,16 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from tokenizers import Tokenizer
+from tokenizers.pre_tokenizers import WhitespaceSplit
 
-from sheafwork.llm.bpe_automaton import chunks, parted, worker_cache
-from sheafwork.llm.common import pieces
+from sheafwork.llm.bpe_automaton import WORDS, byte_characters
+from sheafwork.llm.common import pieces, text_buffers
 
 NO_ID = -(1 << 63)
 HEAD, MASK, BLOCK = 16, 0xA282EAD8, 1024
@@ -34,6 +37,10 @@ SHARDS = T.StructType([T.StructField("low", T.LongType()), T.StructField("high",
                        T.StructField("n_records", T.LongType()), T.StructField("n_tokens", T.LongType())])
 #: Words of letters remembered by a worker.
 WORDS_REMEMBERED = 400_000
+#: Chunks remembered by a worker, with marks and capitals.
+CHUNKS_REMEMBERED = 600_000
+#: A word of letters whose lower case is one letter each, composed already, and the marks behind it: two words for the tokenizer.
+PARTED = re.compile("([A-Za-z\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u012F\u0131-\u024F]+)([!-/:-@\\[-`{-~]*)\\Z")
 #: Bytes read at a time.
 READ = 8 << 20
 
@@ -117,32 +124,50 @@ def library(path: str) -> Tokenizer:
     return tokenizer
 
 
+@lru_cache(maxsize=2)
+def bare(path: str) -> Tokenizer | None:
+    """The file's BPE model behind a split at blanks, for words of letters in lower case: its own normaliser and word split
+    leave them as they are. None for a file that prepares texts in another way."""
+    with open(path, encoding="utf-8") as f:
+        spec = json.load(f)
+    steps = [x["type"] for x in (spec["normalizer"] or {}).get("normalizers", [])]
+    parts = [x["type"] for x in (spec["pre_tokenizer"] or {}).get("pretokenizers", [])]
+    split = [x["pattern"].get("Regex") for x in (spec["pre_tokenizer"] or {}).get("pretokenizers", []) if x["type"] == "Split"]
+    if steps != ["NFC", "Replace", "Lowercase"] or parts != ["Split", "ByteLevel"] or split != [WORDS.pattern]:
+        return None
+    out = Tokenizer(library(path).model)
+    out.pre_tokenizer = WhitespaceSplit()
+    return out
+
+
 def id_bytes(path: str):
     """Encodes chunks without white space; their ids as bytes, of the width that the vocabulary needs.
 
-    Words of letters alone are remembered without the mark behind them, and new ones are encoded many in one text: each
-    gives one id that ends a word, so the ids can be told apart.
+    Words of letters alone are remembered without the marks behind them, and new ones are encoded many in one text: the last
+    id of each, and no other, ends a word, so the ids can be told apart.
     """
     words: dict[str, bytes] = {}
+    kind, alphabet, plain = id_type(path), byte_characters(), bare(path)
 
     def encoded(new: list[str]) -> list[bytes]:
-        kind = id_type(path)
         return [np.array(e.ids, kind).tobytes() for e in library(path).encode_batch_fast(new, add_special_tokens=False)]
 
     def learn(new: list[str]) -> None:
-        for a in range(0, len(new), 512):
-            part = new[a:a + 512]
-            ids = np.array(library(path).encode(" ".join(part), add_special_tokens=False).ids, np.int64)
+        texts = new if plain is None else [w if w.isascii() else w.encode().decode("latin-1").translate(alphabet) for w in new]
+        for a in range(0, len(new), 4096):
+            part = new[a:a + 4096]
+            found = (plain or library(path)).encode_batch_fast([" ".join(texts[a:a + 4096])], add_special_tokens=False)[0]
+            ids = np.array(found.ids, np.int64)
             stops = np.flatnonzero(word_ends(path)[ids]) + 1
             if len(stops) == len(part) and stops[-1] == len(ids):
-                held, width = ids.astype(id_type(path)).tobytes(), np.dtype(id_type(path)).itemsize
+                held, width = ids.astype(kind).tobytes(), np.dtype(kind).itemsize
                 cuts = [0, *(stops * width).tolist()]
                 words.update((w, held[x:y]) for w, x, y in zip(part, cuts, cuts[1:]))
             else:
                 words.update(zip(part, encoded(part)))
 
     def make(new: list[str]) -> list[bytes]:
-        parts = [parted(c) for c in new]
+        parts = [m and (m[1].lower(), m[2]) for m in map(PARTED.match, new)]
         if len(words) > WORDS_REMEMBERED:
             words.clear()
         learn(list(dict.fromkeys([w for p in parts if p for w in p if w and w not in words])))
@@ -152,6 +177,78 @@ def id_bytes(path: str):
     return make
 
 
+class ChunkIds:
+    """Ids of the chunks met so far by one Python worker: their strings as one array, their ids in one buffer."""
+
+    def __init__(self, path: str):
+        self.make, self.kind = id_bytes(path), np.dtype(id_type(path))
+        self.clear()
+
+    def clear(self) -> None:
+        self.chunks = pa.array([], pa.large_string())
+        self.ids, self.stops = np.zeros(0, self.kind), np.zeros(1, np.int64)
+
+    def get(self, chunks: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Places in ``ids`` and numbers of ids of distinct chunks."""
+        if len(self.chunks) > CHUNKS_REMEMBERED:
+            self.clear()
+        found = pc.index_in(chunks, value_set=self.chunks)
+        at = found.fill_null(0).to_numpy().astype(np.int64)
+        if found.null_count:
+            missing = found.is_null()
+            new = chunks.filter(missing)
+            at[missing.to_numpy(zero_copy_only=False)] = len(self.chunks) + np.arange(len(new))
+            made = self.make(new.to_pylist())
+            sizes = np.array([len(x) for x in made], np.int64) // self.kind.itemsize
+            self.chunks = pa.concat_arrays([self.chunks, new])
+            self.ids = np.concatenate([self.ids, np.frombuffer(b"".join(made), self.kind)])
+            self.stops = np.concatenate([self.stops, self.stops[-1] + np.cumsum(sizes)])
+        return self.stops[at], self.stops[at + 1] - self.stops[at]
+
+
+_KNOWN: dict[str, ChunkIds] = {}
+
+
+def blanks(data: np.ndarray) -> np.ndarray:
+    """Which bytes of UTF-8 text belong to white space, as the tokenizers' normalisers know it (without U+001C to U+001F)."""
+    out = (data == 32) | ((data >= 9) & (data <= 13))
+    follow = np.append(data, [0, 0])
+    at = np.flatnonzero(np.isin(data, (0xC2, 0xE1, 0xE2, 0xE3)))
+    first, second, third = data[at], follow[at + 1], follow[at + 2]
+    two = (first == 0xC2) & np.isin(second, (0x85, 0xA0))
+    three = (first == 0xE1) & (second == 0x9A) & (third == 0x80) | (first == 0xE3) & (second == 0x80) & (third == 0x80)
+    three |= (first == 0xE2) & (second == 0x80) & ((third >= 0x80) & (third <= 0x8A) | np.isin(third, (0xA8, 0xA9, 0xAF)))
+    three |= (first == 0xE2) & (second == 0x81) & (third == 0x9F)
+    for shift, which in ((0, two | three), (1, two | three), (2, three)):
+        out[at[which] + shift] = True
+    return out
+
+
+def chunks_of(data: np.ndarray, offsets: np.ndarray) -> tuple[pa.Array, np.ndarray]:
+    """Chunks between white space of all texts, and the number of chunks before each text (and of all)."""
+    inside = ~blanks(data)
+    before = np.concatenate([[False], inside[:-1]])
+    before[offsets[:-1][offsets[:-1] < len(data)]] = False
+    starts = np.flatnonzero(inside & ~before)
+    stops = np.searchsorted(np.flatnonzero(inside), starts)  # places of the starts among the bytes that stay
+    kept = data[inside]
+    text = pa.LargeStringArray.from_buffers(len(starts), pa.py_buffer(np.append(stops, len(kept)).astype(np.int64).tobytes()), pa.py_buffer(kept.tobytes()))
+    return text, np.searchsorted(starts, offsets)
+
+
+def encoded_texts(path: str, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of all texts one behind the other, and the number of ids before each text (and of all)."""
+    known = _KNOWN.get(path) or _KNOWN.setdefault(path, ChunkIds(path))
+    chunks, first = chunks_of(*text_buffers(texts))
+    coded = chunks.dictionary_encode()
+    place, size = known.get(coded.dictionary)
+    at = coded.indices.to_numpy()
+    start, length = place[at], size[at]
+    stops = np.concatenate([[0], np.cumsum(length)])
+    take = np.repeat(start - stops[:-1], length) + np.arange(stops[-1])
+    return known.ids[take], stops[first]
+
+
 @lru_cache(maxsize=2)
 def word_ends(path: str) -> np.ndarray:
     """Whether an id ends a word."""
@@ -181,21 +278,18 @@ def framed(data: list[bytes]) -> list[bytes]:
 def shard_writer(folder: str, path: str, end: int):
     """Writes one shard for each task, under a name of its own, and gives its line of the manifest."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kind = id_type(path)
-        cache = worker_cache(("ids", path), id_bytes(path))
-        tail, width = np.array([end], kind).tobytes(), np.dtype(kind).itemsize
+        kind = np.dtype(id_type(path))
+        tail, width = np.array([end], kind).tobytes(), kind.itemsize
         fs, root = file_system(folder)
         name, records, entries, offset, before = uuid.uuid4().hex, None, [], 0, 0
-        for batch in pieces(batches, limit=1 << 20):
+        for batch in pieces(batches, limit=1 << 22):
             if records is None:
                 fs.create_dir(root, recursive=True)
                 records = fs.open_output_stream(f"{root}/{name}.rec")
             ids = [NO_ID if i is None else i for i in batch.column("doc_id").to_pylist()]
-            parts = [chunks(t or "") for t in batch.column("text").to_pylist()]
-            held, at, data = cache.get([c for p in parts for c in p]), 0, []
-            for i, p in zip(ids, parts):
-                data.append(b"".join([struct.pack("<qB", i, width), *held[at:at + len(p)], tail]))
-                at += len(p)
+            tokens, cuts = encoded_texts(path, batch.column("text"))
+            held, cuts = tokens.tobytes(), (cuts * width).tolist()
+            data = [b"".join([struct.pack("<qB", i, width), held[a:z], tail]) for i, a, z in zip(ids, cuts, cuts[1:])]
             for i, d, frame in zip(ids, data, framed(data)):
                 records.write(frame)
                 entries.append((i, offset, len(frame), before))
