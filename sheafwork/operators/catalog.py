@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from sheafwork.functions.text import literal_map, standardize_column
 from sheafwork.operators.mapping import classify_entity
-from sheafwork.operators.tabular import SPARK_TYPE
+from sheafwork.operators.tabular import SPARK_TYPE, coerce, infer_types, rejects, unpivot_cells
 
 WIDENING = {"INTEGER": 0, "REAL": 1, "TEXT": 2}
 RENDERED = {0: "NUMBER(38)", 1: "NUMBER(18,4)", 2: "VARCHAR2(255)"}
@@ -58,14 +58,17 @@ def group_columns(registry: DataFrame) -> DataFrame:
                       F.col("seen.ordinal").alias("seen_table"), F.col("seen.pos").alias("seen_position"))
 
 
-def union_group(tables: list[DataFrame], kinds: dict[str, str]) -> DataFrame:
-    """Combined relation of same-shape tables: standard names, widest types, matched by name."""
+def union_group(tables: list[DataFrame]) -> tuple[DataFrame, DataFrame]:
+    """(combined relation of same-shape tables: standard names, types that fit all their values, matched by name;
+    column, value and number of cells of values that no longer stand in it)."""
     spark = tables[0].sparkSession
     headers = sorted({c for t in tables for c in t.columns})
     named = spark.createDataFrame([(h,) for h in headers], "h string")
     std = {r.h: r.s for r in named.select("h", standardize_column(F.col("h")).alias("s")).collect()}
-    parts = [
-        t.select([F.col(f"`{c}`").try_cast(SPARK_TYPE[kinds.get(std[c], "TEXT")]).alias(std[c]) for c in t.columns])
-        for t in tables
-    ]
-    return reduce(lambda a, b: a.unionByName(b), parts)
+    renamed = [t.select([F.col(f"`{c}`").cast("string").alias(std[c]) for c in t.columns]) for t in tables]
+    texts = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), renamed)
+    cells = unpivot_cells(texts.withColumn("_row", F.lit(0)), "", "", "_row", texts.columns)
+    types = infer_types(cells)
+    kinds = {r.column: r.storage_type for r in types.select("column", "storage_type").collect()}  # one row a column
+    lost = rejects(cells, types).groupBy("column", "value").agg(F.count("*").alias("n"))
+    return texts.select([coerce(F.col(c), kinds[c]).cast(SPARK_TYPE[kinds[c]]).alias(c) for c in texts.columns]), lost

@@ -215,15 +215,23 @@ def group_columns(t):
     return C.group_columns(_registry(t))
 
 
-@query("C3", """
-SELECT CAST(o_orderkey AS STRING) AS order_id, o_totalprice AS amount, CAST(o_custkey AS BIGINT) AS customer FROM {orders}
+_TWO_SHAPES = """
+SELECT CASE WHEN o_orderkey % 40 = 7 THEN 'lost' ELSE CAST(o_orderkey AS STRING) END AS order_id, o_totalprice AS amount,
+  CASE WHEN o_custkey % 3 = 0 THEN 'n/a' ELSE CAST(o_custkey AS STRING) END AS customer, o_orderstatus AS s FROM {orders}
+"""
+
+
+@query("C3", f"""
+SELECT 'row' AS what, TRY_CAST(order_id AS BIGINT) AS order_id, amount, TRY_CAST(customer AS BIGINT) AS customer, NULL AS value, 1 AS n FROM ({_TWO_SHAPES})
+UNION ALL SELECT 'reject', NULL, NULL, NULL, 'lost', count(*) FROM ({_TWO_SHAPES}) WHERE order_id = 'lost'
 """)
 def union_group(t):
-    even = t.sql("SELECT CAST(o_orderkey AS STRING) AS OrderID, o_totalprice AS Amt, CAST(o_custkey AS STRING) AS cust "
-                 "FROM {orders} WHERE o_orderstatus <> 'F'")
-    odd = t.sql("SELECT CAST(o_custkey AS STRING) AS client, o_orderkey AS order_pk, CAST(o_totalprice AS STRING) AS total "
-                "FROM {orders} WHERE o_orderstatus = 'F'")
-    return C.union_group([even, odd], {"order_id": "TEXT", "amount": "REAL", "customer": "INTEGER"})
+    rows = t.sql(_TWO_SHAPES)
+    even = rows.where("s <> 'F'").select(F.col("order_id").alias("OrderID"), F.col("amount").alias("Amt"), F.col("customer").alias("cust"))
+    odd = rows.where("s = 'F'").select(F.col("customer").alias("client"), F.col("order_id").alias("order_pk"), F.col("amount").cast("string").alias("total"))
+    union, lost = C.union_group([even, odd])
+    return union.select(F.lit("row").alias("what"), "*", F.lit(None).cast("string").alias("value"), F.lit(1).cast("bigint").alias("n")).unionByName(
+        lost.select(F.lit("reject").alias("what"), "value", "n"), allowMissingColumns=True)
 
 
 @query("S4", """

@@ -86,10 +86,13 @@ SELECT coalesce(CAST(status AS STRING), '') AS status, coalesce(CAST(segment AS
 """)
 def ask_sql(t):
     tables = {"orders": t.sql(I.ORDERS_TABLE), "customers": t.sql(I.CUSTOMER_TABLE)}
-    return V.ask_sql(t.spark, tables, """
+    rows, error = V.answer_sql(t.spark, tables, """
         WITH s AS (SELECT o.status, c.segment, count(*) AS n, sum(count(*)) OVER (PARTITION BY o.status) AS of_status
                    FROM orders o JOIN customers c ON o.CustomerID = c.cust_id GROUP BY o.status, c.segment)
-        SELECT * FROM s ORDER BY status, segment;""")
+        SELECT * FROM s ORDER BY status, segment;""", seconds=600)
+    if error:
+        raise RuntimeError(error)
+    return rows
 
 
 _MANIFEST = """

@@ -204,30 +204,61 @@ def import_tables(t):
 
 
 # ---------------------------------------------------------------- markup
+# The given pages hold no element of interest inside another of its kind, so patterns find the same blocks once the end tags
+# that pages leave out are put in: before the next paragraph, before the end of the article and at the end of the page.
+_ENTITIES = (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "''"), ("&apos;", "''"), ("&copy;", "©"), ("&middot;", "·"), ("&amp;", "&"))
+_TITLE, _HEADING, _PARAGRAPH = (rf"(?is)<(?:{n})(?:\s[^>]*)?>(.*?)</(?:{n})>" for n in ("title", "h[1-3]", "p|li|td"))
+
+
 def _plain(x: str) -> str:
     text = rf"regexp_replace(regexp_replace({x}, '\s*<[^>]+>\s*', '', 'g'), '^\s+|\s+$', '', 'g')"
-    for entity, char in markup.ENTITIES:
-        text = f"replace({text}, '{entity}', '{char if char != chr(39) else chr(39) * 2}')"
+    for entity, char in _ENTITIES:
+        text = f"replace({text}, '{entity}', '{char}')"
     return rf"regexp_replace({text}, '^\s+|\s+$', '', 'g')"
 
 
-_VIS = "html"
-for _p in markup.HIDDEN:
-    _VIS = f"regexp_replace({_VIS}, '{_p}', '', 'g')"
+_VIS = r"regexp_replace(regexp_replace(html, '(?is)<(script|style|noscript)[^>]*>.*?</(script|style|noscript)>', '', 'g'), '(?s)<!--.*?-->', '', 'g')"
+_VIS = rf"concat(replace(regexp_replace({_VIS}, '(?i)(<p[\s>])', '</p>\1', 'g'), '</article>', '</p></article>'), '</p>')"
 
 
 @query("S14", f"""
 WITH v AS (SELECT page_id, html, {_VIS} AS v FROM {{pages}}),
 b AS (SELECT page_id, list_concat(
-  list_transform(list_filter(list_transform(regexp_extract_all(html, '{markup.TITLE}', 1)[1:1], lambda x: {_plain('x')}), lambda x: x <> ''), lambda x: {{{{'k': 'heading', 't': x}}}}),
-  list_transform(list_filter(list_transform(regexp_extract_all(v, '{markup.HEADING}', 1), lambda x: {_plain('x')}), lambda x: x <> ''), lambda x: {{{{'k': 'heading', 't': x}}}}),
-  list_transform(list_filter(list_transform(regexp_extract_all(v, '{markup.PARAGRAPH}', 1), lambda x: {_plain('x')}), lambda x: x <> ''), lambda x: {{{{'k': 'paragraph', 't': x}}}})) AS b FROM v)
+  list_transform(list_filter(list_transform(regexp_extract_all(html, '{_TITLE}', 1)[1:1], lambda x: {_plain('x')}), lambda x: x <> ''), lambda x: {{{{'k': 'heading', 't': x}}}}),
+  list_transform(list_filter(list_transform(regexp_extract_all(v, '{_HEADING}', 1), lambda x: {_plain('x')}), lambda x: x <> ''), lambda x: {{{{'k': 'heading', 't': x}}}}),
+  list_transform(list_filter(list_transform(regexp_extract_all(v, '{_PARAGRAPH}', 1), lambda x: {_plain('x')}), lambda x: x <> ''), lambda x: {{{{'k': 'paragraph', 't': x}}}})) AS b FROM v)
 SELECT page_id, CAST(i - 1 AS INT) AS ordinal, b[i].k AS kind, b[i].t AS text FROM (SELECT *, unnest(range(1, len(b) + 1)) AS i FROM b)
 """)
 def html_blocks(t):
     return markup.html_blocks(t.pages.select("page_id", "html"))
 
 
+# Nested lists and tables with character references: one page a region, its nations as items, their customers' segments in a
+# table inside of a cell of a table.
+_NESTED_PAGES = """
+SELECT r_regionkey AS page_id, concat('<ul><li>', r_name, ' &amp; &#x65;t&eacute;<ul>', array_join(transform(array_sort(collect_list(n_name)), n -> concat('<li>', n, '</li>')), ''),
+  '</ul> end</li><li>last<p>un<b>closed</ul><table><tr><td>a</td><td><table><tr><th>', r_name, '</th><td>in&lt;ner&gt;</table></td></tr></table>') AS html
+FROM {region} JOIN {nation} ON n_regionkey = r_regionkey GROUP BY r_regionkey, r_name
+"""
+
+
+@query("S14", """
+WITH r AS (SELECT r_regionkey AS page_id, r_name, list(n_name ORDER BY n_name) AS n FROM {region} JOIN {nation} ON n_regionkey = r_regionkey GROUP BY ALL),
+t AS (SELECT page_id, list_concat([concat(r_name, '& eté', array_to_string(n, ''), 'end')], n, ['lastunclosed', 'unclosed', 'a', concat(r_name, 'in<ner>'), 'in<ner>']) AS b FROM r)
+SELECT page_id, CAST(i - 1 AS INT) AS ordinal, 'paragraph' AS kind, replace(b[i], '& eté', ' & eté') AS text FROM (SELECT *, unnest(range(1, len(b) + 1)) AS i FROM t)
+""")
+def nested_blocks(t):
+    return markup.html_blocks(t.sql(_NESTED_PAGES))
+
+
+@query("S15", """
+SELECT r_regionkey AS page_id, t AS table_no, r AS row_no, c AS col_no, CASE v WHEN 'name' THEN r_name WHEN 'both' THEN concat(r_name, 'in<ner>') ELSE v END AS value
+FROM {region}, (VALUES (0, 0, 0, 'a'), (0, 0, 1, 'both'), (0, 0, 2, 'name'), (0, 0, 3, 'in<ner>'), (0, 1, 0, 'name'), (0, 1, 1, 'in<ner>'), (1, 0, 0, 'name'), (1, 0, 1, 'in<ner>')) x(t, r, c, v)
+""")
+def nested_tables(t):
+    return markup.html_tables(t.sql(_NESTED_PAGES))
+
+
 _TABLE_PAGES = """
 SELECT p_partkey, concat('<html><table class="x"><tr><th>name</th><th>size &amp; unit</th></tr><tr></tr><tr><td><b>', p_name, '</b></td><td> ',
   CAST(p_size AS STRING), ' </td></tr></table><p>', p_type, '</p><TABLE><tr><td>', p_brand, '</td></tr></TABLE></html>') AS html FROM {part}

@@ -81,6 +81,25 @@ def listed_files(t):
     return found.select(F.regexp_extract("path", r"([^/]*)$", 1).alias("file"), "category", "size_bytes", F.array_join("keyword_hits", ",").alias("keyword_hits"))
 
 
+@query("S4", """
+SELECT 0 AS col_idx, 'o_orderkey' AS "column", 'bigint' AS dtype, count(*) AS rows, 0 AS nulls, true AS near_distinct, true AS near_median FROM {orders}
+UNION ALL SELECT 1, 'o_custkey', 'bigint', count(*), 0, true, true FROM {orders} UNION ALL SELECT 2, 'o_orderstatus', 'string', count(*), 0, true, NULL FROM {orders}
+UNION ALL SELECT 3, 'price', 'double', count(*), count(*) FILTER (WHERE o_orderkey % 5 = 0), true, true FROM {orders}
+""")
+def merged_profiles(t):
+    """Profiles of a file a year, the last year's added later; within 5 percent of exact figures."""
+    orders = t.orders.select(F.year("o_orderdate").alias("file"), "o_orderkey", "o_custkey", "o_orderstatus",
+                             F.when(F.col("o_orderkey") % 5 != 0, F.col("o_totalprice")).alias("price"))
+    first, last = (files.sketch_profile(orders.where(f"file {which} 1997"), "file") for which in ("<", ">="))
+    found = files.profile_report(files.merge_profiles(first, last))
+    exact = files.profile_columns(orders.drop("file")).select("col_idx", F.col("distinct_values").alias("exact"))
+    middle = orders.agg(*[F.expr(f"percentile({c}, array(0.45, 0.55))").alias(str(i)) for i, c in ((0, "o_orderkey"), (1, "o_custkey"), (3, "price"))]).select(
+        F.inline(F.array(*[F.struct(F.lit(i).alias("col_idx"), F.col(str(i)).alias("bounds")) for i in (0, 1, 3)])))
+    both = found.join(exact, "col_idx").join(middle, "col_idx", "left")
+    return both.select("col_idx", "column", "dtype", "rows", "nulls", (F.abs(F.col("distinct_values") - F.col("exact")) <= 0.05 * F.col("exact")).alias("near_distinct"),
+                       F.col("median").between(F.col("bounds")[0], F.col("bounds")[1]).alias("near_median"))
+
+
 # The same events as JSON lines, as the items of one array, and as single objects.
 _EVENT = """concat('{{"id": ', CAST(event_id AS STRING), ', "who": {{"user": ', CAST(user_id AS STRING), ', "says": "a, [b], {{c}} \\\\" ', event_type, '"}}, "at": [1, ', CAST(event_id % 7 AS STRING), ']}}')"""
 

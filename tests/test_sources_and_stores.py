@@ -6,6 +6,7 @@ import io
 import json
 import random
 import tarfile
+import time
 import zipfile
 
 import pytest
@@ -210,6 +211,28 @@ def test_html(spark):
     assert [(r.row_no, r.value) for r in markup.html_tables(df).orderBy("row_no").collect()] == [(0, "h"), (1, "1")]
 
 
+def test_html_structure():
+    def paragraphs(page):
+        return [t for k, t in markup.page_blocks(page) if k == "paragraph"]
+
+    assert paragraphs("<ul><li>a<ul><li>b</li></ul>c</li></ul><li>d") == ["abc", "b", "d"]
+    assert paragraphs("<p>one<p>two</p></div>three") == ["one", "two"]
+    assert paragraphs("<p>&#8364;&euro;&#x41; &amp;amp; x&nbsp;</p>") == ["€€A &amp; x"]
+    assert paragraphs('<p title="a>b">x<!-- <p>no</p> --> y</p><noscript><p>no</p></noscript><script>"</p><p>no"</script><p>z') == ["xy", "z"]
+    assert markup.page_blocks("<title>A &lt; B</title><h2>h</h2><title>no</title>")[:2] == [("heading", "A < B"), ("heading", "h")]
+    assert markup.page_cells("<table><tr><td>1<td>2<tr><td>3</table>") == [(0, 0, 0, "1"), (0, 0, 1, "2"), (0, 1, 0, "3")]
+    inner = "<table><tr><td>x</td></tr></table>"
+    assert markup.page_cells(f"<table><tr><td>a{inner}</td></tr></table>") == [(0, 0, 0, "ax"), (0, 0, 1, "x"), (0, 1, 0, "x"), (1, 0, 0, "x")]
+
+
+@pytest.mark.parametrize("piece", ["<p>", "<li>x", "<tr><td>1", "<b><p>x", "<!-- ", "<script>", "<a href='", "</p>", "&#", "<td><table><tr>"])
+def test_html_of_unclosed_tags_takes_its_length(piece):
+    page = piece * (60 if "table" in piece else 200_000 // len(piece))
+    start = time.perf_counter()
+    markup.page_blocks(page), markup.page_cells(page)
+    assert time.perf_counter() - start < 5
+
+
 def test_xml_depth_and_errors(spark):
     deep = "<a>" * 60 + "x" + "</a>" * 60
     df = spark.createDataFrame([(1, '<r xmlns="u"> t <b>1</b></r>'), (2, "<r><b></r>"), (3, deep)], "i int, raw string")

@@ -127,8 +127,12 @@ def test_archetypes(spark):
 def test_union_matches_by_name(spark):
     a = spark.createDataFrame([("1", "2.5")], "CustID string, Amt string")
     b = spark.createDataFrame([("7.0", "9")], "total string, client_id string")
-    got = catalog.union_group([a, b], {"customer_id": "INTEGER", "amount": "REAL"}).collect()
-    assert sorted((r.customer_id, r.amount) for r in got) == [(1, 2.5), (9, 7.0)]
+    got, lost = catalog.union_group([a, b])
+    assert sorted((r.customer_id, r.amount) for r in got.collect()) == [(1, 2.5), (9, 7.0)] and lost.isEmpty()
+    many = spark.createDataFrame([("1", "2.5")] * 9 + [("x1", None)], "CustID string, Amt string")
+    got, lost = catalog.union_group([many, b])
+    assert dict(got.dtypes) == {"customer_id": "bigint", "amount": "double"} and got.count() == 11
+    assert [(r.column, r.value, r.n) for r in lost.collect()] == [("customer_id", "x1", 1)]
 
 
 def test_file_score(spark):
