@@ -297,3 +297,14 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, least: float = SIMI
         reps.select("same", F.coalesce("class_id", "id").alias("class_id")), "same", "left")
     return found.groupBy("doc_id").agg(F.max("n_words").alias("n_words"), F.min(
         F.coalesce("class_id", "doc_id")).alias("class_id"))
+
+
+def wordless_copies(docs: DataFrame) -> DataFrame:
+    """doc_id of documents without words whose whole text a document of smaller doc_id has too; null is an empty text.
+
+    near_duplicates() compares words, so these are classes of their own there. Rows without doc_id take no part.
+    """
+    bare = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).where(
+        F.col("doc_id").isNotNull() & ~F.col("text").rlike(r"[0-9A-Za-z]|[^\x00-\x7F]"))
+    first = written(bare.groupBy("text").agg(F.min("doc_id").alias("first")), "wordless")
+    return bare.join(first, "text").where("doc_id > first").select("doc_id").distinct()

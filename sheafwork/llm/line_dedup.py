@@ -1,8 +1,10 @@
 """Line dedup with two Bloom filters.
 
 Line hashes are dealt over buckets; in each bucket the first filter takes every hash once seen, and a hash that it
-already holds goes into the second. Lines that the second filters do not hold are unique and never move. Only the
-others shuffle, with their whole keys, to confirm the repeat and to find the smallest document that holds it.
+already holds goes into the second. Lines that the second filters do not hold are unique and go no further. Only the
+others shuffle again, by the 128-bit digest of their keys, to confirm the repeat and to find the smallest document that
+holds it. The second filters have a bound, whatever the corpus: beyond it they let more unique lines through, and the
+confirmation stays the same.
 """
 
 from __future__ import annotations
@@ -25,7 +27,7 @@ SPACE = bytes([32, *range(9, 14)])
 BITS, PROBES, LAYER = 12, 6, 1 << 20
 #: Columns that dedup_lines() adds or uses.
 ADDED = ("kept", "n_lines", "n_dropped", "drop")
-#: The second filters are broadcast up to so many bytes in all; beyond, suspects are found by a join on the hash.
+#: Bytes of the second filters, which are broadcast, at most.
 MOST_BYTES = 64 << 20
 
 
@@ -105,8 +107,8 @@ def suspected(filled: np.ndarray, hashes: np.ndarray) -> np.ndarray:
     return out
 
 
-def keyed_lines(least: int, filters: Broadcast | None):
-    """(doc_id, hash, key) of each document's different keys that may repeat (all keys without a filter)."""
+def suspected_lines(least: int, filters: Broadcast):
+    """(doc_id, digest) of each document's different keys that may repeat."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches):
             ids, keys = [], []
@@ -114,11 +116,10 @@ def keyed_lines(least: int, filters: Broadcast | None):
                 own = [k for k in set(keys_of(t, least)) if k is not None]
                 ids += [i] * len(own)
                 keys += own
-            hashes = np.array([xxhash.xxh3_64_intdigest(k) for k in keys], np.uint64)
-            take = np.flatnonzero(suspected(filters.value, hashes)) if filters is not None else np.arange(len(keys))
+            take = np.flatnonzero(suspected(filters.value, np.array([xxhash.xxh3_64_intdigest(k) for k in keys], np.uint64)))
             yield pa.RecordBatch.from_pydict({
-                "doc_id": pa.array([ids[i] for i in take], pa.int64()), "hash": pa.array(hashes[take].view(np.int64), pa.int64()),
-                "key": pa.array([keys[i] for i in take], pa.binary())})
+                "doc_id": pa.array([ids[i] for i in take], pa.int64()),
+                "digest": pa.array([hashlib.md5(keys[i]).digest() for i in take], pa.binary())})
 
     return run
 
@@ -152,20 +153,15 @@ def repeated_elsewhere(docs: DataFrame, least: int = LEAST, most_bytes: int = MO
     once = docs.mapInArrow(hash_lines(least), "hash bigint")
     suspects = written(once.repartition("hash").mapInArrow(twice_seen, "hash bigint").distinct(), "suspects")
     n = suspects.count()
-    buckets = max(1, n * BITS // (1 << 20))
-    bucket_bytes = power_of_two(1.2 * n * BITS / buckets) // 8
-    if buckets * bucket_bytes <= most_bytes:
-        filters = spark.sparkContext.broadcast(second_filter(suspects, buckets, bucket_bytes))
-        lines = docs.mapInArrow(keyed_lines(least, filters), "doc_id bigint, hash bigint, key binary")
-    else:
-        lines = docs.mapInArrow(keyed_lines(least, None), "doc_id bigint, hash bigint, key binary").join(
-            suspects, "hash", "left_semi")
-    lines = written(lines.select("doc_id", "key"), "suspected-lines")
-    first = lines.groupBy("key").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last")
+    wanted = min(power_of_two(1.2 * n * BITS), 8 * most_bytes)
+    buckets = max(1, wanted >> 20)
+    bucket_bytes = power_of_two(wanted // buckets) // 8
+    filters = spark.sparkContext.broadcast(second_filter(suspects, buckets, bucket_bytes))
+    lines = written(docs.mapInArrow(suspected_lines(least, filters), "doc_id bigint, digest binary"), "suspected-lines")
+    first = lines.groupBy("digest").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last")
     # written, so that the join deals both sides itself and can split a key that a third of all documents hold
-    later = lines.join(written(first.drop("last"), "repeated-lines"), "key").where(F.col("doc_id") > F.col("first"))
-    short = later.select("doc_id", F.unhex(F.md5("key")).alias("digest"))
-    return short.groupBy("doc_id").agg(F.collect_set("digest").alias("drop"))
+    later = lines.join(written(first.drop("last"), "repeated-lines"), "digest").where(F.col("doc_id") > F.col("first"))
+    return later.groupBy("doc_id").agg(F.collect_set("digest").alias("drop"))
 
 
 def dedup_lines(docs: DataFrame, least: int = LEAST, most_bytes: int = MOST_BYTES) -> DataFrame:

@@ -115,7 +115,7 @@ def test_lines_odd_rows(spark):
     line = "This very line repeats."
     rows = [*ODD, (10, f"{line}\n{line.upper()} \nshort\n"), (11, f"x\n\t{line}\x0b"), (12, f"Überlanges\n{line}"), (13, "überlanges"), (None, line), (14, "üüüüüüüüü"), (15, "üüüüüüüüü")]
     df = frame(spark, rows).withColumn("drop", F.lit(1)).withColumn("key", F.lit("k"))
-    for most_bytes in (line_dedup.MOST_BYTES, 0):  # with the filter and, beyond its bound, with the join
+    for most_bytes in (line_dedup.MOST_BYTES, 16):  # and with a filter that is too small
         got = {}
         for r in line_dedup.dedup_lines(df, most_bytes=most_bytes).collect():
             got.setdefault(r.doc_id, []).append((r.n_lines, r.n_dropped, r.kept, r.key))
