@@ -11,13 +11,15 @@ from sheafwork.llm.queries import TOKENIZER, table
 
 
 def drop_low_quality(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
-    """Documents that the classifier rejects go; rows without doc_id stay."""
+    """Documents that the classifier rejects go; rows without doc_id stay. Rows that repeat a doc_id go if one of them is
+    rejected; an empty table stays empty."""
     found = quality_qda.score_documents(docs, table(spark, folder, "labels"))
     return docs.join(unbounded(found.where("predicted = 0").select("doc_id").distinct()), "doc_id", "left_anti").select(*docs.columns)
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
-    """Texts keep a repeated line in the smallest doc_id only; n_chars follows the text."""
+    """Texts keep a repeated line in the smallest doc_id only; n_chars follows the text. Rows that repeat a doc_id count as one
+    document, rows without doc_id keep all lines, and an empty table stays empty."""
     names = docs.columns
     docs = docs.toDF(*[f"own_{c}" if c in line_dedup.ADDED else c for c in names])  # columns of documents stay, whatever their names
     kept = line_dedup.dedup_lines(docs)
@@ -26,19 +28,26 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, folder: str) -> Da
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
-    """The smallest doc_id of each class of near copies stays; so do rows without doc_id."""
-    found = dart_minhash.near_duplicates(docs)
-    return docs.join(unbounded(found.where("doc_id <> class_id").select("doc_id")), "doc_id", "left_anti").select(*docs.columns)
+    """The smallest doc_id of each class of near copies stays; so do rows without doc_id.
+
+    Copies whose lines all went in the stage before are equal texts without words: one of each such text stays too. An empty
+    table stays empty, and rows that repeat a doc_id go or stay together.
+    """
+    found = dart_minhash.near_duplicates(docs).where("doc_id <> class_id").select("doc_id")
+    gone = found.unionByName(dart_minhash.wordless_copies(docs))
+    return docs.join(unbounded(gone), "doc_id", "left_anti").select(*docs.columns)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
-    """Documents that hold a window of a benchmark item go."""
+    """Documents that hold a window of a benchmark item go; rows without doc_id stay. Rows that repeat a doc_id go if one of them
+    holds it; an empty table stays empty."""
     found = winnow.decontaminate(docs, table(spark, folder, "benchmark"))
     return docs.join(unbounded(found.where("n_hit > 0").select("doc_id")), "doc_id", "left_anti").select(*docs.columns)
 
 
 def encode(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
-    """The kept documents with n_tokens, ids and decoded text."""
+    """The kept documents with n_tokens, ids and decoded text, row by row: null and empty texts have no tokens, repeated rows and
+    rows without doc_id are encoded like any other, and an empty table stays empty."""
     return bpe_automaton.encode_documents(docs, TOKENIZER)
 
 
