@@ -36,7 +36,8 @@ IMPLIED = {
 }
 #: An end tag does not reach beyond these, unless it names one.
 SCOPE = frozenset("td th caption table".split())
-HIDING = re.compile(r"display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse)", re.I)
+HIDING = re.compile(r"display\s*:\s*none", re.I)
+VISIBILITY = re.compile(r"visibility\s*:\s*(hidden|collapse|visible)", re.I)
 SPACES = re.compile(r"[ \t\n\r\f]+")
 #: Widest padding of a column; longer cells run over. Widest colspan. Deepest indent; deeper levels are set at it.
 WIDEST, MOST_SPAN, DEEPEST = 60, 1000, 20
@@ -63,13 +64,14 @@ class Row:
 
 
 class Element:
-    __slots__ = ("tag", "attrs", "items", "hidden", "pre", "count", "foreign", "mute")
+    __slots__ = ("tag", "attrs", "items", "hidden", "pre", "count", "foreign", "mute", "veiled")
 
     def __init__(self, tag: str, attrs: dict, hidden: bool, pre: bool):
         self.tag, self.attrs, self.hidden, self.pre = tag, attrs, hidden, pre
         self.items: list = []
         self.count = 0
         self.foreign = self.mute = False  # of svg or math; an svg element outside its text
+        self.veiled = False  # by visibility, which an element inside can set again
 
 
 def layout(items: list) -> list[str]:
@@ -165,11 +167,13 @@ class Renderer(HTMLParser):
     def push(self, tag: str, attrs: dict) -> None:
         top = self.stack[-1]
         hidden = (top.hidden or tag in UNSEEN or "hidden" in attrs or bool(HIDING.search(attrs.get("style") or "")) or
-                  (top.tag == "details" and "open" not in top.attrs and tag != "summary"))
+                  (top.tag == "details" and "open" not in top.attrs and tag != "summary") or (tag == "dialog" and "open" not in attrs))
         el = Element(tag, attrs, hidden, top.pre or tag in ("pre", "textarea"))
         inside = self.in_foreign()
         el.foreign = inside or tag in ("svg", "math")
         el.hidden |= inside and tag in UNDRAWN
+        seen = VISIBILITY.findall(attrs.get("style") or "")
+        el.veiled = seen[-1].lower() != "visible" if seen else top.veiled
         el.mute = tag == "svg" or (top.mute and not (inside and tag in ("text", "foreignobject")))
         self.stack.append(el)
         self.open[tag] = self.open.get(tag, 0) + 1
@@ -217,10 +221,11 @@ class Renderer(HTMLParser):
         if tag == "br":
             self.add(None)
         elif tag == "hr":
-            self.add(Box(["-" * 20], 0))
+            if not self.stack[-1].veiled:
+                self.add(Box(["-" * 20], 0))
         elif tag not in VOID:
             self.push(tag, own)
-            if tag == "optgroup" and own.get("label"):
+            if tag == "optgroup" and own.get("label") and not self.stack[-1].veiled:
                 self.add(Box([own["label"]], 0))
 
     def handle_startendtag(self, tag: str, attrs: list) -> None:
@@ -245,7 +250,7 @@ class Renderer(HTMLParser):
         if self.open.get("head") and self.stack[-1].tag == "head" and data.strip():
             self.close_within({"head"}, frozenset())
         top = self.stack[-1]
-        if not top.hidden and not top.mute and data:
+        if not top.hidden and not top.veiled and not top.mute and data:
             data = data.replace("\v", " ").replace("\0", "")
             if top.tag in ("table", "tr", *TABLE_PARTS, "ul", "ol") and not data.strip():
                 return

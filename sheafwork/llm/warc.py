@@ -27,14 +27,18 @@ from sheafwork.llm.common import pieces, shared_folder, unbounded
 from sheafwork.llm.token_records import file_system
 
 VERSION = "WARC/1.1"
-UNSEEN = re.compile(r"<!--.*?-->|<(script|style|template|noscript|title)\b[^>]*>.*?</\1\s*>|<head\b[^>]*>.*?</head\s*>|<![^>]*>", re.I | re.S)
+#: Starts of what leaves no text: comments, declarations, and elements with all they hold.
+UNSEEN = re.compile(r"<(?:!|(script|style|template|noscript|title|head)\b)", re.I)
+ENDS = {name: re.compile(rf"</{name}\s*>", re.I) for name in ("script", "style", "template", "noscript", "title", "head")}
 BREAKS = re.compile(r"<(?:br|/?(?:p|div|h[1-6]|li|ul|ol|tr|table|section|article|header|footer|nav|aside|main|pre|blockquote|dl|dt|dd"
                     r"|form|figure|hr|title|body|html))\b[^>]*>", re.I)
 CELLS = re.compile(r"</t[dh]\s*>", re.I)
 TAGS = re.compile(r"</?[a-zA-Z][^>]*>")
 BLANKS = re.compile(r"[ \t\f\r]+")
-TITLE = re.compile(r"<title\b[^>]*>(.*?)</title\s*>", re.I | re.S)
-LINKS = re.compile(r"""<(a|area|link|img|script|iframe)\b[^>]*?\s(?:href|src)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>"']+))""", re.I)
+TITLE = re.compile(r"<title\b[^>]*>", re.I)
+LINKS = re.compile(r"<(a|area|link|img|script|iframe)\b[^>]*>", re.I)
+ADDRESS = re.compile(r"\s(?:href|src)\s*=\s*", re.I)
+VALUE = re.compile(r"""(?:"([^"]*)"|'([^']*)'|([^\s>"']+))""")
 CHARSET = re.compile(r"charset\s*=\s*[\"']?([\w.:-]+)", re.I)
 
 
@@ -124,14 +128,80 @@ def decoded(headers: list[tuple[str, str]], body: bytes) -> str:
         return body.decode("utf-8", "replace")
 
 
+def whole_tags(page: str) -> int:
+    """Where the last tag ends: a start behind it is never closed, and no pattern need look for its end."""
+    return page.rfind(">") + 1
+
+
+def seen(page: str) -> list[str]:
+    """The parts of a page between what leaves no text, from one pass from left to right: that no end of a kind follows is
+    found once."""
+    out, at, look = [], 0, 0
+    missing: set[str] = set()
+
+    def end_of(kind: str, start: int, find) -> int:
+        if kind in missing:
+            return -1
+        stop = find(start)
+        if stop < 0:
+            missing.add(kind)
+        return stop
+
+    def element_end(name: str, start: int) -> int:
+        found = ENDS[name].search(page, start)
+        return found.end() if found else -1
+
+    while found := UNSEEN.search(page, look):
+        start, look = found.start(), found.end()
+        stop = -1
+        if found[1] is None:
+            if page.startswith("--", look):
+                stop = end_of("comment", look + 2, lambda i: page.find("-->", i))
+                stop += 3 if stop >= 0 else 0
+            if stop < 0:
+                stop = end_of("tag", look, lambda i: page.find(">", i)) + 1 or -1
+        else:
+            name = found[1].lower()
+            open_end = end_of("tag", look, lambda i: page.find(">", i))
+            if open_end >= 0:
+                stop = end_of(name, open_end + 1, lambda i: element_end(name, i))
+        if stop >= 0:
+            out.append(page[at:start])
+            at = look = stop
+    return [*out, page[at:]]
+
+
 def plain(page: str) -> str:
-    """Text of a page: a line for each block, blanks joined, empty lines left out."""
-    page = UNSEEN.sub("\n", page)
-    page = BREAKS.sub("\n", CELLS.sub("\t", page.replace("\n", " ")))
-    page = BLANKS.sub(" ", html.unescape(TAGS.sub("", page)))
+    """Text of a page: a line for each block, blanks joined, empty lines left out. Takes time in line with its length, whatever
+    is left unclosed."""
+    page = "\n".join(seen(page)).replace("\n", " ")
+    for tags, text in ((CELLS, "\t"), (BREAKS, "\n"), (TAGS, "")):
+        last = whole_tags(page)
+        page = tags.sub(text, page[:last]) + page[last:]
+    page = BLANKS.sub(" ", html.unescape(page))
     return "\n".join([x for line in page.split("\n") if (x := line.strip())])
 
 
+def links(page: str) -> list[tuple[str, str]]:
+    """Tag and address of each link: the first address of a tag that has a value."""
+    out, at, last = [], 0, whole_tags(page)
+    while found := LINKS.search(page, at, last):
+        at = found.end()
+        for name in ADDRESS.finditer(page, found.start(), found.end()):
+            value = VALUE.match(page, name.end())
+            if value:
+                out.append((found[1].lower(), html.unescape(value[1] or value[2] or value[3] or "").strip()))
+                at = max(at, value.end())
+                break
+    return out
+
+
+def title_of(page: str) -> str | None:
+    start = TITLE.search(page, 0, whole_tags(page))
+    stop = ENDS["title"].search(page, start.end()) if start else None
+    return " ".join(html.unescape(page[start.end():stop.start()]).split()) if stop else None
+
+
 def derived(record: bytes | None) -> tuple[str, bytes, bytes] | None:
     """Response id, metadata record and conversion record; None for what is no response record."""
     whole = parse(record)
@@ -144,14 +214,12 @@ def derived(record: bytes | None) -> tuple[str, bytes, bytes] | None:
     origin = source["warc-record-id"]
     kept = [(name, source[name.lower()]) for name in ("WARC-Target-URI", "WARC-Date") if name.lower() in source]
     meta_id, text_id = record_id(origin, "metadata"), record_id(origin, "conversion")
-    title = TITLE.search(page)
     envelope = {
         "warc-headers": source, "http": {"status": status, "headers": headers},
         "payload-length": len(body), "payload-digest": digest(body), "block-digest": digest(block),
         "source-payload-digest": source.get("warc-payload-digest"), "source-block-digest": source.get("warc-block-digest"),
         "conversion": text_id, "conversion-digest": digest(text),
-        "title": " ".join(html.unescape(title[1]).split()) if title else None,
-        "links": [{"tag": m[1].lower(), "url": html.unescape(m[2] or m[3] or m[4] or "").strip()} for m in LINKS.finditer(page)],
+        "title": title_of(page), "links": [{"tag": tag, "url": url} for tag, url in links(page)],
     }
     info = json.dumps(envelope, ensure_ascii=False, separators=(",", ":")).encode("utf-8", "surrogatepass")
     metadata = build([("WARC-Type", "metadata"), ("WARC-Record-ID", meta_id), ("WARC-Refers-To", origin), *kept,

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import gzip
+import random
+import time
 import zlib
 
 import numpy as np
@@ -109,6 +111,59 @@ def test_records_empty_table(spark, tmp_path):
     assert token_records.read_records(spark, str(tmp_path / "r")).collect() == []
 
 
+HOSTILE = ["<!--", "<script>", "<p ", "<a ", "<a href='", "<title ", "<head", "</td ", "<!", "<style><script>", "<td><b>", "<li>", "&#"]
+
+
+@pytest.mark.parametrize("end", ["", ">"])
+@pytest.mark.parametrize("piece", HOSTILE)
+def test_unclosed_tags_take_their_length(piece, end):
+    page = piece * (300_000 // len(piece)) + end
+    start = time.perf_counter()
+    warc.plain(page), warc.links(page), warc.title_of(page)
+    assert time.perf_counter() - start < 10
+
+
+def test_page_text_against_a_plain_reading():
+    """Pieces of known text between tags that end a line, a cell, or nothing."""
+    rnd = random.Random(9)
+    for _ in range(300):
+        page, want, line = [], [], ""
+        for i in range(rnd.randint(1, 12)):
+            kind = rnd.choice(("text", "inline", "block", "cell", "unseen", "entity"))
+            if kind == "text":
+                page.append(f"w{i} ")
+                line += f"w{i} "
+            elif kind == "inline":
+                page.append(f"<b x='{i}'>")
+            elif kind == "entity":
+                page.append("&lt;&#233;")
+                line += "<é"
+            elif kind == "cell":
+                page.append("</td>")
+                line += " "
+            elif kind == "unseen":
+                page.append(rnd.choice(("<!-- <p> -->", "<script>x<p></script>", "<!doctype x>")))
+                line += " "
+            else:
+                page.append(rnd.choice(("<p>", "</div>", "<br/>")))
+                want.append(line)
+                line = ""
+        lines = [" ".join(x.split(" ")).strip() for x in [*want, line]]
+        assert warc.plain("".join(page)) == "\n".join(" ".join(x.split()) for x in lines if x.strip())
+
+
+def test_links_and_titles():
+    page = """<title>A &amp; b </title><A x href="u v">t</a><img src=z alt='q'><a href=''>e</a><area href='a>b'><link href=><title>no</title>"""
+    assert warc.title_of(page) == "A & b"
+    assert warc.links(page) == [("a", "u v"), ("img", "z"), ("a", ""), ("area", "a>b")]
+
+
+def test_hidden_and_shown_again():
+    assert html_layout.render("<p>a</p><dialog>closed</dialog><dialog open>asks</dialog>").split() == ["a", "asks"]
+    page = "<div style='visibility:hidden'>no<p style='visibility: visible'>yes</p><hr>no</div><p style='display:none'>no<b style='visibility:visible'>no</b></p>"
+    assert html_layout.render(page).split() == ["yes"]
+
+
 # op3
 
 def test_lines_odd_rows(spark):
