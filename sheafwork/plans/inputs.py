@@ -53,6 +53,13 @@ SELECT concat(source, '/doc_', CAST(doc_id AS STRING), '.txt') AS source_file, t
 
 CORPUS = f"{DOC_TEXTS} UNION ALL {NOTES}"
 
+
+def corpus(t):
+    """All documents and notes. Notes are many times longer than the keys they are made of, so the keys are dealt out first."""
+    tasks = int(t.spark.conf.get("spark.sql.shuffle.partitions"))
+    keys = t.orders.select("o_orderkey").repartition(tasks)
+    return t.sql(DOC_TEXTS).unionByName(t.spark.sql(NOTES, orders=keys))
+
 # A listing of files: suffix and name word by key.
 LISTING = """
 SELECT concat(source, '/', CASE doc_id % 9 WHEN 0 THEN 'Invoice' WHEN 1 THEN 'audit_report' WHEN 2 THEN 'calendar'

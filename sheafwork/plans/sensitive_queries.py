@@ -138,7 +138,7 @@ FAMILY_SQL = {
 
 
 def _detect(family: str):
-    return lambda t: S.detect_family(t.sql(I.CORPUS), family)
+    return lambda t: S.detect_family(I.corpus(t), family)
 
 
 for _name, _op in (("mrz", "P2"), ("iban", "P3"), ("card", "P4"), ("aadhaar", "P5"), ("cpf", "P6"), ("sin", "P7"),
@@ -150,7 +150,7 @@ for _name, _op in (("mrz", "P2"), ("iban", "P3"), ("card", "P4"), ("aadhaar", "P
 
 @query("P10", f"SELECT * FROM ({FAMILY_SQL['ssn']}) UNION ALL SELECT * FROM ({FAMILY_SQL['emirates']})")
 def detect_shapes(t):
-    corpus = t.sql(I.CORPUS)
+    corpus = I.corpus(t)
     return S.detect_family(corpus, "ssn").unionByName(S.detect_family(corpus, "emirates"))
 
 
@@ -169,20 +169,15 @@ _CONTACT = " UNION ALL ".join((
 
 @query("P11", _CONTACT)
 def detect_contact(t):
-    return S.detect_contact(t.sql(I.CORPUS))
+    return S.detect_contact(I.corpus(t))
 
 
 _ALL = " UNION ALL ".join(f"SELECT * FROM ({sql})" for sql in FAMILY_SQL.values())
 
 
-@query("P12", f"""
-SELECT category, severity, location, detection_method, value_redacted, count(*) AS findings,
-  count(DISTINCT source_file) AS files FROM ({_ALL}) GROUP BY ALL
-""")
+@query("P12", _ALL)
 def detect_pii(t):
-    found = S.detect_pii(t.sql(I.CORPUS))
-    return found.groupBy("category", "severity", "location", "detection_method", "value_redacted").agg(
-        F.count("*").alias("findings"), F.count_distinct("source_file").alias("files"))
+    return S.detect_pii(I.corpus(t))
 
 
 @query("P1", f"SELECT c_custkey, {_redact_sql('trim(substr(c_name, CAST(c_custkey % 19 + 1 AS BIGINT)))')} AS redacted FROM {{customer}}")
