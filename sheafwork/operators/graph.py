@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sheafwork.operators.dictionary import names_in
+from sheafwork.session import shared_checkpoint
 
 # Coarse relation classes.
 KINSHIP = ("MOTHER_OF", "FATHER_OF", "PARENT_OF", "CHILD_OF", "SPOUSE_OF", "SIBLING_OF", "GUARDIAN_OF")
@@ -47,6 +48,7 @@ def upsert_relations(edges: DataFrame | None, new: DataFrame, nodes: DataFrame)
     Repeats are dropped before the node joins; existing edges always win.
     """
     first = first_rows(new, ["job_id", "source_entity", "target_entity", "relation_type"])
+    nodes = shared_checkpoint(nodes.select("job_id", "name", "type"))  # joined twice
     s = nodes.select("job_id", F.col("name").alias("source_entity"), F.col("type").alias("source_type"))
     t = nodes.select("job_id", F.col("name").alias("target_entity"), F.col("type").alias("target_type"))
     fresh = first.join(s, ["job_id", "source_entity"]).join(t, ["job_id", "target_entity"]).select(
@@ -101,11 +103,13 @@ def entities_in_text(questions: DataFrame, nodes: DataFrame) -> DataFrame:
 def facts_for(seeds: DataFrame, edges: DataFrame) -> DataFrame:
     """Outgoing and incoming relations of each seed (entity, type; with job_id, of its job), one row per relation."""
     job = ["job_id"] if "job_id" in seeds.columns else []
-    out = edges.select(*job, F.col("source").alias("entity"), F.col("source_type").alias("type"),
-                       F.col("type").alias("rel_type"), F.col("target").alias("other"), F.lit("out").alias("direction"))
-    inn = edges.select(*job, F.col("target").alias("entity"), F.col("target_type").alias("type"),
-                       F.col("type").alias("rel_type"), F.col("source").alias("other"), F.lit("in").alias("direction"))
-    return seeds.join(out.unionByName(inn), [*job, "entity", "type"], "left")
+
+    def end(name: str, kind: str, other: str, direction: str) -> Column:
+        return F.struct(F.col(name).alias("entity"), F.col(kind).alias("type"), F.col("type").alias("rel_type"),
+                        F.col(other).alias("other"), F.lit(direction).alias("direction"))
+
+    ends = F.inline(F.array(end("source", "source_type", "target", "out"), end("target", "target_type", "source", "in")))
+    return seeds.join(edges.select(*job, ends), [*job, "entity", "type"], "left")
 
 
 def expand_from_chunks(links: DataFrame, edges: DataFrame, chunk_ids: DataFrame, limit: int | None = None) -> DataFrame:
@@ -123,12 +127,11 @@ def expand_from_names(nodes: DataFrame, edges: DataFrame, names: DataFrame, limi
 
 def relation_degree(edges: DataFrame) -> DataFrame:
     """Edges touching each node, a loop counted once."""
-    keys = ["job_id", "source", "source_type", "target", "target_type", "type"]
-    a = edges.select("job_id", F.col("source").alias("name"), F.col("source_type").alias("node_type"), F.struct(*keys).alias("e"))
-    b = edges.select("job_id", F.col("target").alias("name"), F.col("target_type").alias("node_type"), F.struct(*keys).alias("e"))
-    loop = (F.col("e.source") == F.col("e.target")) & (F.col("e.source_type") == F.col("e.target_type"))
-    return a.unionByName(b.filter(~loop)).groupBy("job_id", "name", F.col("node_type").alias("type")).agg(
-        F.count("*").alias("degree"))
+    loop = (F.col("source") == F.col("target")) & (F.col("source_type") == F.col("target_type"))
+    first = F.struct(F.col("source").alias("name"), F.col("source_type").alias("type"))
+    second = F.struct(F.col("target").alias("name"), F.col("target_type").alias("type"))
+    ends = edges.select("job_id", F.inline(F.when(loop, F.array(first)).otherwise(F.array(first, second))))
+    return ends.groupBy("job_id", "name", "type").agg(F.count("*").alias("degree"))
 
 
 def dominant_person(nodes: DataFrame, edges: DataFrame, links: DataFrame) -> DataFrame:
@@ -215,7 +218,7 @@ def edge_category(col):
 
 def node_degree(edges: DataFrame) -> DataFrame:
     """Endpoint count and drawing radius per name. edges: source, target."""
-    ends = edges.select(F.col("source").alias("name")).unionByName(edges.select(F.col("target").alias("name")))
+    ends = edges.select(F.explode(F.array("source", "target")).alias("name"))
     degree = ends.groupBy("name").agg(F.count("*").alias("degree"))
     top = degree.agg(F.greatest(F.max("degree"), F.lit(1))).scalar()
     return degree.withColumn("radius", 5 + F.sqrt(F.col("degree") / top) * 15)

@@ -52,7 +52,7 @@ LEFT JOIN e USING (source_file) LEFT JOIN r USING (source_file) LEFT JOIN p USIN
 """)
 def file_digest(t):
     ent = entities(t).withColumn("ordinal", F.struct("ordinal", "name"))
-    out = P.file_digest(t.sql(I.FILES), ent, t.sql(I.RELATIONS), t.sql(I.PII), t.sql(I.FACTS))
+    out = P.file_digest(t.sql(I.FILES), ent, t.sql(I.RELATIONS), t.sql(I.PII), t.sql(I.FACTS), 10, 8)
     return out
 
 
@@ -161,7 +161,7 @@ SELECT source_file, category, category IN ('pdf', 'image') AS has_preview, coale
   substr(text, 1, 280) AS text_excerpt FROM ({I.FILES}) LEFT JOIN n USING (source_file) LEFT JOIN p USING (source_file) LEFT JOIN ({_DOC_CHUNKS}) USING (source_file)
 """)
 def document_cards(t):
-    return P.document_cards(t.sql(I.FILES), entities(t), t.sql(I.PII), t.sql(_DOC_CHUNKS))
+    return P.document_cards(t.sql(I.FILES), entities(t), t.sql(I.PII), t.sql(_DOC_CHUNKS), 12, 280)
 
 
 _JOB = "concat('job', CAST(year(o_orderdate) AS STRING))"
@@ -204,7 +204,7 @@ FROM ({_JOBS}) JOIN c USING (job_id) JOIN r USING (job_id) JOIN p USING (job_id)
 """)
 def synthesize(t):
     ent = R.dedup_entities(entities(t), ["job_id"]).withColumn("ordinal", F.struct("ordinal", "name"))
-    return P.synthesize(t.sql(_JOBS).select("job_id"), t.sql(_GIVEN), ent, t.sql(I.RELATIONS), t.sql(I.PII))
+    return P.synthesize(t.sql(_JOBS).select("job_id"), t.sql(_GIVEN), ent, t.sql(I.RELATIONS), t.sql(I.PII), 15)
 
 
 @query("K2", f"""SELECT severity, category, value_redacted, source_file, location FROM ({I.PII})""")

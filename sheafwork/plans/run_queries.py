@@ -52,7 +52,7 @@ SELECT *, CAST(sum(file_count) OVER w AS BIGINT) AS running_file_count, CAST(sum
 """)
 def batch_summary(t):
     batched = J.make_batches(J.rank_files(scored(t)))
-    return J.batch_summary(batched, t.sql(_RESULTS))
+    return J.batch_summary(batched, t.sql(_RESULTS), 5)
 
 
 # Jobs are years, files are orders; an order's lines are its finished stages.
