@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from sheafwork.operators import graph as G
 from sheafwork.sinks import exports
-from sheafwork.sinks.stores import JobTables, Library, page
+from sheafwork.sinks.stores import JobTables, Library, claim, page
 from sheafwork.sources import containers, files, markup, records
 from sheafwork.streaming import ingest
 
@@ -302,11 +302,11 @@ def test_stored_values_that_do_not_fit(spark):
 def test_names_are_claimed_by_one_writer(spark):
     from concurrent.futures import ThreadPoolExecutor
 
-    df = spark.createDataFrame([("1",)], "a string")
-    lib = Library(spark, "lib_claims")
+    fields = spark.createDataFrame([("1",)], "a string").schema
+    spark.sql("CREATE SCHEMA IF NOT EXISTS lib_claims")
     with ThreadPoolExecutor(4) as pool:
-        ids = list(pool.map(lambda i: lib.save("j", "same.csv", df), range(4)))
-    assert len(set(ids)) == 4 and {r.table_name for r in lib.list().collect()} == {"same", "same_2", "same_3", "same_4"}
+        names = list(pool.map(lambda i: claim(spark, "lib_claims", "same.csv", None, "dataset", fields), range(6)))
+    assert sorted(names) == ["same", "same_2", "same_3", "same_4", "same_5", "same_6"]
 
 
 def test_library_round_trip(spark, tmp_path):
