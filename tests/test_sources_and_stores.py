@@ -407,3 +407,27 @@ def test_ingest_failures_come_through(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(ingest, "merge_batch", fails_late)
     with pytest.raises(Exception, match="disk full"):
         ingest.ingest_stream(spark, str(src), str(tmp_path / "out"), str(tmp_path / "check"), files_per_batch=2, max_batches=2)
+
+
+def test_file_queries_whatever_the_scan(spark, tmp_path, monkeypatch):
+    """Events in several files, arrays of few events; and headers that come behind the customer of their number."""
+    import compare
+    import os
+
+    from sheafwork.plans import QUERIES, store_queries
+    from sheafwork.plans.registry import Tables
+
+    for f in os.listdir("/root/testdata/sf0.001"):
+        if f != "events.parquet":
+            os.symlink(f"/root/testdata/sf0.001/{f}", tmp_path / f)
+    spark.read.parquet("/root/testdata/sf0.001/events.parquet").repartition(3).write.parquet(str(tmp_path / "events.parquet"))
+    monkeypatch.setattr(store_queries, "EVENTS_AN_ARRAY", 300, raising=False)
+    header, rows = store_queries._LINES.split("UNION ALL ")
+    monkeypatch.setattr(store_queries, "_LINES", f"SELECT * FROM (SELECT {rows.strip()[7:]}) AS x(file, line, value) UNION ALL {header}")
+    con = compare.duck_tables("/root/testdata/sf0.001")
+    for name in ("json_file_records", "delimited_rows"):
+        df = QUERIES[name].run(Tables(spark, str(tmp_path)))
+        got = [tuple(r) for r in df.collect()]
+        cur = con.execute(QUERIES[name].oracle)
+        columns, want = [d[0] for d in cur.description], cur.fetchall()
+        assert compare.rows_of(df.columns, got) == compare.rows_of(columns, want), name
