@@ -4,10 +4,12 @@ from __future__ import annotations
 
 import json
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -168,9 +170,57 @@ def flatten_json(df: DataFrame, raw: str = "raw", depth: int | None = None, list
     return df.where(F.col(raw).isNotNull()).select(*names, raw).mapInArrow(run, schema)
 
 
+def path_counter(order: str) -> Callable:
+    """Partial counts of a task: path, n and the place of the first row of each path."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: dict[str, tuple[int, object, tuple]] = {}
+
+        def out(names: list[str]) -> pa.RecordBatch:
+            kept = seen.values()
+            return pa.RecordBatch.from_arrays([
+                pa.array(seen, pa.string()), pa.array([v[0] for v in kept], pa.int64()),
+                pa.array([v[1] for v in kept], place_type), pa.array([v[2] for v in kept], pa.list_(pa.int32()))], names=names)
+
+        place_type = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            places, ords, place_type = batch.column(order), batch.column("ord"), batch.column(order).type
+            paths = batch.column("path").dictionary_encode()
+            code = paths.indices.to_numpy()
+            rank = pc.rank(places, tiebreaker="dense", null_placement="at_start").to_numpy().astype(np.int64)
+            least = np.full(len(paths.dictionary), np.iinfo(np.int64).max)
+            np.minimum.at(least, code, rank)
+            counts = np.bincount(code, minlength=len(least)).tolist()
+            first: dict[int, tuple] = {}
+            for i in np.flatnonzero(rank == least[code]).tolist():
+                place = tuple(ords[i].as_py())
+                if code[i] not in first or place < first[code[i]][1]:
+                    first[code[i]] = i, place
+            for c, path in enumerate(paths.dictionary.to_pylist()):
+                i, place = first[c]
+                mine, known = (counts[c], places[i].as_py(), place), seen.get(path)
+                if known is not None:
+                    low = min(known, mine, key=lambda v: (v[1] is not None, v[1], v[2]))  # nulls first
+                    mine = (known[0] + counts[c], *low[1:])
+                seen[path] = mine
+            if len(seen) > 1 << 17:
+                yield out(["path", "n", order, "ord"])
+                seen.clear()
+        if seen:
+            yield out(["path", "n", order, "ord"])
+
+    return run
+
+
 def key_frequency(flat: DataFrame, n: int | None = None, order: str = "record_no") -> DataFrame:
-    """Records per path, most frequent first, first seen first among equals; all paths, or the first ``n``."""
-    per = flat.groupBy("path").agg(F.count("*").alias("records"), F.min(F.struct(order, "ord")).alias("seen"))
+    """Records per path, most frequent first, first seen first among equals; all paths, or the first ``n``.
+
+    Rows are counted within their tasks, so that no task sorts them: only the counts are shuffled.
+    """
+    kind = flat.schema[order].dataType.simpleString()
+    parts = flat.select("path", order, "ord").mapInArrow(path_counter(order), f"path string, n bigint, `{order}` {kind}, ord array<int>")
+    per = parts.groupBy("path").agg(F.sum("n").alias("records"), F.min(F.struct(order, "ord")).alias("seen"))
     ranked = per.orderBy(F.desc("records"), "seen")
     return (ranked if n is None else ranked.limit(n)).select("path", "records")
 

@@ -431,3 +431,18 @@ def test_file_queries_whatever_the_scan(spark, tmp_path, monkeypatch):
         cur = con.execute(QUERIES[name].oracle)
         columns, want = [d[0] for d in cur.description], cur.fetchall()
         assert compare.rows_of(df.columns, got) == compare.rows_of(columns, want), name
+
+
+def test_paths_are_counted_within_tasks(spark):
+    """The tie of a path goes by its first row, and no task sorts the flattened rows."""
+    rows = [(i % 7 or None, json.dumps({k: 1 for k in random.Random(i).sample("abcdef", 4)} | {"a.b": 1, "a": {"b": 2}})) for i in range(500)]
+    flat = records.flatten_json(spark.createDataFrame(rows, "record_no bigint, raw string").repartition(5))
+    want = {}
+    for r in flat.collect():
+        n, first = want.get(r.path, (0, None))
+        place = (r.record_no is not None, r.record_no, r.ord)
+        want[r.path] = n + 1, place if first is None else min(first, place)
+    found = records.key_frequency(flat)
+    order = sorted(want.items(), key=lambda x: (-x[1][0], *x[1][1]))
+    assert [(r.path, r.records) for r in found.collect()] == [(p, n) for p, (n, _) in order]
+    assert found._jdf.queryExecution().sparkPlan().toString().count("MapInArrow") == 2
