@@ -446,3 +446,18 @@ def test_paths_are_counted_within_tasks(spark):
     order = sorted(want.items(), key=lambda x: (-x[1][0], *x[1][1]))
     assert [(r.path, r.records) for r in found.collect()] == [(p, n) for p, (n, _) in order]
     assert found._jdf.queryExecution().sparkPlan().toString().count("MapInArrow") == 2
+
+
+def test_result_batches_are_written_by_many_tasks(spark, tmp_path):
+    from sheafwork.plans import store_queries
+    from sheafwork.plans.registry import Tables
+
+    t = Tables(spark, "/root/testdata/sf0.001")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        files = store_queries.result_batches(t, str(tmp_path / "in"))
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    assert [len(list((tmp_path / "in" / f"part={p}").glob("*.json"))) for p in range(5)] == [files] * 5 and files > 1
+    rows = spark.read.json(str(tmp_path / "in"))
+    assert rows.count() == t.sql(store_queries.I.ENTITIES).count() + t.sql(store_queries.I.RELATIONS).count()
