@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -15,8 +15,12 @@ from pyspark.sql import types as T
 from sheafwork.sources.records import is_valid_json
 
 
+#: Segments whose texts and answers a task holds as Python objects.
+AT_ONCE = 256
+
+
 def run_extractor(segments: DataFrame, agent: str, fn: Callable[[str], str]) -> DataFrame:
-    """Call a user function once per segment; an exception becomes a failed row."""
+    """Call a user function once per segment; an exception becomes a failed row. A task holds the texts of few segments at once."""
     schema = T.StructType(segments.schema.fields + [
         T.StructField("agent", T.StringType()), T.StructField("response", T.StringType()),
         T.StructField("error", T.StringType())])
@@ -27,12 +31,15 @@ def run_extractor(segments: DataFrame, agent: str, fn: Callable[[str], str]) ->
         except Exception as exc:  # noqa: BLE001 - reported as data
             return None, f"{type(exc).__name__}: {exc}"
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            answers = [call(t) for t in pdf["segment"]]
-            yield pdf.assign(agent=agent, response=[a for a, _ in answers], error=[e for _, e in answers])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, AT_ONCE):
+                few = batch.slice(at, AT_ONCE)
+                answers = [call(t) for t in few.column("segment").to_pylist()]
+                added = [[agent] * len(answers), [a for a, _ in answers], [e for _, e in answers]]
+                yield pa.RecordBatch.from_arrays([*few.columns, *[pa.array(v, pa.string()) for v in added]], names=schema.names)
 
-    return segments.mapInPandas(run, schema)
+    return segments.mapInArrow(run, schema)
 
 
 def salvage_json(df: DataFrame, column: str = "response") -> DataFrame:

@@ -193,3 +193,18 @@ def test_dedupe_is_independent_of_partitions(spark):
     df = spark.createDataFrame(rows, "source_file string, name string, type string, mentions array<string>, confidence double, ordinal int")
     a, b = (sorted(map(str, R.dedup_entities(d, ["source_file"]).collect())) for d in (df.coalesce(1), df.repartition(11)))
     assert a == b and len(a) == 4
+
+
+def test_extractor_holds_few_segments_at_once(spark):
+    """Batches go through in slices: all segments answered once, failures and nulls by themselves."""
+    rows = [(i, None if i == 700 else f"text {i}") for i in range(1000)]
+
+    def fn(text: str) -> str:
+        if text.endswith("9"):
+            raise ValueError(text)
+        return text.upper()
+
+    out = R.run_extractor(spark.createDataFrame(rows, "segment_no bigint, segment string").coalesce(1), "NER", fn)
+    got = {r.segment_no: (r.segment, r.agent, r.response, r.error is None) for r in out.collect()}
+    assert got == {i: (s, "NER", s.upper() if s and not s.endswith("9") else None, s is not None and not s.endswith("9")) for i, s in rows}
+    assert "MapInArrow" in out._jdf.queryExecution().sparkPlan().toString()
