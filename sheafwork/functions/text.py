@@ -68,9 +68,14 @@ def standardize_column(col: Column) -> Column:
     return let(mapped, lambda m: F.array_join(F.filter(m, lambda t, i: (i == 0) | (F.get(m, i - 1) != t)), "_"))
 
 
+#: A text as far as its 61st letter or digit: no later character can reach a name of 60.
+IDENT_HEAD = r"^[^0-9a-zA-Z]*+(?:[0-9a-zA-Z][^0-9a-zA-Z]*+){0,61}"
+
+
 def sanitize_ident(col: Column, fallback: Column) -> Column:
     """Name safe as an SQL identifier, at most 60 characters."""
-    s = F.regexp_replace(F.trim(F.coalesce(col, F.lit(""))), r"[^0-9a-zA-Z_]", "_")
+    head = F.regexp_extract(F.coalesce(col, F.lit("")), IDENT_HEAD, 0)
+    s = F.regexp_replace(F.trim(head), r"[^0-9a-zA-Z_]", "_")
     s = F.regexp_replace(s, r"_+", "_")
     s = F.regexp_replace(s, r"^_|_$", "")
     s = F.when(s == "", fallback).otherwise(s)

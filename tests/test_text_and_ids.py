@@ -1,6 +1,8 @@
 from __future__ import annotations
 
 import dataclasses
+import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -116,3 +118,22 @@ def test_embedding_function_is_pluggable(spark):
     assert sorted(r.embedding[0] for r in got) == [2.0, 3.0]
     unit = X.embed(df.union(df), dim=64).select(F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x * x).alias("n")).collect()
     assert all(abs(r.n - 1) < 1e-5 or r.n == 0 for r in unit)
+
+
+def test_identifiers_read_no_further_than_they_reach(spark):
+    """Names are as those of the whole text; the work on a long text ends at its 61st letter or digit."""
+    from sheafwork.functions.text import IDENT_HEAD
+
+    rng = random.Random(4)
+    texts = ["".join(rng.choice("aZ09__  -\n\té中😀") for _ in range(rng.randint(0, 200))) for _ in range(3000)]
+    texts += [None, "", "_" * 500 + "a" * 59 + "--b", "9" * 61 + "_", " " * 70, "a_" * 80, "é" * 300 + "x" * 60 + "é"]
+
+    def whole(text):
+        s = re.sub("^_|_$", "", re.sub("_+", "_", re.sub("[^0-9a-zA-Z_]", "_", (text or "").strip(" "))))
+        s = s or "col"
+        return ("_" + s if s[0].isdigit() else s)[:60]
+
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    rows = df.select("i", sanitize_ident(F.col("t"), F.lit("col")).alias("x"), F.length(F.regexp_extract(F.repeat(F.lit("ab "), 1000), IDENT_HEAD, 0)).alias("n")).collect()
+    assert [r.x for r in sorted(rows)] == [whole(t) for t in texts]
+    assert rows[0].n < 100
