@@ -461,3 +461,10 @@ def test_result_batches_are_written_by_many_tasks(spark, tmp_path):
     assert [len(list((tmp_path / "in" / f"part={p}").glob("*.json"))) for p in range(5)] == [files] * 5 and files > 1
     rows = spark.read.json(str(tmp_path / "in"))
     assert rows.count() == t.sql(store_queries.I.ENTITIES).count() + t.sql(store_queries.I.RELATIONS).count()
+
+
+def test_results_are_compressed(spark, tmp_path):
+    rows = spark.range(5000).selectExpr("id", "concat('order of the month ', id % 7) AS detail")
+    exports.write_results(str(tmp_path), "j1", {"pii": rows})
+    size = sum(f.stat().st_size for f in (tmp_path / "pii").rglob("part-*"))
+    assert size < 5000 * 10 and spark.read.json(str(tmp_path / "pii")).agg(F.sum("id")).first()[0] == 4999 * 2500
