@@ -7,7 +7,7 @@ string DataFrames; both forms are accepted where it matters.
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -60,13 +60,35 @@ def infer_types(cells: DataFrame) -> DataFrame:
         F.sum(F.when(live & C.looks_real(v), F.col("n")).otherwise(0)).alias("reals"),
         F.sum(F.when(live & C.looks_integer(v) & C.clean_numeric(v).try_cast("bigint").isNull(), 1).otherwise(0)).alias("wide"),
     )
-    kind = (
+    return sums.withColumn("storage_type", storage_type()).drop("wide")
+
+
+def storage_type() -> Column:
+    """INTEGER, REAL or TEXT by the counts of a column's values: filled, ints, reals, wide."""
+    return (
         F.when(F.col("filled") == 0, "TEXT")
         .when(F.col("ints") * 100 >= F.col("filled") * TYPE_THRESHOLD, F.when(F.col("wide") == 0, "INTEGER").otherwise("REAL"))
         .when(F.col("reals") * 100 >= F.col("filled") * TYPE_THRESHOLD, "REAL")
         .otherwise("TEXT")
     )
-    return sums.withColumn("storage_type", kind).drop("wide")
+
+
+def wide_types(df: DataFrame) -> list[Row]:
+    """infer_types() for a wide table: col_idx, filled, ints, reals, wide, lost (values that typing loses) and storage_type.
+
+    One pass with sums only: nothing is shuffled but a row a task, and no value is counted by itself.
+    """
+    sums = []
+    for i, c in enumerate(df.columns):
+        v = F.coalesce(F.col(f"`{c}`").cast("string"), F.lit(""))
+        live = ~C.is_null_sentinel(v)
+        tests = {"filled": live, "ints": live & C.looks_integer(v), "reals": live & C.looks_real(v),
+                 "wide": live & C.looks_integer(v) & C.clean_numeric(v).try_cast("bigint").isNull(),
+                 "int_lost": live & coerce(v, "INTEGER").isNull(), "real_lost": live & coerce(v, "REAL").isNull()}
+        sums.append(F.struct(F.lit(i).alias("col_idx"), *[F.count_if(t).alias(n) for n, t in tests.items()]))
+    lost = F.when(F.col("storage_type") == "INTEGER", F.col("int_lost")).when(F.col("storage_type") == "REAL", F.col("real_lost")).otherwise(0)
+    found = df.agg(F.array(*sums).alias("s")).select(F.inline("s")).withColumn("storage_type", storage_type())
+    return found.withColumn("lost", lost).drop("int_lost", "real_lost").orderBy("col_idx").collect()
 
 
 def coerce(col, kind: str):

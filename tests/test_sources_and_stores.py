@@ -468,3 +468,19 @@ def test_results_are_compressed(spark, tmp_path):
     exports.write_results(str(tmp_path), "j1", {"pii": rows})
     size = sum(f.stat().st_size for f in (tmp_path / "pii").rglob("part-*"))
     assert size < 5000 * 10 and spark.read.json(str(tmp_path / "pii")).agg(F.sum("id")).first()[0] == 4999 * 2500
+
+
+def test_tables_are_typed_in_one_pass(spark):
+    """Types and the number of lost values are those of the long form; no value is shuffled by itself."""
+    from sheafwork.operators import tabular
+    from sheafwork.sinks.stores import typed_copy
+
+    rows = [(str(i) if i % 20 else "five", "9" * 25 if i == 3 else str(i), "$ 1.5" if i % 3 else None, "x" if i % 2 else "7", "n/a") for i in range(200)]
+    df = spark.createDataFrame(rows, "a string, `b c` string, d string, e string, f string")
+    cells = tabular.unpivot_cells(df.withColumn("_row", F.monotonically_increasing_id()), "", "", "_row", df.columns)
+    kinds = tabular.infer_types(cells)
+    got = {r.col_idx: (r.filled, r.ints, r.reals, r.storage_type) for r in tabular.wide_types(df)}
+    assert got == {r.col_idx: (r.filled, r.ints, r.reals, r.storage_type) for r in kinds.collect()}
+    typed, listed, lost, n = typed_copy(df)
+    assert listed == [("a", "INTEGER"), ("b_c", "REAL"), ("d", "REAL"), ("e", "TEXT"), ("f", "TEXT")]
+    assert n == lost.count() == tabular.rejects(cells, kinds).count() == 10 and typed.count() == 200
