@@ -226,10 +226,49 @@ def key_frequency(flat: DataFrame, n: int | None = None, order: str = "record_no
 
 
 def records_to_table(flat: DataFrame, keys: list[str], n: int | None = None, order: str = "record_no") -> DataFrame:
-    """Paths as columns (all, or the ``n`` most frequent), missing values as empty text."""
+    """Paths as columns (all, or the ``n`` most frequent), missing values as empty text.
+
+    Neighbouring rows of a record become one row within their task, so that records are sorted and shuffled, not their values.
+    """
     headers = [r.path for r in key_frequency(flat, n, order).collect()]
-    value = lambda h: F.coalesce(F.max(F.when(F.col("path") == h, F.col("value"))), F.lit(""))
-    return flat.groupBy(*keys).agg(*[value(h).alias(h) for h in headers])
+    schema = T.StructType([*[flat.schema[k] for k in keys], *[T.StructField(f"_v{i}", T.StringType()) for i in range(len(headers))]])
+    rows = flat.select(*keys, "path", "value").mapInArrow(run_pivoter(keys, headers, schema.names), schema)
+    return rows.groupBy(*keys).agg(*[F.coalesce(F.max(f"_v{i}"), F.lit("")).alias(h) for i, h in enumerate(headers)])
+
+
+def run_pivoter(keys: list[str], headers: list[str], names: list[str]) -> Callable:
+    """One row for each run of rows with equal keys, its values under their paths; of a path that stands in a run again, one more."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            new = np.zeros(batch.num_rows, bool)
+            new[0] = True
+            for k in keys:
+                c = batch.column(k)
+                same = pc.equal(c[1:], c[:-1]).fill_null(False)
+                same = pc.or_(same, pc.and_(pc.is_null(c[1:]), pc.is_null(c[:-1])))
+                new[1:] |= ~same.to_numpy(zero_copy_only=False)
+            of, starts = np.cumsum(new) - 1, np.flatnonzero(new)
+            paths, values = batch.column("path").dictionary_encode(), batch.column("value")
+            place = {p: i for i, p in enumerate(paths.dictionary.to_pylist())}
+            code = paths.indices.fill_null(-1).to_numpy()
+            columns, more = [], []
+            for i, h in enumerate(headers):
+                at = np.flatnonzero(code == place.get(h, -2))
+                first = np.append(True, of[at][1:] != of[at][:-1])[:len(at)]
+                take = np.full(len(starts), -1)
+                take[of[at[first]]] = at[first]
+                columns.append(values.take(pa.array(take, pa.int64(), mask=take < 0)))
+                if not first.all():
+                    more.append((i, at[~first]))
+            yield pa.RecordBatch.from_arrays([*[batch.column(k).take(pa.array(starts)) for k in keys], *columns], names=names)
+            for i, at in more:
+                empty = pa.nulls(len(at), values.type)
+                yield pa.RecordBatch.from_arrays([*[batch.column(k).take(pa.array(at)) for k in keys], *[
+                    values.take(pa.array(at)) if i == j else empty for j in range(len(headers))]], names=names)
+
+    return run
 
 
 def duplicate_keys(df: DataFrame, raw: str = "raw") -> DataFrame:

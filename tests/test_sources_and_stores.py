@@ -484,3 +484,15 @@ def test_tables_are_typed_in_one_pass(spark):
     typed, listed, lost, n = typed_copy(df)
     assert listed == [("a", "INTEGER"), ("b_c", "REAL"), ("d", "REAL"), ("e", "TEXT"), ("f", "TEXT")]
     assert n == lost.count() == tabular.rejects(cells, kinds).count() == 10 and typed.count() == 200
+
+
+def test_values_of_a_record_meet_in_their_task(spark):
+    """Records in pieces, repeated paths, null keys and null values give the largest value of each path; a run is one row."""
+    import pyarrow as pa
+
+    rows = [(1, "a", "x"), (1, "b", "y"), (2, "a", "p"), (1, "a", "z"), (None, "b", "n"), (None, "a", None), (2, "a", "q"), (2, "a", "o"), (3, "c", "r")]
+    flat = spark.createDataFrame([(*r, [i]) for i, r in enumerate(rows)], "record_no long, path string, value string, ord array<int>").coalesce(1)
+    got = {r.record_no: (r.a, r.b, r.c) for r in records.records_to_table(flat, ["record_no"]).collect()}
+    assert got == {1: ("z", "y", ""), 2: ("q", "", ""), None: ("", "n", ""), 3: ("", "", "r")}
+    batch = pa.RecordBatch.from_pydict({"k": [7] * 50 + [8] * 50, "path": [f"p{i % 50}" for i in range(100)], "value": ["v"] * 100})
+    assert [b.num_rows for b in records.run_pivoter(["k"], ["p1", "p2"], ["k", "_v0", "_v1"])(iter([batch]))] == [2]
