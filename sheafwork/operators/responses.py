@@ -8,7 +8,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -42,24 +42,34 @@ def run_extractor(segments: DataFrame, agent: str, fn: Callable[[str], str]) ->
     return segments.mapInArrow(run, schema)
 
 
-def salvage_json(df: DataFrame, column: str = "response") -> DataFrame:
-    """Adds ``json`` (text that is one JSON object and nothing else, or null) and ``ok``."""
-    raw = F.trim(column)
+def salvaged(text: Column) -> Column:
+    """The text, or what stands between its outer braces, if that is one JSON object and nothing else; or null."""
+    raw = F.trim(text)
     inner = F.regexp_extract(raw, r"(?s)(\{.*\})", 1)
 
-    def usable(text):
+    def usable(text: Column) -> Column:
         return F.when(text.startswith("{") & is_valid_json(text), text)
 
-    found = F.coalesce(usable(raw), usable(inner))
+    return F.coalesce(usable(raw), F.when(inner != raw, usable(inner)))
+
+
+def salvage_json(df: DataFrame, column: str = "response") -> DataFrame:
+    """Adds ``json`` (text that is one JSON object and nothing else, or null) and ``ok``."""
+    found = salvaged(F.col(column))
     return df.withColumn("json", found).withColumn("ok", found.isNotNull())
 
 
 def _items(responses: DataFrame, agent: str, field: str, item: str) -> DataFrame:
-    """Objects of the list ``field``, each parsed by itself: one that is no object loses nothing but itself."""
-    parsed = salvage_json(responses.filter(F.col("agent") == agent)).filter("ok")
+    """Objects of the list ``field``, each parsed by itself: one that is no object loses nothing but itself.
+
+    The salvaged text and each parsed item are exploded from an array of one, so a filter on them does not parse again.
+    """
+    usable = F.array(salvaged(F.col("response")))
+    parsed = responses.filter(F.col("agent") == agent).select("source_file", "segment_no", F.explode(usable).alias("json")).filter("json is not null")
     texts = F.from_json("json", f"{field} array<string>")[field]
     each = parsed.select("source_file", "segment_no", F.posexplode(texts).alias("item_no", "t")).filter(F.col("t").startswith("{"))
-    return each.select("source_file", "segment_no", "item_no", "t", F.from_json("t", item.replace(":", " ").replace(",", ", ")).alias("x"))
+    x = F.from_json("t", item.replace(":", " ").replace(",", ", "))
+    return each.select("source_file", "segment_no", "item_no", "t", F.explode(F.array(x)).alias("x"))
 
 
 def parse_entities(responses: DataFrame) -> DataFrame:

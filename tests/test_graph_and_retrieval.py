@@ -223,3 +223,12 @@ def test_retrieve_keeps_jobs_apart(spark):
     said = {"a": (2, "Jane (ORG): Jane MOTHER_OF Jo; Jane OWNS Ink"), "b": (1, "Jane (ORG): Jane OWNS Bit")}
     assert got == {f"{j}.txt: text of {j}": (
         1, 1, n, f"Passages found:\n\n[{j}.txt p.3] (score=0.89)\ntext of {j}\n\n\nWhat the graph says:\n\n{told}") for j, (n, told) in said.items()}
+
+
+def test_items_are_parsed_once(spark):
+    rows = spark.createDataFrame([("f", "NER", 1, 'x {"entities": [{"name": "a", "confidence": "0.5"}, 7, {"name": "b", "mentions": "z"}]} y'), ("f", "NER", 2, "{")],
+                                 "source_file string, agent string, segment_no long, response string")
+    found = R.parse_entities(rows)
+    assert [(r.item_no, r.name, r.confidence) for r in found.collect()] == [(0, "a", 0.5)]
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("from_json") == 2
