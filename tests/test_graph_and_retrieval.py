@@ -232,3 +232,13 @@ def test_items_are_parsed_once(spark):
     assert [(r.item_no, r.name, r.confidence) for r in found.collect()] == [(0, "a", 0.5)]
     plan = found._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("from_json") == 2
+
+
+def test_relations_are_joined_to_nodes_without_a_sort(spark):
+    nodes = spark.createDataFrame([("j", n, "T") for n in "abc"], "job_id string, name string, type string")
+    new = spark.createDataFrame([("j", "a", "b", "R", "late", 0.5, "f", 2), ("j", "a", "b", "R", "early", 0.5, "f", 1), ("j", None, "b", "R", "e", 0.5, "f", 3)],
+                                "job_id string, source_entity string, target_entity string, relation_type string, evidence string, "
+                                "confidence double, source_file string, ordinal long")
+    edges = G.upsert_relations(None, new, nodes)
+    assert [(r.source, r.target, r.evidence) for r in edges.collect()] == [("a", "b", "early")]
+    assert "SortMergeJoin" not in edges._jdf.queryExecution().executedPlan().toString()
