@@ -14,6 +14,7 @@ from pyspark.sql import types as T
 from sheafwork.functions import cells as C
 from sheafwork.functions.text import file_stem, sanitize_ident
 from sheafwork.operators.ordering import row_number_within
+from sheafwork.session import shared_table
 
 TYPE_THRESHOLD = 90  # percent of non-null values
 SPARK_TYPE = {"INTEGER": "bigint", "REAL": "double", "TEXT": "string"}
@@ -47,18 +48,16 @@ def column_names(headers: DataFrame, keys: list[str]) -> DataFrame:
 def infer_types(cells: DataFrame) -> DataFrame:
     """INTEGER, REAL or TEXT per column when at least 90 % of non-null values parse; REAL if an integer is too wide.
 
-    Values are pre-counted per distinct value, so the patterns run once per distinct value and a hot
-    value costs one row after the map-side combine.
+    Sums only: each task sends one row a column, so neither values nor a hot column are shuffled.
     """
     keys = ["source_file", "table_id", "col_idx", "column"]
-    counted = cells.groupBy(*keys, "value").agg(F.count("*").alias("n"))
     v = F.col("value")
     live = ~C.is_null_sentinel(v)
-    sums = counted.groupBy(*keys).agg(
-        F.sum(F.when(live, F.col("n")).otherwise(0)).alias("filled"),
-        F.sum(F.when(live & C.looks_integer(v), F.col("n")).otherwise(0)).alias("ints"),
-        F.sum(F.when(live & C.looks_real(v), F.col("n")).otherwise(0)).alias("reals"),
-        F.sum(F.when(live & C.looks_integer(v) & C.clean_numeric(v).try_cast("bigint").isNull(), 1).otherwise(0)).alias("wide"),
+    sums = cells.groupBy(*keys).agg(
+        F.count_if(live).alias("filled"),
+        F.count_if(live & C.looks_integer(v)).alias("ints"),
+        F.count_if(live & C.looks_real(v)).alias("reals"),
+        F.count_if(live & C.looks_integer(v) & C.clean_numeric(v).try_cast("bigint").isNull()).alias("wide"),
     )
     return sums.withColumn("storage_type", storage_type()).drop("wide")
 
@@ -107,15 +106,16 @@ def type_table(df: DataFrame, kinds: dict[str, str]) -> DataFrame:
 
 
 def rejects(cells: DataFrame, types: DataFrame) -> DataFrame:
-    """Cells with a value whose typed value is NULL: whatever the cast loses is listed."""
+    """Cells with a value whose typed value is NULL: whatever the cast loses is listed.
+
+    The types are stored first, so that Spark knows their size and sends a small table to the cells; only cells of numeric
+    columns are tested, by their column's type alone.
+    """
     v = F.col("value")
-    bad = ((F.col("storage_type") == "INTEGER") & coerce(v, "INTEGER").isNull() |
-           (F.col("storage_type") == "REAL") & coerce(v, "REAL").isNull())
-    kinds = types.select("source_file", "table_id", "col_idx", "storage_type")
-    return (
-        cells.join(kinds, ["source_file", "table_id", "col_idx"])
-        .filter(~C.is_null_sentinel(v) & bad)
-    )
+    live = ~C.is_null_sentinel(v)
+    bad = F.when(F.col("storage_type") == "INTEGER", live & coerce(v, "INTEGER").isNull()).otherwise(live & coerce(v, "REAL").isNull())
+    kinds = types.filter(F.col("storage_type").isin("INTEGER", "REAL")).select("source_file", "table_id", "col_idx", "storage_type")
+    return cells.join(shared_table(kinds, "types"), ["source_file", "table_id", "col_idx"]).filter(bad)
 
 
 def usable(tables: DataFrame) -> DataFrame:

@@ -150,3 +150,15 @@ def test_results_do_not_depend_on_partitioning(spark):
     one = Q.column_stats(base.coalesce(1)).collect()
     many = Q.column_stats(base.repartition(13)).collect()
     assert one == many
+
+
+def test_typing_shuffles_no_values(spark):
+    rows = [("f", "t", 0, "n", i, str(i)) for i in range(20)] + [("f", "t", 0, "n", 20, "lost"), ("f", "t", 0, "n", 21, "n/a")]
+    rows += [("f", "t", 1, "w", i, "x") for i in range(20)]
+    cells = spark.createDataFrame(rows, "source_file string, table_id string, col_idx int, column string, row_id long, value string")
+    types = Y.infer_types(cells)
+    assert [(r.col_idx, r.storage_type) for r in types.orderBy("col_idx").collect()] == [(0, "INTEGER"), (1, "TEXT")]
+    assert types._jdf.queryExecution().sparkPlan().toString().count("Aggregate") == 2
+    lost = Y.rejects(cells, types)
+    assert [(r.col_idx, r.row_id, r.value, r.storage_type) for r in lost.collect()] == [(0, 20, "lost", "INTEGER")]
+    assert "SortMergeJoin" not in lost._jdf.queryExecution().sparkPlan().toString()
