@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from sheafwork.operators import graph as G
 from sheafwork.sinks import exports
 from sheafwork.sinks.stores import JobTables, Library, claim, page
-from sheafwork.sources import containers, files, markup, records
+from sheafwork.sources import containers, files, layout, markup, records
 from sheafwork.streaming import ingest
 
 
@@ -496,3 +496,16 @@ def test_values_of_a_record_meet_in_their_task(spark):
     assert got == {1: ("z", "y", ""), 2: ("q", "", ""), None: ("", "n", ""), 3: ("", "", "r")}
     batch = pa.RecordBatch.from_pydict({"k": [7] * 50 + [8] * 50, "path": [f"p{i % 50}" for i in range(100)], "value": ["v"] * 100})
     assert [b.num_rows for b in records.run_pivoter(["k"], ["p1", "p2"], ["k", "_v0", "_v1"])(iter([batch]))] == [2]
+
+
+def test_ocr_lines_shuffle_pieces_of_lines_not_words(spark):
+    rows = [(k, line, 10 * line + i, f"w{i}", 50) for k in ("a", "b") for line in range(500) for i in range(10)]
+    rows += [("c", 0, 2, "two", 40), ("c", 0, 1, " one word ", -1), ("c", 0, 1, "also", 20), ("c", 0, 3, "three", None), ("c", 0, 4, " ", 9)]
+    rows += [("d", None, 7, "x", None), (None, 1, None, "y", 30), (None, 1, 0, "z", 10)]
+    words = spark.createDataFrame(rows, "k string, line int, word_no int, word string, conf int").coalesce(1)
+    got = {(r.k, r.line): (r.text, r.confidence, r.kind) for r in layout.ocr_lines(words, ["k", "line"]).collect()}
+    assert len(got) == 1003 and got["a", 499] == (" ".join(f"w{i}" for i in range(10)), 0.5, "ocr")
+    assert got["c", 0] == ("also one word two three", 0.2, "ocr")
+    assert got["d", None] == ("x", None, "ocr") and got[None, 1] == ("y z", 0.2, "ocr")
+    assert len([b for b in layout._line_pieces(words.filter("k = 'a'").withColumn("conf", F.col("conf").cast("double"))
+                                               .toArrow().to_batches())][0]) == 500  # noqa: SLF001
