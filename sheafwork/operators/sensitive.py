@@ -24,15 +24,15 @@ def scan(df: DataFrame, families: dict[str, ids.Family], text: str = "text") ->
     base = df
     if "text" not in used or "mrz" in families:
         base = base.filter(F.col(text).rlike(r"\d\d"))
+    base = base.withColumn("_cut", F.expr(ids.cut(source["text"])))
     if "numeric" in used:
-        base = base.withColumn("_numeric", F.expr(ids.pieces(source["text"], ids.NEAR_DIGITS)))
+        base = base.withColumn("_numeric", F.expr(ids.pieces("_cut", ids.NEAR_DIGITS)))
     if "lettered" in used:
-        base = base.withColumn("_lettered", F.expr(ids.pieces(source["text"], ids.IBAN_START)))
+        base = base.withColumn("_lettered", F.expr(ids.pieces("_cut", ids.IBAN_START)))
     found = ", ".join(
-        f"transform({f.candidates.replace('{text}', source[f.source])}, x -> named_struct('k', '{name}', 'v', x))"
+        f"transform({f.candidates.replace('{text}', source[f.source])}, x -> named_struct('k', '{name}', 'v', x, {ids.halves(f.digits)}))"
         for name, f in families.items())
-    rows = base.select(*keep, F.expr(f"explode(concat({found}))").alias("c")).select(
-        *keep, "c.k", "c.v", F.lpad("c.v", ids.PAD, "0").alias("p"))
+    rows = base.select(*keep, F.expr(f"explode(concat({found}))").alias("c")).select(*keep, "c.k", "c.v", "c.hi", "c.lo")
     rules = " ".join(f"WHEN '{name}' THEN {f.check}" for name, f in families.items())
 
     def by_family(value) -> str:
