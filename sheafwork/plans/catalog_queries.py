@@ -13,6 +13,7 @@ from sheafwork.plans import inputs as I
 from sheafwork.functions import cells as cells_rules
 from sheafwork.plans.quality_queries import NUMBER, QUALITY, _in, guess_sql, percent
 from sheafwork.plans.registry import query
+from sheafwork.session import shared_checkpoint
 
 CELLS, TABLES = I.cells_sql(), I.tables_sql()
 _ALIAS = "MAP {{" + ", ".join(f"'{k}': '{v}'" for k, v in ALIASES.items()) + "}}"
@@ -257,5 +258,6 @@ def mapping_rows(t):
     from sheafwork.sinks.exports import mapping_rows as rows
 
     cells = I.cells(t)
-    cols = M.proposal_columns(cells, Q.column_quality(Q.column_stats(cells)))
-    return rows(M.bi_proposals(cells, I.user_tables(t)), cols)
+    names = shared_checkpoint(M.headers(cells))
+    cols = M.proposal_columns(cells, Q.column_quality(Q.column_stats(cells)), columns=names)
+    return rows(M.bi_proposals(cells, I.user_tables(t), columns=names), cols)

@@ -162,3 +162,14 @@ def test_typing_shuffles_no_values(spark):
     lost = Y.rejects(cells, types)
     assert [(r.col_idx, r.row_id, r.value, r.storage_type) for r in lost.collect()] == [(0, 20, "lost", "INTEGER")]
     assert "SortMergeJoin" not in lost._jdf.queryExecution().sparkPlan().toString()
+
+
+def test_mapping_rows_makes_headers_once(spark, monkeypatch):
+    from sheafwork.operators import mapping
+    from sheafwork.plans import QUERIES
+    from sheafwork.plans.registry import Tables
+
+    calls, headers = [], mapping.headers
+    monkeypatch.setattr(mapping, "headers", lambda cells: calls.append(1) or headers(cells))
+    assert QUERIES["mapping_rows"].run(Tables(spark, "/root/testdata/sf0.001")).count() == 24
+    assert len(calls) == 1
