@@ -17,6 +17,9 @@ from pyspark.sql import functions as F
 from sheafwork.operators import graph as G
 
 KINDS = ("entities", "relations", "pii", "chunks")
+#: What a graph is made of, and the kinds of results that each is read from.
+GRAPH = {"nodes": ("entities",), "edges": ("entities", "relations"), "findings": ("pii",), "chunks": ("chunks",),
+         "mentions": ("entities", "chunks"), "has_pii": ("entities", "pii")}
 
 # One line of a result file: its kind and the fields of that kind.
 RESULT_SCHEMA = (
@@ -60,12 +63,16 @@ def merge_batch(batch: DataFrame, out: str, batch_id: int) -> None:
     spark = batch.sparkSession
     for kind in KINDS:
         rows = batch.filter(F.col("kind") == kind).select(*FIELDS[kind]).withColumn("batch_id", F.lit(batch_id).cast("long"))
-        merged(kind, rows).write.mode("overwrite").parquet(part_path(out, kind, 0, batch_id))
+        _write(merged(kind, rows), part_path(out, kind, 0, batch_id))
         level, part = 0, batch_id
         while part % FAN == FAN - 1:
             below = [part_path(out, kind, level, p) for p in range(part - FAN + 1, part + 1)]
             level, part = level + 1, part // FAN
-            merged(kind, _rows(spark, kind, below)).write.mode("overwrite").parquet(part_path(out, kind, level, part))
+            _write(merged(kind, _rows(spark, kind, below)), part_path(out, kind, level, part))
+
+
+def _write(rows: DataFrame, path: str) -> None:
+    rows.write.mode("overwrite").parquet(path, compression="zstd")
 
 
 def _rows(spark: SparkSession, kind: str, paths: list[str]) -> DataFrame:
@@ -118,6 +125,8 @@ def ingest_stream(spark: SparkSession, source: str, out: str, checkpoint: str, f
         finally:
             batch.unpersist()
         ran.append(batch_id)
+        # shuffle files of a batch stay until the driver collects its garbage, which a large heap puts off for many batches
+        spark._jvm.System.gc()  # noqa: SLF001
 
     query = stream.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     try:
@@ -128,18 +137,28 @@ def ingest_stream(spark: SparkSession, source: str, out: str, checkpoint: str, f
     return len(ran)
 
 
-def read_graph(spark: SparkSession, out: str) -> dict[str, DataFrame]:
-    """Current nodes, edges, findings, chunks, mentions and HAS_PII edges over all batches."""
+def read_graph(spark: SparkSession, out: str, wanted: tuple[str, ...] = tuple(GRAPH)) -> dict[str, DataFrame]:
+    """Current nodes, edges, findings, chunks, mentions and HAS_PII edges over all batches, or those ``wanted``."""
     rows = {}
     for kind in KINDS:
+        if not any(kind in GRAPH[name] for name in wanted):
+            continue
         paths = complete_parts(spark, out, kind)
         if not paths:
             raise FileNotFoundError(f"no batch of {kind} below {out}")
         rows[kind] = _rows(spark, kind, paths)
-    nodes = merged("entities", rows["entities"])
-    first = merged("relations", rows["relations"]).withColumn("ordinal", F.struct("batch_id", "ordinal")).drop("batch_id")
-    edges = G.upsert_relations(None, first, nodes)
-    findings = merged("pii", rows["pii"]).drop("batch_id", "ordinal")
-    chunks = merged("chunks", rows["chunks"]).withColumn("ordinal", F.struct("batch_id", "ordinal")).drop("batch_id")
-    return {"nodes": nodes, "edges": edges, "findings": findings, "chunks": chunks,
-            "mentions": G.mentions(chunks, nodes), "has_pii": G.has_pii(findings, nodes)}
+    found = {}
+    if "entities" in rows:
+        found["nodes"] = nodes = merged("entities", rows["entities"])
+    if "edges" in wanted:  # merged rows hold each relation once
+        first = merged("relations", rows["relations"]).withColumn("ordinal", F.struct("batch_id", "ordinal")).drop("batch_id")
+        found["edges"] = G.link_relations(first, nodes)
+    if "pii" in rows:
+        found["findings"] = merged("pii", rows["pii"]).drop("batch_id", "ordinal")
+    if "chunks" in rows:
+        found["chunks"] = merged("chunks", rows["chunks"]).withColumn("ordinal", F.struct("batch_id", "ordinal")).drop("batch_id")
+    if "mentions" in wanted:
+        found["mentions"] = G.mentions(found["chunks"], nodes)
+    if "has_pii" in wanted:
+        found["has_pii"] = G.has_pii(found["findings"], nodes)
+    return {name: found[name] for name in GRAPH if name in wanted}

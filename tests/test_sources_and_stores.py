@@ -535,3 +535,20 @@ def test_html_query_leaves_cut_references_as_its_statement_does(spark, tmp_path)
     assert got == sorted(con.execute(entry.oracle_sql()["html_blocks"]).fetchall())
     whole = markup.html_blocks(spark.createDataFrame([(1, page)], "page_id long, html string")).orderBy("ordinal").collect()
     assert whole[0].text == "a && b&"
+
+
+def test_result_lines_are_compressed_and_only_wanted_kinds_are_read(spark, tmp_path):
+    from sheafwork.plans import inputs as I
+    from sheafwork.plans import store_queries
+    from sheafwork.plans.registry import Tables
+
+    t, path = Tables(spark, "/root/testdata/sf0.001"), str(tmp_path / "in")
+    each = store_queries.result_batches(t, path)
+    names = [p.name for p in (tmp_path / "in").rglob("*") if p.name.startswith("part-")]
+    assert names and all(n.endswith(".json.gz") for n in names) and each == -(-len(names) // 5)
+    every = spark.read.schema(ingest.RESULT_SCHEMA).option("recursiveFileLookup", "true").json(path)
+    assert every.count() == t.sql(I.ENTITIES).count() + t.sql(I.RELATIONS).count()
+    ent = every.filter("kind = 'entities'").select(*ingest.FIELDS["entities"]).withColumn("batch_id", F.lit(0).cast("long"))
+    ingest.merged("entities", ent).write.parquet(ingest.part_path(str(tmp_path / "out"), "entities", 0, 0))
+    graph = ingest.read_graph(spark, str(tmp_path / "out"), ("nodes",))
+    assert list(graph) == ["nodes"] and graph["nodes"].count() == G.upsert_entities(None, t.sql(I.ENTITIES)).count()
