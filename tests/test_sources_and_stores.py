@@ -543,7 +543,7 @@ def test_result_lines_are_compressed_and_only_wanted_kinds_are_read(spark, tmp_p
     from sheafwork.plans.registry import Tables
 
     t, path = Tables(spark, "/root/testdata/sf0.001"), str(tmp_path / "in")
-    each = store_queries.result_batches(t, path)
+    each = store_queries.result_batches(t, path, compression="gzip")
     names = [p.name for p in (tmp_path / "in").rglob("*") if p.name.startswith("part-")]
     assert names and all(n.endswith(".json.gz") for n in names) and each == -(-len(names) // 5)
     every = spark.read.schema(ingest.RESULT_SCHEMA).option("recursiveFileLookup", "true").json(path)
